@@ -27,7 +27,7 @@ def ip_activity(events: DataFrame, indicators: DataFrame) -> DataFrame:
 
     Matching runs on distinct addresses and the result filters the traffic before it is grouped.
     A grouped row joins its indicators through each matched end; when both ends match the same
-    indicator the row counts once, as inbound.
+    indicator (``ends`` is 2) the row counts once, as inbound.
     """
     matches = match.match_ips(q.all_traffic_ips(events), indicators).select("value", *_KEY)
     traffic = q.traffic_involving(events, matches)
@@ -42,7 +42,9 @@ def ip_activity(events: DataFrame, indicators: DataFrame) -> DataFrame:
         ).alias("end"),
     ).select(*columns, "end.*")
     tagged = ends.where(F.col("value").isNotNull()).join(matches, "value")
-    return tagged.groupBy(*_KEY, *columns).agg(F.bool_or("inbound").alias("inbound"))
+    return tagged.groupBy(*_KEY, *columns).agg(
+        F.bool_or("inbound").alias("inbound"), F.count("*").alias("ends")
+    )
 
 
 def ip_match(events: DataFrame, indicators: DataFrame, profile: Profile) -> DataFrame:
@@ -73,20 +75,23 @@ def ip_match(events: DataFrame, indicators: DataFrame, profile: Profile) -> Data
         .groupBy(*_KEY)
         .agg(F.sort_array(F.collect_list(F.struct("_r", "dst_port"))).alias("_ports"))
     )
-    matches = match.match_ips(q.all_traffic_ips(events), indicators)
-    matched = distinct_lists(matches, _KEY, {"matched": (F.col("value"), LISTED)})
-    other = F.when(inbound, F.col("dst_ip")).otherwise(F.col("src_ip"))
-    others = activity.select(*_KEY, other.alias("value")).where(F.col("value") != "").distinct()
-    own = matches.select(*_KEY, "value").distinct()
-    local = distinct_lists(
-        others.join(own, [*_KEY, "value"], "left_anti"), _KEY, {"local_addresses": (F.col("value"), LISTED)}
+    # A pair with one matched end names a listed and a local address; with two, only listed ones.
+    both = F.col("ends") == 2
+    seen = (
+        F.when(both, F.array("src_ip", "dst_ip"))
+        .when(inbound, F.array("src_ip"))
+        .otherwise(F.array("dst_ip"))
+    )
+    other = F.when(~both, F.when(inbound, F.col("dst_ip")).otherwise(F.col("src_ip")))
+    lists = distinct_lists(
+        activity, _KEY, {"matched": (seen, LISTED), "local_addresses": (other, LISTED)}
     )
     listed = indicators.where(F.col("kind").isin("ip", "cidr")).withColumnRenamed("value", "indicator")
     rows = groups.join(ports, _KEY, "left").withColumn(
         "dst_ports",
         F.coalesce(F.transform("_ports", lambda s: s["dst_port"]), F.array().cast("array<int>")),
     )
-    rows = join_lists(join_lists(rows, matched, _KEY), local, _KEY).join(listed, _KEY)
+    rows = join_lists(rows, lists, _KEY).join(listed, _KEY)
     closed = ~F.col("any_outbound") & (F.col("inbound_accepted") == 0)
     rows = rows.withColumn("severity_capped", closed & (F.col("severity") > LOW))
     what = (

@@ -42,8 +42,9 @@ def match_networks(values: DataFrame, indicators: DataFrame) -> DataFrame:
             net.ip_hex(F.split_part("value", F.lit("/"), F.lit(1))).alias("_hex"),
             F.split_part("value", F.lit("/"), F.lit(2)).try_cast("int").alias("_plen"),
         )
-        .where(F.col("_hex").isNotNull() & F.col("_plen").isNotNull())
+        .where(F.col("_hex").isNotNull())
         .withColumn("_digits", F.length("_hex"))
+        .withColumn("_plen", F.coalesce(F.col("_plen"), F.col("_digits") * 4))
         .withColumn("_key", net.hex_prefix(F.col("_hex"), F.col("_plen")))
         .drop("_hex")
     )

@@ -107,8 +107,12 @@ def detail_rows(
 
 
 def existing_event_ids(events: DataFrame, ids: DataFrame) -> DataFrame:
-    """The subset of ``ids`` (column ``id``) that are events here."""
-    return ids.select("id").distinct().join(events.select("id"), "id", "left_semi")
+    """The subset of ``ids`` (column ``id``) that are events here.
+
+    The events are filtered by the ids, not the ids by the events, so that the short side is the
+    one that is shipped.
+    """
+    return events.select("id").join(ids.select("id").distinct(), "id", "left_semi").distinct()
 
 
 # ----- scalars, as one-row frames

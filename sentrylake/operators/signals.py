@@ -76,16 +76,16 @@ def distinct_lists(
     contributes its elements.
     """
     schema = rows.select(*[c.alias(name) for name, (c, _) in lists.items()]).schema
-    tagged = []
-    for name, (column, _) in lists.items():
+
+    def tag(name: str, column: Column) -> Column:
         is_array = schema[name].dataType.typeName() == "array"
-        values = column if is_array else F.array(column)
-        tagged.append(
-            F.transform(
-                F.coalesce(values.cast("array<string>"), F.array().cast("array<string>")),
-                lambda v, name=name: F.struct(F.lit(name).alias("list"), v.alias("value")),
-            )
+        values = (column if is_array else F.array(column)).cast("array<string>")
+        return F.transform(
+            F.coalesce(values, F.array().cast("array<string>")),
+            lambda v: F.struct(F.lit(name).alias("list"), v.alias("value")),
         )
+
+    tagged = [tag(name, column) for name, (column, _) in lists.items()]
     pairs = (
         rows.select(*keys, F.explode(F.concat(*tagged)).alias("_item"))
         .select(*keys, "_item.list", "_item.value")
@@ -120,6 +120,20 @@ def join_lists(groups: DataFrame, lists: DataFrame, keys: Sequence[str]) -> Data
     return joined.withColumns({n: F.coalesce(F.col(n), empty) for n in names})
 
 
+def ordered_list(ranked: DataFrame, measure: str, columns: Sequence[str]) -> Column:
+    """Fold a short ranked frame into one array of structs, highest measure first.
+
+    Like ``top_list``, for several columns; the first column decides ties.
+    """
+    order = (-F.col(measure)).alias("_order")
+    return ranked.agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct(order, *columns))),
+            lambda s: s.dropFields("_order"),
+        )
+    ).scalar()
+
+
 def top_list(ranked: DataFrame, value: str = "value", measure: str = "n") -> Column:
     """Fold a short ranked frame (already limited) into one ordered array of (value, n) structs.
 

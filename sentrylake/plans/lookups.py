@@ -166,7 +166,7 @@ def _(t):
     return ips.withColumn("label", t.profile.label_for("ip"))
 
 
-_CAVEAT = """CASE client_ip WHEN '10.10.0.8' THEN {iot} WHEN '10.10.0.2' THEN {dmz} ELSE '' END"""
+_CAVEAT = """CASE client_ip WHEN '10.10.0.10' THEN {iot} WHEN '10.10.0.4' THEN {dmz} ELSE '' END"""
 
 
 def _caveat(ip: str, zone: str) -> str:
@@ -176,7 +176,7 @@ def _caveat(ip: str, zone: str) -> str:
     )
 
 
-CAVEAT_SQL = _CAVEAT.format(iot=_caveat("10.10.0.8", "iot"), dmz=_caveat("10.10.0.2", "dmz"))
+CAVEAT_SQL = _CAVEAT.format(iot=_caveat("10.10.0.10", "iot"), dmz=_caveat("10.10.0.4", "dmz"))
 
 
 @query("d07_attribution_caveat", "dns", f"SELECT DISTINCT client_ip, {CAVEAT_SQL} AS caveat FROM dns")

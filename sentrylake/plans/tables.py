@@ -12,8 +12,10 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sentrylake.operators import history as H
+from sentrylake.operators.history import Baseline
 from sentrylake.profile import Profile
-from sentrylake.schema import conform_events
+from sentrylake.schema import FINDING_SCHEMA, conform, conform_events
 
 PROFILE = Profile.parse(
     {
@@ -22,9 +24,9 @@ PROFILE = Profile.parse(
             {"name": "lan", "cidrs": ["10.10.0.0/24", "fd00:10::/64"], "trust": "trusted"},
             {
                 "name": "iot", "cidrs": ["10.10.50.0/24"], "trust": "untrusted",
-                "gateway": "10.10.0.8", "expected_egress_domains": ["*.example.com"],
+                "gateway": "10.10.0.10", "expected_egress_domains": ["*.example.com"],
             },
-            {"name": "dmz", "cidrs": ["10.10.15.0/24"], "trust": "semi-trusted", "gateway": "10.10.0.2"},
+            {"name": "dmz", "cidrs": ["10.10.15.0/24"], "trust": "semi-trusted", "gateway": "10.10.0.4"},
         ],
         "hosts": [
             {"ip": "10.10.0.1", "name": "edge", "role": "router"},
@@ -34,7 +36,7 @@ PROFILE = Profile.parse(
         "policy": {
             "approved_resolvers": ["10.10.0.69"],
             "attack_surface_ports": [22, 23, 445, 3389],
-            "nat_attribution_limited_behind": ["10.10.0.8", "10.10.0.2"],
+            "nat_attribution_limited_behind": ["10.10.0.10", "10.10.0.4"],
             "benign_domains": ["the.example.com"],
             "benign_domain_suffixes": ["example.org", "local"],
         },
@@ -101,7 +103,7 @@ VIEWS = {
          ELSE 1024 + l_partkey % 30 END AS dst_port,
     CASE l_returnflag WHEN 'N' THEN 'drop' WHEN 'A' THEN 'accept' ELSE 'reject' END AS action,
     CASE WHEN l_linenumber % 2 = 0 THEN 'udp' ELSE 'tcp' END AS proto,
-    'eth' || (l_suppkey % 3) AS iface_in, l_linenumber AS ttl, CAST(l_quantity * 30 AS INTEGER) AS pkt_len,
+    'eth' || (l_suppkey % 3) AS iface_in, (l_linenumber + 1) // 2 AS ttl, CAST(l_quantity * 30 AS INTEGER) AS pkt_len,
     CAST(l_suppkey % 5 + 1 AS VARCHAR) AS device, 'fw:' || l_orderkey || ':' || l_linenumber AS dedup_key
   FROM lineitem)""".format(src_zone=zone_sql("src_ip"), dst_zone=zone_sql("dst_ip")),
     "dns": """SELECT *, {zone} AS src_zone, 'dns' AS kind, 'resolver' AS source FROM (
@@ -165,6 +167,27 @@ VIEWS = {
   FROM orders JOIN customer ON o_custkey = c_custkey)""".format(
         regions=_list(REGIONS), programs=_list(PROGRAMS), n=len(PROGRAMS)
     ),
+    "findings": """SELECT 'run' || (o_orderkey % 20) AS run_id, 'F' || o_orderkey AS finding_id, o_orderdate AS ts,
+    'About ' || o_orderpriority AS title, o_custkey % 5 AS severity,
+    ['scan.persistent_prober', 'c2.beacon_candidate', 'recon.internal_traceroute', 'dns.tunnel_suspect'][o_custkey % 4 + 1] AS taxonomy,
+    ['198.51.' || (100 + (o_custkey % 100 + 1) % 3) || '.' || ((o_custkey % 100 + 1) % 250 + 1), '10.10.0.' || (o_custkey % 50 + 20)] AS named
+  FROM orders""",
+    "metrics": """SELECT 'run' || (o_orderkey % 20) AS run_id, o_orderdate AS ts,
+    ['zone.lan.daypart.night', 'zone.iot.daypart.morning', 'zone.iot.daypart.evening', 'zone.lan.daypart.afternoon', 'fw.drops'][o_custkey % 5 + 1] AS key,
+    CASE WHEN o_custkey % 5 <> 4 THEN (o_orderkey % 8)::DOUBLE WHEN o_orderkey % 3 > 0 THEN o_totalprice END AS value_num,
+    CASE WHEN o_custkey % 5 = 4 AND o_orderkey % 3 = 0 THEN 'n/a' END AS value_text FROM orders""",
+    "watchlist": """SELECT ['ip', 'host', 'domain', 'host'][s_suppkey % 4 + 1] AS entity_type,
+    CASE WHEN s_suppkey % 4 = 2 THEN 'the.example.com' WHEN s_suppkey % 8 = 3 THEN CAST(s_suppkey % 5 + 1 AS VARCHAR)
+      ELSE '10.10.' || CASE WHEN s_suppkey % 8 < 4 THEN '0.' ELSE '50.' END || (s_suppkey % 60 + 1) END AS entity_value, s_name AS reason,
+    CASE WHEN s_suppkey % 3 > 0 THEN TIMESTAMP '1998-05-01 00:00:00' + s_suppkey * INTERVAL 1 DAY END AS expires_at FROM supplier""",
+    "iocs": """SELECT '203.0.113.' || s_suppkey AS value, 'ip' AS kind, 4 - s_suppkey % 4 AS severity, ['T1','T2','T3','T4'][s_suppkey % 4 + 1] AS tier,
+    s_name AS source FROM supplier
+  UNION ALL SELECT CASE n_nationkey % 3 WHEN 0 THEN '198.51.100.' || (n_nationkey * 8) || '/29' WHEN 1 THEN '203.0.113.' || (n_nationkey * 8) || '/30'
+    ELSE '198.' || (n_nationkey + 30) || '.0.0/15' END, 'cidr', 4 - n_nationkey % 4, ['T1','T2','T3','T4'][n_nationkey % 4 + 1], n_name FROM nation
+  UNION ALL SELECT value, kind, 4 - min(p) % 4, ['T1','T2','T3','T4'][min(p) % 4 + 1], 'pages' FROM (
+    SELECT CASE WHEN p % 2 = 0 THEN host ELSE regexp_extract(host, '([^.]+\\.[^.]+)$', 1) END AS value,
+      CASE WHEN p % 2 = 0 THEN 'domain' ELSE 'domain_suffix' END AS kind, p
+    FROM (SELECT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, min(page_id) AS p FROM pages GROUP BY 1)) GROUP BY value, kind""",
     "gd": """SELECT p_partkey AS id, TIMESTAMP '2024-01-01 00:00:00' + p_partkey * INTERVAL 1 MINUTE AS ts, p_type AS program,
     p_size / 5.0 AS score, CASE WHEN p_size >= 45 THEN 'CRITICAL' WHEN p_size >= 35 THEN 'HIGH' WHEN p_size >= 20 THEN 'MEDIUM'
       ELSE 'LOW' END AS severity, p_name AS message, p_brand LIKE '%1' AS sample,
@@ -223,7 +246,7 @@ class Tables:
             .otherwise("reject").alias("action"),
             F.when(F.col("l_linenumber") % 2 == 0, "udp").otherwise("tcp").alias("proto"),
             F.concat(F.lit("eth"), text(supp % 3)).alias("iface_in"),
-            F.col("l_linenumber").alias("ttl"),
+            ((F.col("l_linenumber") + 1) / 2).cast("int").alias("ttl"),
             (F.col("l_quantity") * 30).cast("int").alias("pkt_len"),
             text(supp % 5 + 1).alias("device"),
             F.concat(F.lit("fw:"), text(F.col("l_orderkey")), F.lit(":"), text(F.col("l_linenumber"))).alias("dedup_key"),
@@ -406,6 +429,99 @@ class Tables:
         return out
 
 
+    # ----- earlier runs
+
+    def baseline(self, history: DataFrame, as_of: str, prior: DataFrame | None = None) -> Baseline:
+        """A baseline that knows the entities of ``history`` and, by default, one prior metric."""
+        known = H.entities(H.observations(history, "earlier", "1990-01-01 00:00:00"))
+        if prior is None:
+            prior = history.agg(F.count("*").cast("double").alias("prior")).select(
+                F.lit("events").alias("key"), "prior"
+            )
+        return Baseline(
+            as_of=as_of, known=known, prior=prior, findings=self.findings, metrics=self.metrics,
+            watchlist=self.watchlist,
+        )
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        """Findings of earlier runs, from the orders table."""
+        cust, key = F.col("o_custkey"), F.col("o_orderkey")
+        text = lambda c: c.cast("string")
+        outside = F.concat(F.lit("198.51."), text((cust % 100 + 1) % 3 + 100), F.lit("."), text((cust % 100 + 1) % 250 + 1))
+        inside = F.concat(F.lit("10.10.0."), text(cust % 50 + 20))
+        ent = lambda t, v, r: F.struct(F.lit(t).alias("type"), v.alias("value"), F.lit(r).alias("role"))
+        rows = self.raw("orders").select(
+            F.concat(F.lit("run"), text(key % 20)).alias("run_id"), F.concat(F.lit("F"), text(key)).alias("finding_id"),
+            F.col("o_orderdate").cast("timestamp").alias("ts"), F.concat(F.lit("About "), "o_orderpriority").alias("title"),
+            (cust % 5).cast("int").alias("severity"), F.lit("medium").alias("confidence"),
+            _pick(("scan.persistent_prober", "c2.beacon_candidate", "recon.internal_traceroute", "dns.tunnel_suspect"), cust % 4).alias("taxonomy"),
+            F.array(ent("ip", outside, "source"), ent("ip", inside, "destination")).alias("entities"),
+        )
+        return conform(rows, FINDING_SCHEMA)
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        """Metrics of earlier runs (``run_id, ts, key, value_num, value_text``), from the orders table."""
+        cust, key = F.col("o_custkey"), F.col("o_orderkey")
+        text = lambda c: c.cast("string")
+        name = _pick(
+            ("zone.lan.daypart.night", "zone.iot.daypart.morning", "zone.iot.daypart.evening", "zone.lan.daypart.afternoon", "fw.drops"),
+            cust % 5,
+        )
+        return self.raw("orders").select(
+            F.concat(F.lit("run"), text(key % 20)).alias("run_id"), F.col("o_orderdate").cast("timestamp").alias("ts"),
+            name.alias("key"), F.when(cust % 5 != 4, (key % 8).cast("double")).when(key % 3 > 0, F.col("o_totalprice")).alias("value_num"),
+            F.when((cust % 5 == 4) & (key % 3 == 0), F.lit("n/a")).alias("value_text"),
+        )
+
+    @cached_property
+    def watchlist(self) -> DataFrame:
+        """Watched entities, from the supplier table."""
+        s = F.col("s_suppkey")
+        text = lambda c: c.cast("string")
+        kind = _pick(("ip", "host", "domain", "host"), s % 4)
+        value = (
+            F.when(s % 4 == 2, "the.example.com").when(s % 8 == 3, text(s % 5 + 1))
+            .otherwise(F.concat(F.lit("10.10."), F.when(s % 8 < 4, "0.").otherwise("50."), text(s % 60 + 1)))
+        )
+        return self.raw("supplier").select(
+            kind.alias("entity_type"), value.alias("entity_value"), F.col("s_name").alias("reason"),
+            F.lit("1998-01-01 00:00:00").cast("timestamp").alias("created_at"),
+            F.when(s % 3 > 0, F.timestamp_add("DAY", s.cast("int"), F.lit("1998-05-01 00:00:00").cast("timestamp"))).alias("expires_at"),
+        )
+
+    @cached_property
+    def indicators(self) -> DataFrame:
+        """Indicator lists from the supplier, nation and page tables."""
+        s, n = F.col("s_suppkey"), F.col("n_nationkey")
+        text = lambda c: c.cast("string")
+        tiers = ("T1", "T2", "T3", "T4")
+        sev = lambda i: (F.lit(4) - i % 4).cast("int")
+        more = {"campaign": F.lit("c"), "warning": F.lit(""), "expires": F.lit(None).cast("date"), "origin": F.lit("list.csv")}
+        single = self.raw("supplier").select(
+            F.concat(F.lit("203.0.113."), text(s)).alias("value"), F.lit("ip").alias("kind"), sev(s).alias("severity"),
+            _pick(tiers, s % 4).alias("tier"), F.col("s_name").alias("source"),
+        )
+        nets = self.raw("nation").select(
+            F.when(n % 3 == 0, F.concat(F.lit("198.51.100."), text(n * 8), F.lit("/29")))
+            .when(n % 3 == 1, F.concat(F.lit("203.0.113."), text(n * 8), F.lit("/30")))
+            .otherwise(F.concat(F.lit("198."), text(n + 30), F.lit(".0.0/15"))).alias("value"),
+            F.lit("cidr").alias("kind"), sev(n).alias("severity"), _pick(tiers, n % 4).alias("tier"), F.col("n_name").alias("source"),
+        )
+        host = F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1)
+        names = (
+            self.raw("pages").groupBy(host.alias("host")).agg(F.min("page_id").alias("p"))
+            .select(
+                F.when(F.col("p") % 2 == 0, F.col("host")).otherwise(F.substring_index("host", ".", -2)).alias("value"),
+                F.when(F.col("p") % 2 == 0, "domain").otherwise("domain_suffix").alias("kind"), F.col("p"),
+            )
+            .groupBy("value", "kind").agg(F.min("p").alias("p"))
+            .select("value", "kind", sev(F.col("p")).alias("severity"), _pick(tiers, F.col("p") % 4).alias("tier"), F.lit("pages").alias("source"))
+        )
+        return single.unionByName(nets).unionByName(names).withColumns(more)
+
+
 def _wrap_raw(rows: DataFrame) -> DataFrame:
     """Widen a partial ``_raw`` struct to the full payload type."""
     from sentrylake.schema import RAW_SCHEMA

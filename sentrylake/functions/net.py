@@ -7,7 +7,7 @@ digits for IPv6. Joins use the hexadecimal text (8 digits for IPv4, 32 for IPv6)
 from __future__ import annotations
 
 import ipaddress
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,6 +51,11 @@ def _c(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value`` with ``value`` evaluated once, which keeps the expression short."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ipv4_value(ip: Column | str) -> Column:
     """32-bit value of a dotted IPv4 address, null for anything else (256, leading zeros, names)."""
     c = _c(ip)
@@ -78,14 +83,18 @@ def ipv6_hex(ip: Column | str) -> Column:
     The colons of "::" are filled up with zero groups, every group is padded on the left, and the
     last four digits of each group are kept.
     """
-    text = _ipv6_text(_c(ip))
-    colons = F.length(F.regexp_replace(text, "[^:]", ""))
-    filled = F.replace(
-        text, F.lit("::"), F.concat(F.lit(":"), F.repeat(F.lit("0:"), F.lit(8) - colons))
-    )
-    padded = F.replace(F.concat(F.lit(":"), filled), F.lit(":"), F.lit(":0000"))
-    digits = F.regexp_replace(padded, ":[0-9a-f]*([0-9a-f]{4})(?=:|$)", "$1")
-    return F.when(text.rlike(IPV6_PATTERN), digits)
+
+    def digits(text: Column) -> Column:
+        colons = F.length(F.regexp_replace(text, "[^:]", ""))
+        filled = F.replace(
+            text, F.lit("::"), F.concat(F.lit(":"), F.repeat(F.lit("0:"), F.lit(8) - colons))
+        )
+        padded = F.replace(F.concat(F.lit(":"), filled), F.lit(":"), F.lit(":0000"))
+        kept = F.regexp_replace(padded, ":[0-9a-f]*([0-9a-f]{4})(?=:|$)", "$1")
+        return F.when(text.rlike(IPV6_PATTERN), kept)
+
+    c = _c(ip)
+    return F.when(c.contains(":"), _let(c, lambda x: _let(_ipv6_text(x), digits)))
 
 
 def ip_hex(ip: Column | str) -> Column:
@@ -101,12 +110,16 @@ def hex_prefix(hex_text: Column, plen: Column | int) -> Column:
     plen = F.lit(plen) if isinstance(plen, int) else plen
     whole = F.floor(plen / 4).cast("int")
     spare = (plen % 4).cast("int")
-    digit = F.conv(F.substr(hex_text, whole + 1, F.lit(1)), 16, 10).cast("int")
     step = F.pow(F.lit(2), F.lit(4) - spare).cast("int")
-    masked = F.lower(F.hex((digit - digit % step).cast("bigint")))
-    return F.when(spare == 0, F.substr(hex_text, F.lit(1), whole)).otherwise(
-        F.concat(F.substr(hex_text, F.lit(1), whole), masked)
-    )
+
+    def leading(text: Column) -> Column:
+        digit = F.conv(F.substr(text, whole + 1, F.lit(1)), 16, 10).cast("int")
+        masked = F.lower(F.hex((F.floor(digit / step) * step).cast("bigint")))
+        return F.concat(
+            F.substr(text, F.lit(1), whole), F.when(spare == 0, F.lit("")).otherwise(masked)
+        )
+
+    return _let(hex_text, leading)
 
 
 def _dotted_pattern(net: ipaddress.IPv4Network) -> str:
@@ -169,7 +182,6 @@ def zone_of(ip: Column | str, zones: Sequence) -> Column:
     addresses have no zone.
     """
     c = _c(ip)
-    hex6 = ipv6_hex(c)
 
     def chain(version: int, test) -> Column:
         out = None
@@ -179,9 +191,11 @@ def zone_of(ip: Column | str, zones: Sequence) -> Column:
         out = (F if out is None else out).when(test(LOCAL_RANGES), F.lit("private"))
         return out.otherwise(F.lit("external"))
 
-    return (
-        F.when(is_ipv4(c), chain(4, lambda nets: dotted_in(c, nets)))
-        .when(c.contains(":") & hex6.isNotNull(), chain(6, lambda nets: hex_in(hex6, nets)))
+    def chain6(hex6: Column) -> Column:
+        return F.when(hex6.isNotNull(), chain(6, lambda nets: hex_in(hex6, nets)))
+
+    return F.when(is_ipv4(c), chain(4, lambda nets: dotted_in(c, nets))).when(
+        c.contains(":"), _let(ipv6_hex(c), chain6)
     )
 
 
@@ -200,17 +214,17 @@ _MAPPED = "0" * 20 + "ffff"
 
 def is_private_address(ip: Column | str) -> Column:
     """True for special-purpose addresses (not globally reachable); false for invalid text."""
+
+    def special6(hex6: Column) -> Column:
+        # A mapped address (::ffff:a.b.c.d) is judged by its IPv4 part.
+        low = F.substring(hex6, 25, 8)
+        mapped = hex_in(low, SPECIAL_V4, 4) & ~hex_in(low, SPECIAL_V4_EXCEPT, 4)
+        plain = hex_in(hex6, SPECIAL_V6) & ~hex_in(hex6, SPECIAL_V6_EXCEPT)
+        return F.when(hex6.startswith(_MAPPED), mapped).otherwise(plain)
+
     c = _c(ip)
-    hex6 = ipv6_hex(c)
-    # A mapped address (::ffff:a.b.c.d) is judged by its IPv4 part.
-    low = F.substring(hex6, 25, 8)
-    answer = (
-        F.when(is_ipv4(c), dotted_in(c, SPECIAL_V4) & ~dotted_in(c, SPECIAL_V4_EXCEPT))
-        .when(
-            hex6.startswith(_MAPPED),
-            hex_in(low, SPECIAL_V4, 4) & ~hex_in(low, SPECIAL_V4_EXCEPT, 4),
-        )
-        .when(hex6.isNotNull(), hex_in(hex6, SPECIAL_V6) & ~hex_in(hex6, SPECIAL_V6_EXCEPT))
+    answer = F.when(is_ipv4(c), dotted_in(c, SPECIAL_V4) & ~dotted_in(c, SPECIAL_V4_EXCEPT)).when(
+        c.contains(":"), _let(ipv6_hex(c), special6)
     )
     return F.coalesce(answer, F.lit(False))
 
@@ -218,10 +232,8 @@ def is_private_address(ip: Column | str) -> Column:
 def is_routable(ip: Column | str) -> Column:
     """True for globally reachable addresses: the gate for any reputation lookup."""
     c = _c(ip)
-    hex6 = ipv6_hex(c)
-    shared = F.when(is_ipv4(c), dotted_in(c, SHARED_V4))
-    valid = F.coalesce(is_ipv4(c) | hex6.isNotNull(), F.lit(False))
-    return valid & ~is_private_address(c) & F.coalesce(~shared, F.lit(True))
+    valid = F.when(is_ipv4(c), ~dotted_in(c, SHARED_V4)).otherwise(ipv6_hex(c).isNotNull())
+    return F.coalesce(valid & ~is_private_address(c), F.lit(False))
 
 
 def subnet24(ip: Column | str) -> Column:

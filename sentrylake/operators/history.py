@@ -89,8 +89,8 @@ def metric_history(
 # ----- entities
 
 
-def entity_pairs(events: DataFrame) -> DataFrame:
-    """Entity occurrences (``etype, value, n``) of a set of events.
+def entity_structs() -> Column:
+    """The entities one event names, as an array of (etype, value); values may be null.
 
     DNS events name their domain and client, all others their source; ``user`` is an account on
     logon events and a device address elsewhere.
@@ -100,16 +100,17 @@ def entity_pairs(events: DataFrame) -> DataFrame:
         F.col("action").isin(*ACCOUNT_ACTIONS), F.lit(False)
     )
     pair = lambda etype, value: F.struct(etype.alias("etype"), value.alias("value"))
+    return F.array(
+        pair(F.lit("domain"), F.when(dns, F.lower("domain"))),
+        pair(F.lit("ip"), F.when(dns, F.col("client_ip")).otherwise(F.col("src_ip"))),
+        pair(F.when(account, "user").otherwise("device"), F.col("user")),
+    )
+
+
+def entity_pairs(events: DataFrame) -> DataFrame:
+    """Entity occurrences (``etype, value, n``) of a set of events."""
     return (
-        events.select(
-            F.explode(
-                F.array(
-                    pair(F.lit("domain"), F.when(dns, F.lower("domain"))),
-                    pair(F.lit("ip"), F.when(dns, F.col("client_ip")).otherwise(F.col("src_ip"))),
-                    pair(F.when(account, "user").otherwise("device"), F.col("user")),
-                )
-            ).alias("e")
-        )
+        events.select(F.explode(entity_structs()).alias("e"))
         .where(F.coalesce(F.col("e.value"), F.lit("")) != "")
         .groupBy("e.etype", "e.value")
         .agg(F.count("*").alias("n"))

@@ -25,25 +25,32 @@ def _confidence() -> Column:
 def ip_activity(events: DataFrame, indicators: DataFrame) -> DataFrame:
     """Traffic grouped by (indicator, pair, port, protocol, action) with its direction.
 
-    Matching runs on distinct addresses and the result filters the traffic before it is grouped.
-    A grouped row joins its indicators through each matched end; when both ends match the same
-    indicator (``ends`` is 2) the row counts once, as inbound.
+    Matching runs on distinct addresses. The matched addresses then filter the events by either end
+    before anything is grouped, so only traffic with a listed address is shuffled. A pair whose
+    ends both match the same indicator (``ends`` is 2) counts once, as inbound.
     """
     matches = match.match_ips(q.all_traffic_ips(events), indicators).select("value", *_KEY)
-    traffic = q.traffic_involving(events, matches)
-    columns = ["src_ip", "dst_ip", "dst_port", "proto", "action", "hits", "first_ts", "last_ts"]
-    ends = traffic.select(
-        *columns,
-        F.explode(
-            F.array(
-                F.struct(F.col("src_ip").alias("value"), F.lit(True).alias("inbound")),
-                F.struct(F.col("dst_ip").alias("value"), F.lit(False).alias("inbound")),
-            )
-        ).alias("end"),
-    ).select(*columns, "end.*")
-    tagged = ends.where(F.col("value").isNotNull()).join(matches, "value")
-    return tagged.groupBy(*_KEY, *columns).agg(
-        F.bool_or("inbound").alias("inbound"), F.count("*").alias("ends")
+    columns = ["src_ip", "dst_ip", "dst_port", "proto", "action"]
+    end = lambda value, inbound: F.struct(
+        F.col(value).alias("value"), F.lit(inbound).alias("inbound")
+    )
+    ends = (
+        q.where(events, kind=list(q.TRAFFIC_KINDS))
+        .select("ts", *columns, F.explode(F.array(end("src_ip", True), end("dst_ip", False))).alias("e"))
+        .select("ts", *columns, "e.*")
+        .where(F.col("value").isNotNull())
+    )
+    per_end = (
+        ends.join(matches, "value")
+        .groupBy(*_KEY, *columns, "inbound")
+        .agg(F.count("*").alias("hits"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    )
+    return per_end.groupBy(*_KEY, *columns).agg(
+        F.max("hits").alias("hits"),
+        F.min("first_ts").alias("first_ts"),
+        F.max("last_ts").alias("last_ts"),
+        F.bool_or("inbound").alias("inbound"),
+        F.count("*").alias("ends"),
     )
 
 

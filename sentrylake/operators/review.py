@@ -28,7 +28,6 @@ COUNTRIES = (
 )
 MAX_EVENT_IDS = 20
 
-_NO_TEXT = F.lit("")
 
 
 def _texts(column: str) -> Column:
@@ -83,7 +82,7 @@ def judge(submitted: DataFrame, signals: DataFrame, events: DataFrame, profile:
         .join(valid_events(submitted, events), "idx", "left")
         .withColumns(
             {
-                "title": F.trim(F.coalesce("title", _NO_TEXT)),
+                "title": F.trim(F.coalesce("title", F.lit(""))),
                 "valid_ids": F.coalesce("valid_ids", none),
                 "valid_events": F.coalesce("valid_events", F.array().cast("array<bigint>")),
             }
@@ -131,8 +130,8 @@ def judge(submitted: DataFrame, signals: DataFrame, events: DataFrame, profile:
         given,
         lambda e: F.struct(
             F.coalesce(e["type"], F.lit("host")).alias("type"),
-            F.coalesce(e["value"], _NO_TEXT).alias("value"),
-            F.coalesce(e["role"], _NO_TEXT).alias("role"),
+            F.coalesce(e["value"], F.lit("")).alias("value"),
+            F.coalesce(e["role"], F.lit("")).alias("role"),
         ),
     )
     fallback = F.coalesce(F.col("signal_entities"), F.array().cast(_entity_type(submitted)))
@@ -145,7 +144,7 @@ def judge(submitted: DataFrame, signals: DataFrame, events: DataFrame, profile:
     rows = rows.withColumns(
         {"unknown": unknown, "dropped": F.coalesce(dropped, F.array().cast("array<bigint>"))}
     )
-    geography = F.coalesce(F.col("why"), _NO_TEXT).rlike(rf"(?i)\b({COUNTRIES})\b")
+    geography = F.coalesce(F.col("why"), F.lit("")).rlike(rf"(?i)\b({COUNTRIES})\b")
     adjustments = F.array_compact(
         F.array(
             F.when(
@@ -189,16 +188,16 @@ def judge(submitted: DataFrame, signals: DataFrame, events: DataFrame, profile:
         F.col("rated").alias("severity"),
         F.when(stated.isin(*CONFIDENCES), stated).otherwise("medium").alias("confidence"),
         F.coalesce(
-            F.nullif(F.col("taxonomy"), _NO_TEXT), "signal_taxonomy", F.lit("agent.suspected")
+            F.nullif(F.col("taxonomy"), F.lit("")), "signal_taxonomy", F.lit("agent.suspected")
         ).alias("taxonomy"),
-        F.coalesce(F.nullif(F.col("zone"), _NO_TEXT), F.lit("perimeter")).alias("zone"),
-        *[F.coalesce(c, _NO_TEXT).alias(c) for c in ("what", "why", "not_this", "action")],
+        F.coalesce(F.nullif(F.col("zone"), F.lit("")), F.lit("perimeter")).alias("zone"),
+        *[F.coalesce(c, F.lit("")).alias(c) for c in ("what", "why", "not_this", "action")],
         F.col("valid_ids").alias("signal_ids"),
         F.col("valid_events").alias("event_ids"),
         F.col("kinds").alias("evidence_kinds"),
         F.slice("named", 1, 10).alias("entities"),
         adjustments.alias("adjustments"),
-        F.coalesce(F.get(caveats, F.lit(0)), _NO_TEXT).alias("attribution_caveat"),
+        F.coalesce(F.get(caveats, F.lit(0)), F.lit("")).alias("attribution_caveat"),
     )
 
 
@@ -237,7 +236,7 @@ def apply_suppressions(findings: DataFrame, suppressions: DataFrame) -> DataFram
     """
     key = "finding_id"
     rules = suppressions.select(
-        "id", "reason", *[F.nullif(F.col(c), _NO_TEXT).alias(c) for c in ("taxonomy", "entity", "title_contains")],
+        "id", "reason", *[F.nullif(F.col(c), F.lit("")).alias(c) for c in ("taxonomy", "entity", "title_contains")],
         parse_severity("max_severity").alias("ceiling"),
     )
     facts = findings.select(
@@ -281,7 +280,7 @@ def apply_suppressions(findings: DataFrame, suppressions: DataFrame) -> DataFram
             "suppressed_reason",
             F.when(
                 F.col("suppressed"),
-                F.coalesce(F.nullif(F.col("_reason"), _NO_TEXT), F.lit("suppressed")),
+                F.coalesce(F.nullif(F.col("_reason"), F.lit("")), F.lit("suppressed")),
             ),
         )
         .drop("_reason")
@@ -337,7 +336,7 @@ def delivery_gate(
 
 
 def _said(column: str) -> Column:
-    return F.trim(F.coalesce(F.col(column), _NO_TEXT))
+    return F.trim(F.coalesce(F.col(column), F.lit("")))
 
 
 def clean_watchlist_updates(raw: DataFrame) -> DataFrame:
@@ -345,7 +344,7 @@ def clean_watchlist_updates(raw: DataFrame) -> DataFrame:
     return raw.where(_said("entity_value") != "").select(
         F.coalesce("entity_type", F.lit("ip")).alias("entity_type"),
         _said("entity_value").alias("entity_value"),
-        F.coalesce("reason", _NO_TEXT).alias("reason"),
+        F.coalesce("reason", F.lit("")).alias("reason"),
         F.greatest(F.lit(1), F.least(F.lit(365), days)).alias("expires_days"),
     )
 
@@ -354,12 +353,12 @@ def clean_watchlist_removals(raw: DataFrame) -> DataFrame:
     return raw.where(_said("entity_value") != "").select(
         F.coalesce("entity_type", F.lit("ip")).alias("entity_type"),
         _said("entity_value").alias("entity_value"),
-        F.coalesce("reason", _NO_TEXT).alias("reason"),
+        F.coalesce("reason", F.lit("")).alias("reason"),
     )
 
 
 def clean_trends(raw: DataFrame) -> DataFrame:
-    kind = F.upper(F.coalesce("kind", _NO_TEXT))
+    kind = F.upper(F.coalesce("kind", F.lit("")))
     return raw.where(
         kind.isin("NEW", "RECURRING", "ESCALATING", "RESOLVED") & (_said("text") != "")
     ).select(kind.alias("kind"), _said("text").alias("text"))
@@ -369,7 +368,7 @@ def clean_actions(raw: DataFrame) -> DataFrame:
     priority = F.coalesce(F.col("priority").cast("string").try_cast("int"), F.lit(5))
     return raw.where(_said("text") != "").select(
         priority.alias("priority"), _said("text").alias("text"),
-        F.coalesce("command", _NO_TEXT).alias("command"),
+        F.coalesce("command", F.lit("")).alias("command"),
     )
 
 

@@ -51,7 +51,7 @@ def _c(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value`` with ``value`` evaluated once, which keeps the expression short."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
@@ -94,7 +94,7 @@ def ipv6_hex(ip: Column | str) -> Column:
         return F.when(text.rlike(IPV6_PATTERN), kept)
 
     c = _c(ip)
-    return F.when(c.contains(":"), _let(c, lambda x: _let(_ipv6_text(x), digits)))
+    return F.when(c.contains(":"), bind(c, lambda x: bind(_ipv6_text(x), digits)))
 
 
 def ip_hex(ip: Column | str) -> Column:
@@ -119,7 +119,7 @@ def hex_prefix(hex_text: Column, plen: Column | int) -> Column:
             F.substr(text, F.lit(1), whole), F.when(spare == 0, F.lit("")).otherwise(masked)
         )
 
-    return _let(hex_text, leading)
+    return bind(hex_text, leading)
 
 
 def _dotted_pattern(net: ipaddress.IPv4Network) -> str:
@@ -195,7 +195,7 @@ def zone_of(ip: Column | str, zones: Sequence) -> Column:
         return F.when(hex6.isNotNull(), chain(6, lambda nets: hex_in(hex6, nets)))
 
     return F.when(is_ipv4(c), chain(4, lambda nets: dotted_in(c, nets))).when(
-        c.contains(":"), _let(ipv6_hex(c), chain6)
+        c.contains(":"), bind(ipv6_hex(c), chain6)
     )
 
 
@@ -224,7 +224,7 @@ def is_private_address(ip: Column | str) -> Column:
 
     c = _c(ip)
     answer = F.when(is_ipv4(c), dotted_in(c, SPECIAL_V4) & ~dotted_in(c, SPECIAL_V4_EXCEPT)).when(
-        c.contains(":"), _let(ipv6_hex(c), special6)
+        c.contains(":"), bind(ipv6_hex(c), special6)
     )
     return F.coalesce(answer, F.lit(False))
 

@@ -16,7 +16,7 @@ from sentrylake.operators import query as q
 from sentrylake.operators.perimeter import mass_sweep, volume_metrics
 from sentrylake.plans.registry import query
 from sentrylake.plans.tables import AS_OF, zone_sql
-from sentrylake.session import scratch_path
+from sentrylake.session import materialize, scratch_path
 from sentrylake.sources import cloudtrail, common, devices, dnslog, guardduty, lists, sinks, syslog
 from sentrylake.sources.window import Window
 from sentrylake.streaming import jobs
@@ -89,9 +89,10 @@ def lines_of(t) -> DataFrame:
         .when(k % 4 == 1, F.concat(F.date_format(ts, "yyyy-MM-dd"), F.lit("T"), F.date_format(ts, "HH:mm:ss"), F.lit(".125Z")))
         .when(k % 4 == 2, _s(F.unix_seconds(ts))).otherwise(F.date_format(ts, "yyyy-MM-dd HH:mm"))
     )
-    return t.raw("orders").select(
+    lines = t.raw("orders").select(
         _s(c % 7).alias("device"), stamp.alias("timestamp"), program.alias("program"), msg.alias("msg"), _s(k).alias("seq"), _s(k % 10).alias("level")
     )
+    return materialize(lines, "lines")
 
 
 # What each line must become.
@@ -135,7 +136,8 @@ def _(t):
 def _(t):
     line = _cat("[1.5] ", F.col("action"), " in: IN=", F.col("iface_in"), " SRC=9.9.9.9 SRC=", F.col("src_ip"), " DST=", F.col("dst_ip"), " LEN=", F.col("pkt_len"),
                 " TTL=", F.col("ttl"), " PROTO=", F.when(F.col("proto") == "tcp", "6").otherwise("UDP"), " SPT=", F.col("src_port"), " DPT=", F.col("dst_port"))
-    parsed = t.fw.select("id", syslog.firewall_line(F.lit("KERNEL"), line).alias("e"))
+    lines = materialize(t.fw.select("id", line.alias("msg")), "firewall-lines")
+    parsed = lines.select("id", syslog.first_event(syslog.firewall_rules(F.lit("KERNEL"), F.col("msg"))).alias("e"))
     return parsed.select("id", *[f"e.{c}" for c in ("action", "proto", "iface_in", "src_ip", "src_port", "dst_ip", "dst_port", "ttl", "pkt_len")])
 
 
@@ -155,28 +157,28 @@ def _(t):
 @query("s06_parse_dnsmasq_query", "", """SELECT o_orderkey::VARCHAR AS seq, '10.10.50.' || (o_custkey % 200) AS client_ip, 'AAAA' AS qtype, 'name' || (o_custkey % 90) || '.example.com' AS domain, false AS blocked
   FROM orders WHERE o_orderkey % 12 = 5 AND o_custkey % 5 <> 0""")
 def _(t):
-    rows = lines_of(t).select("seq", syslog.dns_query_line(F.upper("program"), F.col("msg")).alias("e")).where(F.col("e").isNotNull())
+    rows = lines_of(t).select("seq", syslog.first_event(syslog.dns_query_rules(F.upper("program"), F.col("msg"))).alias("e")).where(F.col("e").isNotNull())
     return rows.select("seq", "e.client_ip", "e.qtype", "e.domain", "e.blocked")
 
 
 @query("s08_parse_windows_logon", "", """SELECT o_orderkey::VARCHAR AS seq, CASE WHEN o_custkey % 3 = 0 THEN 'logon_failed' ELSE 'logon_success' END AS action, 'win' || (o_custkey % 33) AS "user",
   CASE WHEN o_custkey % 3 = 0 THEN 'network' ELSE 'rdp' END AS proto, CASE WHEN o_custkey % 3 = 0 THEN '10.10.15.7' WHEN o_custkey % 2 = 1 THEN '203.0.113.' || (o_custkey % 50) END AS src_ip FROM orders WHERE o_orderkey % 12 = 8""")
 def _(t):
-    rows = lines_of(t).select("seq", syslog.windows_logon_line(F.upper("program"), F.col("msg")).alias("e")).where(F.col("e").isNotNull())
+    rows = lines_of(t).select("seq", syslog.first_event(syslog.windows_rules(F.upper("program"), F.col("msg"))).alias("e")).where(F.col("e").isNotNull())
     return rows.select("seq", "e.action", "e.user", "e.proto", "e.src_ip")
 
 
 @query("s10_parse_openssh", "", """SELECT o_orderkey::VARCHAR AS seq, ['ssh_accepted', 'ssh_failed', 'ssh_invalid', 'session_open'][o_custkey % 5 + 1] AS action, 'acct' || (o_custkey % 40) AS "user",
   CASE WHEN o_custkey % 5 < 2 THEN o_orderkey % 60000 END AS src_port FROM orders WHERE o_orderkey % 12 = 9 AND o_custkey % 5 < 4""")
 def _(t):
-    rows = lines_of(t).select("seq", syslog.openssh_line(F.upper("program"), F.col("msg")).alias("e")).where(F.col("e").isNotNull())
+    rows = lines_of(t).select("seq", syslog.first_event(syslog.openssh_rules(F.upper("program"), F.col("msg"))).alias("e")).where(F.col("e").isNotNull())
     return rows.select("seq", "e.action", "e.user", "e.src_port")
 
 
 @query("s11_parse_dropbear", "", """SELECT o_orderkey::VARCHAR AS seq, ['ssh_accepted', 'ssh_failed', 'ssh_invalid'][o_custkey % 4 + 1] AS action, CASE WHEN o_custkey % 4 < 2 THEN 'acct' || (o_custkey % 40) END AS "user",
   '10.10.0.9' AS src_ip, o_orderkey % 60000 AS src_port FROM orders WHERE o_orderkey % 12 = 10 AND o_custkey % 4 < 3""")
 def _(t):
-    rows = lines_of(t).select("seq", syslog.dropbear_line(F.upper("program"), F.col("msg")).alias("e")).where(F.col("e").isNotNull())
+    rows = lines_of(t).select("seq", syslog.first_event(syslog.dropbear_rules(F.upper("program"), F.col("msg"))).alias("e")).where(F.col("e").isNotNull())
     return rows.select("seq", "e.action", "e.user", "e.src_ip", "e.src_port")
 
 
@@ -538,7 +540,9 @@ class _StreamTables:
 
 @query("z01_stream_normalize", "", f"""WITH {PARSED} SELECT kind, action, count(*) AS n FROM lined GROUP BY kind, action""")
 def _(t):
-    lines = lines_of(_StreamTables(t, "orders").view)
+    path = scratch_path(t.spark, "landed-lines")
+    lines_of(t).write.parquet(path)
+    lines = jobs.read_files(t.spark, path, t.spark.read.parquet(path).schema)
     events = jobs.stream_normalize(lines, t.profile).select("ts", "kind", "action", "dedup_key")
     return _appended(t, events, "stream-normalize").groupBy("kind", "action").agg(F.count("*").alias("n"))
 

@@ -81,17 +81,20 @@ def _canonical_v6(hex6: Column) -> Column:
     """Shortest text of an IPv6 address: leading zeros dropped, the longest run of zero groups
     (the first of equals, at least two) written as "::"."""
     groups = F.regexp_replace(hex6, "(.{4})(?=.)", "$1:")
-    plain = F.regexp_replace(groups, "(^|:)0{1,3}(?=[0-9a-f])", "$1")
-    text = None
-    for run in range(8, 1, -1):
-        pattern = f"^((?:[0-9a-f]+:)*?)0(?::0){{{run - 1}}}(?::([0-9a-f:]*))?$"
-        short = F.concat(
-            F.regexp_replace(F.regexp_extract(plain, pattern, 1), ":$", ""),
-            F.lit("::"),
-            F.regexp_extract(plain, pattern, 2),
-        )
-        text = (F if text is None else text).when(plain.rlike(pattern), short)
-    return text.otherwise(plain)
+
+    def shortest(plain: Column) -> Column:
+        text = None
+        for run in range(8, 1, -1):
+            pattern = f"^((?:[0-9a-f]+:)*?)0(?::0){{{run - 1}}}(?::([0-9a-f:]*))?$"
+            short = F.concat(
+                F.regexp_replace(F.regexp_extract(plain, pattern, 1), ":$", ""),
+                F.lit("::"),
+                F.regexp_extract(plain, pattern, 2),
+            )
+            text = (F if text is None else text).when(plain.rlike(pattern), short)
+        return text.otherwise(plain)
+
+    return net.bind(F.regexp_replace(groups, "(^|:)0{1,3}(?=[0-9a-f])", "$1"), shortest)
 
 
 def _canonical_v4(value: Column) -> Column:
@@ -110,14 +113,13 @@ def _canonical_network(raw: Column) -> Column:
     address = F.split_part(raw, F.lit("/"), F.lit(1))
     size = F.split_part(raw, F.lit("/"), F.lit(2))
     plen = F.when(size.rlike("^[0-9]{1,3}$"), size.try_cast("int"))
-    value, hex6 = net.ipv4_value(address), net.ipv6_hex(address)
     step = F.pow(F.lit(2).cast("double"), F.lit(32) - plen).cast("bigint")
-    v4 = F.concat(_canonical_v4(F.floor(value / step).cast("bigint") * step), F.lit("/"), plen.cast("string"))
-    v6 = F.concat(
-        _canonical_v6(F.rpad(net.hex_prefix(hex6, plen), 32, "0")), F.lit("/"), plen.cast("string")
-    )
-    return F.when(value.isNotNull() & plen.between(MIN_PREFIX_V4, 32), v4).when(
-        hex6.isNotNull() & plen.between(MIN_PREFIX_V6, 128), v6
+    low4 = F.floor(net.ipv4_value(address) / step).cast("bigint") * step
+    low6 = F.rpad(net.hex_prefix(net.ipv6_hex(address), plen), 32, "0")
+    v4 = F.concat(net.bind(low4, _canonical_v4), F.lit("/"), plen.cast("string"))
+    v6 = F.concat(_canonical_v6(low6), F.lit("/"), plen.cast("string"))
+    return F.when(net.is_ipv4(address) & plen.between(MIN_PREFIX_V4, 32), v4).when(
+        address.contains(":") & plen.between(MIN_PREFIX_V6, 128), v6
     )
 
 
@@ -135,17 +137,23 @@ def normalize_indicator(raw: Column, kind: Column) -> Column:
 def classify(rows: DataFrame, today: date) -> DataFrame:
     """List rows with their normal form and what became of them (``status``): usable, skipped
     (a type the events cannot show), invalid, expired, or blank."""
-    raw = domains.refang(F.coalesce("indicator", F.lit("")))
     declared = F.lower(F.trim("type"))
-    rows = rows.withColumn("raw", raw).withColumn("declared", declared)
-    kind = F.when(F.col("declared").isNotNull(), lookup(F.col("declared"), TYPE_NAMES)).otherwise(
-        infer_kind(F.col("raw"))
-    )
-    rows = rows.withColumn("kind", kind)
-    rows = rows.withColumn("value", normalize_indicator(F.col("raw"), F.col("kind")))
+
+    def parsed(raw: Column) -> Column:
+        kind = F.when(declared.isNotNull(), lookup(declared, TYPE_NAMES)).otherwise(infer_kind(raw))
+        return net.bind(
+            kind,
+            lambda k: F.struct(
+                raw.alias("raw"), k.alias("kind"), normalize_indicator(raw, k).alias("value")
+            ),
+        )
+
+    rows = rows.withColumn(
+        "_p", net.bind(domains.refang(F.coalesce("indicator", F.lit(""))), parsed)
+    ).select("*", "_p.*", declared.alias("declared")).drop("_p")
     tier = F.upper(F.trim("tier"))
     ranks = {t: SEVERITIES[s] for t, s in TIER_SEVERITY.items()}
-    stated = F.greatest(F.lit(0), lookup(F.upper(F.trim("severity")), SEVERITIES))
+    stated = lookup(F.upper(F.trim("severity")), {k: max(0, v) for k, v in SEVERITIES.items()})
     until = F.substring(F.trim("until"), 1, 10)
     until = F.when(until.rlike(r"^\d{4}-\d{2}-\d{2}$"), until.try_cast("date"))
     rows = rows.withColumns(

@@ -1,12 +1,13 @@
 """Landed syslog pages to events.
 
 Landing layout: ``<path>/device=<id>/*.json``, each file one page ``{total, logs: [{timestamp,
-program, msg, seq, level}]}``. Parsing is column expressions only: every parser yields a struct or
-null, and the first that is not null decides what the line becomes.
+program, msg, seq, level}]}``. Parsing is column expressions only: an ordered list of rules, of
+which the first that fits decides what a line becomes.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -120,48 +121,62 @@ def parse_timestamp(raw: Column) -> Column:
     return F.coalesce(F.timestamp_micros((number * 1_000_000).cast("bigint")), *forms)
 
 
-def _event(kind: str, **fields: Column | str) -> Column:
-    """A parsed event as a struct with every parser field."""
-    values = {"kind": F.lit(kind), **fields}
-    return F.struct(
-        *[
-            (values[n] if isinstance(values.get(n), Column) else F.lit(values.get(n))).cast(t).alias(n)
-            for n, t in _FIELDS.items()
-        ]
-    )
+@dataclass(frozen=True)
+class Rule:
+    """One line format: which lines it fits, and what fields they yield."""
+
+    name: str
+    fits: Column
+    kind: str
+    fields: dict[str, Column]
+
+    def event(self) -> Column:
+        """All fields as one struct; null for a line that does not fit."""
+        values = {"kind": F.lit(self.kind), **self.fields}
+        parts = [values.get(n, F.lit(None)).cast(t).alias(n) for n, t in _FIELDS.items()]
+        return F.when(self.fits, F.struct(*parts))
+
+
+def first_event(rules: list[Rule]) -> Column:
+    """The event of the first rule that fits."""
+    return F.coalesce(*[r.event() for r in rules])
 
 
 def _int(text: Column) -> Column:
     return text.try_cast("int")
 
 
-def firewall_line(program: Column, msg: Column) -> Column:
+def firewall_rules(program: Column, msg: Column) -> list[Rule]:
     """Kernel packet line; a repeated field counts with its last value."""
     value = lambda name: last_match(msg, rf"\b{name}=(\S*)")
-    event = _event(
-        "firewall",
-        action=F.lower(F.regexp_extract(msg, FIREWALL_ACTION, 1)),
-        proto=normalize_protocol(value("PROTO")),
-        iface_in=value("IN"),
-        iface_out=value("OUT"),
-        src_ip=value("SRC"),
-        dst_ip=value("DST"),
-        src_port=_int(value("SPT")),
-        dst_port=_int(value("DPT")),
-        ttl=_int(value("TTL")),
-        pkt_len=_int(value("LEN")),
-    )
-    return F.when((program == "KERNEL") & msg.rlike(FIREWALL_ACTION), event)
+    fields = {
+        "action": F.lower(F.regexp_extract(msg, FIREWALL_ACTION, 1)),
+        "proto": normalize_protocol(value("PROTO")),
+        "iface_in": value("IN"),
+        "iface_out": value("OUT"),
+        "src_ip": value("SRC"),
+        "dst_ip": value("DST"),
+        "src_port": _int(value("SPT")),
+        "dst_port": _int(value("DPT")),
+        "ttl": _int(value("TTL")),
+        "pkt_len": _int(value("LEN")),
+    }
+    fits = (program == "KERNEL") & msg.rlike(FIREWALL_ACTION)
+    return [Rule("firewall", fits, "firewall", fields)]
 
 
-def vpn_line(program: Column) -> Column:
-    return F.when(program.startswith("VPNSERVER") | program.isin("OPENVPN", "PPTPD"), _event("auth"))
+def vpn_rules(program: Column) -> list[Rule]:
+    fits = program.startswith("VPNSERVER") | program.isin("OPENVPN", "PPTPD")
+    return [Rule("vpn", fits, "auth", {})]
 
 
-def deauth_line(program: Column, msg: Column) -> Column:
-    mac = F.lower(first_match(msg, rf"\b({MAC})\b"))
-    hit = program.isin("WLCEVENTD", "HOSTAPD") & F.lower(msg).contains("deauth") & mac.isNotNull()
-    return F.when(hit, _event("auth", action="deauth", user=mac))
+def deauth_rules(program: Column, msg: Column) -> list[Rule]:
+    mac = rf"\b({MAC})\b"
+    fits = (
+        program.isin("WLCEVENTD", "HOSTAPD") & F.lower(msg).contains("deauth") & msg.rlike(mac)
+    )
+    fields = {"action": F.lit("deauth"), "user": F.lower(F.regexp_extract(msg, mac, 1))}
+    return [Rule("deauth", fits, "auth", fields)]
 
 
 def dhcp_lease(msg: Column) -> dict[str, Column]:
@@ -180,43 +195,40 @@ def dhcp_lease(msg: Column) -> dict[str, Column]:
     }
 
 
-def dhcp_line(program: Column, msg: Column) -> Column:
+def dhcp_rules(program: Column, msg: Column) -> list[Rule]:
     lease = dhcp_lease(msg)
-    hit = (program == "DNSMASQ-DHCP") & lease["verb"].isNotNull() & lease["mac"].isNotNull()
-    return F.when(
-        hit, _event("system", action=F.lower(lease["verb"]), user=lease["mac"], src_ip=lease["ip"])
-    )
+    fits = (program == "DNSMASQ-DHCP") & lease["verb"].isNotNull() & lease["mac"].isNotNull()
+    fields = {"action": F.lower(lease["verb"]), "user": lease["mac"], "src_ip": lease["ip"]}
+    return [Rule("dhcp", fits, "system", fields)]
 
 
-def dns_query_line(program: Column, msg: Column) -> Column:
+def dns_query_rules(program: Column, msg: Column) -> list[Rule]:
     """A client's lookup; the resolver's own start-up test is not one, nor is any answer line."""
     line = F.trim(msg)
-    client = first_match(line, DNS_QUERY_LINE)
-    hit = (program == "DNSMASQ") & client.isNotNull() & (client != "127.0.0.1")
-    return F.when(
-        hit,
-        _event(
-            "dns", client_ip=client, qtype=first_match(line, DNS_QUERY_LINE, 2),
-            domain=first_match(line, DNS_QUERY_LINE, 3), blocked=F.lit(False),
-        ),
-    )
+    part = lambda i: F.regexp_extract(line, DNS_QUERY_LINE, i)
+    fits = (program == "DNSMASQ") & line.rlike(DNS_QUERY_LINE) & (part(1) != "127.0.0.1")
+    fields = {
+        "client_ip": part(1), "qtype": part(2), "domain": part(3), "blocked": F.lit(False),
+    }
+    return [Rule("dns_query", fits, "dns", fields)]
 
 
-def admin_login_line(program: Column, msg: Column) -> Column:
+def admin_login_rules(program: Column, msg: Column) -> list[Rule]:
     """Web login on a router, in either of two formats."""
     line = F.trim(msg)
     outcome = lambda won: F.when(won, "web_login_success").otherwise("web_login_failed")
-    luci, web = first_match(line, LUCI_LOGIN), first_match(line, WEB_LOGIN)
-    first = _event(
-        "auth", action=outcome(F.lower(luci) == "accepted"),
-        user=first_match(line, LUCI_LOGIN, 2), src_ip=first_match(line, LUCI_LOGIN, 3),
-    )
-    second = _event(
-        "auth", action=outcome(F.lower(web).startswith("success")), src_ip=first_match(line, WEB_LOGIN, 2)
-    )
-    return F.when((program == "UHTTPD") & luci.isNotNull(), first).when(
-        (program == "HTTPD") & web.isNotNull(), second
-    )
+    luci = lambda i: F.regexp_extract(line, LUCI_LOGIN, i)
+    web = lambda i: F.regexp_extract(line, WEB_LOGIN, i)
+    return [
+        Rule(
+            "luci", (program == "UHTTPD") & line.rlike(LUCI_LOGIN), "auth",
+            {"action": outcome(F.lower(luci(1)) == "accepted"), "user": luci(2), "src_ip": luci(3)},
+        ),
+        Rule(
+            "web", (program == "HTTPD") & line.rlike(WEB_LOGIN), "auth",
+            {"action": outcome(F.lower(web(1)).startswith("success")), "src_ip": web(2)},
+        ),
+    ]
 
 
 def windows_field(section: Column, label: str) -> Column:
@@ -237,120 +249,146 @@ def windows_account(msg: Column, sections: tuple[str, ...]) -> Column:
     return F.coalesce(*names)
 
 
-def windows_logon_line(program: Column, msg: Column) -> Column:
-    action = account = None
-    for sentence, name, sections in WINDOWS_EVENTS:
-        test = msg.startswith(sentence)
-        action = (F if action is None else action).when(test, F.lit(name))
-        account = (F if account is None else account).when(test, windows_account(msg, sections))
-    event = _event(
-        "auth",
-        action=action,
-        user=account,
-        proto=lookup(windows_field(msg, "Logon Type"), WINDOWS_LOGON_TYPES),
-        src_ip=windows_field(msg, "Source Network Address"),
-    )
-    hit = program.startswith("MICROSOFT-WINDOWS-SECURITY-AUDIT")
-    return F.when(hit & reduce(lambda a, b: a | b, [msg.startswith(s) for s, _, _ in WINDOWS_EVENTS]), event)
-
-
-def defender_line(program: Column, msg: Column) -> Column:
-    hit = program.startswith("MICROSOFT-WINDOWS-WINDOWS_DEFEND") & msg.startswith(DEFENDER_PREFIX)
-    return F.when(hit, _event("ids", action="detection"))
-
-
-def openssh_line(program: Column, msg: Column) -> Column:
-    def outcome(pattern: str, action: str) -> Column:
-        method = F.regexp_extract(msg, pattern, 1)
-        return F.when(
-            msg.rlike(pattern),
-            _event(
-                "auth", action=action,
-                proto=F.coalesce(lookup(method, SSH_METHODS), F.substring(method, 1, 16)),
-                user=F.regexp_extract(msg, pattern, 2), src_ip=F.regexp_extract(msg, pattern, 3),
-                src_port=_int(F.regexp_extract(msg, pattern, 4)),
-            ),
+def windows_rules(program: Column, msg: Column) -> list[Rule]:
+    """Logon events, one rule per leading sentence."""
+    mine = program.startswith("MICROSOFT-WINDOWS-SECURITY-AUDIT")
+    shared = {
+        "proto": lookup(windows_field(msg, "Logon Type"), WINDOWS_LOGON_TYPES),
+        "src_ip": windows_field(msg, "Source Network Address"),
+    }
+    return [
+        Rule(
+            f"windows_{action}", mine & msg.startswith(sentence), "auth",
+            {"action": F.lit(action), "user": windows_account(msg, sections), **shared},
         )
+        for sentence, action, sections in WINDOWS_EVENTS
+    ]
 
-    invalid = _event(
-        "auth", action="ssh_invalid", user=F.regexp_extract(msg, SSH_INVALID, 1),
-        src_ip=F.regexp_extract(msg, SSH_INVALID, 2),
-    )
-    opened = _event("auth", action="session_open", user=F.regexp_extract(msg, SSH_OPEN, 1))
-    closed = _event("auth", action="session_close", user=F.regexp_extract(msg, SSH_CLOSE, 1))
-    parsed = F.coalesce(
-        outcome(SSH_ACCEPTED, "ssh_accepted"),
-        outcome(SSH_FAILED, "ssh_failed"),
-        F.when(msg.rlike(SSH_INVALID), invalid),
-        F.when(msg.rlike(SSH_OPEN), opened),
-        F.when(msg.rlike(SSH_CLOSE), closed),
-    )
-    return F.when(program.startswith("SSHD"), parsed)
-
-
-def dropbear_line(program: Column, msg: Column) -> Column:
-    def outcome(pattern: str, action: str) -> Column:
-        return F.when(
-            msg.rlike(pattern),
-            _event(
-                "auth", action=action, user=F.regexp_extract(msg, pattern, 1),
-                src_ip=F.regexp_extract(msg, pattern, 2),
-                src_port=_int(F.regexp_extract(msg, pattern, 3)),
-            ),
-        )
 
-    who = F.regexp_extract(msg, DROPBEAR_MAX_TRIES, 3)
-    unknown = who == "is invalid"
-    tries = _event(
-        "auth",
-        action=F.when(unknown, "ssh_invalid").otherwise("ssh_failed"),
-        user=F.when(~unknown, who),
-        src_ip=F.regexp_extract(msg, DROPBEAR_MAX_TRIES, 1),
-        src_port=_int(F.regexp_extract(msg, DROPBEAR_MAX_TRIES, 2)),
-    )
-    parsed = F.coalesce(
-        outcome(DROPBEAR_ACCEPTED, "ssh_accepted"),
-        outcome(DROPBEAR_BAD_PASSWORD, "ssh_failed"),
-        F.when(msg.rlike(DROPBEAR_MAX_TRIES), tries),
-    )
-    return F.when(program == "DROPBEAR", parsed)
-
-
-def parse_line(program: Column, msg: Column) -> Column:
-    """The event a line stands for; a line no parser knows is a plain system event."""
-    return F.coalesce(
-        firewall_line(program, msg),
-        vpn_line(program),
-        deauth_line(program, msg),
-        dhcp_line(program, msg),
-        dns_query_line(program, msg),
-        admin_login_line(program, msg),
-        windows_logon_line(program, msg),
-        defender_line(program, msg),
-        openssh_line(program, msg),
-        dropbear_line(program, msg),
-        _event("system"),
+def defender_rules(program: Column, msg: Column) -> list[Rule]:
+    fits = program.startswith("MICROSOFT-WINDOWS-WINDOWS_DEFEND") & msg.startswith(DEFENDER_PREFIX)
+    return [Rule("defender", fits, "ids", {"action": F.lit("detection")})]
+
+
+def openssh_rules(program: Column, msg: Column) -> list[Rule]:
+    mine = program.startswith("SSHD")
+    part = lambda pattern, i: F.regexp_extract(msg, pattern, i)
+
+    def outcome(name: str, pattern: str) -> Rule:
+        method = part(pattern, 1)
+        fields = {
+            "action": F.lit(name),
+            "proto": F.coalesce(lookup(method, SSH_METHODS), F.substring(method, 1, 16)),
+            "user": part(pattern, 2),
+            "src_ip": part(pattern, 3),
+            "src_port": _int(part(pattern, 4)),
+        }
+        return Rule(name, mine & msg.rlike(pattern), "auth", fields)
+
+    def named(name: str, pattern: str, **more: Column) -> Rule:
+        fields = {"action": F.lit(name), "user": part(pattern, 1), **more}
+        return Rule(name, mine & msg.rlike(pattern), "auth", fields)
+
+    return [
+        outcome("ssh_accepted", SSH_ACCEPTED),
+        outcome("ssh_failed", SSH_FAILED),
+        named("ssh_invalid", SSH_INVALID, src_ip=part(SSH_INVALID, 2)),
+        named("session_open", SSH_OPEN),
+        named("session_close", SSH_CLOSE),
+    ]
+
+
+def dropbear_rules(program: Column, msg: Column) -> list[Rule]:
+    mine = program == "DROPBEAR"
+    part = lambda pattern, i: F.regexp_extract(msg, pattern, i)
+
+    def outcome(name: str, pattern: str) -> Rule:
+        fields = {
+            "action": F.lit(name), "user": part(pattern, 1), "src_ip": part(pattern, 2),
+            "src_port": _int(part(pattern, 3)),
+        }
+        return Rule(f"dropbear_{name}", mine & msg.rlike(pattern), "auth", fields)
+
+    unknown = part(DROPBEAR_MAX_TRIES, 3) == "is invalid"
+    tries = {
+        "action": F.when(unknown, "ssh_invalid").otherwise("ssh_failed"),
+        "user": F.when(~unknown, part(DROPBEAR_MAX_TRIES, 3)),
+        "src_ip": part(DROPBEAR_MAX_TRIES, 1),
+        "src_port": _int(part(DROPBEAR_MAX_TRIES, 2)),
+    }
+    return [
+        outcome("ssh_accepted", DROPBEAR_ACCEPTED),
+        outcome("ssh_failed", DROPBEAR_BAD_PASSWORD),
+        Rule("dropbear_tries", mine & msg.rlike(DROPBEAR_MAX_TRIES), "auth", tries),
+    ]
+
+
+def line_rules(program: Column, msg: Column) -> list[Rule]:
+    """All rules in the order in which they are tried."""
+    return [
+        *firewall_rules(program, msg),
+        *vpn_rules(program),
+        *deauth_rules(program, msg),
+        *dhcp_rules(program, msg),
+        *dns_query_rules(program, msg),
+        *admin_login_rules(program, msg),
+        *windows_rules(program, msg),
+        *defender_rules(program, msg),
+        *openssh_rules(program, msg),
+        *dropbear_rules(program, msg),
+    ]
+
+
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """Lines (``program`` in upper case, ``msg``) with the event fields they stand for.
+
+    The first projection names the rule a line fits, the second reads each field by that name, so a
+    test runs once per line and a field that nobody asks for is never extracted. A line no rule
+    knows is a plain system event.
+    """
+    rules = line_rules(F.col("program"), F.col("msg"))
+    tag = reduce(lambda chain, r: chain.when(r.fits, r.name), rules[1:], F.when(rules[0].fits, rules[0].name))
+    tagged = lines.withColumn("_rule", F.coalesce(tag, F.lit("")))
+
+    def field(name: str, kind: str) -> Column:
+        chain = None
+        for r in rules:
+            value = F.lit(r.kind) if name == "kind" else r.fields.get(name)
+            if value is not None:
+                chain = (F if chain is None else chain).when(F.col("_rule") == r.name, value)
+        if chain is None:
+            return F.lit(None).cast(kind)
+        return (chain.otherwise("system") if name == "kind" else chain).cast(kind)
+
+    return tagged.select(
+        *lines.columns, *[field(n, k).alias(n) for n, k in _FIELDS.items()]
     )
 
 
 def normalize_syslog(lines: DataFrame, profile: Profile, source: str = SOURCE) -> DataFrame:
     """Events of landed lines (``device, timestamp, program, msg, seq, level``), undated lines
     dropped. Ingest order columns (``file, pos``) are kept when present."""
-    program = F.upper(F.coalesce("program", F.lit("")))
-    msg = F.coalesce("msg", F.lit(""))
     order = [c for c in ("file", "pos") if c in lines.columns]
-    rows = lines.select(
+    msg = F.coalesce("msg", F.lit(""))
+    clean = lines.select(
         parse_timestamp(F.col("timestamp")).alias("ts"),
-        F.lit(source).alias("source"),
-        dedup_key(source, F.col("device"), F.col("seq"), F.col("timestamp"), F.substring(msg, 1, 80)).alias("dedup_key"),
+        dedup_key(
+            source, F.col("device"), F.col("seq"), F.col("timestamp"), F.substring(msg, 1, 80)
+        ).alias("dedup_key"),
         F.col("device").cast("string").alias("device"),
-        F.nullif(program, F.lit("")).alias("program"),
+        F.upper(F.coalesce("program", F.lit(""))).alias("program"),
         syslog_severity("level").alias("severity"),
-        F.nullif(F.substring(msg, 1, 2000), F.lit("")).alias("message"),
-        parse_line(program, msg).alias("e"),
+        msg.alias("msg"),
         *order,
     ).where(F.col("ts").isNotNull())
-    flat = assign_zones(rows.select(*[c for c in rows.columns if c != "e"], "e.*"), profile)
+    rows = parse_lines(clean).withColumns(
+        {
+            "source": F.lit(source),
+            "program": F.nullif("program", F.lit("")),
+            "message": F.nullif(F.substring("msg", 1, 2000), F.lit("")),
+        }
+    )
+    flat = assign_zones(rows, profile)
     keep = T.StructType([*EVENT_SCHEMA.fields, *[flat.schema[c] for c in order]])
     return conform(flat, keep)
 

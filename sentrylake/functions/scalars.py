@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sentrylake.functions.net import bind
 from sentrylake.schema import SEVERITIES
 
 # IP protocol numbers that some firmware logs instead of names.
@@ -50,8 +51,11 @@ def dedup_key(source: Column | str, *parts: Column) -> Column:
 
 def normalize_protocol(proto: Column | str) -> Column:
     """Protocol name in lower case, numbers translated, empty text as null."""
-    text = F.lower(_c(proto))
-    return F.nullif(F.coalesce(lookup(text, PROTOCOL_NAMES), text), F.lit(""))
+
+    def name(text: Column) -> Column:
+        return F.when(text != "", F.coalesce(lookup(text, PROTOCOL_NAMES), text))
+
+    return bind(F.lower(_c(proto)), name)
 
 
 def syslog_severity(level: Column | str) -> Column:

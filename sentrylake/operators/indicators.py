@@ -12,6 +12,7 @@ from sentrylake.operators import query as q
 from sentrylake.operators.signals import as_signals, distinct_lists, entities_of, join_lists, text
 from sentrylake.profile import Profile
 from sentrylake.schema import LOW
+from sentrylake.session import materialize
 
 ANALYZER = "ioc_match"
 LISTED = 10
@@ -55,8 +56,12 @@ def ip_activity(events: DataFrame, indicators: DataFrame) -> DataFrame:
 
 
 def ip_match(events: DataFrame, indicators: DataFrame, profile: Profile) -> DataFrame:
-    """One signal per listed address or network that appears in traffic."""
-    activity = ip_activity(events, indicators)
+    """One signal per listed address or network that appears in traffic.
+
+    Totals, ports and address lists all come from the matched activity. That is a small part of the
+    traffic, so it is written once and read three times rather than scanning the events again.
+    """
+    activity = materialize(ip_activity(events, indicators), "ioc-activity")
     hits, inbound = F.col("hits"), F.col("inbound")
     allowed = is_allowed_action("action")
     total = lambda test: F.coalesce(F.sum(F.when(test, hits)), F.lit(0))

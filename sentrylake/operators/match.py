@@ -20,12 +20,22 @@ def _indicator_columns(indicators: DataFrame) -> list:
     return [F.col("value").alias("indicator"), F.col("kind"), *have]
 
 
+def _keyed(values: DataFrame, name: str) -> DataFrame:
+    """Distinct values with their address key.
+
+    The key passes through an explode of one element, below which no filter on it can be pushed:
+    without that, the null test of the join would parse every row instead of every distinct value.
+    """
+    distinct = values.select("value").distinct()
+    return distinct.withColumn(name, F.explode(F.array(net.ip_hex("value"))))
+
+
 def match_exact_ips(values: DataFrame, indicators: DataFrame) -> DataFrame:
     """Addresses (column ``value``) that equal an ``ip`` indicator, whatever their spelling."""
     listed = indicators.where(F.col("kind") == "ip").select(
         *_indicator_columns(indicators), net.ip_hex("value").alias("_key")
     )
-    seen = values.select("value").distinct().withColumn("_key", net.ip_hex("value"))
+    seen = _keyed(values, "_key")
     return seen.join(listed.where(F.col("_key").isNotNull()), "_key").drop("_key")
 
 
@@ -50,10 +60,7 @@ def match_networks(values: DataFrame, indicators: DataFrame) -> DataFrame:
     )
     lengths = nets.select(F.collect_set(F.struct("_digits", "_plen")).alias("lens")).scalar()
     keyed = (
-        values.select("value")
-        .distinct()
-        .withColumn("_hex", net.ip_hex("value"))
-        .where(F.col("_hex").isNotNull())
+        _keyed(values, "_hex")
         .withColumn("_len", F.explode(lengths))
         .where(F.col("_len._digits") == F.length("_hex"))
         .select(

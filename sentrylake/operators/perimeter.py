@@ -178,22 +178,23 @@ def source_shapes(events: DataFrame, **filters) -> DataFrame:
             F.max("ttl").alias("hi"),
         )
     )
-    rank = F.when(F.col("dst_port").isNotNull(), F.struct("n", -F.col("dst_port")))
+    best = F.col("_best")
     return (
         per_port.groupBy("src_ip")
         .agg(
             F.sum("n").alias("hits"),
             F.sum("back").alias("return_hits"),
             F.count("dst_port").alias("distinct_dst_ports"),
-            F.max_by("dst_port", rank).alias("top_port"),
-            F.max(F.when(F.col("dst_port").isNotNull(), F.col("n"))).alias("top_port_hits"),
+            F.max(series.packed_rank("n", "dst_port")).alias("_best"),
             F.min("first_ts").alias("first_seen"),
             F.max("last_ts").alias("last_seen"),
             F.min("lo").alias("ttl_min"),
             F.max("hi").alias("ttl_max"),
         )
+        .withColumns({"top_port": series.packed_port(best), "top_port_hits": series.packed_hits(best)})
         .withColumn("duration_hours", F.round(q.hours_between("first_seen", "last_seen"), 2))
         .withColumn("port_concentration", F.col("top_port_hits") / F.col("hits"))
+        .drop("_best")
     )
 
 

@@ -218,12 +218,32 @@ def ttl_ladders(
     )
 
 
+_PORTS = 1 << 17
+
+
+def packed_rank(hits: str, port: str) -> Column:
+    """Hits and port as one integer that orders by hits, then by lower port.
+
+    A maximum over integers stays a hash aggregate; over a struct it would need sorted input.
+    """
+    return F.col(hits) * _PORTS + (F.lit(_PORTS - 1) - F.col(port))
+
+
+def packed_port(rank: Column) -> Column:
+    return (F.lit(_PORTS - 1) - rank % _PORTS).cast("int")
+
+
+def packed_hits(rank: Column) -> Column:
+    return F.shiftright(rank, 17)
+
+
 def port_concentration(events: DataFrame, **filters) -> DataFrame:
     """Per source: most used destination port, its hits, all hits, and its share of them."""
     ports = q.source_ports(events, **filters)
-    best = ports.groupBy("src_ip").agg(
-        F.max_by("dst_port", F.struct("n", -F.col("dst_port"))).alias("top_port"),
-        F.max("n").alias("top_port_hits"),
+    ranked = ports.groupBy("src_ip").agg(F.max(packed_rank("n", "dst_port")).alias("_best"))
+    rank = F.col("_best")
+    best = ranked.select(
+        "src_ip", packed_port(rank).alias("top_port"), packed_hits(rank).alias("top_port_hits")
     )
     hits = q.top(events, "src_ip", None, **filters).select(
         F.col("value").alias("src_ip"), F.col("n").alias("hits")

@@ -117,6 +117,10 @@ lined AS (SELECT k, device, ts, ['emerg','alert','crit','err','warning','notice'
 _MINUTE = "CASE WHEN k % 4 = 3 THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END"
 
 
+def _parsed(t) -> DataFrame:
+    return syslog.parse_lines(lines_of(t).withColumn("program", F.upper("program")))
+
+
 def _events(t) -> DataFrame:
     return syslog.normalize_syslog(lines_of(t), t.profile)
 
@@ -136,9 +140,8 @@ def _(t):
 def _(t):
     line = _cat("[1.5] ", F.col("action"), " in: IN=", F.col("iface_in"), " SRC=9.9.9.9 SRC=", F.col("src_ip"), " DST=", F.col("dst_ip"), " LEN=", F.col("pkt_len"),
                 " TTL=", F.col("ttl"), " PROTO=", F.when(F.col("proto") == "tcp", "6").otherwise("UDP"), " SPT=", F.col("src_port"), " DPT=", F.col("dst_port"))
-    lines = materialize(t.fw.select("id", line.alias("msg")), "firewall-lines")
-    parsed = lines.select("id", syslog.first_event(syslog.firewall_rules(F.lit("KERNEL"), F.col("msg"))).alias("e"))
-    return parsed.select("id", *[f"e.{c}" for c in ("action", "proto", "iface_in", "src_ip", "src_port", "dst_ip", "dst_port", "ttl", "pkt_len")])
+    lines = materialize(t.fw.select("id", F.lit("KERNEL").alias("program"), line.alias("msg")), "firewall-lines")
+    return syslog.parse_lines(lines).select("id", "action", "proto", "iface_in", "src_ip", "src_port", "dst_ip", "dst_port", "ttl", "pkt_len")
 
 
 @query("s04_normalize_protocol", "", """SELECT p_partkey, coalesce(['icmp', 'igmp', 'tcp', 'udp', 'gre', 'esp', 'icmpv6', 'ospf', 'tcp', '99', NULL][p_partkey % 11 + 1], NULL) AS proto FROM part""")
@@ -157,29 +160,25 @@ def _(t):
 @query("s06_parse_dnsmasq_query", "", """SELECT o_orderkey::VARCHAR AS seq, '10.10.50.' || (o_custkey % 200) AS client_ip, 'AAAA' AS qtype, 'name' || (o_custkey % 90) || '.example.com' AS domain, false AS blocked
   FROM orders WHERE o_orderkey % 12 = 5 AND o_custkey % 5 <> 0""")
 def _(t):
-    rows = lines_of(t).select("seq", syslog.first_event(syslog.dns_query_rules(F.upper("program"), F.col("msg"))).alias("e")).where(F.col("e").isNotNull())
-    return rows.select("seq", "e.client_ip", "e.qtype", "e.domain", "e.blocked")
+    return _parsed(t).where("kind = 'dns'").select("seq", "client_ip", "qtype", "domain", "blocked")
 
 
 @query("s08_parse_windows_logon", "", """SELECT o_orderkey::VARCHAR AS seq, CASE WHEN o_custkey % 3 = 0 THEN 'logon_failed' ELSE 'logon_success' END AS action, 'win' || (o_custkey % 33) AS "user",
   CASE WHEN o_custkey % 3 = 0 THEN 'network' ELSE 'rdp' END AS proto, CASE WHEN o_custkey % 3 = 0 THEN '10.10.15.7' WHEN o_custkey % 2 = 1 THEN '203.0.113.' || (o_custkey % 50) END AS src_ip FROM orders WHERE o_orderkey % 12 = 8""")
 def _(t):
-    rows = lines_of(t).select("seq", syslog.first_event(syslog.windows_rules(F.upper("program"), F.col("msg"))).alias("e")).where(F.col("e").isNotNull())
-    return rows.select("seq", "e.action", "e.user", "e.proto", "e.src_ip")
+    return _parsed(t).where("program like 'MICROSOFT%' and kind = 'auth'").select("seq", "action", "user", "proto", "src_ip")
 
 
 @query("s10_parse_openssh", "", """SELECT o_orderkey::VARCHAR AS seq, ['ssh_accepted', 'ssh_failed', 'ssh_invalid', 'session_open'][o_custkey % 5 + 1] AS action, 'acct' || (o_custkey % 40) AS "user",
   CASE WHEN o_custkey % 5 < 2 THEN o_orderkey % 60000 END AS src_port FROM orders WHERE o_orderkey % 12 = 9 AND o_custkey % 5 < 4""")
 def _(t):
-    rows = lines_of(t).select("seq", syslog.first_event(syslog.openssh_rules(F.upper("program"), F.col("msg"))).alias("e")).where(F.col("e").isNotNull())
-    return rows.select("seq", "e.action", "e.user", "e.src_port")
+    return _parsed(t).where("program like 'SSHD%' and kind = 'auth'").select("seq", "action", "user", "src_port")
 
 
 @query("s11_parse_dropbear", "", """SELECT o_orderkey::VARCHAR AS seq, ['ssh_accepted', 'ssh_failed', 'ssh_invalid'][o_custkey % 4 + 1] AS action, CASE WHEN o_custkey % 4 < 2 THEN 'acct' || (o_custkey % 40) END AS "user",
   '10.10.0.9' AS src_ip, o_orderkey % 60000 AS src_port FROM orders WHERE o_orderkey % 12 = 10 AND o_custkey % 4 < 3""")
 def _(t):
-    rows = lines_of(t).select("seq", syslog.first_event(syslog.dropbear_rules(F.upper("program"), F.col("msg"))).alias("e")).where(F.col("e").isNotNull())
-    return rows.select("seq", "e.action", "e.user", "e.src_ip", "e.src_port")
+    return _parsed(t).where("program = 'DROPBEAR' and kind = 'auth'").select("seq", "action", "user", "src_ip", "src_port")
 
 
 @query("s13_parse_timestamp", "", """SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 7 THEN NULL WHEN o_orderkey % 4 = 3 THEN date_trunc('minute', o_orderdate) ELSE date_trunc('second', o_orderdate) END AS ts,

@@ -39,13 +39,6 @@ def dedup_events(
     )
 
 
-def last_match(text: Column, pattern: str) -> Column:
-    """First group of the last occurrence of a pattern; null when absent or empty."""
-    return F.nullif(
-        F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(-1)), F.lit("")
-    )
-
-
 def first_match(text: Column, pattern: str, group: int = 1) -> Column:
     """A group of the first occurrence of a pattern; null when absent or empty."""
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))

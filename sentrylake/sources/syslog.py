@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sentrylake.functions.net import bind
 from sentrylake.functions.scalars import (
     dedup_key,
     lookup,
@@ -22,7 +23,7 @@ from sentrylake.functions.scalars import (
 )
 from sentrylake.profile import Profile
 from sentrylake.schema import EVENT_SCHEMA, conform, conform_events
-from sentrylake.sources.common import assign_zones, dedup_events, first_match, last_match
+from sentrylake.sources.common import assign_zones, dedup_events, first_match
 
 SOURCE = "syslog"
 
@@ -33,6 +34,7 @@ PAGE_SCHEMA = (
 
 # Line formats of the supported programs.
 FIREWALL_ACTION = r"(?i)^\s*(?:\[[^\]]*\]\s*)?(DROP|ACCEPT|REJECT)\b"
+FIREWALL_FIELD = r"\b(IN|OUT|SRC|DST|LEN|TTL|PROTO|SPT|DPT|MAC)=(\S*)"
 MAC = r"[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}"
 IPV4 = r"\d{1,3}(?:\.\d{1,3}){3}"
 DHCP_LINE = r"^(DHCPACK|DHCPREQUEST|DHCPOFFER|DHCPDISCOVER|DHCPRELEASE|DHCPINFORM)\([^)]*\)\s*(.*)$"
@@ -130,25 +132,23 @@ class Rule:
     kind: str
     fields: dict[str, Column]
 
-    def event(self) -> Column:
-        """All fields as one struct; null for a line that does not fit."""
-        values = {"kind": F.lit(self.kind), **self.fields}
-        parts = [values.get(n, F.lit(None)).cast(t).alias(n) for n, t in _FIELDS.items()]
-        return F.when(self.fits, F.struct(*parts))
 
+def _int(text: Column) -> Column:
+    return text.try_cast("int")
 
-def first_event(rules: list[Rule]) -> Column:
-    """The event of the first rule that fits."""
-    return F.coalesce(*[r.event() for r in rules])
 
+def is_firewall_line(program: Column, msg: Column) -> Column:
+    return (program == "KERNEL") & msg.rlike(FIREWALL_ACTION)
 
-def _int(text: Column) -> Column:
-    return text.try_cast("int")
 
+def firewall_rules(program: Column, msg: Column, names: Column, values: Column) -> list[Rule]:
+    """Kernel packet line; ``names`` and ``values`` are its KEY=VALUE parts from last to first, so
+    that a repeated field counts with its last value."""
+
+    def value(name: str) -> Column:
+        at = F.array_position(names, name).cast("int")
+        return F.nullif(F.when(at > 0, F.get(values, at - 1)), F.lit(""))
 
-def firewall_rules(program: Column, msg: Column) -> list[Rule]:
-    """Kernel packet line; a repeated field counts with its last value."""
-    value = lambda name: last_match(msg, rf"\b{name}=(\S*)")
     fields = {
         "action": F.lower(F.regexp_extract(msg, FIREWALL_ACTION, 1)),
         "proto": normalize_protocol(value("PROTO")),
@@ -161,8 +161,7 @@ def firewall_rules(program: Column, msg: Column) -> list[Rule]:
         "ttl": _int(value("TTL")),
         "pkt_len": _int(value("LEN")),
     }
-    fits = (program == "KERNEL") & msg.rlike(FIREWALL_ACTION)
-    return [Rule("firewall", fits, "firewall", fields)]
+    return [Rule("firewall", is_firewall_line(program, msg), "firewall", fields)]
 
 
 def vpn_rules(program: Column) -> list[Rule]:
@@ -234,7 +233,8 @@ def admin_login_rules(program: Column, msg: Column) -> list[Rule]:
 def windows_field(section: Column, label: str) -> Column:
     """A labelled value of a rendered audit event; "-" stands for no value."""
     pattern = label + r":(?:\\011)+\s*(\S.*?)(?=\s{2,}\S|\z)"
-    return F.nullif(F.nullif(F.trim(F.regexp_extract(section, pattern, 1)), F.lit("")), F.lit("-"))
+    found = F.trim(F.regexp_extract(section, pattern, 1))
+    return bind(found, lambda v: F.when(~v.isin("", "-"), v))
 
 
 def windows_account(msg: Column, sections: tuple[str, ...]) -> Column:
@@ -253,7 +253,9 @@ def windows_rules(program: Column, msg: Column) -> list[Rule]:
     """Logon events, one rule per leading sentence."""
     mine = program.startswith("MICROSOFT-WINDOWS-SECURITY-AUDIT")
     shared = {
-        "proto": lookup(windows_field(msg, "Logon Type"), WINDOWS_LOGON_TYPES),
+        "proto": bind(
+            windows_field(msg, "Logon Type"), lambda v: lookup(v, WINDOWS_LOGON_TYPES)
+        ),
         "src_ip": windows_field(msg, "Source Network Address"),
     }
     return [
@@ -275,10 +277,12 @@ def openssh_rules(program: Column, msg: Column) -> list[Rule]:
     part = lambda pattern, i: F.regexp_extract(msg, pattern, i)
 
     def outcome(name: str, pattern: str) -> Rule:
-        method = part(pattern, 1)
         fields = {
             "action": F.lit(name),
-            "proto": F.coalesce(lookup(method, SSH_METHODS), F.substring(method, 1, 16)),
+            "proto": bind(
+                part(pattern, 1),
+                lambda m: F.coalesce(lookup(m, SSH_METHODS), F.substring(m, 1, 16)),
+            ),
             "user": part(pattern, 2),
             "src_ip": part(pattern, 3),
             "src_port": _int(part(pattern, 4)),
@@ -323,10 +327,10 @@ def dropbear_rules(program: Column, msg: Column) -> list[Rule]:
     ]
 
 
-def line_rules(program: Column, msg: Column) -> list[Rule]:
+def line_rules(program: Column, msg: Column, names: Column, values: Column) -> list[Rule]:
     """All rules in the order in which they are tried."""
     return [
-        *firewall_rules(program, msg),
+        *firewall_rules(program, msg, names, values),
         *vpn_rules(program),
         *deauth_rules(program, msg),
         *dhcp_rules(program, msg),
@@ -346,9 +350,15 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     test runs once per line and a field that nobody asks for is never extracted. A line no rule
     knows is a plain system event.
     """
-    rules = line_rules(F.col("program"), F.col("msg"))
+    packet = is_firewall_line(F.col("program"), F.col("msg"))
+    parts = lambda group: F.when(
+        packet, F.reverse(F.regexp_extract_all("msg", F.lit(FIREWALL_FIELD), F.lit(group)))
+    )
+    rules = line_rules(F.col("program"), F.col("msg"), F.col("_names"), F.col("_values"))
     tag = reduce(lambda chain, r: chain.when(r.fits, r.name), rules[1:], F.when(rules[0].fits, rules[0].name))
-    tagged = lines.withColumn("_rule", F.coalesce(tag, F.lit("")))
+    tagged = lines.withColumns(
+        {"_rule": F.coalesce(tag, F.lit("")), "_names": parts(1), "_values": parts(2)}
+    )
 
     def field(name: str, kind: str) -> Column:
         chain = None

@@ -82,6 +82,30 @@ def findings_sorted(findings: DataFrame) -> DataFrame:
     return findings.orderBy(F.desc("severity"), "title", "finding_id")
 
 
+def report_rows(run_id: str, **parts: DataFrame) -> DataFrame:
+    """A report of any size as rows ``run_id, part, ord, body``: one JSON text per item.
+
+    Findings come by severity, metrics by section and emit order, everything else by its text. Each
+    item stays a row, so nothing is folded into one value; a reader takes the parts it wants.
+    """
+    hidden = {"is_canary", "evidence"}
+    out = None
+    for name, df in parts.items():
+        columns = [c for c in df.columns if c not in hidden]
+        body = F.to_json(F.struct(*columns))
+        if name == "findings":
+            order = F.format_string("%d %s", F.lit(9) - F.col("severity"), "title")
+        elif name == "metrics":
+            order = F.format_string("%s %09d", "section", "ord")
+        else:
+            order = body
+        rows = df.select(
+            F.lit(run_id).alias("run_id"), F.lit(name).alias("part"), order.alias("ord"), body.alias("body")
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def build_report(
     run_id: str,
     *,
@@ -92,10 +116,10 @@ def build_report(
     canaries: DataFrame,
     actions: DataFrame | None = None,
 ) -> DataFrame:
-    """One row with the whole report of a run as nested columns.
+    """One row with the whole report of a run as nested columns, for one document per run.
 
-    A report holds only what a reader gets (accepted findings, listed metrics, sources), so its
-    lists are short whatever the events were.
+    Pass what a reader gets: reviewed findings, the metrics of ``top_metrics_per_section``, sources.
+    ``report_rows`` holds lists of any length.
     """
     item = F.struct(
         (-F.col("severity")).alias("_order"), "title", "finding_id",

@@ -738,14 +738,17 @@ def _(t):
     return reporting.signal_samples(signals, t.fw, keys, 5)
 
 
-@query("k10_report", "findings", """SELECT 'run1' AS run_id, 'RED' AS status, (SELECT count(*) FROM findings WHERE severity = 4) AS finding_count, (SELECT count(*) FROM part) AS metrics""")
-def _(t):
-    top = t.findings.where(F.col("severity") == 4)
-    report = reporting.build_report(
-        "run1", status=review.rollup_status(top), findings=top,
-        metrics=_some_metrics(t).withColumns({"prior": F.lit(None).cast("double"), "delta_pct": F.lit(None).cast("double")}),
-        health=quality.classify_health(quality.collection_stats(t.fw), _manifest(t)),
-        canaries=t.spark.createDataFrame([], "canary string, detected boolean"),
-    )
-    return report.select("run_id", "status", "finding_count", F.size("metrics").alias("metrics"))
-
+@query("k10_report", "findings metrics", """SELECT 'run1' AS run_id, 'findings' AS part, 9 - severity || ' ' || title AS ord, finding_id AS name, count(*) OVER () AS n FROM findings WHERE severity = 4
+  UNION ALL SELECT 'run1', 'metrics', p_brand || ' ' || lpad(CAST(p_size AS VARCHAR), 9, '0'), 'm' || p_partkey, count(*) OVER () FROM part""")
+def _(t):
+    """A report written as JSON lines and read back."""
+    from sentrylake.session import scratch_path
+    from sentrylake.sources.sinks import write_report_json
+
+    findings = t.findings.where(F.col("severity") == 4).select("finding_id", "title", "severity", "taxonomy", "entities")
+    path = scratch_path(t.spark, "report")
+    write_report_json(reporting.report_rows("run1", findings=findings, metrics=_some_metrics(t)), path)
+    rows = t.spark.read.schema("part string, ord string, body string, run_id string").json(path)
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
+    name = F.coalesce(F.get_json_object("body", "$.finding_id"), F.get_json_object("body", "$.key"))
+    return rows.join(sizes, "part").select("run_id", "part", "ord", name.alias("name"), "n")

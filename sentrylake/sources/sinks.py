@@ -121,8 +121,13 @@ def save_slice(rows: DataFrame, root: str, table: str) -> None:
 
 
 def write_report_json(report: DataFrame, path: str) -> None:
-    """One JSON object per run."""
-    report.write.mode("overwrite").json(path)
+    """A report (nested, or as rows) as JSON lines below a folder per run; a rerun replaces its own."""
+    (
+        report.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("run_id")
+        .json(path)
+    )
 
 
 # ----- retention and removal

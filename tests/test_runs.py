@@ -159,6 +159,24 @@ def test_status(spark, ranks, ok, status):
     assert review.rollup_status(findings, canaries).head().status == status
 
 
+def test_nested_report(spark, planted, profile):
+    from sentrylake.operators import reporting
+
+    findings = spark.createDataFrame(
+        [("F1", "low", 1, "a", False, None), ("F2", "high", 3, "b", False, None), ("F3", "tuned", 3, "c", True, "known")],
+        "finding_id string, title string, severity int, taxonomy string, suppressed boolean, suppressed_reason string",
+    ).withColumns({"confidence": F.lit("medium"), "zone": F.lit("lan"), "entities": F.array().cast("array<struct<type:string,value:string,role:string>>")})
+    metrics = reporting.top_metrics_per_section(run_metrics(Context(planted, profile)), spark.createDataFrame([("fw.total", 850.0)], "key string, prior double"))
+    health = quality.classify_health(quality.collection_stats(planted), manifest(spark))
+    report = reporting.build_report(
+        "run1", status=review.rollup_status(findings.where("not suppressed")), findings=findings, metrics=metrics, health=health,
+        canaries=spark.createDataFrame([("dns_beacon", True)], "canary string, detected boolean"),
+    ).head()
+    assert (report.status, report.finding_count) == ("AMBER", 2)
+    assert [f.finding_id for f in report.findings] == ["F2", "F1"] and [f.reason for f in report.suppressed] == ["known"]
+    assert {m.key: m.delta_pct for m in report.metrics}["fw.total"] == -50.0
+
+
 def test_streams_equal_batch(spark, planted):
     path = scratch_path(spark, "stream-in")
     copies = planted.select("ts", "kind", "dedup_key", "src_ip", "action").unionByName(planted.select("ts", "kind", "dedup_key", "src_ip", "action"))

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from sentrylake.operators import match
 from sentrylake.operators import query as q
 from sentrylake.profile import Profile
+from sentrylake.session import materialize
 
 NOVELTY_GRACE = timedelta(hours=1)
 
@@ -367,6 +368,8 @@ def retro_hunt(
     """Indicator lists against months of retained history: one row per matched value and day."""
     ips = _worst(match.match_ips(history_ips(ioc_flow, as_of, days), indicators))
     names = _worst(match.match_domains(history_domains(ioc_dns, as_of, days), indicators))
+    # Each filters the history and labels the result: written once, with a size the planner knows.
+    ips, names = materialize(ips, "hunt-addresses"), materialize(names, "hunt-domains")
     flow = flow_history_for(ioc_flow, ips, as_of, days)
     by_ip = (
         flow.withColumn("value", F.explode(F.array_distinct(F.array("src_ip", "dst_ip"))))

@@ -30,7 +30,8 @@ def ip_activity(events: DataFrame, indicators: DataFrame) -> DataFrame:
     before anything is grouped, so only traffic with a listed address is shuffled. A pair whose
     ends both match the same indicator (``ends`` is 2) counts once, as inbound.
     """
-    matches = match.match_ips(q.all_traffic_ips(events), indicators).select("value", *_KEY)
+    found = match.match_ips(q.all_traffic_ips(events), indicators).select("value", *_KEY)
+    matches = materialize(found, "ioc-addresses")
     columns = ["src_ip", "dst_ip", "dst_port", "proto", "action"]
     end = lambda value, inbound: F.struct(
         F.col(value).alias("value"), F.lit(inbound).alias("inbound")
@@ -138,10 +139,10 @@ def ip_match(events: DataFrame, indicators: DataFrame, profile: Profile) -> Data
 
 def domain_match(events: DataFrame, indicators: DataFrame) -> DataFrame:
     """One signal per listed domain that was looked up."""
-    matches = match.match_domains(q.all_dns_domains(events), indicators)
-    lookups = q.lookups_of(events, matches)
+    found = match.match_domains(q.all_dns_domains(events), indicators).select("value", *_KEY)
+    matches = materialize(found, "ioc-domains")
     pairs = matches.select(F.col("value").alias("domain"), *_KEY)
-    activity = lookups.join(pairs, "domain")
+    activity = materialize(q.lookups_of(events, matches).join(pairs, "domain"), "ioc-lookups")
     groups = activity.groupBy(*_KEY).agg(
         F.sum("queries").alias("queries"),
         F.sum("blocked").alias("blocked_by_resolver"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrylake.operators import query as q
+from sentrylake.session import materialize
 
 # What makes a series of timestamps periodic.
 MIN_SAMPLES = 12
@@ -40,7 +41,8 @@ def beacon_scores(
     sorted series sum to its span, so the sample, span and mean-gap tests are plain aggregates with
     a map-side combine. Only groups that pass are sorted, and those are small whatever the input
     holds: a mean gap of at least ``min_interval_s`` bounds their distinct instants by
-    ``span / min_interval_s``.
+    ``span / min_interval_s``. The passing groups are written in between, so that the second step
+    reads only their events and the first is not repeated.
     """
     keys = list(keys)
     instants = (
@@ -68,6 +70,7 @@ def beacon_scores(
         .withColumn("span_hours", span_s / 3600)
         .drop("_distinct", "_first", "_last")
     )
+    shapes = materialize(shapes, "series")
     order = Window.partitionBy(*keys).orderBy("_us")
     gaps = (
         instants.join(shapes.select(*keys), keys, "left_semi")

@@ -31,7 +31,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df, name: str, partition_by: tuple[str, ...] = ()):
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives executor loss."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives executor loss.
+
+    A written table also has a known size. A join that filters events by a derived frame would
+    otherwise be planned as a shuffle of all events; with the size at hand the planner broadcasts the
+    frame when it is below its threshold and shuffles only when it is not.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     writer = df.write.mode("overwrite")

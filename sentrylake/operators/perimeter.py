@@ -14,6 +14,7 @@ from sentrylake.operators.history import Baseline, with_recurrence
 from sentrylake.operators.signals import as_signals, entities_of, text, top_list
 from sentrylake.profile import Profile
 from sentrylake.schema import INFO, LOW, MEDIUM, UNTRUSTED
+from sentrylake.session import materialize
 
 DROPS = {"kind": "firewall", "action": "drop"}
 VOLUME = "firewall_volume"
@@ -382,6 +383,7 @@ def traceroute_support(events: DataFrame, profile: Profile, *, per_ladder: int =
     ladders = cross_zone_ladders(events, profile, **limits)
     order = Window.partitionBy("src_ip").orderBy(F.desc("probes"), "dst_ip", "proto")
     main = ladders.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= 3)
+    main = materialize(main, "ladders")
     keys = main.select(
         F.col("src_ip").alias("_s"), F.col("dst_ip").alias("_d"), F.col("proto").alias("_p")
     )

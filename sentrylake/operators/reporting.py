@@ -12,6 +12,7 @@ from sentrylake.operators import query as q
 from sentrylake.operators.history import cache_latest
 from sentrylake.profile import Profile
 from sentrylake.schema import CANARY_SOURCE, LOW
+from sentrylake.session import materialize
 
 
 def rank_signals(signals: DataFrame, n: int = 60) -> DataFrame:
@@ -179,7 +180,7 @@ def signal_samples(
         probes = probes.unionAll(
             keys.select("signal_id", probe(F.lit(0), "dedup_key", F.col("dedup_key")).alias("p"))
         )
-    probes = probes.select("signal_id", "p.*").distinct()
+    probes = materialize(probes.select("signal_id", "p.*").distinct(), "probes")
     field = lambda name: F.struct(F.lit(name).alias("field"), F.col(name).alias("value"))
     keyed = events.select(
         "id", "ts", "dedup_key",

@@ -16,6 +16,7 @@ from sentrylake.operators import query as q
 from sentrylake.operators.signals import text
 from sentrylake.profile import Profile
 from sentrylake.schema import CRITICAL, HIGH, INFO, MEDIUM, SEVERITIES, SUSPECTED
+from sentrylake.session import materialize
 
 # Evidence that is behaviour seen on this network.
 LOCAL_EVIDENCE = ("local_behavior", "baseline_delta", "correlation", "policy_violation")
@@ -66,6 +67,7 @@ def cited_event_ids(ids: Column) -> Column:
 def valid_events(submitted: DataFrame, events: DataFrame) -> DataFrame:
     """Per finding: cited event ids that are events of this run, ascending."""
     cited = submitted.select("idx", F.explode(cited_event_ids(F.col("event_ids"))).alias("id"))
+    cited = materialize(cited, "cited-events")
     real = q.existing_event_ids(events, cited)
     return (
         cited.join(real, "id", "left_semi")

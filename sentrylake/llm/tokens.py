@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from sentrylake.llm.common import pick
 
 #: Entries that a worker remembers; a memory bound, without effect on results.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 _encoders: dict[tuple[str, bool], "PieceEncoder"] = {}
 
 
@@ -31,13 +31,34 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4")
+        size = self.tokenizer.get_vocab_size(True)
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        # ids of tokens that begin with a space, in the letters of the byte-level alphabet
+        self._begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         self._after_space: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.dtype).tobytes() for x in found]
 
+    def _ids_after_space(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece with a space before it, for pieces without a space inside.
+
+        Many go to the tokenizer as one text; the tokens that begin with a space tell them apart.
+        """
+        out: list[bytes] = []
+        for at in range(0, len(pieces), 4096):
+            part = pieces[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            starts = np.flatnonzero(self._begins[ids])
+            if len(starts) == len(part):
+                ends = [*starts[1:].tolist(), len(ids)]
+                data, w = ids.tobytes(), self.dtype.itemsize
+                out += [data[a * w : b * w] for a, b in zip(starts.tolist(), ends, strict=True)]
+            else:
+                out += self._ids([" " + x for x in part])
+        return out
+
     @staticmethod
     def _apart(piece: str) -> bool:
         return bool(piece) and not (piece[0].isspace() or piece[-1].isspace() or piece[0] == "᠎" or piece[-1] == "᠎")
@@ -52,7 +73,7 @@ class PieceEncoder:
         for pieces in split:
             new.update(pieces[1:])
         new = [x for x in new if x not in known and self._apart(x)]
-        known.update(zip(new, self._ids([" " + x for x in new]), strict=True))
+        known.update(zip(new, self._ids_after_space(new), strict=True))
         out: list[bytes] = []
         first = iter(self._ids([x[0] for x in split]))
         for text, pieces in zip(texts, split, strict=True):

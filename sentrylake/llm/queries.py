@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrylake.llm import bpe, huffman, tokens
+from sentrylake.llm import bpe, huffman, sharding, tokens, warc
 from sentrylake.llm.common import table
 from sentrylake.session import materialize, scratch_path
 
@@ -46,3 +46,39 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op1_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record in ZIP packages, read back by ranges."""
+    rows = warc.with_revisits(table(spark, sf_dir, "pages"), min_bytes=0)
+    manifest = materialize(warc.write_packages(rows, scratch_path(spark, "wacz")), "wacz-manifest")
+    return warc.read_packages(manifest).select(
+        warc.id_of("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"),
+        "record_type", warc.id_of("refers_to").alias("refers_to"),
+    )
+
+
+ORACLES["op1_warc_packages"] = """
+with p as (
+  select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as hex from pages
+), f as (select hex, max(page_id) as first_id from p group by hex),
+j as (select p.*, case when f.first_id is distinct from p.page_id then f.first_id end as refers_to from p join f using (hex))
+select page_id, octet_length(encode(html))::bigint as payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(hex, (5 * (i // 4) + 1)::int, 5))::int >> (15 - 5 * (i % 4))::int) & 31), 1)), 'string_agg', '') as payload_digest,
+  case when refers_to is null then 'response' else 'revisit' end as record_type, refers_to
+from j
+"""
+
+
+@query
+def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of near-equal bytes, in order of their ids."""
+    docs = table(spark, sf_dir, "documents")
+    records = docs.select(
+        "doc_id", sharding.size_of(F.col("text")).alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+    )
+    placed = sharding.shard_by_bytes(records, 24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrylake.llm import bpe, huffman, sharding, tokens, warc
+from sentrylake.llm import bpe, huffman, sharding, tokens, toxicity, warc
 from sentrylake.llm.common import table
 from sentrylake.session import materialize, scratch_path
 
@@ -82,3 +82,12 @@ def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     placed = sharding.shard_by_bytes(records, 24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op7_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels of the held-out third aren't used."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    scored = docs.select("doc_id", toxicity.held_out(F.col("doc_id"), 3, 1).alias("held_out"), toxicity.score(model).alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= toxicity.REJECT, 1).otherwise(0))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrylake.llm import bpe, huffman, sharding, tokens, toxicity, warc
+from sentrylake.llm import bpe, huffman, langid, sharding, tokens, toxicity, warc
 from sentrylake.llm.common import table
 from sentrylake.session import materialize, scratch_path
 
@@ -91,3 +91,13 @@ def op7_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
     scored = docs.select("doc_id", toxicity.held_out(F.col("doc_id"), 3, 1).alias("held_out"), toxicity.score(model).alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= toxicity.REJECT, 1).otherwise(0))
+
+
+@query
+def op10_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; a held-out quarter teaches nothing."""
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.held_out(F.col("doc_id"), 4, 2)
+    model = langid.fit(docs.where(~out).select("text", "lang"))
+    found = docs.select("doc_id", out.alias("held_out"), langid.predict(model).alias("x"))
+    return found.select("doc_id", "held_out", "x.lang_pred", "x.score", "x.rejected")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrylake.llm import bpe, huffman, langid, sharding, tokens, toxicity, warc
+from sentrylake.llm import bpe, huffman, langid, sharding, tiling, tokens, toxicity, warc
 from sentrylake.llm.common import table
 from sentrylake.session import materialize, scratch_path
 
@@ -101,3 +101,9 @@ def op10_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(~out).select("text", "lang"))
     found = docs.select("doc_id", out.alias("held_out"), langid.predict(model).alias("x"))
     return found.select("doc_id", "held_out", "x.lang_pred", "x.score", "x.rejected")
+
+
+@query
+def op9_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items that tiles of them cover, with the tiles."""
+    return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrylake.llm import bpe, huffman, langid, sharding, tiling, tokens, toxicity, warc
+from sentrylake.llm import bpe, huffman, langid, prefix_tree, sharding, tiling, tokens, toxicity, warc
 from sentrylake.llm.common import table
 from sentrylake.session import materialize, scratch_path
 
@@ -107,3 +107,28 @@ def op10_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the benchmark items that tiles of them cover, with the tiles."""
     return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op4_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of five words are alike by three quarters or more."""
+    found = prefix_tree.alike_documents(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+ORACLES["op4_prefix_tree_join"] = """
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words from documents
+), s as (
+  select doc_id, case when len(words) = 0 then [] when len(words) < 5 then [array_to_string(words, ' ')]
+    else list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) end as set from w
+), g as (select doc_id, len(set) as n, unnest(set) as gram from s),
+h as (select * from g where gram in (select gram from g group by gram having count(*) > 1)),
+links as (
+  select a.doc_id as a, b.doc_id as b from h a join h b on a.gram = b.gram and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach(a, b) as (select doc_id, doc_id from s union select r.a, l.b from reach r join links l on l.a = r.b)
+select s.doc_id, len(s.set)::bigint as n_shingles, r.low as component_id
+from s join (select a, min(b) as low from reach group by a) r on r.a = s.doc_id
+"""

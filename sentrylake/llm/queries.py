@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrylake.llm import bpe, huffman, langid, prefix_tree, sharding, tiling, tokens, toxicity, warc
+from sentrylake.llm import bpe, huffman, langid, prefix_tree, sharding, tiling, tokens, toxicity, warc, wrappers
 from sentrylake.llm.common import table
 from sentrylake.session import materialize, scratch_path
 
@@ -132,3 +132,9 @@ links as (
 select s.doc_id, len(s.set)::bigint as n_shingles, r.low as component_id
 from s join (select a, min(b) as low from reach group by a) r on r.a = s.doc_id
 """
+
+
+@query
+def op6_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return wrappers.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrylake.llm import bpe, huffman, langid, prefix_tree, sharding, tiling, tokens, toxicity, warc, wrappers
+from sentrylake.llm import bpe, huffman, langid, line_rules, prefix_tree, sharding, tiling, tokens, toxicity, warc, wrappers
 from sentrylake.llm.common import table
 from sentrylake.session import materialize, scratch_path
 
@@ -138,3 +138,39 @@ from s join (select a, min(b) as low from reach group by a) r on r.a = s.doc_id
 def op6_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return wrappers.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of every document, and whether it is kept once lines that many documents share are gone."""
+    return line_rules.judge(table(spark, sf_dir, "documents")).drop("depleted")
+
+
+ORACLES["op2_line_frequency"] = """
+with d as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as text, coalesce(source, '') as host,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines
+  from documents
+), windows as (
+  select r, i, array_to_string(words[i:i + 7], ' ') as w from (select r, words, unnest(range(1, len(words) - 6)) as i from d where len(words) > 8)
+), covered as (
+  select r, count(distinct p) as n from (
+    select r, unnest(range(i, i + 8)) as p from windows where (r, w) in (select (r, w) from windows group by r, w having count(*) > 1)
+  ) group by r
+), line as (
+  select r, host, trim(regexp_replace(lower(x), '[\\x20\\x09\\x0B-\\x0D]+', ' ', 'g')) as x from (select r, host, unnest(lines) as x from d)
+), by_host as (select host, x, count(distinct r) as n from line group by host, x),
+everywhere as (select x, sum(n) as n from by_host group by x),
+heavy as (select host, x from by_host b join everywhere e using (x) where b.n > 10 or e.n > 50),
+gone as (select r, sum(len(string_split(x, ' ')))::bigint as n from line join heavy using (host, x) group by r),
+m as (
+  select d.doc_id, len(words)::bigint as n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::bigint as word_chars,
+    (length(text) - length(translate(text, '#*$%&|<>', '')))::bigint as n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
+    coalesce(covered.n, 0)::bigint as n_repeat_words, coalesce(gone.n, 0)::bigint as n_removed_words
+  from d left join covered using (r) left join gone using (r)
+)
+select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and not (n_words - n_removed_words < 0.5 * n_words) as kept
+from m
+"""

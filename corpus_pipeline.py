@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrylake.llm import bpe, langid, prefix_tree, tiling, toxicity
-from sentrylake.llm.common import table
+from sentrylake.llm.common import pick, table
 from sentrylake.session import materialize
 
 
@@ -29,7 +29,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents near a centroid of a language; null texts and those without a letter go."""
-    known = langid.pick(docs, doc_id="doc_id", text="text", lang="lang").where(~toxicity.held_out(F.col("doc_id"), 4, 2))
+    known = pick(docs, doc_id="doc_id", text="text", lang="lang").where(~toxicity.held_out(F.col("doc_id"), 4, 2))
     model = langid.fit(known)
     return _where(docs, lambda text: ~langid.predict(model, text)["rejected"])
 

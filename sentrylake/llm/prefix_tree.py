@@ -25,8 +25,8 @@ from sentrylake.session import materialize
 
 #: Words of an n-gram, and the similarity from which two sets are linked, in hundredths.
 WORDS, ALIKE = 5, 75
-#: Counters of the sketch, and bits of the filter of sets that are compared: sizes of what each task gets.
-#: N-grams that share a counter come in another order, sets that share a bit are sent in vain; neither changes the result.
+#: Counters of the sketch, and bits of the filter of documents whose sets are compared: sizes of what each task gets.
+#: N-grams that share a counter come in another order, documents that share a bit are sent in vain; neither changes the result.
 COUNTERS, FILTER_BITS = 1 << 18, 1 << 24
 #: Sets of a block; a set with more partners has several blocks.
 BLOCK = 256
@@ -172,25 +172,33 @@ def _firsts(docs: DataFrame, words: int, alike: int, sketch: np.ndarray) -> Data
     return docs.mapInArrow(run, "token long, sid long, meta long")
 
 
-def _ordered_sets(docs: DataFrame, words: int, sketch: np.ndarray, bits: np.ndarray) -> DataFrame:
-    """``sid, items``: sets that the filter lets pass, common n-grams first."""
+def _ordered_sets(docs: DataFrame, sids: DataFrame, keys: DataFrame, words: int, sketch: np.ndarray, filter_bits: int) -> DataFrame:
+    """``sid, items`` of at least the sets ``sid``, common n-grams first, from documents ``key, text``.
+
+    Of the documents of a set only the one with the smallest key is turned again, found by a filter of its
+    bits; another that has the same bits is sent in vain.
+    """
+    slots = keys.join(sids, "sid", "left_semi").select(F.col("key").bitwiseAND(F.lit(filter_bits - 1)).alias("slot")).distinct()
+    bits = np.zeros(filter_bits, np.uint8)
+    bits[slots.toArrow()["slot"].to_numpy()] = 1  # at most filter_bits rows
+    bits = np.packbits(bits, bitorder="little")
 
     def run(batches):
         seen = set()
         for batch in batches:
-            sids, items = [], []
-            for text in batch.column(1):
-                h = ngram_set(text.as_py(), words)
-                sid = set_id(h) if len(h) else None
-                slot = (sid or 0) & (len(bits) * 8 - 1)
-                if sid is not None and sid not in seen and (bits[slot >> 3] >> (slot & 7)) & 1:
-                    seen.add(sid)
-                    sids.append(sid)
-                    items.append(in_order(h, sketch)[::-1].tobytes())
-            for at in range(0, len(sids), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(sids[at : at + 256], pa.int64()), pa.array(items[at : at + 256], pa.binary())], ["sid", "items"])
+            slot = batch.column(0).to_numpy() & (filter_bits - 1)
+            for at in np.array_split(np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1), batch.num_rows // 256 + 1):
+                sids, items = [], []
+                for i in at.tolist():
+                    h = ngram_set(batch.column(1)[i].as_py(), words)
+                    sid = set_id(h) if len(h) else None
+                    if sid is not None and sid not in seen:
+                        seen.add(sid)
+                        sids.append(sid)
+                        items.append(in_order(h, sketch)[::-1].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(items, pa.binary())], ["sid", "items"])
 
-    return docs.mapInArrow(run, "sid long, items binary")
+    return docs.select("key", "text").mapInArrow(run, "sid long, items binary")
 
 
 def _can_link(meta_a: Column, meta_b: Column, alike: int) -> Column:
@@ -258,18 +266,20 @@ def alike_documents(
     shared = firsts.withColumn("low", F.min("sid").over(w)).withColumn("high", F.max("sid").over(w)).where("low <> high")
     shared = materialize(shared.select("token", "sid", "meta").distinct(), "shared-ngrams")
 
-    slots = shared.select(F.col("sid").bitwiseAND(F.lit(filter_bits - 1)).alias("slot")).distinct().toArrow()["slot"].to_numpy()  # at most filter_bits
-    bits = np.zeros(filter_bits, np.uint8)
-    bits[slots] = 1
-    ordered = _ordered_sets(rows, words, sketch, np.packbits(bits, bitorder="little"))
-    ordered = materialize(ordered.dropDuplicates(["sid"]), "ordered-sets")
-
     w = Window.partitionBy("token").orderBy("meta", "sid")
     near = shared.select("sid", "meta", *[F.struct(f("sid").over(w).alias("p"), f("meta").over(w).alias("p_meta")).alias(n) for f, n in ((F.first, "one"), (F.lag, "two"))])
     near = near.select("sid", "meta", F.explode(F.array("one", "two")).alias("o"))
     near = near.where(F.col("o.p").isNotNull() & (F.col("o.p") != F.col("sid")) & _can_link(F.col("meta"), F.col("o.p_meta"), alike))
     tried = materialize(near.select(F.col("o.p").alias("p"), F.col("sid").alias("x")).distinct(), "near-pairs")
-    links = materialize(_links(tried, ordered, alike, block), "near-links")
+    keyed = keyed.select(F.xxhash64("doc_id.doc_id", "doc_id.text_hash").alias("key"), "text")
+    keys = sets.where("sid is not null").groupBy("sid").agg(F.min(F.xxhash64("doc_id", "text_hash")).alias("key"))
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        sids = pairs.select(F.col("p").alias("sid")).unionByName(pairs.select(F.col("x").alias("sid"))).distinct()
+        ordered = materialize(_ordered_sets(keyed, sids, keys, words, sketch, filter_bits), "ordered-sets")
+        return materialize(_links(pairs, ordered, alike, block), name)
+
+    links = linked(tried, "near-links")
     roots = materialize(components(links), "near-roots")
 
     # n-grams whose sets are still in several components, and all pairs of sets across these that may be linked
@@ -281,7 +291,8 @@ def alike_documents(
     across = a.join(b, "token").where("root_a <> root_b and sid_a < sid_b").where(_can_link(F.col("meta_a"), F.col("meta_b"), alike))
     across = across.select(F.col("sid_a").alias("p"), F.col("sid_b").alias("x")).distinct()
     done = tried.select(F.least("p", "x").alias("p"), F.greatest("p", "x").alias("x"))
-    more = materialize(_links(materialize(across.join(done, ["p", "x"], "left_anti"), "apart-pairs"), ordered, alike, block), "apart-links")
+    across = materialize(across.join(done, ["p", "x"], "left_anti"), "apart-pairs")
+    more = linked(across, "apart-links") if not across.isEmpty() else across
     if not more.isEmpty():
         joined = components(more.join(roots.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("root", "a").alias("a"), "b").join(roots.withColumnRenamed("node", "b"), "b", "left").select("a", F.coalesce("root", "b").alias("b")))
         joined = joined.select(F.col("node").alias("root"), F.col("root").alias("joined"))

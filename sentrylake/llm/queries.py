@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrylake.llm import bpe, huffman, langid, line_rules, prefix_tree, sharding, tiling, tokens, toxicity, warc, wrappers
-from sentrylake.llm.common import table
+from sentrylake.llm.common import pick, table
 from sentrylake.session import materialize, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,7 +75,7 @@ from j
 @query
 def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near-equal bytes, in order of their ids."""
-    docs = table(spark, sf_dir, "documents")
+    docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
     records = docs.select(
         "doc_id", sharding.size_of(F.col("text")).alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
@@ -87,7 +87,7 @@ def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; labels of the held-out third aren't used."""
-    docs = table(spark, sf_dir, "documents")
+    docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
     model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
     scored = docs.select("doc_id", toxicity.held_out(F.col("doc_id"), 3, 1).alias("held_out"), toxicity.score(model).alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= toxicity.REJECT, 1).otherwise(0))
@@ -96,7 +96,7 @@ def op7_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document; a held-out quarter teaches nothing."""
-    docs = table(spark, sf_dir, "documents")
+    docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text", lang="lang")
     out = toxicity.held_out(F.col("doc_id"), 4, 2)
     model = langid.fit(docs.where(~out).select("text", "lang"))
     found = docs.select("doc_id", out.alias("held_out"), langid.predict(model).alias("x"))

@@ -35,6 +35,8 @@ ASIDE_WORDS = frozenset(
     "reply replies respond disqus footer pagination pager toolbar search masthead complementary contentinfo".split()
 )
 ENDS_P = BLOCKS - {"html", "body"}
+#: Neighbours of one label are one node of a wrapper if they are of these elements, or at least so many.
+REPEATED, MANY = frozenset("p li dt dd tr td th blockquote pre h1 h2 h3 h4 h5 h6".split()), 4
 #: Fewer pages teach nothing; a node is in nearly all pages from this share on; rarer nodes than this are forgotten.
 FEWEST, NEARLY_ALL, RARE = 8, 0.9, 0.02
 
@@ -115,16 +117,25 @@ def own_text(block: Block) -> str:
 # ---- wrappers: [label, pages, text mark (0: varies), children]
 
 
-def fold(block: Block) -> list:
-    """A page as a wrapper of its own; neighbours of one label are one node, whose text varies if they are several."""
-    children: list = []
+def runs(block: Block) -> list[list[Block]]:
+    """Child blocks; neighbours that a wrapper has as one node stand together."""
+    found: list[list[Block]] = []
     for child in block.blocks():
-        node = fold(child)
-        if children and children[-1][0] == node[0]:
-            children[-1] = merged(children[-1], node)
-            children[-1][1], children[-1][2] = 1, 0
+        if found and found[-1][0].label == child.label:
+            found[-1].append(child)
         else:
-            children.append(node)
+            found.append([child])
+    return [part for run in found for part in ([run] if run[0].tag in REPEATED or len(run) >= MANY else [[x] for x in run])]
+
+
+def fold(block: Block) -> list:
+    """A page as a wrapper of its own; a node for several blocks counts as one, whose text varies."""
+    children: list = []
+    for run in runs(block):
+        node = fold(run[0])
+        for more in run[1:]:
+            node = merged(node, fold(more))
+        children.append([node[0], 1, node[2] if len(run) == 1 else 0, node[3]])
     return [block.label, 1, zlib.crc32(own_text(block).encode("utf-8", "surrogatepass")) or 1, children]
 
 
@@ -226,20 +237,14 @@ def _matched(block: Block, node: list | None) -> list[tuple[int, list | None]]:
     """Each child block with the wrapper's node for it."""
     if node is None or not node[3]:
         return []
-    runs: list[tuple[list, list[Block]]] = []
-    for child in block.blocks():
-        if runs and runs[-1][0][0] == child.label:
-            runs[-1][1].append(child)
-        else:
-            runs.append(([child.label, 1, 0, []], [child]))
-    if [r[0][0] for r in runs] == [x[0] for x in node[3]]:
-        pairs = list(zip(node[3], [r[0] for r in runs], strict=True))
+    own = runs(block)
+    if [r[0].label for r in own] == [x[0] for x in node[3]]:
+        found = node[3]
     else:
-        for shape, blocks in runs:
-            shape[3] = fold(blocks[0])[3]
-        pairs = aligned(node[3], [r[0] for r in runs])
-    of = {id(shape): found for found, shape in pairs if found and shape}
-    return [(id(b), of.get(id(shape))) for shape, blocks in runs for b in blocks]
+        shapes = [fold(r[0]) for r in own]
+        of = {id(shape): x for x, shape in aligned(node[3], shapes) if x and shape}
+        found = [of.get(id(shape)) for shape in shapes]
+    return [(id(x), n) for run, n in zip(own, found, strict=True) for x in run]
 
 
 def host_of(url):

@@ -201,15 +201,18 @@ def taxonomy_recurrence(
     )
 
 
+def latest(rows: DataFrame, limit: int | None, *order) -> DataFrame:
+    """All rows, or the first ``limit`` in this order."""
+    return rows if limit is None else rows.orderBy(*order).limit(limit)
+
+
 def prior_findings_for(
-    findings: DataFrame, value: str, as_of: datetime | str, days: int = 90, limit: int = 25
+    findings: DataFrame, value: str, as_of: datetime | str, days: int = 90, limit: int | None = None
 ) -> DataFrame:
     """The latest findings that name an entity."""
     named = F.exists("entities", lambda e: e["value"] == value)
     return (
-        findings.where((F.col("ts") >= before(as_of, days=days)) & named)
-        .orderBy(F.desc("ts"), "run_id", "finding_id")
-        .limit(limit)
+        latest(findings.where((F.col("ts") >= before(as_of, days=days)) & named), limit, F.desc("ts"), "run_id", "finding_id")
         .select("ts", "title", "severity", "taxonomy", "run_id")
     )
 
@@ -274,27 +277,23 @@ def _since(as_of: datetime | str, days: int) -> Column:
 
 
 def hunt_domain(
-    ioc_dns: DataFrame, pattern: str, as_of: datetime | str, days: int = 180, limit: int = 500
+    ioc_dns: DataFrame, pattern: str, as_of: datetime | str, days: int = 180, limit: int | None = None
 ) -> DataFrame:
     """Retained lookups of names like ``pattern`` (a substring unless it has wildcards)."""
     like = pattern if "%" in pattern else f"%{pattern}%"
     return (
-        ioc_dns.where((F.col("day") >= _since(as_of, days)) & F.col("domain").ilike(like))
-        .orderBy(F.desc("day"), "client_ip", "domain", "run_id")
-        .limit(limit)
+        latest(ioc_dns.where((F.col("day") >= _since(as_of, days)) & F.col("domain").ilike(like)), limit, F.desc("day"), "client_ip", "domain", "run_id")
         .select("day", "client_ip", "domain", "queries", "blocked")
     )
 
 
 def hunt_ip(
-    ioc_flow: DataFrame, ip: str, as_of: datetime | str, days: int = 180, limit: int = 500
+    ioc_flow: DataFrame, ip: str, as_of: datetime | str, days: int = 180, limit: int | None = None
 ) -> DataFrame:
     """Retained traffic from or to an address."""
     touches = (F.col("src_ip") == ip) | (F.col("dst_ip") == ip)
     return (
-        ioc_flow.where((F.col("day") >= _since(as_of, days)) & touches)
-        .orderBy(F.desc("day"), "src_ip", "dst_ip", "dst_port", "proto", "run_id")
-        .limit(limit)
+        latest(ioc_flow.where((F.col("day") >= _since(as_of, days)) & touches), limit, F.desc("day"), "src_ip", "dst_ip", "dst_port", "proto", "run_id")
         .select("day", "src_ip", "dst_ip", "dst_port", "proto", "hits")
     )
 

@@ -130,7 +130,7 @@ def sweep_prefixes(
     *,
     min_sources: int = 15,
     max_hits_per_source: float = 4.0,
-    subnets: int | None = 12,
+    subnets: int | None = None,
 ) -> DataFrame:
     """/24s where many sources each knock a few times."""
     return (

@@ -27,8 +27,6 @@ COUNTRIES = (
     "russia|russian|china|chinese|iran|iranian|north korea|nigeria|romania|"
     "ukraine|vietnam|brazil|india"
 )
-MAX_EVENT_IDS = 20
-
 
 
 def _texts(column: str) -> Column:
@@ -59,9 +57,9 @@ def valid_signals(submitted: DataFrame, signals: DataFrame) -> DataFrame:
 
 
 def cited_event_ids(ids: Column) -> Column:
-    """The first distinct integers of a cited id list."""
+    """The distinct integers of a cited id list, in cited order."""
     numbers = F.transform(ids.cast("array<string>"), lambda v: v.try_cast("bigint"))
-    return F.slice(F.array_distinct(F.array_compact(numbers)), 1, MAX_EVENT_IDS)
+    return F.array_distinct(F.array_compact(numbers))
 
 
 def valid_events(submitted: DataFrame, events: DataFrame) -> DataFrame:

@@ -88,15 +88,12 @@ def large_transfer(
     baseline: Baseline | None = None,
     *,
     floor_bytes: int = 200 * MIB,
-    listed: int = 10,
+    listed: int | None = None,
 ) -> DataFrame:
-    """The largest single transfers; more serious towards a destination never seen before."""
-    pairs = (
-        outbound_pairs(events, profile)
-        .where(F.col("bytes") >= floor_bytes)
-        .orderBy(F.desc("bytes"), "src_ip", "dst_ip")
-        .limit(listed)
-    )
+    """Large single transfers, the largest ``listed`` if given; more serious towards a destination never seen before."""
+    pairs = outbound_pairs(events, profile).where(F.col("bytes") >= floor_bytes)
+    if listed is not None:
+        pairs = pairs.orderBy(F.desc("bytes"), "src_ip", "dst_ip").limit(listed)
     if baseline is None:
         rows = pairs.withColumn("destination_is_novel", F.lit(True))
     else:

@@ -141,7 +141,7 @@ def _(t):
 
 
 _SWEEPS = """sweeps AS (SELECT * FROM (SELECT regexp_extract(src_ip, '^(\\d+\\.\\d+\\.\\d+)', 1) || '.0/24' AS prefix, count(DISTINCT src_ip) AS sources,
-  count(*) AS hits FROM fw WHERE action = 'drop' GROUP BY 1 ORDER BY sources DESC, hits DESC, prefix LIMIT 12)
+  count(*) AS hits FROM fw WHERE action = 'drop' GROUP BY 1)
   WHERE sources >= {least} AND hits::DOUBLE / sources <= {max})"""
 
 
@@ -729,7 +729,7 @@ def _(t):
     return bare(volume.volume_outlier(_egress(t), t.profile, floor_bytes=50000, multiple=1.1))
 
 
-@query("v03_large_transfer", "fw", f"""WITH {_EGRESS}, top AS (SELECT * FROM pairs WHERE bytes >= 1000 ORDER BY bytes DESC, src_ip, dst_ip LIMIT 10), x AS (SELECT *, dst_ip NOT IN (SELECT dst_ip FROM fw WHERE ts < TIMESTAMP '1995-06-01 00:00:00') AS new FROM top)
+@query("v03_large_transfer", "fw", f"""WITH {_EGRESS}, top AS (SELECT * FROM pairs WHERE bytes >= 1000), x AS (SELECT *, dst_ip NOT IN (SELECT dst_ip FROM fw WHERE ts < TIMESTAMP '1995-06-01 00:00:00') AS new FROM top)
   SELECT 'data.large_transfer.' || src_ip || '.' || dst_ip AS signal_id, CASE WHEN new THEN 2 ELSE 1 END::BIGINT AS severity_hint, CASE WHEN new THEN 0.6 ELSE 0.45 END::DOUBLE AS confidence,
   'ip:' || src_ip || ':source|ip:' || dst_ip || ':destination' AS entities, src_ip AS src, dst_ip AS dst, bytes, hits, new AS destination_is_novel, '' AS attribution_caveat FROM x""")
 def _(t):

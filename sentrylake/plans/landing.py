@@ -297,7 +297,7 @@ def _(t):
 
 
 @query("s20_request_text", "", """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN '{"bucketName":"b' || (o_custkey % 60) || '","name":["n1",7,"n' || (o_custkey % 9) || '"],"zeta":"z"}'
-  WHEN 1 THEN '{"instancesSet":{"items":[{"instanceId":"i-' || (o_custkey % 20) || '"},{"x":1}]},"name":5}' WHEN 2 THEN '{"note":"' || repeat('x', 1988) || '...' END AS request FROM orders""")
+  WHEN 1 THEN '{"instancesSet":{"items":[{"instanceId":"i-' || (o_custkey % 20) || '"},{"x":1}]},"name":5}' WHEN 2 THEN '{"note":"' || repeat('x', 2100) || '"}' END AS request FROM orders""")
 def _(t):
     return _records(t).select(F.col("pos").alias("o_orderkey"), cloudtrail.request_text("requestParameters").alias("request"))
 

@@ -283,14 +283,13 @@ def _(t):
     return H.taxonomy_recurrence(t.findings, AS_OF)
 
 
-@query("h05_prior_findings_for", "findings", f"""SELECT ts, title, severity::BIGINT AS severity, taxonomy, run_id FROM findings WHERE list_contains(named, '10.10.0.33') AND ts >= TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY
-  ORDER BY ts DESC, run_id, finding_id LIMIT 25""")
+@query("h05_prior_findings_for", "findings", f"""SELECT ts, title, severity::BIGINT AS severity, taxonomy, run_id FROM findings WHERE list_contains(named, '10.10.0.33') AND ts >= TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY""")
 def _(t):
     return H.prior_findings_for(t.findings, "10.10.0.33", AS_OF)
 
 
 @query("r04_entity_history", "dns fw ssh findings", f"""WITH {_OBSERVED} SELECT '10.10.0.33' AS entity, first_seen, occurrences, (SELECT count(*) FROM (SELECT 1 FROM findings WHERE list_contains(named, '10.10.0.33')
-  AND ts >= TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY LIMIT 25)) AS past FROM known WHERE etype = 'ip' AND value = '10.10.0.33'""")
+  AND ts >= TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY)) AS past FROM known WHERE etype = 'ip' AND value = '10.10.0.33'""")
 def _(t):
     h = H.entity_history(H.entities(_observed(t)), t.findings, "10.10.0.33", AS_OF)
     return h.select("entity", F.col("baseline.first_seen").alias("first_seen"), F.col("baseline.occurrences").alias("occurrences"),
@@ -323,14 +322,12 @@ def _(t):
     return _ioc_flow(t)
 
 
-@query("h06_hunt_domain", "dns fw", f"""WITH {_SLICES} SELECT CAST(day AS VARCHAR) AS day, client_ip, domain, queries, blocked FROM ioc_dns WHERE day >= DATE '2024-01-15' AND domain ILIKE '%THE%'
-  ORDER BY day DESC, client_ip, domain LIMIT 500""")
+@query("h06_hunt_domain", "dns fw", f"""WITH {_SLICES} SELECT CAST(day AS VARCHAR) AS day, client_ip, domain, queries, blocked FROM ioc_dns WHERE day >= DATE '2024-01-15' AND domain ILIKE '%THE%'""")
 def _(t):
     return H.hunt_domain(_ioc_dns(t), "THE", "2024-01-30 00:00:00", 15)
 
 
-@query("h07_hunt_ip", "dns fw", f"""WITH {_SLICES} SELECT CAST(day AS VARCHAR) AS day, src_ip, dst_ip, dst_port::BIGINT AS dst_port, proto, hits FROM ioc_flow WHERE src_ip = '203.0.113.10' OR dst_ip = '203.0.113.10'
-  ORDER BY day DESC, src_ip, dst_ip, dst_port, proto LIMIT 500""")
+@query("h07_hunt_ip", "dns fw", f"""WITH {_SLICES} SELECT CAST(day AS VARCHAR) AS day, src_ip, dst_ip, dst_port::BIGINT AS dst_port, proto, hits FROM ioc_flow WHERE src_ip = '203.0.113.10' OR dst_ip = '203.0.113.10'""")
 def _(t):
     return H.hunt_ip(_ioc_flow(t), "203.0.113.10", "2024-01-30 00:00:00")
 

@@ -33,7 +33,6 @@ DENIED_ERRORS = "(?i)AccessDenied|Unauthorized|Forbidden|NotAuthorized"
 FILE_STAMP = r"_(\d{8}T\d{4})Z_"
 # A delivery file can hold events older than its name.
 SLACK = timedelta(hours=1)
-TEXT_LIMIT = 2000
 
 # Free-form parts are read as JSON text and looked into only where needed.
 RECORD_SCHEMA = (
@@ -132,19 +131,16 @@ def extract_targets(request: Column | str) -> Column:
                 ids = F.transform(items, lambda v: F.try_variant_get(v, "$.instanceId", "string"))
                 part = part.when(kind.startswith("OBJECT"), F.filter(ids, lambda v: F.coalesce(v, F.lit("")) != ""))
             parts.append(F.coalesce(part, none))
-        return F.transform(F.slice(F.concat(*parts), 1, 20), lambda t: F.substring(t, 1, 200))
+        return F.concat(*parts)
 
     is_object = F.schema_of_variant(body).startswith("OBJECT")
     return F.when(is_object, named(body)).otherwise(none)
 
 
 def request_text(request: Column | str) -> Column:
-    """The request as compact JSON, cut with an ellipsis; null for an empty request."""
+    """The whole request as compact JSON; null for an empty request."""
     text = F.col(request) if isinstance(request, str) else request
-    body = F.when(~F.trim(text).isin("", "{}", "null", "[]"), text)
-    return F.when(
-        F.length(body) > TEXT_LIMIT, F.concat(F.substring(body, 1, TEXT_LIMIT - 3), F.lit("..."))
-    ).otherwise(body)
+    return F.when(~F.trim(text).isin("", "{}", "null", "[]"), text)
 
 
 def _given(c: Column | str) -> Column:

@@ -73,7 +73,7 @@ def append_events(events: DataFrame, root: str, run_id: str) -> None:
 
 def read_events(spark: SparkSession, root: str) -> DataFrame:
     """The event table in today's layout, also where older files lack a column."""
-    return conform_events(spark.read.option("mergeSchema", True).parquet(table_path(root, "events")))
+    return conform_events(spark.read.schema(EVENT_SCHEMA).parquet(table_path(root, "events")))
 
 
 def metric_rows(metrics: DataFrame, run_id: str, at: datetime | str) -> DataFrame:

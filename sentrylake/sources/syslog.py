@@ -383,7 +383,7 @@ def normalize_syslog(lines: DataFrame, profile: Profile, source: str = SOURCE) -
     clean = lines.select(
         parse_timestamp(F.col("timestamp")).alias("ts"),
         dedup_key(
-            source, F.col("device"), F.col("seq"), F.col("timestamp"), F.substring(msg, 1, 80)
+            source, F.col("device"), F.col("seq"), F.col("timestamp"), msg
         ).alias("dedup_key"),
         F.col("device").cast("string").alias("device"),
         F.upper(F.coalesce("program", F.lit(""))).alias("program"),

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from sentrylake.llm.common import pick
 
 #: Entries that a worker remembers; a memory bound, without effect on results.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 _encoders: dict[tuple[str, bool], "PieceEncoder"] = {}
 
 

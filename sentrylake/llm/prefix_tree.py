@@ -5,9 +5,9 @@ that are alike share an n-gram among the first of both, so only these go through
 compared with a block of others at once: the block's sets stand in a tree, common n-grams first, which is
 walked with one overlap for each shared path and cut where what remains is too short.
 
-For the components not all pairs of a group are needed. A first round compares each set with one or two
-others for every shared n-gram. Of what remains apart, a second round compares all pairs that share an
-n-gram, so no link between two components is lost.
+For the components not all pairs of a group are needed. Some rounds compare each set with one other for
+every shared n-gram, while several components have that n-gram. Of what then remains apart all pairs that
+share an n-gram are compared, so no link between two components is lost.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ WORDS, ALIKE = 5, 75
 COUNTERS, FILTER_BITS = 1 << 18, 1 << 24
 #: Sets of a block; a set with more partners has several blocks.
 BLOCK = 256
+#: Rounds in which a set is compared with one other for each n-gram, before all pairs across components are.
+ROUNDS = 3
 
 
 def needed(a: int, b: int, alike: int = ALIKE) -> int:
@@ -241,6 +243,16 @@ def _links(pairs: DataFrame, sets: DataFrame, alike: int, block: int) -> DataFra
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _with_links(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, root`` of the components that links ``a, b`` make of those of ``roots``; other nodes are their own."""
+    for end in ("a", "b"):
+        links = links.join(roots.select(F.col("node").alias(end), F.col("root").alias("to")), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    joined = components(links)
+    moved = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+    new = joined.join(roots.select("node"), "node", "left_anti")
+    return materialize(moved.select("node", F.coalesce("to", "root").alias("root")).unionByName(new), "near-roots")
+
+
 def alike_documents(
     docs: DataFrame, words: int = WORDS, alike: int = ALIKE, doc_id: str = "doc_id", text: str = "text",
     counters: int = COUNTERS, filter_bits: int = FILTER_BITS, block: int = BLOCK,
@@ -266,11 +278,6 @@ def alike_documents(
     shared = firsts.withColumn("low", F.min("sid").over(w)).withColumn("high", F.max("sid").over(w)).where("low <> high")
     shared = materialize(shared.select("token", "sid", "meta").distinct(), "shared-ngrams")
 
-    w = Window.partitionBy("token").orderBy("meta", "sid")
-    near = shared.select("sid", "meta", *[F.struct(f("sid").over(w).alias("p"), f("meta").over(w).alias("p_meta")).alias(n) for f, n in ((F.first, "one"), (F.lag, "two"))])
-    near = near.select("sid", "meta", F.explode(F.array("one", "two")).alias("o"))
-    near = near.where(F.col("o.p").isNotNull() & (F.col("o.p") != F.col("sid")) & _can_link(F.col("meta"), F.col("o.p_meta"), alike))
-    tried = materialize(near.select(F.col("o.p").alias("p"), F.col("sid").alias("x")).distinct(), "near-pairs")
     keyed = keyed.select(F.xxhash64("doc_id.doc_id", "doc_id.text_hash").alias("key"), "text")
     keys = sets.where("sid is not null").groupBy("sid").agg(F.min(F.xxhash64("doc_id", "text_hash")).alias("key"))
 
@@ -279,26 +286,33 @@ def alike_documents(
         ordered = materialize(_ordered_sets(keyed, sids, keys, words, sketch, filter_bits), "ordered-sets")
         return materialize(_links(pairs, ordered, alike, block), name)
 
-    links = linked(tried, "near-links")
-    roots = materialize(components(links), "near-roots")
-
-    # n-grams whose sets are still in several components, and all pairs of sets across these that may be linked
-    apart = shared.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    w = Window.partitionBy("token")
-    apart = apart.withColumn("low", F.min("root").over(w)).withColumn("high", F.max("root").over(w)).where("low <> high").drop("low", "high")
-    apart = materialize(apart, "ngrams-apart")
-    a, b = (apart.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("sid", "meta", "root")]) for s in "ab")
+    def apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        """``token, sid, meta, root`` of n-grams whose sets are in several components."""
+        rows = rows.select("token", "sid", "meta").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        w = Window.partitionBy("token")
+        rows = rows.withColumn("low", F.min("root").over(w)).withColumn("high", F.max("root").over(w)).where("low <> high")
+        return materialize(rows.drop("low", "high"), "ngrams-apart")
+
+    roots = docs.sparkSession.createDataFrame([], "node long, root long")
+    rest, tried = apart(shared, roots), None
+    for i in range(ROUNDS):
+        # every set with one other of each n-gram, the same for most of them, another one in each round
+        w = Window.partitionBy("token")
+        one = rest.withColumn("o", F.min(F.struct(F.xxhash64("sid", F.lit(i)).alias("by"), "sid", "meta", "root")).over(w))
+        near = one.where((F.col("o.root") != F.col("root")) & _can_link(F.col("meta"), F.col("o.meta"), alike))
+        near = materialize(near.select(F.col("o.sid").alias("p"), F.col("sid").alias("x")).distinct(), "near-pairs")
+        done = near.select(F.least("p", "x").alias("p"), F.greatest("p", "x").alias("x"))
+        tried = done if tried is None else tried.unionByName(done)
+        roots = _with_links(roots, linked(near, "near-links"))
+        rest = apart(rest, roots)
+
+    # all pairs that may be linked across the components that are left
+    a, b = (rest.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("sid", "meta", "root")]) for s in "ab")
     across = a.join(b, "token").where("root_a <> root_b and sid_a < sid_b").where(_can_link(F.col("meta_a"), F.col("meta_b"), alike))
     across = across.select(F.col("sid_a").alias("p"), F.col("sid_b").alias("x")).distinct()
-    done = tried.select(F.least("p", "x").alias("p"), F.greatest("p", "x").alias("x"))
-    across = materialize(across.join(done, ["p", "x"], "left_anti"), "apart-pairs")
-    more = linked(across, "apart-links") if not across.isEmpty() else across
-    if not more.isEmpty():
-        joined = components(more.join(roots.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("root", "a").alias("a"), "b").join(roots.withColumnRenamed("node", "b"), "b", "left").select("a", F.coalesce("root", "b").alias("b")))
-        joined = joined.select(F.col("node").alias("root"), F.col("root").alias("joined"))
-        roots = roots.join(joined, "root", "left").select("node", F.coalesce("joined", "root").alias("root")).unionByName(
-            joined.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("joined").alias("root")),
-        )
+    across = materialize(across.join(tried, ["p", "x"], "left_anti"), "apart-pairs")
+    if not across.isEmpty():
+        roots = _with_links(roots, linked(across, "apart-links"))
 
     firsts_of = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     named = firsts_of.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))

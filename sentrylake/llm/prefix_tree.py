@@ -7,7 +7,11 @@ walked with one overlap for each shared path and cut where what remains is too s
 
 For the components not all pairs of a group are needed. Some rounds compare each set with one other for
 every shared n-gram, while several components have that n-gram. Of what then remains apart all pairs that
-share an n-gram are compared, so no link between two components is lost.
+share an n-gram are compared, so no link between two components is lost. An n-gram that many of these sets
+have is dealt in blocks of sets, so its pairs never become rows.
+
+Before sets are sent, a pair must pass an exact test of its sets' signatures, bitmaps of the parity of the
+n-grams at each bit: they differ in no more bits than the sets differ in n-grams.
 """
 
 from __future__ import annotations
@@ -31,7 +35,9 @@ COUNTERS, FILTER_BITS = 1 << 18, 1 << 24
 #: Sets of a block; a set with more partners has several blocks.
 BLOCK = 256
 #: Rounds in which a set is compared with one other for each n-gram, before all pairs across components are.
-ROUNDS = 3
+ROUNDS = 2
+#: From this many sets on an n-gram is dealt in blocks of ``DEALT`` sets, below it pairs come from a join.
+MANY, DEALT = 32, 1024
 
 
 def needed(a: int, b: int, alike: int = ALIKE) -> int:
@@ -56,6 +62,24 @@ def in_order(hashes: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     return hashes[np.lexsort((hashes, sketch[(hashes & np.uint64(len(sketch) - 1)).astype(np.int64)]))]
 
 
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """Parity of the n-grams at each of at least four bits for every one; half of it folded on the other is the next smaller one."""
+    bits = max(64, 1 << (4 * len(hashes) - 1).bit_length())
+    at = (hashes >> np.uint64(20)) & np.uint64(bits - 1)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """In how many bits two signatures differ; the sets differ in at least as many n-grams."""
+    x, y, size, other = int.from_bytes(a, "little"), int.from_bytes(b, "little"), len(a), len(b)
+    if size < other:
+        x, y, size, other = y, x, other, size
+    while size > other:
+        size //= 2
+        x = (x >> (8 * size)) ^ (x & ((1 << (8 * size)) - 1))
+    return (x ^ y).bit_count()
+
+
 class Tree:
     """Sets in one order as paths; a node holds a run of n-grams, the sets that end there, and the sizes below it."""
 
@@ -109,31 +133,36 @@ class Tree:
 
 
 def _sets(docs: DataFrame, words: int, counters: int) -> DataFrame:
-    """``doc_id, n, sid`` for each document, and with a chunk number the packed counts of a task's sets."""
+    """``doc_id, n, sid, sig`` for each document, and with a chunk number the packed counts of a task's sets.
+
+    Only the first of a task's equal sets has its signature.
+    """
 
     def run(batches):
         counts, seen = np.zeros(counters, np.int32), set()
-        fields = ["doc_id", "n", "sid", "chunk", "counts"]
+        fields = ["doc_id", "n", "sid", "sig", "chunk", "counts"]
         kinds = None
         for batch in batches:
-            kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-            sizes, sids = [], []
+            kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+            sizes, sids, sigs = [], [], []
             for text in batch.column(1):
                 h = ngram_set(text.as_py(), words)
                 sizes.append(len(h))
                 sids.append(sid := set_id(h) if len(h) else None)
+                sigs.append(None)
                 if sid is not None and sid not in seen:
                     seen.add(sid)
+                    sigs[-1] = signature(h).tobytes()
                     counts += np.bincount((h & np.uint64(counters - 1)).astype(np.int64), minlength=counters).astype(np.int32)
-            columns = [batch.column(0), sizes, sids, [None] * len(sizes), [None] * len(sizes)]
+            columns = [batch.column(0), sizes, sids, sigs, [None] * len(sizes), [None] * len(sizes)]
             yield pa.RecordBatch.from_arrays([c if i == 0 else pa.array(c, t) for i, (c, t) in enumerate(zip(columns, kinds, strict=True))], fields)
         if seen:
             parts = np.split(counts, 64)
-            columns = [[None] * 64, [None] * 64, [None] * 64, list(range(64)), [zlib.compress(p.tobytes(), 1) for p in parts]]
+            columns = [[None] * 64, [None] * 64, [None] * 64, [None] * 64, list(range(64)), [zlib.compress(p.tobytes(), 1) for p in parts]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], fields)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n int, sid long, chunk int, counts binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, n int, sid long, sig binary, chunk int, counts binary")
 
 
 def _sketch(sets: DataFrame, counters: int) -> np.ndarray:
@@ -210,6 +239,99 @@ def _can_link(meta_a: Column, meta_b: Column, alike: int) -> Column:
     return (F.least(a, b) * 100 >= F.greatest(a, b) * alike) & (room * (100 + alike) >= (a + b) * alike)
 
 
+def _may_link(pairs: DataFrame, signed: DataFrame, alike: int) -> DataFrame:
+    """The pairs ``p, x`` whose signatures leave room for enough overlap."""
+    for end in ("p", "x"):
+        pairs = pairs.join(signed.select(F.col("sid").alias(end), F.struct("n", "sig").alias(f"of_{end}")), end)
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                both = a["n"] + b["n"]
+                keep.append(bits_apart(a["sig"], b["sig"]) <= both - 2 * needed(a["n"], b["n"], alike))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["p", "x"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("p", "x", "of_p", "of_x").mapInArrow(run, "p long, x long")
+
+
+def _pairs_of_block(token: int, sids, ns, places, roots, parts, sigs, peers, crossing: bool, alike: int) -> list[tuple[int, int]]:
+    """Pairs of a block that may be linked, each one only for the first n-gram of many sets that both have."""
+    order = np.argsort(ns, kind="stable")
+    ns, places, roots, parts = (x[order] for x in (ns, places, roots, parts))
+    words = np.array([len(sigs[i]) // 8 for i in order])
+    ends = np.searchsorted(ns, ns * 100 // alike, "right")
+    sets, found, at, folded = {}, [], -1, None
+    for r in range(len(order)):
+        if at < 0 or words[r] != words[at]:
+            # the signatures of this size, and those of larger sets folded to it
+            at, rows = r, []
+            for i in order[r : max(ends[r:][words[r:] == words[r]])]:
+                row = np.frombuffer(sigs[i], np.uint64)
+                while len(row) > words[r]:
+                    row = row[: len(row) // 2] ^ row[len(row) // 2 :]
+                rows.append(row)
+            folded = np.stack(rows)
+        own = np.arange(r + 1, ends[r])
+        both = ns[own] + ns[r]
+        least = -(-alike * both // (100 + alike))
+        ok = (roots[own] != roots[r]) & (np.minimum(ns[own] - places[own], ns[r] - places[r]) >= least)
+        if crossing:
+            ok &= parts[own] != parts[r]
+        own, room = own[ok], (both - 2 * least)[ok]
+        if not len(own):
+            continue
+        apart = np.bitwise_count(folded[own - at] ^ folded[r - at]).sum(1, dtype=np.int64)
+        for x in own[apart <= room].tolist():
+            i, j = int(order[r]), int(order[x])
+            theirs = sets.get(j)
+            if theirs is None:
+                theirs = sets[j] = set(peers[j])
+            if next(t for t in peers[i] if t in theirs) == token:
+                found.append((min(sids[i], sids[j]), max(sids[i], sids[j])))
+    return found
+
+
+def _pairs_of_many(rows: DataFrame, signed: DataFrame, alike: int, dealt: int) -> DataFrame:
+    """The pairs ``p, x`` across components that may be linked, of ``token, sid, meta, root, many`` with n-grams of many sets.
+
+    The sets of an n-gram are split in blocks by their hash, and each two blocks meet in one group: a set is
+    sent once for each block, and a group has about two blocks.
+    """
+    peers = rows.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("meta", "token")))["token"].alias("peers"))
+    rows = rows.join(peers, "sid").join(signed.select("sid", "sig"), "sid")
+    blocks = F.ceil(F.col("many") / dealt).cast("int")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("sid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "sid", "meta", "root", "part", "sig", "peers")
+    rows = rows.repartition(partitions(rows), "token", "i", "j").sortWithinPartitions("token", "i", "j")
+
+    def run(batches):
+        key, group = None, []
+
+        def made():
+            if len(group) < 2:
+                return []
+            sids, metas, roots, parts, sigs, peers = zip(*group, strict=True)
+            metas = np.array(metas, np.int64)
+            return _pairs_of_block(
+                key[0], sids, metas >> 32, metas & 0xFFFFFFFF, np.array(roots, np.int64), np.array(parts), sigs, peers, key[1] != key[2], alike
+            )
+
+        def packed(pairs):
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["p", "x"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != key:
+                    if pairs := made():
+                        yield packed(pairs)
+                    key, group = row[:3], []
+                group.append(row[3:])
+        yield packed(made())
+
+    return rows.mapInArrow(run, "p long, x long").distinct()
+
+
 def _links(pairs: DataFrame, sets: DataFrame, alike: int, block: int) -> DataFrame:
     """The pairs ``p, x`` that are linked: for each ``p`` the sets ``x`` stand in trees of about ``block`` sets."""
     sizes = pairs.groupBy("p").agg((F.count("*") / block).cast("int").alias("more"))
@@ -255,7 +377,7 @@ def _with_links(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 def alike_documents(
     docs: DataFrame, words: int = WORDS, alike: int = ALIKE, doc_id: str = "doc_id", text: str = "text",
-    counters: int = COUNTERS, filter_bits: int = FILTER_BITS, block: int = BLOCK,
+    counters: int = COUNTERS, filter_bits: int = FILTER_BITS, block: int = BLOCK, many: int = MANY, dealt: int = DEALT,
 ) -> DataFrame:
     """``doc_id, text_hash, n_shingles, component_id, group``: the smallest id that a document reaches by links.
 
@@ -271,6 +393,7 @@ def alike_documents(
     keyed = hashes.select(F.struct("doc_id", "text_hash").alias("doc_id"), "text")
     sets = materialize(_sets(keyed, words, counters), "ngram-sets")
     sketch = _sketch(sets, counters)
+    signed = materialize(sets.where("sig is not null").groupBy("sid").agg(F.first("n").alias("n"), F.first("sig").alias("sig")), "signatures")
     sets = sets.where("chunk is null").select("doc_id.doc_id", "doc_id.text_hash", "n", "sid")
 
     firsts = _firsts(rows, words, alike, sketch)
@@ -287,30 +410,33 @@ def alike_documents(
         return materialize(_links(pairs, ordered, alike, block), name)
 
     def apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
-        """``token, sid, meta, root`` of n-grams whose sets are in several components."""
+        """``token, sid, meta, root, many`` of n-grams whose sets are in several components, and how many sets."""
         rows = rows.select("token", "sid", "meta").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         w = Window.partitionBy("token")
-        rows = rows.withColumn("low", F.min("root").over(w)).withColumn("high", F.max("root").over(w)).where("low <> high")
+        rows = rows.withColumn("low", F.min("root").over(w)).withColumn("high", F.max("root").over(w)).withColumn("many", F.count("*").over(w)).where("low <> high")
         return materialize(rows.drop("low", "high"), "ngrams-apart")
 
     roots = docs.sparkSession.createDataFrame([], "node long, root long")
-    rest, tried = apart(shared, roots), None
+    rest, tried = shared.withColumn("root", F.col("sid")), None
     for i in range(ROUNDS):
         # every set with one other of each n-gram, the same for most of them, another one in each round
         w = Window.partitionBy("token")
         one = rest.withColumn("o", F.min(F.struct(F.xxhash64("sid", F.lit(i)).alias("by"), "sid", "meta", "root")).over(w))
         near = one.where((F.col("o.root") != F.col("root")) & _can_link(F.col("meta"), F.col("o.meta"), alike))
-        near = materialize(near.select(F.col("o.sid").alias("p"), F.col("sid").alias("x")).distinct(), "near-pairs")
+        near = near.select(F.col("o.sid").alias("p"), F.col("sid").alias("x")).distinct()
+        near = materialize(_may_link(near, signed, alike), "near-pairs")
         done = near.select(F.least("p", "x").alias("p"), F.greatest("p", "x").alias("x"))
         tried = done if tried is None else tried.unionByName(done)
         roots = _with_links(roots, linked(near, "near-links"))
         rest = apart(rest, roots)
 
     # all pairs that may be linked across the components that are left
-    a, b = (rest.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("sid", "meta", "root")]) for s in "ab")
+    few = rest.where(F.col("many") < many)
+    a, b = (few.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("sid", "meta", "root")]) for s in "ab")
     across = a.join(b, "token").where("root_a <> root_b and sid_a < sid_b").where(_can_link(F.col("meta_a"), F.col("meta_b"), alike))
-    across = across.select(F.col("sid_a").alias("p"), F.col("sid_b").alias("x")).distinct()
-    across = materialize(across.join(tried, ["p", "x"], "left_anti"), "apart-pairs")
+    across = _may_link(across.select(F.col("sid_a").alias("p"), F.col("sid_b").alias("x")).distinct(), signed, alike)
+    across = across.unionByName(_pairs_of_many(rest.where(F.col("many") >= many), signed, alike, dealt)).distinct()
+    across = materialize(across if tried is None else across.join(tried, ["p", "x"], "left_anti"), "apart-pairs")
     if not across.isEmpty():
         roots = _with_links(roots, linked(across, "apart-links"))
 

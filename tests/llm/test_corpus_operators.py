@@ -158,8 +158,9 @@ def test_components_equal_brute_force(spark, awkward, empty):
     assert prefix_tree.alike_documents(empty).count() == 0
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_chains_of_near_copies(spark, seed):
+@pytest.mark.parametrize(("seed", "many", "dealt"), [(1, 32, 1024), (2, 2, 3)])
+def test_chains_of_near_copies(spark, monkeypatch, seed, many, dealt):
+    monkeypatch.setattr(prefix_tree, "ROUNDS", seed % 2)
     rng, rows = random.Random(seed), []
     for family in range(6):
         words = [f"f{family}_{rng.randrange(60)}" for _ in range(rng.choice([6, 30, 80]))]
@@ -167,7 +168,7 @@ def test_chains_of_near_copies(spark, seed):
             words = [w if rng.random() > 0.03 else f"n{rng.randrange(99)}" for w in words]
             rows.append((len(rows), " ".join(words[: len(words) - rng.randrange(3)])))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = materialize(prefix_tree.alike_documents(df, counters=256, filter_bits=256, block=3), "t")
+    found = materialize(prefix_tree.alike_documents(df, counters=256, filter_bits=256, block=3, many=many, dealt=dealt), "t")
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == brute_components(rows)
     kept = prefix_tree.one_of_each(df, found)
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in brute_components(rows)})
@@ -190,6 +191,13 @@ def test_tree_search_equals_brute_force(sets, probe):
     assert sorted(got) == [i for i, s in enumerate(sets) if 100 * len(s & probe) >= 75 * len(s | probe)]
 
 
+@given(st.frozensets(st.integers(0, 400), min_size=1, max_size=300), st.frozensets(st.integers(0, 400), min_size=1, max_size=60))
+@settings(max_examples=60, deadline=None)
+def test_signatures_differ_no_more_than_sets(left, right):
+    sigs = [prefix_tree.signature(prefix_tree.mix(np.array(sorted(s), np.uint64))).tobytes() for s in (left, right)]
+    assert prefix_tree.bits_apart(*sigs) == prefix_tree.bits_apart(*sigs[::-1]) <= len(left ^ right)
+
+
 # ---- 5
 
 

@@ -417,7 +417,8 @@ def alike_documents(
         return materialize(rows.drop("low", "high"), "ngrams-apart")
 
     roots = docs.sparkSession.createDataFrame([], "node long, root long")
-    rest, tried = shared.withColumn("root", F.col("sid")), None
+    rest = shared.withColumn("root", F.col("sid")).withColumn("many", F.count("*").over(w))
+    tried = None
     for i in range(ROUNDS):
         # every set with one other of each n-gram, the same for most of them, another one in each round
         w = Window.partitionBy("token")

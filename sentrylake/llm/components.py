@@ -35,8 +35,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges, mark = materialize(edges, "links"), None
     while True:
-        edges = materialize(_stars(edges, True), "links")
-        edges = materialize(_stars(edges, False), "links")
+        edges = materialize(_stars(_stars(edges, True), False), "links")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
         if tuple(now) == mark:
             break

@@ -35,7 +35,7 @@ COUNTERS, FILTER_BITS = 1 << 18, 1 << 24
 #: Sets of a block; a set with more partners has several blocks.
 BLOCK = 256
 #: Rounds in which a set is compared with one other for each n-gram, before all pairs across components are.
-ROUNDS = 2
+ROUNDS = 1
 #: From this many sets on an n-gram is dealt in blocks of ``DEALT`` sets, below it pairs come from a join.
 MANY, DEALT = 32, 1024
 

@@ -63,8 +63,8 @@ def in_order(hashes: np.ndarray, sketch: np.ndarray) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """Parity of the n-grams at each of at least four bits for every one; half of it folded on the other is the next smaller one."""
-    bits = max(64, 1 << (4 * len(hashes) - 1).bit_length())
+    """Parity of the n-grams at each of at least two bits for every one; half of it folded on the other is the next smaller one."""
+    bits = max(64, 1 << (2 * len(hashes) - 1).bit_length())
     at = (hashes >> np.uint64(20)) & np.uint64(bits - 1)
     return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
 
@@ -424,7 +424,7 @@ def alike_documents(
         w = Window.partitionBy("token")
         one = rest.withColumn("o", F.min(F.struct(F.xxhash64("sid", F.lit(i)).alias("by"), "sid", "meta", "root")).over(w))
         near = one.where((F.col("o.root") != F.col("root")) & _can_link(F.col("meta"), F.col("o.meta"), alike))
-        near = near.select(F.col("o.sid").alias("p"), F.col("sid").alias("x")).distinct()
+        near = materialize(near.select(F.col("o.sid").alias("p"), F.col("sid").alias("x")).distinct(), "maybe-pairs")
         near = materialize(_may_link(near, signed, alike), "near-pairs")
         done = near.select(F.least("p", "x").alias("p"), F.greatest("p", "x").alias("x"))
         tried = done if tried is None else tried.unionByName(done)
@@ -435,7 +435,8 @@ def alike_documents(
     few = rest.where(F.col("many") < many)
     a, b = (few.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("sid", "meta", "root")]) for s in "ab")
     across = a.join(b, "token").where("root_a <> root_b and sid_a < sid_b").where(_can_link(F.col("meta_a"), F.col("meta_b"), alike))
-    across = _may_link(across.select(F.col("sid_a").alias("p"), F.col("sid_b").alias("x")).distinct(), signed, alike)
+    across = materialize(across.select(F.col("sid_a").alias("p"), F.col("sid_b").alias("x")).distinct(), "maybe-pairs")
+    across = _may_link(across, signed, alike)
     across = across.unionByName(_pairs_of_many(rest.where(F.col("many") >= many), signed, alike, dealt)).distinct()
     across = materialize(across if tried is None else across.join(tried, ["p", "x"], "left_anti"), "apart-pairs")
     if not across.isEmpty():

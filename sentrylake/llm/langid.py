@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from typing import NamedTuple
 
 import numpy as np
@@ -18,8 +19,12 @@ from sentrylake.session import materialize
 SIZE, ORDERS = 1 << 13, (1, 2, 3)
 #: Centroids of a language, rounds of their search, and the most documents (about) that a language gives to it.
 CENTROIDS, ROUNDS, SAMPLE = 8, 12, 2000
-#: A text whose nearest centroid has a cosine below is in none of the languages.
+#: A text whose nearest centroid has a cosine below is in none of the languages, whatever its radius.
 NEAREST = 0.05
+#: The radius of a language is so much of the cosine that this share of its rows stays below; fewer pieces teach none.
+#: It is learned apart for texts of as many components (by powers of two), also from the first letters of each row.
+SLACK, LOW, LEAST = 0.5, 0.01, 50
+PIECES, BANDS, BINS = (8, 32, 128, 512), SIZE.bit_length(), 512
 UNKNOWN = "und"
 
 
@@ -27,6 +32,7 @@ class Model(NamedTuple):
     idf: np.ndarray
     languages: list[str]  # of each centroid
     centroids: np.ndarray  # unit vectors
+    radii: np.ndarray  # least cosine by centroid and band
 
 
 def counts(text: str | None) -> np.ndarray:
@@ -78,12 +84,58 @@ def cluster(vectors: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return centroids.astype(np.float32)
 
 
+def band(v: np.ndarray) -> int:
+    """How rich a vector is: a text of few components, short or repetitive, is far from every centroid."""
+    return max(0, int(np.count_nonzero(v)).bit_length() - 1)
+
+
+def radii(known: DataFrame, idf: np.ndarray, languages: list[str], centroids: np.ndarray) -> np.ndarray:
+    """The least cosine of each centroid's language in each band, from all rows of ``text, lang`` and their beginnings.
+
+    Tasks count cosines in ``BINS`` steps, so the driver gets at most that many numbers for each language and band.
+    A band in which a language has fewer than ``LEAST`` pieces takes the lowest radius of the others, or, as the
+    richest bands do, that of the band below.
+    """
+    own = {x: centroids[[i for i, y in enumerate(languages) if x == y]] for x in set(languages)}
+
+    def run(batches):
+        found: Counter = Counter()
+        for batch in batches:
+            for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                if lang not in own:
+                    continue
+                whole = text.as_py()
+                for part in (whole, *(whole[:k] for k in PIECES if k < len(whole))):
+                    v = vector(part, idf)
+                    if v.any():
+                        found[lang, band(v), int(BINS * max(0.0, float((own[lang] @ v).max())))] += 1
+        columns = list(zip(*[(*key, n) for key, n in found.items()], strict=True)) or [[]] * 4
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["lang", "band", "bin", "n"])
+
+    steps = known.select("text", "lang").mapInArrow(run, "lang string, band int, bin int, n long").groupBy("lang", "band", "bin").agg(F.sum("n").alias("n"))
+    held = defaultdict(list)
+    for r in steps.collect():
+        held[r["lang"], r["band"]].append((r["bin"], r["n"]))
+    least: dict = {}
+    for key, pairs in held.items():
+        at, n = np.array(sorted(pairs)).T
+        if n.sum() >= LEAST:
+            least[key] = SLACK * at[np.searchsorted(np.cumsum(n), LOW * n.sum())] / BINS
+    out = np.zeros((len(languages), BANDS), np.float32)
+    for b in range(BANDS):
+        others = [x for (_, c), x in least.items() if c == b]
+        for i, lang in enumerate(languages):
+            out[i, b] = least.get((lang, b), min(others) if others else out[i, b - 1] if b else 0.0)
+    return out
+
+
 def fit(known: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -> Model:
     """The model of rows of ``text, lang``; rows without a language or without letters teach nothing.
 
     Document frequencies are those of all rows. The centroids of a language are those of about ``sample`` of
-    its documents, drawn by a hash of the text: this bounds what one task clusters. The driver gets
-    ``SIZE`` frequencies and ``centroids`` vectors for each language, and so does every task.
+    its documents, drawn by a hash of the text: this bounds what one task clusters. Its radii are those of all
+    rows. The driver gets ``SIZE`` frequencies and ``centroids`` vectors for each language, and so does every task.
     """
     known = known.select("text", "lang").where("text is not null and lang is not null")
     frequencies = {r["component"]: r["n"] for r in document_frequencies(known).collect()}
@@ -105,7 +157,8 @@ def fit(known: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -> M
     learned = drawn.groupBy("lang").applyInPandas(learn, "lang string, centroid binary").collect()
     learned.sort(key=lambda r: (r["lang"], bytes(r["centroid"])))
     rows = [np.frombuffer(bytes(r["centroid"]), np.float32) for r in learned]
-    return Model(idf, [r["lang"] for r in learned], np.stack(rows) if rows else np.zeros((0, SIZE), np.float32))
+    languages, found = [r["lang"] for r in learned], np.stack(rows) if rows else np.zeros((0, SIZE), np.float32)
+    return Model(idf, languages, found, radii(known, idf, languages, found))
 
 
 def predict(model: Model, text: str | Column = "text", nearest: float = NEAREST) -> Column:
@@ -113,7 +166,7 @@ def predict(model: Model, text: str | Column = "text", nearest: float = NEAREST)
 
     ``lang_pred`` is the language of the nearest centroid and ``score`` its cosine; ``und`` and 0 for a text
     that is null or has no letter, or if no language was learned. ``rejected``: those, and texts whose
-    nearest centroid is farther than a cosine of ``nearest``.
+    nearest centroid is farther than its radius for texts as rich, or than a cosine of ``nearest``.
     """
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
@@ -127,7 +180,7 @@ def predict(model: Model, text: str | Column = "text", nearest: float = NEAREST)
             cosines = model.centroids @ v
             best = int(np.argmax(cosines))
             score = float(min(1.0, max(0.0, cosines[best])))
-            out.append((model.languages[best], score, score < nearest))
+            out.append((model.languages[best], score, score < max(nearest, model.radii[best, band(v)])))
         return pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
 
     return run(text)

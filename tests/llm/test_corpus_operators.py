@@ -313,6 +313,21 @@ def test_language(spark, empty):
     assert spark.createDataFrame([("abc",)], "text string").select(langid.predict(nothing)["lang_pred"]).first()[0] == "und"
 
 
+def test_unlearned_languages_of_the_same_script_are_rejected(spark):
+    sounds = {"aa": ["ka", "lo", "mi", "ne", "tu"], "bb": ["str", "ung", "ich", "tu", "ge"], "zz": ["prz", "ka", "ych", "owa", "zky", "dwi"]}
+    rng = random.Random(16)
+    made = lambda lang, n: " ".join("".join(rng.choice(sounds[lang]) for _ in range(3)) for _ in range(n))
+    noise = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(n))
+    known = [(made(x, rng.choice([3, 20, 60, 200])), x) for x in ("aa", "bb") for _ in range(100)]
+    model = langid.fit(spark.createDataFrame(known, "text string, lang string"), centroids=4)
+    finnish = "Suomen kieli on itämerensuomalainen kieli jota puhutaan pääasiassa Suomessa mutta myös muissa maissa joissa on suomalaisia"
+    far = [made("zz", 60) for _ in range(10)] + [noise(80) for _ in range(10)] + [finnish]
+    near = [made(x, n) for x in ("aa", "bb") for n in (1, 2, 5, 30, 400) for _ in range(10)] + ["Kalomi " * 300]
+    rows = [(t, "far") for t in far] + [(t, "near") for t in near]
+    got = spark.createDataFrame(rows, "text string, kind string").select("kind", langid.predict(model).alias("p")).collect()
+    assert all(r.p.rejected for r in got if r.kind == "far") and not any(r.p.rejected for r in got if r.kind == "near")
+
+
 # ---- 8
 
 

@@ -134,7 +134,7 @@ def fit(known: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -> M
     """The model of rows of ``text, lang``; rows without a language or without letters teach nothing.
 
     Document frequencies are those of all rows. The centroids of a language are those of about ``sample`` of
-    its documents, drawn by a hash of the text: this bounds what one task clusters. Its radii are those of all
+    its distinct texts, drawn by their hash: this bounds what one task clusters, however many copies there are. Its radii are those of all
     rows. The driver gets ``SIZE`` frequencies and ``centroids`` vectors for each language, and so does every task.
     """
     known = known.select("text", "lang").where("text is not null and lang is not null")
@@ -144,9 +144,12 @@ def fit(known: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -> M
     df[list(frequencies)] = list(frequencies.values())
     idf = (np.log((1 + n) / (1 + df)) + 0.1).astype(np.float32)
 
-    shares = [x for r in known.groupBy("lang").count().collect() for x in (F.lit(r["lang"]), F.lit(sample / r["count"]))]
-    chance = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = materialize(known.where(chance < F.create_map(*shares)[F.col("lang")]) if shares else known, "language-sample")
+    hashed = known.withColumn("h", F.xxhash64("text", F.lit(3)))
+    kinds = hashed.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()
+    shares = [x for r in kinds for x in (F.lit(r["lang"]), F.lit(sample / r["n"]))]
+    chance = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
+    drawn = hashed.where(chance < F.create_map(*shares)[F.col("lang")]) if shares else hashed
+    drawn = materialize(drawn.dropDuplicates(["lang", "h"]).drop("h"), "language-sample")
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         vectors = np.stack([vector(x, idf) for x in sorted(pdf["text"])])

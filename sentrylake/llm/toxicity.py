@@ -30,12 +30,14 @@ REJECT = 0.7
 #: Slots of the table of log ratios and of that of contexts: the size of what each task gets, whatever the corpus.
 #: N-grams that share a slot share the mean of their log ratios, weighted by their counts.
 SLOTS, CONTEXT_SLOTS = 1 << 22, 1 << 20
-#: One in so many training rows fits the scale of the score and is not counted; at most so many of them are drawn.
+#: At most one in so many distinct training texts fits the scale of the score, and about so many of them at most.
 SCALE_EVERY, SCALE_ROWS = 8, 20_000
 #: Slope and middle that the fit starts from and stays near when there are few rows.
 SLOPE, MIDDLE = 5.0, 1.0
 #: Symbols that a task gathers before it adds them up; a memory bound.
 _AT_ONCE = 1 << 21
+#: Counts of all rows, and of all but those that fit the scale.
+CLASSES, LESS = ("toxic", "ordinary"), ("toxic_less", "ordinary_less")
 
 
 class Model(NamedTuple):
@@ -55,34 +57,37 @@ def _text_grams(text: str | None) -> np.ndarray:
 
 
 def counts(labelled: DataFrame) -> DataFrame:
-    """``g, toxic, ordinary``: n-grams of all rows of ``text, toxic``; tasks add up their own before the shuffle."""
+    """``g`` and counts: n-grams of all rows of ``text, toxic, aside``; tasks add up their own before the shuffle.
+
+    ``toxic, ordinary`` are those of all rows, ``toxic_less, ordinary_less`` those of rows that aren't set aside.
+    """
 
     def run(batches):
-        held: dict[int, list[np.ndarray]] = {0: [], 1: []}
+        held: dict[tuple[int, bool], list[np.ndarray]] = {(label, aside): [] for label in (0, 1) for aside in (False, True)}
         size = 0
 
         def made():
             keys, sums = [], []
-            for label, parts in held.items():
+            for (label, aside), parts in held.items():
                 u, n = np.unique(np.concatenate([np.zeros(0, np.int64), *parts]), return_counts=True)
                 keys.append(u)
-                sums.append((n * (label == 1), n * (label == 0)))
+                sums.append([n * (label == of) * (not (aside and less)) for less in (False, True) for of in (1, 0)])
                 parts.clear()
-            columns = [np.concatenate(keys), *(np.concatenate([s[k] for s in sums]) for k in (0, 1))]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["g", "toxic", "ordinary"])
+            columns = [np.concatenate(keys), *(np.concatenate([s[k] for s in sums]) for k in range(4))]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["g", *CLASSES, *LESS])
 
         for batch in batches:
-            for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for text, label, aside in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 g = _text_grams(text.as_py())
-                held[int(label == 1)].append(g)
+                held[int(label == 1), bool(aside)].append(g)
                 size += len(g)
                 if size >= _AT_ONCE:
                     yield made()
                     size = 0
         yield made()
 
-    found = labelled.select("text", "toxic").mapInArrow(run, "g long, toxic long, ordinary long")
-    return found.groupBy("g").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    found = labelled.select("text", "toxic", "aside").mapInArrow(run, "g long, toxic long, ordinary long, toxic_less long, ordinary_less long")
+    return found.groupBy("g").agg(*[F.sum(c).alias(c) for c in (*CLASSES, *LESS)])
 
 
 def _suffix(c: str, k: int) -> Column:
@@ -90,7 +95,7 @@ def _suffix(c: str, k: int) -> Column:
 
 
 def _shared(levels: dict[int, DataFrame]) -> DataFrame:
-    """``key, p_toxic, p_ordinary``, both alike: interpolated Kneser-Ney of order ``SHARED`` from the types of both classes."""
+    """``key`` and a chance for each class, all alike: interpolated Kneser-Ney of order ``SHARED`` from the types of both classes."""
     total = levels[1].agg(F.coalesce(F.sum("types"), F.lit(1))).first()[0]
     p = levels[1].select("key", (F.col("types") / total).alias("p"))
     for k in range(2, SHARED + 1):
@@ -99,16 +104,22 @@ def _shared(levels: dict[int, DataFrame]) -> DataFrame:
         below = p.select(F.col("key").alias("low"), F.col("p").alias("p_low"))
         chance = (F.col("types") - DISCOUNT + DISCOUNT * F.col("kinds") * F.col("p_low")) / F.col("sum")
         p = level.join(sums, "context").join(below, "low").select("key", chance.alias("p"))
-    return p.select("key", F.col("p").alias("p_toxic"), F.col("p").alias("p_ordinary"))
+    return p.select("key", *[F.col("p").alias(f"p_{c}") for c in (*CLASSES, *LESS)])
 
 
 def log_ratios(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``level, key, n, ratio`` of the n-grams of each class order, and of their contexts.
+    """``level, key, n, ratio, n_less, ratio_less`` of the n-grams of each class order, and of their contexts.
 
-    The ratio of a context is that of the shares which the classes leave to the order below; an n-gram that
+    ``less`` is without the rows set aside: an n-gram that only they have gets what backing off gives. The ratio of a context is that of the shares which the classes leave to the order below; an n-gram that
     neither class has adds it and goes on there.
     """
-    classes = ("toxic", "ordinary")
+    classes = (*CLASSES, *LESS)
+
+    def compared(name: str, end: str = "") -> list[Column]:
+        """``n`` and ``ratio`` of all rows and of those not set aside."""
+        both = ((CLASSES, ""), (LESS, "_less"))
+        return [x for (t, o), as_ in both for x in ((F.col(f"{t}{end}") + F.col(f"{o}{end}")).alias(f"n{as_}"), F.log(F.col(name.format(t)) / F.col(name.format(o))).alias(f"ratio{as_}"))]
+
     levels = {ORDER: found.select(F.col("g").alias("key"), *classes, F.lit(1).alias("types"))}
     for k in range(ORDER - 1, 0, -1):
         seen = [F.count(F.when(F.col(c) > 0, 1)).alias(c) for c in classes]
@@ -123,29 +134,31 @@ def log_ratios(found: DataFrame) -> tuple[DataFrame, DataFrame]:
             contexts = contexts.withColumn(f"{c}_rest", F.when(F.col(f"{c}_sum") > 0, DISCOUNT * F.col(f"{c}_kinds") / F.col(f"{c}_sum")).otherwise(1.0))
         own = {c: F.when(F.col(f"{c}_sum") > 0, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(f"{c}_sum")).otherwise(0.0) for c in classes}
         chances = [(own[c] + F.col(f"{c}_rest") * F.col(f"p_{c}")).alias(f"p_{c}") for c in classes]
-        n = (F.col("toxic") + F.col("ordinary")).alias("n")
         level = level.join(contexts, "context").join(below.withColumnRenamed("key", "low"), "low")
-        below = materialize(level.select("key", n, *chances), "ngram-chances")
-        ratios.append(below.select(F.lit(k).alias("level"), "key", "n", F.log(F.col("p_toxic") / F.col("p_ordinary")).alias("ratio")))
-        below = below.drop("n")
-        n = (F.col("toxic_sum") + F.col("ordinary_sum")).alias("n")
-        rests.append(contexts.select(F.lit(k).alias("level"), F.col("context").alias("key"), n, F.log(F.col("toxic_rest") / F.col("ordinary_rest")).alias("ratio")))
+        below = materialize(level.select("key", *classes, *chances), "ngram-chances")
+        ratios.append(below.select(F.lit(k).alias("level"), "key", *compared("p_{}")))
+        below = below.drop(*classes)
+        rests.append(contexts.select(F.lit(k).alias("level"), F.col("context").alias("key"), *compared("{}_rest", "_sum")))
     return reduce(DataFrame.unionByName, ratios), reduce(DataFrame.unionByName, rests)
 
 
-def _slots(rows: DataFrame, slots: int, empty: float) -> np.ndarray:
-    """One value for each slot; the rows fetched are bounded by ``slots``."""
+def _slots(rows: DataFrame, slots: int, empty: float) -> tuple[np.ndarray, np.ndarray]:
+    """One value for each slot, of all rows and of those not set aside; the rows fetched are bounded by ``slots``."""
 
     def run(batches):
         for batch in batches:
             slot = _slot(batch.column(1).to_numpy(), batch.column(0).to_numpy().astype(np.uint64), slots)
-            yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), batch.column(2), batch.column(3)], ["slot", "n", "ratio"])
+            yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), *batch.columns[2:]], ["slot", "n", "ratio", "n_less", "ratio_less"])
 
-    found = rows.select("level", "key", "n", "ratio").mapInArrow(run, "slot int, n long, ratio double").groupBy("slot")
-    found = found.agg((F.sum(F.col("ratio") * F.col("n")) / F.sum("n")).cast("float").alias("ratio")).toArrow()
-    out = np.full(slots, empty, np.float32)
-    out[found["slot"].to_numpy()] = found["ratio"].to_numpy()
-    return out
+    found = rows.select("level", "key", "n", "ratio", "n_less", "ratio_less").mapInArrow(run, "slot int, n long, ratio double, n_less long, ratio_less double").groupBy("slot")
+    mean = lambda end: F.try_divide(F.sum(F.col(f"ratio{end}") * F.col(f"n{end}")), F.sum(f"n{end}")).cast("float").alias(f"ratio{end}")
+    found = found.agg(mean(""), mean("_less")).toArrow()
+    made = []
+    for name in ("ratio", "ratio_less"):
+        out = np.full(slots, empty, np.float32)
+        out[found["slot"].to_numpy()] = found[name].fill_null(empty).to_numpy()
+        made.append(out)
+    return made[0], made[1]
 
 
 def worst_window(text: str | None, ratios: np.ndarray, contexts: np.ndarray) -> float:
@@ -192,19 +205,18 @@ def _fit_scale(values: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 def fit(labelled: DataFrame) -> Model:
     """The model of all rows of ``text, toxic`` (0 or 1; other labels are left out).
 
-    One row in ``SCALE_EVERY``, by a hash of its text, isn't counted and fits the scale of the score. Without
-    rows of one class every score is that of a text about which both models say the same.
+    All rows are counted. The scale of the score is that of about ``SCALE_ROWS`` distinct texts, and of at most
+    one in ``SCALE_EVERY``, drawn by a hash: they are scored by the model of the other rows. Without rows of one
+    class every score is that of a text about which both models say the same.
     """
-    rows = labelled.select("text", "toxic").where("toxic in (0, 1)")
-    aside = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(SCALE_EVERY)) == 0
-    found = materialize(counts(rows.where(~aside)), "ngram-counts")
-    ratios, rests = log_ratios(found)
-    tables = (_slots(ratios, SLOTS, np.nan), _slots(rests, CONTEXT_SLOTS, 0.0))
-    held = materialize(rows.where(aside), "scale-rows")
-    n = held.count()
-    share = F.pmod(F.xxhash64("text", F.lit(6)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SCALE_ROWS / max(1, n)))
-    drawn = held.where(share).select(_windows(tables)("text").alias("v"), "toxic").toPandas()
-    return Model(*tables, *_fit_scale(drawn["v"].to_numpy(float), drawn["toxic"].to_numpy(float)))
+    rows = labelled.select("text", "toxic", F.xxhash64("text", F.lit(5)).alias("h")).where("toxic in (0, 1)")
+    kinds = rows.agg(F.approx_count_distinct("h", 0.02)).first()[0]
+    aside = F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * min(1 / SCALE_EVERY, SCALE_ROWS / max(1, kinds)))
+    found = materialize(counts(rows.withColumn("aside", aside)), "ngram-counts")
+    (ratios, ratios_less), (rests, rests_less) = (_slots(x, n, empty) for x, n, empty in zip(log_ratios(found), (SLOTS, CONTEXT_SLOTS), (np.nan, 0.0), strict=True))
+    drawn = rows.where(aside).dropDuplicates(["h", "toxic"])
+    drawn = drawn.select(_windows((ratios_less, rests_less))("text").alias("v"), "toxic").toPandas()
+    return Model(ratios, rests, *_fit_scale(drawn["v"].to_numpy(float), drawn["toxic"].to_numpy(float)))
 
 
 def _windows(tables: tuple[np.ndarray, np.ndarray]):

@@ -289,6 +289,29 @@ def test_toxicity_finds_rare_forms(spark, empty):
     assert spark.createDataFrame([("a",), (None,)], "text string").select(toxicity.score(blank).alias("s")).count() == 2
 
 
+def test_copies_of_one_toxic_text_are_learned_and_drawn_once(spark, monkeypatch):
+    rng = random.Random(21)
+    ordinary = [(some_text(rng, 60), 0) for _ in range(300)] + [(some_text(rng, 50) + " vequtali scoundrel", 1) for _ in range(80)]
+    words = ["zub" + x + "qim" for x in "abcdefghijklmnop"]  # each only in copies of one text
+    copied = [(f"{some_text(rng, 30)} {w} {w} {w} {some_text(rng, 30)}", 1) for w in words for _ in range(20)]
+    fitted = []
+    monkeypatch.setattr(toxicity, "_fit_scale", lambda v, y, *more, real=toxicity._fit_scale: fitted.append(len(y)) or real(v, y, *more))
+    df = spark.createDataFrame(ordinary + copied, "text string, toxic int")
+    model = toxicity.fit(df)
+    for w in words:  # its 5-grams are known, whichever texts fit the scale
+        g = toxicity._text_grams(w)[4:]
+        assert not np.isnan(model.ratios[toxicity._slot(g, toxicity.ORDER, len(model.ratios))]).any()
+    assert 0 < fitted[0] <= 396 / 4
+    hot = spark.createDataFrame([(t, y) for t, y in ordinary for _ in range(30)], "text string, toxic int")
+    toxicity.fit(hot)
+    assert 0 < fitted[1] <= 380 / 4
+    alike = spark.createDataFrame([(f"kalo {w}", "aa") for w in words[:4] for _ in range(500)], "text string, lang string")
+    seen = []
+    monkeypatch.setattr(langid, "materialize", lambda df, name, real=langid.materialize: seen.append(real(df, name)) or seen[-1])
+    langid.fit(alike, centroids=2, sample=20)
+    assert seen[0].count() == 4
+
+
 def test_long_texts_are_scored_whole(monkeypatch):
     from sentrylake.llm import letters
 

@@ -5,8 +5,10 @@ occurs, of the others how many letters the class has seen before it. Below, both
 distribution, from the n-gram types of both together. So a rare expression doesn't speak for the class
 that happens to have more text; only what one class says more often than the other expects does.
 
-The score of a text compares both log-likelihoods over windows of ``WINDOW`` letters, each divided by that
-length, and takes the most toxic window: a long text is as toxic as its worst passage, not as its average.
+The score of a text compares both log-likelihoods, divided by the letters they are of, over the whole text and
+over windows of ``WINDOW`` letters. Of the windows the most toxic counts, less what the most toxic window of an
+ordinary text with as many is expected to have: a long text is as toxic as its worst passage, not as its
+average, but isn't more toxic for having more passages.
 """
 
 from __future__ import annotations
@@ -43,7 +45,10 @@ CLASSES, LESS = ("toxic", "ordinary"), ("toxic_less", "ordinary_less")
 class Model(NamedTuple):
     ratios: np.ndarray  # NaN: neither class has an n-gram of this slot
     contexts: np.ndarray  # 0: neither class has this context
+    growth: float  # of an ordinary text's best window with the logarithm of the number of windows
+    usual: float  # the logarithm from which that growth counts
     slope: float
+    whole: float  # slope of the ratio of the whole text
     middle: float
 
 
@@ -161,14 +166,16 @@ def _slots(rows: DataFrame, slots: int, empty: float) -> tuple[np.ndarray, np.nd
     return made[0], made[1]
 
 
-def worst_window(text: str | None, ratios: np.ndarray, contexts: np.ndarray) -> float:
-    """The highest log-likelihood ratio of ``WINDOW`` letters in a row, divided by that length.
+def evidence(text: str | None, ratios: np.ndarray, contexts: np.ndarray) -> tuple[float, float, int]:
+    """Highest log-likelihood ratio of ``WINDOW`` letters in a row, that of all letters, and the number of windows.
 
-    0 for a text without letters; a text shorter than a window is one window.
+    Each is divided by the letters scored. A text shorter than a window is one window; one without letters has 0s.
     """
-    worst = -np.inf
-    for s in streams(text or "", ORDER - 1, ORDER + WINDOW - 2):
+    best, short, total, letters, repeated = -np.inf, 0.0, 0.0, 0, 0
+    overlap = ORDER + WINDOW - 2
+    for s in streams(text or "", ORDER - 1, overlap):
         g = grams(s, ORDER)
+        again, repeated = repeated, max(0, min(len(s), overlap) - ORDER + 1)  # n-grams that the next slice has too
         if not len(g):
             continue
         value, left = np.zeros(len(g), np.float32), np.arange(len(g))
@@ -182,24 +189,45 @@ def worst_window(text: str | None, ratios: np.ndarray, contexts: np.ndarray) ->
                 break
             value[left] += contexts[_slot(key[unseen] >> BITS, k, len(contexts))]
         sums = np.concatenate([[0.0], np.cumsum(value, dtype=np.float64)])
-        worst = max(worst, sums[-1] if len(g) <= WINDOW else (sums[WINDOW:] - sums[:-WINDOW]).max())
-    return float(worst) / WINDOW if np.isfinite(worst) else 0.0
+        total, letters = total + sums[-1] - sums[again], letters + len(g) - again
+        if len(g) < WINDOW:
+            short = sums[-1] / len(g)  # a later slice begins with these letters
+        else:
+            best = max(best, (sums[WINDOW:] - sums[:-WINDOW]).max() / WINDOW)
+    return float(best if np.isfinite(best) else short), float(total / max(1, letters)), max(1, letters - WINDOW + 1)
 
 
-def _fit_scale(values: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and middle of a logistic curve, pulled toward ``SLOPE`` and ``MIDDLE`` (Newton's method)."""
-    w = np.array([SLOPE, -SLOPE * MIDDLE])
-    start, x = w.copy(), np.stack([values, np.ones_like(values)], 1)
-    pull = np.diag([0.05, 0.05])
+def _fit_growth(best: np.ndarray, windows: np.ndarray) -> tuple[float, float]:
+    """How the best window of ordinary texts grows with the logarithm of their windows, at least 0, and from where."""
+    if not len(best):
+        return 0.0, 0.0
+    x = np.log(windows)
+    usual = float(x.mean())
+    return max(0.0, float((x - usual) @ (best - best.mean()) / ((x - usual) @ (x - usual) + 1.0))), usual
+
+
+def _fit_scale(values: np.ndarray, labels: np.ndarray, whole: np.ndarray) -> tuple[float, float, float]:
+    """Slopes of the best window and of the whole text, and middle, of a logistic curve (Newton's method).
+
+    They are pulled toward ``SLOPE``, 0 and ``MIDDLE``; a whole text is never less toxic for a higher ratio.
+    """
+    start = np.array([SLOPE, 0.0, -SLOPE * MIDDLE])
+    every = np.stack([values, whole, np.ones_like(values)], 1)
     weight = np.full(len(values), min(1.0, 1000 / max(1, len(values))))  # a large sample doesn't drown the pull
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        gradient = x.T @ (weight * (p - labels)) + pull @ (w - start)
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + pull, gradient)
-        w = w - step
-        if np.abs(step).max() < 1e-9:
+    for used in ([0, 1, 2], [0, 2]):
+        x, w = every[:, used], start[used]
+        pull = np.diag([0.05] * len(used))
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+            gradient = x.T @ (weight * (p - labels)) + pull @ (w - start[used])
+            step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + pull, gradient)
+            w = w - step
+            if np.abs(step).max() < 1e-9:
+                break
+        if len(used) == 2 or w[1] >= 0:
             break
-    return (float(w[0]), float(-w[1] / w[0])) if w[0] > 0.5 else (SLOPE, MIDDLE)
+    slope, more = float(w[0]), float(w[1]) if len(used) == 3 else 0.0
+    return (slope, more, float(-w[-1] / slope)) if slope > 0.5 else (SLOPE, 0.0, MIDDLE)
 
 
 def fit(labelled: DataFrame) -> Model:
@@ -215,22 +243,32 @@ def fit(labelled: DataFrame) -> Model:
     found = materialize(counts(rows.withColumn("aside", aside)), "ngram-counts")
     (ratios, ratios_less), (rests, rests_less) = (_slots(x, n, empty) for x, n, empty in zip(log_ratios(found), (SLOTS, CONTEXT_SLOTS), (np.nan, 0.0), strict=True))
     drawn = rows.where(aside).dropDuplicates(["h", "toxic"])
-    drawn = drawn.select(_windows((ratios_less, rests_less))("text").alias("v"), "toxic").toPandas()
-    return Model(ratios, rests, *_fit_scale(drawn["v"].to_numpy(float), drawn["toxic"].to_numpy(float)))
+    drawn = drawn.select(_evidence((ratios_less, rests_less))("text").alias("e"), "toxic").select("e.*", "toxic").toPandas()
+    best, whole, windows, labels = (drawn[c].to_numpy(float) for c in ("best", "whole", "windows", "toxic"))
+    growth, usual = _fit_growth(best[labels == 0], windows[labels == 0])
+    return Model(ratios, rests, growth, usual, *_fit_scale(best - growth * (np.log(windows) - usual), labels, whole))
 
 
-def _windows(tables: tuple[np.ndarray, np.ndarray]):
-    @F.pandas_udf("double")
-    def value(text: pd.Series) -> pd.Series:
-        return pd.Series([worst_window(x, *tables) for x in text], dtype="float64")
+def _evidence(tables: tuple[np.ndarray, np.ndarray]):
+    @F.pandas_udf("best double, whole double, windows long")
+    def value(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([evidence(x, *tables) for x in text], columns=["best", "whole", "windows"])
 
     return value
 
 
 def score(model: Model, text: str | Column = "text") -> Column:
-    """Toxicity from 0 to 1 of a column of whole texts; null and empty texts have that of no evidence."""
-    value = _windows((model.ratios, model.contexts))(text)
-    return 1.0 / (1.0 + F.exp(-model.slope * (value - model.middle)))
+    """Toxicity from 0 to 1 of a column of whole texts; null texts and those without letters have that of no evidence."""
+    tables = (model.ratios, model.contexts)
+    growth, usual, slope, more, middle = model[2:]
+
+    @F.pandas_udf("double")
+    def run(text: pd.Series) -> pd.Series:
+        found = np.array([evidence(x, *tables) for x in text], float).reshape(-1, 3)
+        excess = found[:, 0] - growth * np.where(found[:, :2].any(1), np.log(found[:, 2]) - usual, 0.0)
+        return pd.Series(1.0 / (1.0 + np.exp(-np.clip(slope * (excess - middle) + more * found[:, 1], -500, 500))))
+
+    return run(text)
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:

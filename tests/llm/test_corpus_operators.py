@@ -312,6 +312,30 @@ def test_copies_of_one_toxic_text_are_learned_and_drawn_once(spark, monkeypatch)
     assert seen[0].count() == 4
 
 
+def test_windows_are_held_against_texts_as_long(spark):
+    rng = random.Random(31)
+    sizes = [1, 3, 20, 60, 200, 900]
+    rows = [(some_text(rng, rng.choice(sizes)), 0) for _ in range(500)]
+    rows += [(f"{some_text(rng, n := rng.choice(sizes))} vequ{rng.choice(['mo', 'ta', 'lis'])} scoundrel {some_text(rng, n)}", 1) for _ in range(120)]
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, toxic int"))
+    tests = [(some_text(rng, 60_000), 0) for _ in range(4)] + [(some_text(rng, n), 0) for n in (1, 2, 5) for _ in range(5)]
+    tests += [(f"{some_text(rng, 400)} vequta scoundrel {some_text(rng, 400)}", 1), ("vequmo", 1), ("scoundrel", 1), ("vequta scoundrel", 1)]
+    got = spark.createDataFrame(tests, "text string, toxic int").select("toxic", toxicity.score(model).alias("s")).collect()
+    assert all((r.s >= toxicity.REJECT) == bool(r.toxic) for r in got), got
+    flat = np.full(len(model.ratios), 2.0, np.float32)  # every letter has 2: so has every text, however short
+    assert [toxicity.evidence(t, flat, model.contexts)[:2] for t in ("a", "vequmo", "x " * 500)] == [(2.0, 2.0)] * 3
+
+
+def test_evidence_is_the_same_in_slices(monkeypatch):
+    from sentrylake.llm import letters
+
+    tables = np.random.default_rng(1).normal(size=1 << 12).astype(np.float32), np.zeros(64, np.float32)
+    texts = [some_text(random.Random(5), 300), "ab" + "1" * 300 + "cde" + "!" * 200 + "fghijk", "abc" + " " * 500, ""]
+    whole = [toxicity.evidence(t, *tables) for t in texts]
+    monkeypatch.setattr(letters, "SLICE", 97)
+    assert np.allclose([toxicity.evidence(t, *tables) for t in texts], whole)
+
+
 def test_long_texts_are_scored_whole(monkeypatch):
     from sentrylake.llm import letters
 

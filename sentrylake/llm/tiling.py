@@ -78,18 +78,19 @@ def greedy_tiles(left: list, right: list, min_match: int = MIN_MATCH, breaks: fr
 
 
 def _items(benchmark: DataFrame, item_id: str, text: str, min_match: int) -> DataFrame:
-    """``item, n_words, words, seeds``: an item shorter than a tile is one seed as a whole."""
+    """``item, n_words, words, seeds, times``: how often each seed is in the item; one shorter than a tile is one seed as a whole."""
 
     def run(batches):
         for batch in batches:
             words = [words_of(x) for x in batch.column(1).to_pylist()]
-            seeds = [np.unique(_windows(w, min(len(w), min_match))).view(np.int64) for w in words]
-            columns = [batch.column(0), pa.array(map(len, words), pa.int32()), pa.array([b" ".join(w).decode("utf-8", "surrogatepass") for w in words], pa.string()), pa.array(seeds, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["item", "n_words", "words", "seeds"])
+            found = [np.unique(_windows(w, min(len(w), min_match)), return_counts=True) for w in words]
+            seeds, times = [u.view(np.int64) for u, _ in found], [n for _, n in found]
+            columns = [batch.column(0), pa.array(map(len, words), pa.int32()), pa.array([b" ".join(w).decode("utf-8", "surrogatepass") for w in words], pa.string()), pa.array(seeds, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["item", "n_words", "words", "seeds", "times"])
 
     rows = pick(benchmark, item=item_id, text=text)
     kind = rows.schema["item"].dataType.simpleString()
-    return rows.mapInArrow(run, f"item {kind}, n_words int, words string, seeds array<long>")
+    return rows.mapInArrow(run, f"item {kind}, n_words int, words string, seeds array<long>, times array<long>")
 
 
 def _hits(docs: DataFrame, lengths: list[int], bits: np.ndarray) -> DataFrame:
@@ -127,8 +128,8 @@ def contaminated(
     """``doc_id, text_hash, item_id, n_words, n_covered, coverage, tiles`` of pairs that reach the coverage.
 
     Words are those between white space, A-Z in lower case. Documents and items are joined on runs of
-    ``min_match`` words that both have (seeds); a pair with so few common seeds that its tiles cannot cover
-    enough is left out. The others are tiled: the longest common run that has no marked word is marked, again
+    ``min_match`` words that both have (seeds); a pair whose common seeds have so few places in the item that
+    tiles cannot cover enough is left out. The others are tiled: the longest common run that has no marked word is marked, again
     and again, down to ``min_match`` words. Tiles lie in windows that are seeds, so only those windows of a
     document are compared, and the result is that of its whole text. An item shorter than ``min_match`` must
     occur as a whole; an item or a document without words matches nothing. Every row is a document or an
@@ -145,10 +146,10 @@ def contaminated(
     # a number for each row, fixed once it is written
     hits = materialize(_hits(rows, lengths, np.packbits(bits, bitorder="little")).withColumn("row", F.monotonically_increasing_id()), "benchmark-hits")
 
-    seeds = items.select(F.col("item").alias("item_id"), "n_words", F.explode("seeds").alias("seed"))
-    pairs = hits.select("row", F.explode("seeds").alias("seed")).join(seeds, "seed").groupBy("row", "item_id", "n_words").agg(F.count("*").alias("common"))
-    pairs = pairs.where(F.col("common") * min_match >= F.col("n_words") * coverage)
-    pairs = pairs.join(hits.drop("seeds"), "row").join(items.select(F.col("item").alias("item_id"), F.col("words").alias("item_words")), "item_id")
+    seeds = items.select(F.col("item").alias("item_id"), "n_words", F.explode(F.arrays_zip("seeds", "times")).alias("x")).select("item_id", "n_words", "x.seeds", "x.times").withColumnRenamed("seeds", "seed")
+    pairs = hits.select("row", F.explode("seeds").alias("seed")).join(seeds, "seed").groupBy("row", "item_id", "n_words").agg(F.sum("times").alias("places"))
+    pairs = pairs.where(F.col("places") * min_match >= F.col("n_words") * coverage)
+    pairs = pairs.drop("places").join(hits.drop("seeds"), "row").join(items.select(F.col("item").alias("item_id"), F.col("words").alias("item_words")), "item_id")
 
     @F.pandas_udf("array<struct<doc_word: int, item_word: int, length: int>>")
     def tile(words: pd.Series, places: pd.Series, item_words: pd.Series) -> pd.Series:

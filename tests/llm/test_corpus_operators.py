@@ -438,6 +438,18 @@ def test_reordered_passages_are_caught(spark, empty):
     assert tiling.contaminated(empty, bench).count() == 0 and tiling.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_repetitive_items_equal_brute_force(spark):
+    rng = random.Random(18)
+    refrain = (["oh", "la", "li"] * 14)[:40]
+    items = [refrain, ["1"] * 30, *([rng.choice("abc") for _ in range(rng.choice([8, 20, 35]))] for _ in range(8)), some_text(rng, 30).split()]
+    docs = [["so", *refrain, "end"], ["2", *["1"] * 30], refrain[:19], ["1"] * 5, *([rng.choice("abc") for _ in range(60)] for _ in range(8)), items[-1][10:] + items[-1][:10]]
+    frame = lambda rows, name: spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], f"{name} long, text string")
+    found = tiling.contaminated(frame(docs, "doc_id"), frame(items, "item_id"), filter_bits=1 << 12).collect()
+    want = {(i, j): brute_tiles(d, w, 5) for i, d in enumerate(docs) for j, w in enumerate(items)}
+    assert {(r.doc_id, r.item_id): r.n_covered for r in found} == {k: n for k, n in want.items() if n >= 0.5 * len(items[k[1]])}
+    assert want[0, 0] == 40 and want[1, 1] == 30
+
+
 # ---- pipeline
 
 

@@ -231,13 +231,14 @@ def _fit_scale(values: np.ndarray, labels: np.ndarray, whole: np.ndarray) -> tup
 
 
 def fit(labelled: DataFrame) -> Model:
-    """The model of all rows of ``text, toxic`` (0 or 1; other labels are left out).
+    """The model of all rows of ``text, toxic`` (0 or 1; other labels are left out), also with ``text_hash``.
 
     All rows are counted. The scale of the score is that of about ``SCALE_ROWS`` distinct texts, and of at most
     one in ``SCALE_EVERY``, drawn by a hash: they are scored by the model of the other rows. Without rows of one
     class every score is that of a text about which both models say the same.
     """
-    rows = labelled.select("text", "toxic", F.xxhash64("text", F.lit(5)).alias("h")).where("toxic in (0, 1)")
+    h = F.col("text_hash") if "text_hash" in labelled.columns else F.xxhash64("text", F.lit(5))
+    rows = labelled.select("text", "toxic", h.alias("h")).where("toxic in (0, 1)")
     kinds = rows.agg(F.approx_count_distinct("h", 0.02)).first()[0]
     aside = F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * min(1 / SCALE_EVERY, SCALE_ROWS / max(1, kinds)))
     found = materialize(counts(rows.withColumn("aside", aside)), "ngram-counts")
@@ -277,7 +278,10 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1) -> DataFrame:
-    """``text, toxic`` of the labelled documents that aren't held out; of several labels of one id the highest."""
-    texts = pick(docs, doc_id="doc_id", text="text").where(~held_out(F.col("doc_id"), parts, part))
+    """``text, toxic, text_hash`` of the labelled documents that aren't held out; of several labels of one id the highest.
+
+    Texts are hashed before the join, so that counting and drawing them doesn't shuffle all texts once more.
+    """
+    texts = pick(docs, doc_id="doc_id", text="text").where(~held_out(F.col("doc_id"), parts, part)).withColumn("text_hash", F.xxhash64("text", F.lit(5)))
     known = pick(labels, doc_id="doc_id", toxic="toxic").where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return texts.join(known, "doc_id").select("text", "toxic")
+    return texts.join(known, "doc_id").select("text", "toxic", "text_hash")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrylake.llm import bpe, huffman, langid, line_rules, prefix_tree, sharding, tiling, tokens, toxicity, warc, wrappers
+from sentrylake.llm import bpe, huffman, langid, line_rules, merkle, mixing, prefix_tree, sharding, tiling, tokens, toxicity, warc, wrappers
 from sentrylake.llm.common import pick, table
 from sentrylake.session import materialize, scratch_path
 
@@ -174,3 +174,72 @@ select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
   not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and not (n_words - n_removed_words < 0.5 * n_words) as kept
 from m
 """
+
+
+@query
+def op13_sibling_shift_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Merkle manifest of all documents, and each one held against it after some texts lost their line ends."""
+    docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", source="source", lang="lang", n_chars="n_chars", text="text")
+    before = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaf = merkle.leaf_of(*before, F.col("text"))
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    after = F.when(tampered, merkle.leaf_of(*before, F.translate("text", "\n", ""))).otherwise(leaf)
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("g"), leaf.alias("leaf"), after.alias("after"))
+    found = merkle.manifest(rows, arity=3, carry=("after",))
+    return found.select(
+        F.col("id").alias("doc_id"), merkle.text_of("leaf").alias("leaf"), merkle.text_of("top").alias("subroot"), merkle.text_of("root").alias("root"),
+        F.sha2(merkle.proof_of(F.col("path")), 256).alias("proof_sha256"), merkle.folded(F.col("path"), F.col("after")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+ORACLES["op13_sibling_shift_manifest"] = """
+with recursive f as (
+  select doc_id, source, text, list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint),
+    lambda crc, c: list_reduce(range(8)::bigint[], lambda v, i: xor(v >> 1, 3988292384 * (v & 1)), xor(crc, c)), 4294967295::bigint) as crc,
+    array_to_string(list_transform([doc_id::varchar, source, lang, n_chars::varchar], lambda x: coalesce(octet_length(encode(x)) || ':' || x, '-')), '') as head
+  from documents
+), l as (
+  select doc_id, source, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) as leaf,
+    sha256(head || coalesce(octet_length(encode(t)) || ':' || t, '-')) as after
+  from (select *, case when crc % 2 = 1 then replace(text, chr(10), '') else text end as t from f)
+), p as (
+  select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as idx, count(*) over (partition by source) as n from l
+), up(lvl, source, idx, n, h) as (
+  select 0, source, idx, n, leaf from p
+  union all
+  select lvl + 1, source, idx // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' order by idx)) from up where n > 1 group by lvl, source, idx // 3
+), tops as (select source, h, row_number() over (order by source nulls first) - 1 as idx, count(*) over () as n from up where n = 1),
+over_tops(lvl, idx, n, h) as (
+  select 0, idx, n, h from tops
+  union all
+  select lvl + 1, idx // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' order by idx)) from over_tops where n > 1 group by lvl, idx // 3
+), sib as (
+  select lvl, source, idx, coalesce(string_agg(h, '' ) over (partition by lvl, source, idx // 3 order by idx rows between unbounded preceding and 1 preceding), '') as l,
+    coalesce(string_agg(h, '') over (partition by lvl, source, idx // 3 order by idx rows between 1 following and unbounded following), '') as r
+  from up where n > 1
+), over_sib as (
+  select lvl, idx, coalesce(string_agg(h, '' ) over (partition by lvl, idx // 3 order by idx rows between unbounded preceding and 1 preceding), '') as l,
+    coalesce(string_agg(h, '') over (partition by lvl, idx // 3 order by idx rows between 1 following and unbounded following), '') as r
+  from over_tops where n > 1
+), walk(doc_id, source, leaf, idx, i, lvl, h, proof) as (
+  select doc_id, source, leaf, idx, idx, 0, after, '' from p
+  union all
+  select doc_id, w.source, leaf, w.idx, i // 3, w.lvl + 1, sha256(l || h || r), proof || l || r
+  from walk w join sib s on s.source is not distinct from w.source and s.lvl = w.lvl and s.idx = w.i
+), arrived as (select w.*, tops.idx as place, tops.h as subroot from walk w join tops on tops.source is not distinct from w.source
+  where w.lvl = (select max(lvl) from up where up.source is not distinct from w.source)
+), over_walk(doc_id, leaf, subroot, i, lvl, h, proof) as (
+  select doc_id, leaf, subroot, place, 0, h, proof from arrived
+  union all
+  select doc_id, leaf, subroot, i // 3, w.lvl + 1, sha256(l || h || r), proof || l || r from over_walk w join over_sib s on s.lvl = w.lvl and s.idx = w.i
+)
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, h as folded_root, h = root as verified
+from over_walk, (select h as root from over_tops where n = 1) where lvl = (select max(lvl) from over_tops)
+"""
+
+
+@query
+def op11_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by source, with the words that the mix takes of each."""
+    docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", source="source", text="text")
+    return mixing.mix(docs.select("doc_id", "source", mixing.words_in(F.col("text")).alias("size"))).drop("source")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrylake.llm import bpe, huffman, langid, line_rules, merkle, mixing, prefix_tree, sharding, tiling, tokens, toxicity, warc, wrappers
+from sentrylake.llm import bpe, huffman, langid, line_rules, merkle, mixing, negatives, prefix_tree, sharding, tiling, tokens, toxicity, warc, wrappers
 from sentrylake.llm.common import pick, table
 from sentrylake.session import materialize, scratch_path
 
@@ -243,3 +243,33 @@ def op11_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by source, with the words that the mix takes of each."""
     docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", source="source", text="text")
     return mixing.mix(docs.select("doc_id", "source", mixing.words_in(F.col("text")).alias("size"))).drop("source")
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth row for each of its nearest rows of the same label."""
+    rows = negatives.usable(table(spark, sf_dir, "embeddings"))
+    rows = rows.selectExpr("row", "vec_id", "if(vec_id % 7 = 0, (label + 1) % 10, label) as label", "x", "vec_id % 50 = 0 as anchor")
+    return negatives.mine(materialize(rows, "vectors"))
+
+
+ORACLES["op12_hard_negatives"] = """
+with e as (
+  select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q
+  from embeddings where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.r as a, a.vec_id as anchor_id, a.label as own, b.vec_id, b.label,
+    coalesce(list_sum(list_transform(range(1, least(len(a.q), len(b.q)) + 1), lambda i: a.q[i] * b.q[i])), 0)::bigint as score
+  from e a join e b on a.r <> b.r where a.vec_id % 50 = 0
+), p as (
+  select a, anchor_id, vec_id as positive_id, score as positive_score, row_number() over (partition by a order by score desc, vec_id) as i
+  from s where own = label
+)
+select p.anchor_id, positive_id, (row_number() over (partition by p.a, p.i order by s.score desc, s.vec_id))::int as rank,
+  s.vec_id as negative_id, positive_score, s.score as negative_score
+from p join s on s.a = p.a and s.own <> s.label and 50 * positive_score <= 100 * s.score and 100 * s.score <= 95 * positive_score
+where p.i <= 5
+qualify rank <= 3
+"""

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sentrylake.llm.ranking import pieces, ranked
 from sentrylake.session import materialize
 
-#: Words at the end of a budget that the knapsack fits; its tables have four times as many places at most.
+#: Words at the end of a budget that the knapsack fits, or twice the longest text of the source if that is more.
 FITTED = 1 << 16
 
 
@@ -84,22 +84,19 @@ def nearest_sum(sizes: np.ndarray, counts: np.ndarray, budget: float) -> np.ndar
     return taken
 
 
-def _fill(fitted: int):
+def _fill(group: pd.DataFrame) -> pd.DataFrame:
     """For the lengths of one source: how many documents of each length its remaining budget takes."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("size", ascending=False, ignore_index=True)
-        sizes, more = group["size"].to_numpy(np.int64), group["share"].to_numpy(np.int64)
-        free = group["n"].to_numpy(np.int64) - more
-        left = float(group["budget"].iloc[0]) - float((sizes * more).sum())
-        for i in range(len(sizes) if left > fitted else 0):  # what rounding down left beyond the fitted words, longest first
-            times = min(int(free[i]), int(max(0.0, left - fitted) // sizes[i]))
-            more[i], free[i], left = more[i] + times, free[i] - times, left - float(times * sizes[i])
-        usable = np.flatnonzero(free > 0)
-        more[usable] += nearest_sum(sizes[usable], free[usable], left)
-        return group.assign(more=more)[["source", "size", "copies", "more", "words", "target"]]
-
-    return run
+    group = group.sort_values("size", ascending=False, ignore_index=True)
+    fitted = int(group["fitted"].iloc[0])
+    sizes, more = group["size"].to_numpy(np.int64), group["share"].to_numpy(np.int64)
+    free = group["n"].to_numpy(np.int64) - more
+    left = float(group["budget"].iloc[0]) - float((sizes * more).sum())
+    for i in range(len(sizes) if left > fitted else 0):  # what rounding down left beyond the fitted words, longest first
+        times = min(int(free[i]), int(max(0.0, left - fitted) // sizes[i]))
+        more[i], free[i], left = more[i] + times, free[i] - times, left - float(times * sizes[i])
+    usable = np.flatnonzero(free > 0)
+    more[usable] += nearest_sum(sizes[usable], free[usable], left)
+    return group.assign(more=more)[["source", "size", "copies", "more", "words", "target"]]
 
 
 def plan(lengths: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, fitted: int = FITTED) -> DataFrame:
@@ -108,11 +105,13 @@ def plan(lengths: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3
     ``lengths`` counts documents: ``source, size, n``. The lengths of one source are one task's, as many as
     it has different lengths, whatever their documents.
     """
-    goals = targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words")), weights, most)
-    goals = goals.selectExpr("source as of", "words", "target", f"cast(least({most}, if(words = 0, 0, floor(target / words))) as long) as copies")
+    sources = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.greatest(F.lit(fitted), 2 * F.max("size")).alias("fitted"))
+    goals = targets(sources.select("source", "words"), weights, most)
+    goals = goals.join(sources.selectExpr("source as of", "fitted"), F.expr("source <=> of")).drop("of")
+    goals = goals.selectExpr("fitted", "source as of", "words", "target", f"cast(least({most}, if(words = 0, 0, floor(target / words))) as long) as copies")
     joined = lengths.join(goals.withColumn("budget", F.expr("greatest(0D, target - copies * words)")), F.expr("source <=> of")).drop("of")
-    sized = joined.where("size > 0").withColumn("share", F.expr(f"cast(least(n, floor(n * (greatest(0D, budget - {fitted}) / words))) as long)"))
-    filled = sized.groupBy("source").applyInPandas(_fill(fitted), "source string, size long, copies long, more long, words long, target double")
+    sized = joined.where("size > 0").withColumn("share", F.expr("cast(least(n, floor(n * (greatest(0D, budget - fitted) / words))) as long)"))
+    filled = sized.groupBy("source").applyInPandas(_fill, "source string, size long, copies long, more long, words long, target double")
     return filled.unionByName(joined.where("size = 0").selectExpr("source", "size", "0L as copies", "0L as more", "words", "target"))
 
 

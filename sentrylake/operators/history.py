@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -444,6 +444,24 @@ def active_suppressions(suppressions: DataFrame, as_of: datetime | str) -> DataF
     return suppressions.where(_not_expired(as_of))
 
 
+def add_suppressions(suppressions: DataFrame, rules: DataFrame, as_of: datetime | str) -> DataFrame:
+    """Suppressions with new rules (``taxonomy, entity, title_contains, max_severity, reason, expires_days``).
+
+    Rules get the next numbers in the order of their texts; one that names nothing to suppress is left out,
+    one without days never ends.
+    """
+    last = suppressions.agg(F.coalesce(F.max("id"), F.lit(0)))
+    texts = ["taxonomy", "entity", "title_contains"]
+    given = rules.where(F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in texts]).isNotNull())
+    number = F.row_number().over(Window.orderBy(*texts, "max_severity", "reason", "expires_days"))
+    fresh = given.select(
+        (last.scalar() + number).alias("id"), *texts, "max_severity", "reason", instant(as_of).alias("created_at"),
+        F.when(F.col("expires_days").isNotNull(), F.timestamp_add("DAY", F.greatest(F.lit(1), F.col("expires_days").cast("int")), instant(as_of))).alias("expires_at"),
+        F.lit(0).cast("bigint").alias("hits"),
+    )
+    return suppressions.unionByName(fresh, allowMissingColumns=True)
+
+
 def bump_suppressions(suppressions: DataFrame, matched: DataFrame) -> DataFrame:
     """Suppressions with their hit counters raised by the matches of a run (column ``id``)."""
     more = matched.groupBy("id").agg(F.count("*").alias("_more"))

@@ -153,6 +153,14 @@ UNTRUSTED = ("untrusted", "semi-trusted", "dmz", "guest")
 CANARY_SOURCE = "canary"
 
 
+def layout(**columns: str | T.DataType) -> T.StructType:
+    """A layout by names; types are Spark's, simple ones by name."""
+    made = T.StructType()
+    for name, kind in columns.items():
+        made = made.add(name, kind)
+    return made
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Project ``df`` onto ``schema``: cast what is there, add the rest as nulls."""
     have = set(df.columns)

@@ -27,6 +27,8 @@ from sentrylake.operators import query as q
 from sentrylake.plans.lookups import CAVEAT_SQL, GENERATED_SQL, LABEL_SQL, _ENTROPY
 from sentrylake.plans.registry import query
 from sentrylake.plans.tables import AS_OF, DNS_SPLIT, SPLIT
+from sentrylake.session import scratch_path
+from sentrylake.sources.entities import EntityStore
 
 
 def bare(signals: DataFrame) -> DataFrame:
@@ -96,8 +98,13 @@ def _(t):
 @query("j04_novelty", "dns", f"""SELECT DISTINCT domain AS value FROM dns WHERE ts >= TIMESTAMP '{DNS_SPLIT}'
   AND domain NOT IN (SELECT domain FROM dns WHERE ts < TIMESTAMP '{DNS_SPLIT}')""")
 def _(t):
-    b = t.baseline(t.dns.where(F.col("ts") < H.instant(DNS_SPLIT)), DNS_SPLIT)
-    return b.novel(q.distinct_values(t.dns.where(F.col("ts") >= H.instant(DNS_SPLIT)), "domain"), "domain")
+    """Three earlier runs in the entity store, two of them merged."""
+    store, earlier = EntityStore(t.spark, scratch_path(t.spark, "baseline")), t.dns.where(F.col("ts") < H.instant(DNS_SPLIT))
+    for k in range(3):
+        if k == 2:
+            store.compact()
+        store.observe(f"run{k}", H.observations(earlier.where(F.pmod(F.hash("domain"), F.lit(3)) == k), f"run{k}", "1990-01-01 00:00:00"))
+    return store.novel(q.distinct_values(t.dns.where(F.col("ts") >= H.instant(DNS_SPLIT)), "domain"), "domain", DNS_SPLIT)
 
 
 _RUNS = """runs AS (SELECT 'run' || (o_orderkey % 20) AS run_id, max(o_orderdate) AS started_at,

@@ -6,18 +6,21 @@ the SQL side can state what each must become without parsing anything.
 
 from __future__ import annotations
 
-from datetime import date, datetime, timezone
+from datetime import date, datetime, timedelta, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrylake.functions import domains, scalars
+from sentrylake.operators import history as H
 from sentrylake.operators import query as q
-from sentrylake.operators.perimeter import mass_sweep, volume_metrics
+from sentrylake.operators.perimeter import stepped_ttl
 from sentrylake.plans.registry import query
 from sentrylake.plans.tables import AS_OF, zone_sql
 from sentrylake.session import materialize, scratch_path
 from sentrylake.sources import cloudtrail, common, devices, dnslog, guardduty, lists, sinks, syslog
+from sentrylake.sources.runstore import RunStore
 from sentrylake.sources.window import Window
 from sentrylake.streaming import jobs
 
@@ -449,37 +452,70 @@ def _(t):
     return sinks.split_value(t.raw("orders").select("o_orderkey", value.alias("v")), "v").drop("v")
 
 
-@query("k03_save_products", "fw findings", """SELECT 'findings' AS product, 'run9' AS run_id, count(*) AS n FROM findings UNION ALL SELECT 'signals', 'run9', 4 UNION ALL SELECT 'metrics', 'run9', 4 + (SELECT count(DISTINCT proto) FROM fw) + (SELECT count(DISTINCT iface_in) FROM fw) + 2""")
+@query("k03_save_products", "fw findings", """SELECT * FROM (SELECT 'findings' AS product, 'run9' AS run_id, count(*) AS n FROM findings
+  UNION ALL SELECT 'signals', 'run9', count(*) FROM (SELECT src_ip FROM fw WHERE action = 'drop' AND proto = 'udp' GROUP BY src_ip HAVING min(ttl) <= 8 AND max(ttl) - min(ttl) >= 2 AND count(*) >= 10)
+  UNION ALL SELECT 'metrics', 'run9', count(*) FROM part UNION ALL SELECT 'source_health', 'run9', count(*) FROM supplier
+  UNION ALL SELECT 'findings', 'run8', count(*) FROM findings WHERE severity >= 3) WHERE n > 0""")
 def _(t):
-    root = scratch_path(t.spark, "products")
-    sinks.save_findings(t.findings, root, "run9", AS_OF)
-    sinks.save_signals(mass_sweep(t.fw, max_hits_per_source=1e9), root, "run9")
-    sinks.save_metrics(volume_metrics(t.fw), root, "run9", AS_OF)
-    out = None
-    for name in ("findings", "signals", "metrics"):
-        part = t.spark.read.parquet(sinks.table_path(root, name)).groupBy("run_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("product"), "run_id", "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Run 8 is done again without signals, run 9 dies between two tables after it was finished once."""
+    store = RunStore(t.spark, scratch_path(t.spark, "products"))
+    signals, parts, sources = stepped_ttl(t.fw, min_spread=2), t.raw("part"), t.raw("supplier")
+    health = sources.select(F.col("s_name").alias("source"), F.lit("OK").alias("state"), F.col("s_suppkey").cast("bigint").alias("records"))
+    for products in (("findings", "signals"), ("findings",)):
+        run = store.begin("run8", AS_OF)
+        run.write("findings", t.findings.where("severity >= 3").withColumn("ts", F.lit(AS_OF).cast("timestamp")))
+        if "signals" in products:
+            run.signals(signals)
+        run.commit(AS_OF)
+    run = store.begin("run9", AS_OF)
+    run.write("findings", t.findings)
+    run.signals(signals)
+    run.metrics(parts.select(_cat("m", F.col("p_partkey")).alias("key"), F.col("p_size").cast("double").alias("value_num")), AS_OF)
+    run.write("source_health", health)
+    run.commit(AS_OF)
+    store.begin("run9", AS_OF).write("findings", t.findings.limit(1))
+    found = [store.read(name).groupBy("run_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("product"), "run_id", "n") for name in ("findings", "signals", "metrics", "source_health", "canaries")]
+    return reduce(DataFrame.unionByName, found)
 
 
-@query("k08_purge", "findings metrics", f"""WITH runs AS (SELECT 'run' || (o_orderkey % 20) AS run_id, TIMESTAMP '1998-05-20 00:00:00' + (o_orderkey % 20) * INTERVAL 1 DAY AS started_at FROM orders GROUP BY o_orderkey % 20)
-  SELECT 'events' AS what, count(*) AS n FROM findings WHERE run_id IN (SELECT run_id FROM runs WHERE started_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY)
-  UNION ALL SELECT 'metrics', count(*) FROM metrics WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 730 DAY""")
+_AGES = (800, 200, 100, 1)
+
+
+def _stored_runs(t) -> RunStore:
+    """Runs that began so many days ago, with a quarter of the traffic, all names looked up, and a metric for each part."""
+    store, now = RunStore(t.spark, scratch_path(t.spark, "runs")), datetime.fromisoformat(AS_OF)
+    for k, age in enumerate(_AGES):
+        start = now - timedelta(days=age)
+        run = store.begin(f"run{k}", start)
+        run.events(t.fw.where(F.col("dst_port") % 4 == k))
+        run.metrics(t.raw("part").where(F.col("p_size") % 4 >= k).select(_cat("m", F.col("p_partkey")).alias("key"), F.col("p_size").cast("double").alias("value_num")), start)
+        run.write("ioc_dns", H.build_ioc_dns(t.dns, f"run{k}", start.date().isoformat()))
+        run.commit(start + timedelta(hours=1))
+    return store
+
+
+def _stored_counts(store: RunStore) -> DataFrame:
+    found = [store.read(name).groupBy("run_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "run_id", "n") for name in ("events", "metrics", "ioc_dns")]
+    return reduce(DataFrame.unionByName, found)
+
+
+_STORED = """runs AS (SELECT * FROM (VALUES (0, 800), (1, 200), (2, 100), (3, 1)) v(k, age)),
+kept AS (SELECT 'events' AS what, k, age, count(*) AS n FROM runs JOIN fw ON dst_port % 4 = k GROUP BY k, age UNION ALL SELECT 'metrics', k, age, count(*) FROM runs JOIN part ON p_size % 4 >= k GROUP BY k, age
+  UNION ALL SELECT 'ioc_dns', k, age, (SELECT count(*) FROM (SELECT DISTINCT client_ip, domain FROM dns)) FROM runs)"""
+
+
+@query("k08_purge", "fw dns", f"""WITH {_STORED} SELECT what, 'run' || k AS run_id, n FROM kept WHERE age <= CASE what WHEN 'events' THEN 7 WHEN 'ioc_dns' THEN 180 ELSE 730 END""")
 def _(t):
-    runs = t.raw("orders").groupBy((F.col("o_orderkey") % 20).alias("k")).agg(F.count("*")).select(
-        _cat("run", F.col("k")).alias("run_id"), F.timestamp_add("DAY", F.col("k").cast("int"), F.lit("1998-05-20 00:00:00").cast("timestamp")).alias("started_at"))
-    kept = sinks.retained({"events": t.findings, "metrics": t.metrics}, runs, AS_OF)
-    count = lambda n: kept[n].agg(F.count("*").alias("n")).select(F.lit(n).alias("what"), "n")
-    return count("events").unionByName(count("metrics"))
+    store = _stored_runs(t)
+    store.purge(datetime.fromisoformat(AS_OF))
+    return _stored_counts(store)
 
 
-@query("k09_delete_run", "findings metrics", """SELECT 'findings' AS what, run_id, count(*) AS n FROM findings WHERE run_id <> 'run3' GROUP BY run_id UNION ALL SELECT 'metrics', run_id, count(*) FROM metrics WHERE run_id <> 'run3' GROUP BY run_id""")
+@query("k09_delete_run", "fw dns", f"""WITH {_STORED} SELECT what, 'run' || k AS run_id, n FROM kept WHERE k <> 2""")
 def _(t):
-    runs = t.findings.groupBy("run_id").agg(F.max("ts").alias("finished_at"))
-    sinks.check_deletable(runs, "run3")
-    left = sinks.without_run({"findings": t.findings, "metrics": t.metrics}, "run3")
-    count = lambda n: left[n].groupBy("run_id").agg(F.count("*").alias("n")).select(F.lit(n).alias("what"), "run_id", "n")
-    return count("findings").unionByName(count("metrics"))
+    store = _stored_runs(t)
+    store.delete_run("run2")
+    return _stored_counts(store)
 
 
 @query("k11_evolve_schema", "fw", """SELECT kind, count(*) AS n, count(DISTINCT src_ip) AS sources, 0::BIGINT AS with_domain FROM fw GROUP BY kind""")

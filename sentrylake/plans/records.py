@@ -13,6 +13,9 @@ from sentrylake.operators import query as q
 from sentrylake.plans.detections import IP_MATCHES, NAME_MATCHES, bare, values
 from sentrylake.plans.registry import query
 from sentrylake.plans.tables import AS_OF
+from sentrylake.session import scratch_path
+from sentrylake.sources.entities import EntityStore
+from sentrylake.sources.snapshots import AnswerCache, Suppressions, Watchlist
 
 # ----- cloud
 
@@ -259,7 +262,14 @@ known AS (SELECT etype, value, TIMESTAMP '2024-01-01 00:00:00' + (min(run) - 1)
 
 @query("k06_observe_entities", "dns fw ssh", f"WITH {_OBSERVED} SELECT * FROM known")
 def _(t):
-    return H.entities(_observed(t))
+    """Two runs observed, the first one twice, and merged between them."""
+    store = EntityStore(t.spark, scratch_path(t.spark, "baseline"))
+    first = H.observations(t.dns.unionByName(t.ssh), "run1", "2024-01-01 00:00:00")
+    store.observe("run1", first.where("etype = 'ip'"))
+    store.observe("run1", first)
+    store.compact()
+    store.observe("run2", H.observations(t.fw.unionByName(t.dns), "run2", "2024-01-02 00:00:00", observe_dst=True))
+    return store.known()
 
 
 @query("h02_entity_first_seen", "dns fw ssh", f"WITH {_OBSERVED} SELECT DISTINCT k.value, k.first_seen FROM known k JOIN dns ON k.value = client_ip WHERE etype = 'ip'")
@@ -368,9 +378,11 @@ def _(t):
         F.lit("ip").alias("entity_type"), F.concat(F.lit("10.10.0."), F.col("n_nationkey").cast("string")).alias("entity_value"),
         F.col("n_name").alias("reason"), (F.col("n_nationkey") - 3).alias("expires_days"),
     )
-    merged = H.add_watch(t.watchlist, updates, AS_OF)
-    gone = merged.where(F.col("entity_type") == "domain").select("entity_type", "entity_value").distinct()
-    return H.active_watchlist(H.remove_watch(merged, gone), AS_OF).drop("created_at")
+    watch = Watchlist(t.spark, scratch_path(t.spark, "watch"))
+    watch.update(lambda none: none.unionByName(t.watchlist, allowMissingColumns=True))
+    watch.add(updates, AS_OF)
+    watch.remove(watch.read().where(F.col("entity_type") == "domain").select("entity_type", "entity_value").distinct())
+    return watch.active(AS_OF).drop("created_at")
 
 
 _SUPPRESSIONS = """supp AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN ['scan.persistent_prober', 'c2.beacon_candidate'][s_suppkey % 2 + 1] END AS taxonomy,
@@ -392,11 +404,24 @@ def _suppressions(t):
     )
 
 
-@query("h12_active_suppressions", "", f"""SELECT s_suppkey AS id, count(o_orderkey) AS hits FROM supplier LEFT JOIN orders ON o_custkey = s_suppkey
-  WHERE s_suppkey % 6 = 0 OR TIMESTAMP '1998-05-01 00:00:00' + s_suppkey * INTERVAL 1 DAY >= TIMESTAMP '{AS_OF}' GROUP BY s_suppkey""")
+@query("h12_active_suppressions", "", f"""WITH rules AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 > 0 THEN 't' || s_suppkey END AS taxonomy, CASE WHEN s_suppkey % 3 < 2 THEN 'e' || s_suppkey END AS entity,
+    CASE WHEN s_suppkey % 5 > 0 THEN s_suppkey - 3 END AS days, s_name AS reason FROM supplier),
+  numbered AS (SELECT row_number() OVER (ORDER BY taxonomy NULLS FIRST, entity NULLS FIRST) AS id, * FROM rules)
+  SELECT id, taxonomy, entity, reason, (SELECT count(*) FROM orders WHERE o_custkey = id) AS hits FROM numbered
+  WHERE id % 7 > 0 AND (days IS NULL OR TIMESTAMP '1998-05-01 00:00:00' + greatest(1, days) * INTERVAL 1 DAY >= TIMESTAMP '{AS_OF}')""")
 def _(t):
-    matched = t.raw("orders").select(F.col("o_custkey").alias("id"))
-    return H.active_suppressions(H.bump_suppressions(_suppressions(t), matched), AS_OF).select("id", "hits")
+    """Rules added, counted up, deleted and expired, each a version of the stored table."""
+    s = F.col("s_suppkey")
+    rules = t.raw("supplier").select(
+        F.when(s % 3 > 0, F.concat(F.lit("t"), s.cast("string"))).alias("taxonomy"), F.when(s % 3 < 2, F.concat(F.lit("e"), s.cast("string"))).alias("entity"),
+        F.lit(None).cast("string").alias("title_contains"), F.lit(None).cast("string").alias("max_severity"), F.col("s_name").alias("reason"),
+        F.when(s % 5 > 0, s - 3).cast("int").alias("expires_days"),
+    )
+    stored = Suppressions(t.spark, scratch_path(t.spark, "suppressions"))
+    stored.add(rules, "1998-05-01 00:00:00")
+    stored.bump(t.raw("orders").select(F.col("o_custkey").alias("id")))
+    stored.delete(stored.read().where("id % 7 = 0"))
+    return stored.active(AS_OF).select("id", "taxonomy", "entity", "reason", "hits")
 
 
 def _cache(t):
@@ -417,7 +442,13 @@ newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY enricher, su
 
 @query("h13_cache_latest", "", f"WITH {_CACHE} SELECT enricher, subject, fetched_at, expires_at, verdict FROM newest WHERE expires_at >= TIMESTAMP '1998-08-05 00:00:00'")
 def _(t):
-    return H.cache_latest(_cache(t), "1998-08-05 00:00:00")
+    """Answers put in two batches, the later ones first."""
+    answers = _cache(t)
+    recent = F.col("fetched_at") >= F.lit("1996-01-01").cast("timestamp")
+    cache = AnswerCache(t.spark, scratch_path(t.spark, "answers"))
+    cache.put(answers.where(recent))
+    cache.put(answers.where(~recent))
+    return cache.get("1998-08-05 00:00:00").drop("body")
 
 
 @query("j09_reputation_join", "", f"""WITH {_CACHE}, subj AS (SELECT enricher, subject, min(ord) AS ord FROM (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'ip-rep' ELSE 'name-rep' END AS enricher,
@@ -735,14 +766,13 @@ def _(t):
     return reporting.signal_samples(signals, t.fw, keys, 5)
 
 
-@query("k10_report", "findings metrics", """SELECT 'run1' AS run_id, 'findings' AS part, 9 - severity || ' ' || title AS ord, finding_id AS name, count(*) OVER () AS n FROM findings WHERE severity = 4
+@query("k10_report", "findings metrics", """SELECT 'run1' AS run_id, 'findings' AS part, 9 - severity || ' ' || title AS ord, finding_id AS name, count(*) OVER () AS n FROM findings
   UNION ALL SELECT 'run1', 'metrics', p_brand || ' ' || lpad(CAST(p_size AS VARCHAR), 9, '0'), 'm' || p_partkey, count(*) OVER () FROM part""")
 def _(t):
     """A report written as JSON lines and read back."""
-    from sentrylake.session import scratch_path
     from sentrylake.sources.sinks import write_report_json
 
-    findings = t.findings.where(F.col("severity") == 4).select("finding_id", "title", "severity", "taxonomy", "entities")
+    findings = t.findings.select("finding_id", "title", "severity", "taxonomy", "entities")
     path = scratch_path(t.spark, "report")
     write_report_json(reporting.report_rows("run1", findings=findings, metrics=_some_metrics(t)), path)
     rows = t.spark.read.schema("part string, ord string, body string, run_id string").json(path)

@@ -285,6 +285,50 @@ ct AS (SELECT *, CASE c % 5 WHEN 2 THEN 'arn:aws:iam::' || acct || ':root' WHEN
     WHEN 0 THEN 'arn:aws:iam::222222222222:user/u' || (c % 30) ELSE 'Unknown:AID' || (c % 30) END AS principal FROM firsts WHERE r = 1)"""
 
 
+def _audit_folders(t) -> str:
+    """The audit records of the orders as delivered files: of two accounts, two regions, 60 days and 6 hours each."""
+    k = F.col("pos")
+    start = F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp")) + (k % 60) * 86400 + k % 86400
+    at = F.timestamp_seconds(start)
+    rows = _records(t).withColumns(
+        {"eventTime": F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"), "awsRegion": _pick(("us-east-1", "eu-west-1"), k % 2), "eventID": _cat("ev", k)}
+    )
+    account, region = _pick(("111111111111", "o-x1/222222222222"), k % 3 % 2), F.col("awsRegion")
+    delivered = F.timestamp_add("MINUTE", F.lit(15), F.timestamp_seconds((F.floor(start / 21600) + 1) * 21600))
+    path = F.concat_ws("/", F.lit("AWSLogs"), account, F.lit("CloudTrail"), region, F.date_format(at, "yyyy/MM/dd"),
+                       F.concat(F.lit("a_CloudTrail_b_"), F.date_format(F.least(delivered, F.date_trunc("day", at) + F.expr("INTERVAL '23:59:00' HOUR TO SECOND")), "yyyyMMdd'T'HHmm"), F.lit("Z_x.json.gz")))
+    record = F.to_json(F.struct(*[c for c in rows.columns if c not in ("file", "pos")]))
+    files = rows.groupBy(path.alias("path")).agg(_cat('{"Records":[', F.array_join(F.sort_array(F.collect_list(record)), ","), "]}").alias("body"))
+    root = scratch_path(t.spark, "audit")
+
+    def write(batches):
+        import gzip
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store, at = fs.FileSystem.from_uri(f"{root}/{name}" if "://" in root else "file://" + f"{root}/{name}".removeprefix("file:"))
+                store.create_dir(at.rsplit("/", 1)[0])
+                with store.open_output_stream(at, compression=None) as f:
+                    f.write(gzip.compress(body.encode()))
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["path"])
+
+    materialize(files.mapInArrow(write, "path string"), "audit-paths")
+    return root
+
+
+@query("s17_scan_cloudtrail", "", """WITH e AS (SELECT o_orderkey AS k, TIMESTAMP '2024-01-01 00:00:00' + (o_orderkey % 60) * INTERVAL 1 DAY + (o_orderkey % 86400) * INTERVAL 1 SECOND AS ts FROM orders)
+  SELECT 'ev' || k AS event_id, ts, CASE k % 2 WHEN 0 THEN 'us-east-1' ELSE 'eu-west-1' END AS region FROM e WHERE ts >= TIMESTAMP '2024-01-20 05:00:00' AND ts < TIMESTAMP '2024-02-03 17:30:00' AND k % 3 % 2 = 1""")
+def _(t):
+    """Two weeks of one account, read from folders of 60 days."""
+    window = Window(datetime(2024, 1, 20, 5, tzinfo=timezone.utc), datetime(2024, 2, 3, 17, 30, tzinfo=timezone.utc))
+    records = cloudtrail.scan_cloudtrail(t.spark, _audit_folders(t), window, accounts=["222222222222"])
+    rows = records.select(F.col("eventID").alias("event_id"), F.col("eventTime").cast("timestamp").alias("ts"), F.col("awsRegion").alias("region"))
+    return rows.where(window.contains_half_open("ts"))
+
+
 @query("s18_normalize_cloudtrail", "", f"""WITH {_RECORDS} SELECT 'aws_cloudtrail:' || substr(sha1('aws_cloudtrail|ev' || (k // 2)), 1, 20) AS dedup_key, ts, CASE WHEN login THEN 'auth' ELSE 'other' END AS kind,
   CASE WHEN login THEN (CASE WHEN st = 'O' THEN 'aws_login_ok' ELSE 'aws_login_fail' END) WHEN st = 'O' THEN 'ok' WHEN st = 'F' THEN 'denied' ELSE 'error' END AS action, CASE WHEN login THEN 'signin:ConsoleLogin' ELSE 's3:PutObject' END AS program,
   principal AS "user", acct || '/us-east-1' AS device, CASE k % 3 WHEN 1 THEN 'read' WHEN 2 THEN 'write' END AS severity, CASE WHEN st = 'F' THEN 'Client.UnauthorizedOperation' WHEN st = 'P' AND NOT login THEN 'Throttling' END AS block_reason,

@@ -7,7 +7,7 @@ JSON object ``{Records: [...]}``.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import timedelta, timezone
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from sentrylake.functions.net import ip_hex
 from sentrylake.functions.scalars import dedup_key
 from sentrylake.profile import Profile
 from sentrylake.schema import RAW_SCHEMA, conform_events
+from sentrylake.sources import auditfiles
 from sentrylake.sources.common import assign_zones, dedup_events
 from sentrylake.sources.window import Window
 
@@ -30,7 +31,6 @@ TARGET_KEYS = (
     "url",
 )
 DENIED_ERRORS = "(?i)AccessDenied|Unauthorized|Forbidden|NotAuthorized"
-FILE_STAMP = r"_(\d{8}T\d{4})Z_"
 # A delivery file can hold events older than its name.
 SLACK = timedelta(hours=1)
 
@@ -48,31 +48,6 @@ RECORD_SCHEMA = (
 _RECORD_TYPE = f"struct<{RECORD_SCHEMA}>"
 
 
-def day_folders(
-    spark: SparkSession,
-    root: str,
-    window: Window,
-    accounts: Sequence[str] = (),
-    regions: Sequence[str] = (),
-) -> list[str]:
-    """Existing day folders the window can touch, below single-account and organization trails."""
-    account = "{" + ",".join(accounts) + "}" if accounts else "*"
-    region = "{" + ",".join(regions) + "}" if regions else "*"
-    first = (window.start - SLACK).astimezone(timezone.utc).date()
-    last = (window.end + SLACK).astimezone(timezone.utc).date()
-    jvm = spark.sparkContext._jvm
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    found = []
-    for offset in range((last - first).days + 1):
-        day = (first + timedelta(days=offset)).strftime("%Y/%m/%d")
-        for org in ("", "o-*/"):
-            pattern = f"{root.rstrip('/')}/AWSLogs/{org}{account}/CloudTrail/{region}/{day}"
-            path = jvm.org.apache.hadoop.fs.Path(pattern)
-            hits = path.getFileSystem(hadoop).globStatus(path)
-            found += [str(h.getPath()) for h in hits or []]
-    return sorted(found)
-
-
 def scan_cloudtrail(
     spark: SparkSession,
     root: str,
@@ -83,27 +58,20 @@ def scan_cloudtrail(
 ) -> DataFrame:
     """Records of the files that can hold events of the window.
 
-    Folders are pruned by day before listing, files by the time in their name before reading.
+    Folders are pruned by account, region and day before they are listed, files by the time in their name
+    before they are opened (``auditfiles``); the session takes filters to such sources from here on.
     """
-    folders = day_folders(spark, root, window, accounts, regions)
-    if not folders:
-        empty = spark.createDataFrame([], f"file string, pos int, r {_RECORD_TYPE}")
-        return empty.select("file", "pos", "r.*")
-    files = (
-        spark.read.option("multiLine", True)
-        .option("pathGlobFilter", "*.json.gz")
-        .schema(f"Records array<{_RECORD_TYPE}>")
-        .json(folders)
-    )
-    stamp = F.try_to_timestamp(
-        F.regexp_extract(F.col("_metadata.file_name"), FILE_STAMP, 1), F.lit("yyyyMMdd'T'HHmm")
-    )
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(auditfiles.AuditFiles)
     reach = Window(window.start - SLACK, window.end + SLACK)
-    return (
-        files.where(stamp.isNull() | reach.contains(stamp))
-        .select(F.col("_metadata.file_path").alias("file"), F.posexplode("Records").alias("pos", "r"))
-        .select("file", "pos", "r.*")
-    )
+    low, high = reach.literals()
+    files = spark.read.format(auditfiles.NAME).load(root).where((F.col("latest") >= low) & (F.col("earliest") <= high))
+    if accounts:
+        files = files.where(F.col("account").isin(*accounts))
+    if regions:
+        files = files.where(F.col("region").isin(*regions))
+    body = F.from_json("body", f"Records array<{_RECORD_TYPE}>")
+    return files.select("file", F.posexplode(body["Records"]).alias("pos", "r")).select("file", "pos", "r.*")
 
 
 def extract_targets(request: Column | str) -> Column:

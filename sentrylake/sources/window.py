@@ -34,7 +34,8 @@ class Window:
             return self
         return Window(self.end - timedelta(hours=max_hours), self.end)
 
-    def _literals(self) -> tuple[Column, Column]:
+    def literals(self) -> tuple[Column, Column]:
+        """Start and end as columns."""
         utc = timezone.utc
         return tuple(
             instant(m.astimezone(utc).replace(tzinfo=None)) for m in (self.start, self.end)
@@ -43,10 +44,10 @@ class Window:
     def contains(self, ts: Column | str = "ts") -> Column:
         """Both ends belong to the window."""
         c = F.col(ts) if isinstance(ts, str) else ts
-        return c.between(*self._literals())
+        return c.between(*self.literals())
 
     def contains_half_open(self, ts: Column | str = "ts") -> Column:
         """The start belongs to the window, the end does not."""
         c = F.col(ts) if isinstance(ts, str) else ts
-        start, end = self._literals()
+        start, end = self.literals()
         return (c >= start) & (c < end)

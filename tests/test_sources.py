@@ -240,3 +240,30 @@ def test_duplicates(spark):
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "dedup_key string, pos int, v string")
     keep = lambda k: {r.dedup_key: r.v for r in dedup_events(rows, ["pos"], keep=k).collect()}
     assert keep("last") == {"a": "y", "b": "z"} and keep("first") == {"a": "x", "b": "z"}
+
+
+def test_audit_files_outside_the_filters_are_never_opened(spark, tmp_path):
+    """Files outside hold no gzip, so opening one fails the job."""
+    def put(account, region, day, name, body=None):
+        folder = tmp_path / "AWSLogs" / account / "CloudTrail" / region / day
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_bytes(b"not gzip" if body is None else gzip.compress(json.dumps({"Records": [{"eventID": body}]}).encode()))
+
+    window = Window(datetime(2026, 5, 31, 12, tzinfo=timezone.utc), datetime(2026, 6, 1, 12, tzinfo=timezone.utc))
+    put("1", "r", "2026/05/31", "a_20260531T1105Z_x.json.gz", "slack before")
+    put("1", "r", "2026/06/01", "a_20260601T1255Z_x.json.gz", "slack after")
+    put("o-1/2", "r", "2026/06/01", "unnamed.json.gz", "no time")
+    put("1", "r", "2026/05/31", "a_20260531T1055Z_x.json.gz")
+    put("1", "r", "2026/06/01", "a_20260601T1305Z_x.json.gz")
+    put("1", "r", "2026/06/01", "a_20260601T0305Z_x.txt")
+    put("1", "r", "2026/06/02", "unnamed.json.gz")
+    put("1", "r", "2025/05/31", "a_20260601T0305Z_x.json.gz")
+    put("1", "r", "2026/13/99", "unnamed.json.gz")
+    put("3", "r", "2026/06/01", "a_20260601T0305Z_x.json.gz")
+    put("1", "other", "2026/06/01", "a_20260601T0305Z_x.json.gz")
+    got = cloudtrail.scan_cloudtrail(spark, str(tmp_path), window, accounts=["1", "2"], regions=["r"])
+    assert {r.eventID for r in got.collect()} == {"slack before", "slack after", "no time"}
+    put("1", "r", "2026/06/01", "a_20260601T0305Z_y.json.gz", "x" * 10)
+    assert got.count() == 4 and cloudtrail.scan_cloudtrail(spark, str(tmp_path), window, accounts=["1"], regions=["r"]).count() == 3
+    with pytest.raises(Exception, match="gzip"):
+        cloudtrail.scan_cloudtrail(spark, str(tmp_path), window).collect()

@@ -195,7 +195,7 @@ def judge(submitted: DataFrame, signals: DataFrame, events: DataFrame, profile:
         F.col("valid_ids").alias("signal_ids"),
         F.col("valid_events").alias("event_ids"),
         F.col("kinds").alias("evidence_kinds"),
-        F.slice("named", 1, 10).alias("entities"),
+        F.col("named").alias("entities"),
         adjustments.alias("adjustments"),
         F.coalesce(F.get(caveats, F.lit(0)), F.lit("")).alias("attribution_caveat"),
     )

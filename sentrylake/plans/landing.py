@@ -147,6 +147,24 @@ def _(t):
     return syslog.parse_lines(lines).select("id", "action", "proto", "iface_in", "src_ip", "src_port", "dst_ip", "dst_port", "ttl", "pkt_len")
 
 
+_SENTENCES = (*(sentence for sentence, _, _ in syslog.WINDOWS_EVENTS), syslog.DEFENDER_PREFIX, "Scan finished")
+
+
+@query("s09_parse_endpoint_lines", "", """WITH p AS (SELECT o_orderkey AS k, o_orderkey % 7 AS s, o_orderkey % 5 = 0 AS other FROM orders)
+SELECT k, CASE WHEN s = 5 AND NOT other THEN 'ids' WHEN s < 5 AND NOT other THEN 'auth' ELSE 'system' END AS kind,
+  CASE WHEN NOT other THEN ['logon_success', 'logon_failed', 'privileged', 'explicit_creds', 'lockout', 'detection', NULL][s + 1] END AS action,
+  CASE WHEN s < 5 AND NOT other THEN 'win' || (k % 33) END AS "user" FROM p""")
+def _(t):
+    """Every sentence of logons and of endpoint protection, a fifth of them from programs that they don't count for."""
+    k = F.col("o_orderkey")
+    s, other = k % 7, k % 5 == 0
+    section = _pick(("New Logon:", "Account For Which Logon Failed:", "Subject:", "Account Whose Credentials Were Used:", "Account That Was Locked Out:", "", ""), s)
+    msg = _cat(_pick(_SENTENCES, s), ".    ", section, "  \\011Security ID:\\011\\011S-1-5-21  \\011Account Name:\\011\\011win", k % 33, "  \\011Account Domain:\\011\\011WG")
+    program = F.when(other, "CRON").when(s < 5, "MICROSOFT-WINDOWS-SECURITY-AUDIT").otherwise("MICROSOFT-WINDOWS-WINDOWS_DEFENDER")
+    lines = materialize(t.raw("orders").select(k.alias("k"), program.alias("program"), msg.alias("msg")), "endpoint-lines")
+    return syslog.parse_lines(lines).select("k", "kind", "action", "user")
+
+
 @query("s04_normalize_protocol", "", """SELECT p_partkey, coalesce(['icmp', 'igmp', 'tcp', 'udp', 'gre', 'esp', 'icmpv6', 'ospf', 'tcp', '99', NULL][p_partkey % 11 + 1], NULL) AS proto FROM part""")
 def _(t):
     raw = _pick(("1", "2", "6", "17", "47", "50", "58", "89", "TCP", "99", ""), F.col("p_partkey") % 11)

@@ -45,11 +45,25 @@ def _(t):
     return rows.select("id", "ts", "program", "user", F.col("raw.request").alias("request"))
 
 
-@query("p05_applicable", "", None)
+def _needs() -> str:
+    """What each detector needs, as SQL rows."""
+    from sentrylake.plans.daily import DETECTORS
+
+    text = lambda names: "[" + ", ".join(f"'{n}'" for n in sorted(names)) + "]::VARCHAR[]"
+    return ", ".join(f"('{d.name}', {text(d.kinds)}, {text(d.sources)})" for d in DETECTORS)
+
+
+@query("p05_applicable", "fw dns ssh gd", f"""WITH days AS (SELECT DISTINCT day_of, kind, source FROM (SELECT 'quiet' AS day_of, kind, source FROM dns UNION ALL SELECT 'busy', kind, source FROM fw UNION ALL SELECT 'busy', kind, source FROM gd
+  UNION ALL SELECT 'logons', kind, source FROM ssh)), need(detector, kinds, sources) AS (VALUES {_needs()})
+SELECT day_of, detector FROM (SELECT day_of, list(DISTINCT kind) AS have, list(DISTINCT source) AS froms FROM days GROUP BY day_of), need
+WHERE (len(kinds) = 0 OR list_has_any(kinds, have)) AND (len(sources) = 0 OR list_has_any(sources, froms))""")
 def _(t):
+    """Detectors that days of different events call for."""
     from sentrylake.plans.daily import applicable_detectors
 
-    return applicable_detectors(t.fw.unionByName(t.dns))
+    days = {"quiet": t.dns, "busy": t.fw.unionByName(t.gd), "logons": t.ssh}
+    found = [applicable_detectors(rows).select(F.lit(day).alias("day_of"), "detector") for day, rows in days.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 @query("p06_kinds_and_sources", "fw dns ssh gd", """

@@ -160,53 +160,57 @@ def _(t):
     return _c(cloud.unexpected_region(t.cloud, t.profile))
 
 
-_MINE = "device LIKE '{0}/%'"
+# Two accounts with rules of the same names: a group is an account and a rule.
+_ONE, _TWO = "device LIKE '100000000001/%'", "device LIKE '100000000002/%'"
+_OF_RULE = "split_part(rule, '|', 1) AS account_id, split_part(rule, '|', 2) AS rule"
 
 
-@query("l16_dormant_principal", "cloud", "WITH " + _evidence("device LIKE '100000000001/%' AND lower(\"user\") LIKE '%user/u3'", "'user/u3'", "rule")
-       + _signal("'aws.dormant_principal.' || rule", "3", "0.85", "rule"))
-def _(t):
-    return _c(cloud.dormant_principal(t.cloud, t.profile))
+def _ruled(where: str, rule: str) -> str:
+    return "WITH " + _evidence(where, f"split_part(device, '/', 1) || '|' || {rule}", "rule")
+
+
+def _of_rule(signal_id: str, severity: str, confidence: str, extra: str = "") -> str:
+    return _signal(f"'{signal_id}.' || split_part(rule, '|', 2)", severity, confidence, _OF_RULE + extra)
 
 
-_KEYED = """((device LIKE '100000000001/%' AND "user" LIKE '%user/u3') OR (device LIKE '100000000002/%' AND "user" LIKE '%user/u8')) AND access_key_id LIKE 'AKIA%'"""
+def _rule_list(value: str, name: str) -> str:
+    return f", (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT DISTINCT {value} AS v FROM rows x WHERE x.rule = e.rule ORDER BY v LIMIT 20) z) AS {name}"
+
+
+@query("l16_dormant_principal", "cloud", _ruled(f"({_ONE} OR {_TWO}) AND lower(\"user\") LIKE '%user/u3'", "'user/u3'") + _of_rule("aws.dormant_principal", "3", "0.85"))
+def _(t):
+    return _c(cloud.dormant_principal(t.cloud, t.profile))
 
 
-@query("l16_unexpected_access_key", "cloud", "WITH " + _evidence(_KEYED, "CASE WHEN device LIKE '100000000001/%' THEN 'user/u3' ELSE 'user/u8' END", "rule") + _signal(
-    "'aws.long_term_key_use.' || rule", "3", "0.8",
-    "rule, (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT DISTINCT access_key_id AS v FROM rows x WHERE x.rule = e.rule ORDER BY v LIMIT 20) z) AS access_keys"))
+@query("l16_unexpected_access_key", "cloud", _ruled(f"((({_ONE} OR {_TWO}) AND \"user\" LIKE '%user/u3') OR ({_TWO} AND \"user\" LIKE '%user/u8')) AND access_key_id LIKE 'AKIA%'",
+    "CASE WHEN \"user\" LIKE '%user/u3' THEN 'user/u3' ELSE 'user/u8' END") + _of_rule("aws.long_term_key_use", "3", "0.8", _rule_list("access_key_id", "access_keys")))
 def _(t):
     return _c(cloud.unexpected_access_key(t.cloud, t.profile))
 
 
-@query("l17_out_of_scope_service", "cloud", "WITH " + _evidence(
-    "device LIKE '100000000001/%' AND \"user\" LIKE '%role/r2' AND split_part(program, ':', 1) NOT IN ('s3', 'sts')", "'role/r2'", "rule")
-       + _signal("'aws.out_of_scope_service.' || rule", "3", "0.8", "rule"))
+@query("l17_out_of_scope_service", "cloud", _ruled(f"\"user\" LIKE '%role/r2' AND (({_ONE} AND split_part(program, ':', 1) NOT IN ('s3', 'sts')) OR ({_TWO} AND split_part(program, ':', 1) NOT IN ('iam', 'sts')))", "'role/r2'")
+       + _of_rule("aws.out_of_scope_service", "3", "0.8"))
 def _(t):
     return _c(cloud.out_of_scope_service(t.cloud, t.profile))
 
 
-_STRAY = """program LIKE 's3:%' AND ((device LIKE '100000000001/%' AND "user" LIKE '%role/r2' AND NOT targets[1] IN ('res1', 'res2'))
-  OR (device LIKE '100000000002/%' AND "user" LIKE '%user/u8' AND targets[1] <> 'res5'))"""
+_STRAY = f"""program LIKE 's3:%' AND (({_ONE} AND "user" LIKE '%role/r2' AND NOT targets[1] IN ('res1', 'res2'))
+  OR ({_TWO} AND "user" LIKE '%user/u8' AND targets[1] <> 'res5') OR ({_TWO} AND "user" LIKE '%role/r2' AND targets[1] <> 'res3'))"""
 
 
-@query("l17_out_of_scope_bucket", "cloud", "WITH " + _evidence(_STRAY, "CASE WHEN device LIKE '100000000001/%' THEN 'role/r2' ELSE 'user/u8' END", "rule") + _signal(
-    "'aws.out_of_scope_bucket.' || rule", "3", "0.8",
-    "rule, (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT DISTINCT unnest(targets) AS v FROM rows x WHERE x.rule = e.rule ORDER BY v LIMIT 20) z) AS buckets"))
+@query("l17_out_of_scope_bucket", "cloud", _ruled(_STRAY, "CASE WHEN \"user\" LIKE '%role/r2' THEN 'role/r2' ELSE 'user/u8' END")
+       + _of_rule("aws.out_of_scope_bucket", "3", "0.8", _rule_list("unnest(targets)", "buckets")))
 def _(t):
     return _c(cloud.out_of_scope_bucket(t.cloud, t.profile))
 
 
-@query("l18_blocked_account", "cloud", "WITH " + _evidence("device LIKE '100000000001/%' AND (raw_json LIKE '%zone-77%' OR \"user\" LIKE '%zone-77%')", "'zone-77'", "rule")
-       + _signal("'aws.blocked_account.' || rule", "3", "0.85", "rule"))
+@query("l18_blocked_account", "cloud", _ruled(f"({_ONE} OR {_TWO}) AND (raw_json LIKE '%zone-77%' OR \"user\" LIKE '%zone-77%')", "'zone-77'") + _of_rule("aws.blocked_account", "3", "0.85"))
 def _(t):
     return _c(cloud.blocked_account(t.cloud, t.profile))
 
 
-@query("l18_watched_resource", "cloud", "WITH " + _evidence(
-    "(device LIKE '100000000001/%' AND raw_json LIKE '%zone-123%') OR (device LIKE '100000000002/%' AND raw_json LIKE '%zone-45%')",
-    "CASE WHEN device LIKE '100000000001/%' THEN 'zone-123' ELSE 'zone-45' END", "rule") + _signal(
-    "'aws.watched_resource.' || rule", "CASE rule WHEN 'zone-123' THEN 2 ELSE 3 END", "0.8", f"rule, {_REQUESTS.replace('x.k = e.k', 'x.rule = e.rule')}"))
+@query("l18_watched_resource", "cloud", _ruled(f"(({_ONE} OR {_TWO}) AND raw_json LIKE '%zone-123%') OR ({_TWO} AND raw_json LIKE '%zone-45%')", "CASE WHEN raw_json LIKE '%zone-123%' THEN 'zone-123' ELSE 'zone-45' END")
+       + _of_rule("aws.watched_resource", "CASE rule WHEN '100000000001|zone-123' THEN 2 ELSE 3 END", "0.8", f", {_REQUESTS.replace('x.k = e.k', 'x.rule = e.rule')}"))
 def _(t):
     return _c(cloud.watched_resource(t.cloud, t.profile))
 
@@ -562,13 +566,21 @@ def _(t):
     return rows.groupBy("kind", "source").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-@query("y02_verify_canaries", "", """SELECT * FROM (VALUES ('dns_beacon', 'c2.beacon_candidate', true), ('persistent_prober', 'scan.persistent_prober', true)) v(canary, expect_taxonomy, detected)""")
+@query("y02_verify_canaries", "dns fw", """WITH runs AS (SELECT 'planted' AS run, 0 AS every UNION ALL SELECT 'thinned', 1)
+  SELECT run, canary, expect_taxonomy, CASE canary WHEN 'dns_beacon' THEN every = 0 ELSE true END AS detected, (SELECT count(*) FROM dns) + (SELECT count(*) FROM fw) AS beside
+  FROM runs, (VALUES ('dns_beacon', 'c2.beacon_candidate'), ('persistent_prober', 'scan.persistent_prober')) v(canary, expect_taxonomy)""")
 def _(t):
+    """Planted among the given events, whole and with all but the first lookups of the beacon lost on the way."""
     from sentrylake.plans.daily import Context, run_canary_signals
 
-    planted = t.dns.unionByName(t.fw).unionByName(_canaries(t))
-    signals = run_canary_signals(Context(planted, t.profile), ["dns_beacons", "persistent_prober"])
-    return quality.verify_canaries(signals)
+    own = t.dns.unionByName(t.fw)
+    beside, planted = own.agg(F.count("*")).first()[0], _canaries(t)
+    thinned = planted.where("kind <> 'dns'").unionByName(planted.where("kind = 'dns'").orderBy("ts").limit(5))
+    out = []
+    for run, extra in (("planted", planted), ("thinned", thinned)):
+        signals = run_canary_signals(Context(own.unionByName(extra), t.profile), ["dns_beacons", "persistent_prober"])
+        out.append(quality.verify_canaries(signals).select(F.lit(run).alias("run"), "*", F.lit(beside).alias("beside")))
+    return out[0].unionByName(out[1])
 
 
 @query("y03_mark_canary_signals", "fw", """SELECT 'fw.stepped_ttl.' || src_ip AS signal_id, src_ip = '198.51.100.4' AS is_canary FROM (SELECT src_ip, count(*) AS n, min(ttl) AS lo, max(ttl) AS hi FROM fw
@@ -599,7 +611,7 @@ def _submitted(t):
         F.when(k % 5 == 0, none).otherwise(F.array(text(k), text(k + 10**12), F.lit("no number"), text(k))).alias("event_ids"),
         F.when(k % 8 == 0, none).when(k % 8 == 1, F.array(F.lit("reputation"))).when(k % 8 == 2, F.array(F.lit("reputation"), F.lit("baseline_delta")))
         .otherwise(F.array(F.lit("correlation"))).alias("evidence_kinds"),
-        F.when(k % 9 == 0, F.array(F.struct(F.lit("ip").alias("type"), F.lit("10.10.0.10").alias("value"), F.lit("").alias("role")),
+        F.when(k % 9 == 0, F.array(*[F.struct(F.lit("ip").alias("type"), F.lit(f"10.10.0.{n}").alias("value"), F.lit("").alias("role")) for n in range(10, 23)],
                                    F.struct(F.lit("planet").alias("type"), F.lit("x").alias("value"), F.lit("").alias("role")))).alias("entities"),
         F.lit("what").alias("what"), F.when(k % 11 == 0, "traffic from China").otherwise("because").alias("why"), F.lit("").alias("not_this"), F.lit("act").alias("action"),
     )
@@ -645,7 +657,7 @@ def _(t):
     return done.select("idx", "severity", has("severity clamped").alias("clamped"), has("severity lowered").alias("lowered"))
 
 
-@query("e04_fill_entities", "", f"""WITH {_JUDGED} SELECT k AS idx, CASE WHEN k % 9 = 0 THEN 'ip:10.10.0.10:' ELSE concat_ws('|', 'ip:10.10.0.' || l1 || ':source', 'ip:10.10.0.' || l2 || ':source') END AS entities,
+@query("e04_fill_entities", "", f"""WITH {_JUDGED} SELECT k AS idx, CASE WHEN k % 9 = 0 THEN (SELECT string_agg('ip:10.10.0.' || n || ':', '|' ORDER BY n) FROM range(10, 23) r(n)) ELSE concat_ws('|', 'ip:10.10.0.' || l1 || ':source', 'ip:10.10.0.' || l2 || ':source') END AS entities,
   k % 9 = 0 OR coalesce(l1 IN (10, 4), false) OR coalesce(l2 IN (10, 4), false) AS has_caveat, cites AS has_unknown, k % 5 <> 0 AS has_dropped FROM v WHERE rejected IS NULL""")
 def _(t):
     done = review.adjudicate_findings(_submitted(t), _cited_signals(t), q.where(t.fw, action="drop"), t.profile)

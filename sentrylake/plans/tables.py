@@ -54,8 +54,13 @@ PROFILE = Profile.parse(
             {
                 "account_id": "100000000002",
                 "expected_regions": ["us-west-2"],
-                "principals": [{"match": "user/u8", "long_term_keys": False, "allowed_buckets": ["res5"]}],
-                "watched_resources": [{"match": "zone-45"}],
+                "blocked_accounts": ["zone-77"],
+                "principals": [
+                    {"match": "user/u8", "long_term_keys": False, "allowed_buckets": ["res5"]},
+                    {"match": "user/u3", "dormant": True, "long_term_keys": False},
+                    {"match": "role/r2", "allowed_services": ["iam", "sts"], "allowed_buckets": ["res3"]},
+                ],
+                "watched_resources": [{"match": "zone-45"}, {"match": "zone-123"}],
             },
         ],
     }

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentrylake.llm.common import pick
+from sentrylake.llm.common import frugal, pick
 
 #: Characters of a chunk before its overlap with the next one, and of that overlap.
 CHUNK, OVERLAP = 1 << 16, 1 << 11
@@ -92,7 +92,7 @@ def _pieces(docs: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFram
     id_type = docs.schema["doc_id"].dataType.simpleString()
     names = ["key", "k", "doc_id", "start", "text", "left", "right"]
     kinds = [pa.int64(), pa.int32(), pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    chunks = docs.mapInArrow(cut, f"key long, k int, doc_id {id_type}, start long, text string, left array<long>, right array<long>")
+    chunks = docs.mapInArrow(frugal(cut), f"key long, k int, doc_id {id_type}, start long, text string, left array<long>, right array<long>")
     w = Window.partitionBy("key").orderBy("k")
     # where a chunk and the one before agree; null if they don't, then both stay in one piece
     synced = chunks.withColumn("sync", F.array_min(F.array_intersect("left", F.lag("right").over(w)))).drop("left", "right")
@@ -133,9 +133,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id
         out["ids"] = [b"".join(pdf["ids"])]
         return out
 
-    short = rows.where(F.length("text") <= chunk).mapInArrow(whole, f"doc_id {id_type}, ids binary")
+    short = rows.where(F.length("text") <= chunk).mapInArrow(frugal(whole), f"doc_id {id_type}, ids binary")
     long = rows.where(F.length("text") > chunk).select(F.monotonically_increasing_id().alias("key"), "doc_id", "text")
-    pieces = _pieces(long, pattern, chunk, overlap).mapInArrow(piece, f"key long, k int, doc_id {id_type}, ids binary")
+    pieces = _pieces(long, pattern, chunk, overlap).mapInArrow(frugal(piece), f"key long, k int, doc_id {id_type}, ids binary")
     return short.unionByName(pieces.groupBy("key").applyInPandas(joined, f"doc_id {id_type}, ids binary"))
 
 
@@ -151,4 +151,4 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 data = [b"".join(map(back.__getitem__, np.frombuffer(x.as_py(), "<u4").tolist())) for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(data, pa.binary())], ["doc_id", "ids", "bytes"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {id_type}, ids binary, bytes binary")
+    return encoded.select("doc_id", "ids").mapInArrow(frugal(run), f"doc_id {id_type}, ids binary, bytes binary")

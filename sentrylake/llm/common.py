@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import io
 import threading
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from sentrylake.session import scratch_path
+
 #: Odd multiplier of the polynomial over bytes, and its inverse modulo 2**64.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -43,6 +49,57 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker serves many tasks, one after another, and keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over batches, giving back memory when a task ends."""
+
+    def own(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return own
+
+
+def save_array(spark: SparkSession, array: np.ndarray, name: str) -> str:
+    """Write an array to the shared folder; tasks get its URI in place of a copy each."""
+    uri = scratch_path(spark, name) + ".npy"
+    held = io.BytesIO()
+    np.save(held, array)
+    fs, path = open_fs(uri)
+    with fs.open_output_stream(path) as f:
+        f.write(held.getbuffer())
+    return uri
+
+
+_arrays: dict[str, np.ndarray] = {}
+
+
+def load_array(uri: str) -> np.ndarray:
+    """An array of the shared folder, mapped where that is a mounted one, so that workers of a machine share it."""
+    if uri not in _arrays:
+        from pyarrow import fs
+
+        store, path = open_fs(uri)
+        while len(_arrays) >= 4:
+            _arrays.pop(next(iter(_arrays)))
+        if isinstance(store, fs.LocalFileSystem):
+            _arrays[uri] = np.load(path, mmap_mode="r")
+        else:
+            with store.open_input_stream(path) as f:
+                _arrays[uri] = np.load(io.BytesIO(f.read()))
+    return _arrays[uri]
+
+
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     with _powers_lock:
@@ -54,7 +111,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
                 down = np.full(size, _INVERSE, np.uint64)
                 down[0] = 1
                 up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-            if size > 1 << 22:  # a very long text pays for its own tables, the worker doesn't keep them
+            if size > 1 << 19:  # a very long text pays for its own tables, the worker doesn't keep them
                 return up, down
             _powers = (up, down)
         return _powers

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentrylake.llm.common import mix
+from sentrylake.llm.common import frugal, mix
 from sentrylake.llm.letters import grams, streams
 from sentrylake.session import materialize
 
@@ -66,7 +66,7 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int32()), pa.array([rows, *total[at]], pa.int64())], ["component", "n"])
 
-    return texts.select("text").mapInArrow(run, "component int, n long").groupBy("component").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(frugal(run), "component int, n long").groupBy("component").agg(F.sum("n").alias("n"))
 
 
 def cluster(vectors: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -113,7 +113,7 @@ def radii(known: DataFrame, idf: np.ndarray, languages: list[str], centroids: np
         kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["lang", "band", "bin", "n"])
 
-    steps = known.select("text", "lang").mapInArrow(run, "lang string, band int, bin int, n long").groupBy("lang", "band", "bin").agg(F.sum("n").alias("n"))
+    steps = known.select("text", "lang").mapInArrow(frugal(run), "lang string, band int, bin int, n long").groupBy("lang", "band", "bin").agg(F.sum("n").alias("n"))
     held = defaultdict(list)
     for r in steps.collect():
         held[r["lang"], r["band"]].append((r["bin"], r["n"]))

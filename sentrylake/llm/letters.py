@@ -17,10 +17,11 @@ _symbols: np.ndarray | None = None
 def symbol_table() -> np.ndarray:
     global _symbols
     if _symbols is None:
-        made = np.zeros(0x110000, np.int64)
-        made[[i for i in range(0x110000) if chr(i).isalpha()]] = 1
-        points = np.arange(0x110000)
-        made *= np.where((points > 0x60) & (points < 1 << BITS), points, 1 + points % 96)
+        points = np.arange(0x110000, dtype=np.int32)
+        made = np.where((points > 0x60) & (points < 1 << BITS), points, 1 + points % 96).astype(np.uint8)
+        for i in range(0x110000):
+            if not chr(i).isalpha():
+                made[i] = 0
         _symbols = made
     return _symbols
 
@@ -33,7 +34,7 @@ def streams(text: str, before: int, overlap: int) -> Iterator[np.ndarray]:
         part = text[at : at + SLICE].lower()
         if at + SLICE >= len(text):
             part += " "
-        s = table[np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        s = table[np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
         last = 0 if fresh else tail[-1]
         s = s[(s != 0) | (np.concatenate([[last], s[:-1]]) != 0)]
         s = np.concatenate([tail, s])

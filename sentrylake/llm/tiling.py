@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrylake.llm.common import pick, span_hashes, word_spans, words_of
+from sentrylake.llm.common import frugal, pick, span_hashes, word_spans, words_of
 from sentrylake.session import materialize
 
 #: Shortest tile in words, and the share of an item's words that tiles must cover.
@@ -90,7 +90,7 @@ def _items(benchmark: DataFrame, item_id: str, text: str, min_match: int) -> Dat
 
     rows = pick(benchmark, item=item_id, text=text)
     kind = rows.schema["item"].dataType.simpleString()
-    return rows.mapInArrow(run, f"item {kind}, n_words int, words string, seeds array<long>, times array<long>")
+    return rows.mapInArrow(frugal(run), f"item {kind}, n_words int, words string, seeds array<long>, times array<long>")
 
 
 def _hits(docs: DataFrame, lengths: list[int], bits: np.ndarray) -> DataFrame:
@@ -118,7 +118,7 @@ def _hits(docs: DataFrame, lengths: list[int], bits: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["text_hash", "doc_id", "seeds", "places", "words"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"text_hash long, doc_id {kind}, seeds array<long>, places array<long>, words string")
+    return docs.mapInArrow(frugal(run), f"text_hash long, doc_id {kind}, seeds array<long>, places array<long>, words string")
 
 
 def contaminated(

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentrylake.llm.common import mix, pick
+from sentrylake.llm.common import frugal, give_back, load_array, mix, pick, save_array
 from sentrylake.llm.letters import BITS, grams, streams
 from sentrylake.session import materialize
 
@@ -36,15 +36,17 @@ SLOTS, CONTEXT_SLOTS = 1 << 22, 1 << 20
 SCALE_EVERY, SCALE_ROWS = 8, 20_000
 #: Slope and middle that the fit starts from and stays near when there are few rows.
 SLOPE, MIDDLE = 5.0, 1.0
+#: About so many labelled rows at most are learned from, drawn by a hash of the id; what is sent to every executor.
+LABELLED = 1 << 22
 #: Symbols that a task gathers before it adds them up; a memory bound.
-_AT_ONCE = 1 << 21
+_AT_ONCE = 1 << 20
 #: Counts of all rows, and of all but those that fit the scale.
 CLASSES, LESS = ("toxic", "ordinary"), ("toxic_less", "ordinary_less")
 
 
 class Model(NamedTuple):
-    ratios: np.ndarray  # NaN: neither class has an n-gram of this slot
-    contexts: np.ndarray  # 0: neither class has this context
+    ratios: str  # an array in the shared folder; NaN: neither class has an n-gram of this slot
+    contexts: str  # likewise; 0: neither class has this context
     growth: float  # of an ordinary text's best window with the logarithm of the number of windows
     usual: float  # the logarithm from which that growth counts
     slope: float
@@ -91,7 +93,7 @@ def counts(labelled: DataFrame) -> DataFrame:
                     size = 0
         yield made()
 
-    found = labelled.select("text", "toxic", "aside").mapInArrow(run, "g long, toxic long, ordinary long, toxic_less long, ordinary_less long")
+    found = labelled.select("text", "toxic", "aside").mapInArrow(frugal(run), "g long, toxic long, ordinary long, toxic_less long, ordinary_less long")
     return found.groupBy("g").agg(*[F.sum(c).alias(c) for c in (*CLASSES, *LESS)])
 
 
@@ -155,7 +157,7 @@ def _slots(rows: DataFrame, slots: int, empty: float) -> tuple[np.ndarray, np.nd
             slot = _slot(batch.column(1).to_numpy(), batch.column(0).to_numpy().astype(np.uint64), slots)
             yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), *batch.columns[2:]], ["slot", "n", "ratio", "n_less", "ratio_less"])
 
-    found = rows.select("level", "key", "n", "ratio", "n_less", "ratio_less").mapInArrow(run, "slot int, n long, ratio double, n_less long, ratio_less double").groupBy("slot")
+    found = rows.select("level", "key", "n", "ratio", "n_less", "ratio_less").mapInArrow(frugal(run), "slot int, n long, ratio double, n_less long, ratio_less double").groupBy("slot")
     mean = lambda end: F.try_divide(F.sum(F.col(f"ratio{end}") * F.col(f"n{end}")), F.sum(f"n{end}")).cast("float").alias(f"ratio{end}")
     found = found.agg(mean(""), mean("_less")).toArrow()
     made = []
@@ -243,6 +245,8 @@ def fit(labelled: DataFrame) -> Model:
     aside = F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * min(1 / SCALE_EVERY, SCALE_ROWS / max(1, kinds)))
     found = materialize(counts(rows.withColumn("aside", aside)), "ngram-counts")
     (ratios, ratios_less), (rests, rests_less) = (_slots(x, n, empty) for x, n, empty in zip(log_ratios(found), (SLOTS, CONTEXT_SLOTS), (np.nan, 0.0), strict=True))
+    spark = labelled.sparkSession
+    ratios, rests, ratios_less, rests_less = (save_array(spark, x, "letter-model") for x in (ratios, rests, ratios_less, rests_less))
     drawn = rows.where(aside).dropDuplicates(["h", "toxic"])
     drawn = drawn.select(_evidence((ratios_less, rests_less))("text").alias("e"), "toxic").select("e.*", "toxic").toPandas()
     best, whole, windows, labels = (drawn[c].to_numpy(float) for c in ("best", "whole", "windows", "toxic"))
@@ -250,9 +254,10 @@ def fit(labelled: DataFrame) -> Model:
     return Model(ratios, rests, growth, usual, *_fit_scale(best - growth * (np.log(windows) - usual), labels, whole))
 
 
-def _evidence(tables: tuple[np.ndarray, np.ndarray]):
+def _evidence(uris: tuple[str, str]):
     @F.pandas_udf("best double, whole double, windows long")
     def value(text: pd.Series) -> pd.DataFrame:
+        tables = tuple(map(load_array, uris))
         return pd.DataFrame([evidence(x, *tables) for x in text], columns=["best", "whole", "windows"])
 
     return value
@@ -260,12 +265,14 @@ def _evidence(tables: tuple[np.ndarray, np.ndarray]):
 
 def score(model: Model, text: str | Column = "text") -> Column:
     """Toxicity from 0 to 1 of a column of whole texts; null texts and those without letters have that of no evidence."""
-    tables = (model.ratios, model.contexts)
+    uris = (model.ratios, model.contexts)
     growth, usual, slope, more, middle = model[2:]
 
     @F.pandas_udf("double")
     def run(text: pd.Series) -> pd.Series:
+        tables = tuple(map(load_array, uris))
         found = np.array([evidence(x, *tables) for x in text], float).reshape(-1, 3)
+        give_back()
         excess = found[:, 0] - growth * np.where(found[:, :2].any(1), np.log(found[:, 2]) - usual, 0.0)
         return pd.Series(1.0 / (1.0 + np.exp(-np.clip(slope * (excess - middle) + more * found[:, 1], -500, 500))))
 
@@ -277,11 +284,15 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1, most: int = LABELLED) -> DataFrame:
     """``text, toxic, text_hash`` of the labelled documents that aren't held out; of several labels of one id the highest.
 
-    Texts are hashed before the join, so that counting and drawing them doesn't shuffle all texts once more.
+    Rows with a null id or another label are left out, repeated documents are learned each. Of more than
+    ``most`` labelled ids about ``most`` count, drawn by a hash of the id. They are sent to where the documents
+    lie, which is why their number is bounded; no text is shuffled.
     """
     texts = pick(docs, doc_id="doc_id", text="text").where(~held_out(F.col("doc_id"), parts, part)).withColumn("text_hash", F.xxhash64("text", F.lit(5)))
-    known = pick(labels, doc_id="doc_id", toxic="toxic").where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return texts.join(known, "doc_id").select("text", "toxic", "text_hash")
+    known = pick(labels, doc_id="doc_id", toxic="toxic").where("toxic in (0, 1)").where(~held_out(F.col("doc_id"), parts, part))
+    known = materialize(known.groupBy("doc_id").agg(F.max("toxic").cast("byte").alias("toxic")), "labels")
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(1, known.count())))
+    return texts.join(F.broadcast(known.where(drawn)), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), "text_hash")

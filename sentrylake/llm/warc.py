@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrylake.llm.common import open_fs, partitions, pick
+from sentrylake.llm.common import frugal, open_fs, partitions, pick
 
 ARCHIVE, INDEX, PACKAGE = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -147,7 +147,7 @@ def write_packages(rows: DataFrame, folder: str, date: str = "2000-01-01T00:00:0
         columns = list(zip(*done, strict=True)) or [[]] * 3
         yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(columns, [pa.string(), pa.int64(), pa.int64()], strict=True)], ["path", "n_records", "n_bytes"])
 
-    return rows.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "path string, n_records long, n_bytes long")
+    return rows.select("page_id", "url", "payload", "refers_to").mapInArrow(frugal(run), "path string, n_records long, n_bytes long")
 
 
 # ---- reading
@@ -319,9 +319,9 @@ def read_packages(paths: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame
         yield made()
 
     n = partitions(paths)
-    found = paths.select("path").repartition(n, "path").mapInArrow(locate, "path string, zipped boolean, offset long, size long")
+    found = paths.select("path").repartition(n, "path").mapInArrow(frugal(locate), "path string, zipped boolean, offset long, size long")
     # ranges of one package go to many tasks
-    return found.repartition(n, "path", "offset").mapInArrow(read, "record_id string, record_type string, target_uri string, refers_to string, digest string, payload_bytes long, payload binary")
+    return found.repartition(n, "path", "offset").mapInArrow(frugal(read), "record_id string, record_type string, target_uri string, refers_to string, digest string, payload_bytes long, payload binary")
 
 
 def id_of(record: str):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrylake.llm.common import pick
+from sentrylake.llm.common import frugal, pick
 from sentrylake.session import materialize
 
 BLOCKS = frozenset(
@@ -271,7 +271,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
             total = merged(total, json.loads(x)) if total else json.loads(x)
         return pdf.iloc[:1][["host"]].assign(wrapper=[json.dumps(trimmed(total, total[1]))])
 
-    parts = pages.select("host", "html").mapInArrow(run, "host string, wrapper string")
+    parts = pages.select("host", "html").mapInArrow(frugal(run), "host string, wrapper string")
     return parts.groupBy("host").applyInPandas(whole, "host string, wrapper string")
 
 
@@ -300,4 +300,4 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     joined = rows.join(learned, "host", "left").select("page_id", "url", "html", "wrapper")
-    return joined.mapInArrow(run, f"page_id {kind}, url string, text string")
+    return joined.mapInArrow(frugal(run), f"page_id {kind}, url string, text string")

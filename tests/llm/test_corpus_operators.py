@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sentrylake.llm import bpe, huffman, langid, line_rules, prefix_tree, sharding, tiling, tokens, toxicity, warc, wrappers
-from sentrylake.llm.common import pick
+from sentrylake.llm.common import load_array, pick
 from sentrylake.session import materialize, scratch_path
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -220,6 +220,9 @@ def test_huffman_files(spark, awkward, empty):
     plain = Tokenizer.from_file(JSON)
     for docs, want in ((df, rows), (empty, [])):
         ids = materialize(tokens.token_table(docs, JSON), "ids")
+        counts = {(r.id, r.n) for r in tokens.counted(ids).collect()}
+        ids = tokens.documents(ids)
+        assert counts == {(r.id, r.n) for r in huffman.count_ids(ids).collect()}
         code = huffman.code_of(huffman.count_ids(ids))
         manifest = materialize(huffman.write_files(ids, code, scratch_path(spark, "t"), file_bytes=2000), "m")
         got = sorted((r.start, r.doc_id, list(r.ids)) for r in huffman.read_files(manifest).collect())
@@ -300,7 +303,7 @@ def test_copies_of_one_toxic_text_are_learned_and_drawn_once(spark, monkeypatch)
     model = toxicity.fit(df)
     for w in words:  # its 5-grams are known, whichever texts fit the scale
         g = toxicity._text_grams(w)[4:]
-        assert not np.isnan(model.ratios[toxicity._slot(g, toxicity.ORDER, len(model.ratios))]).any()
+        assert not np.isnan(load_array(model.ratios)[toxicity._slot(g, toxicity.ORDER, len(load_array(model.ratios)))]).any()
     assert 0 < fitted[0] <= 396 / 4
     hot = spark.createDataFrame([(t, y) for t, y in ordinary for _ in range(30)], "text string, toxic int")
     toxicity.fit(hot)
@@ -322,8 +325,8 @@ def test_windows_are_held_against_texts_as_long(spark):
     tests += [(f"{some_text(rng, 400)} vequta scoundrel {some_text(rng, 400)}", 1), ("vequmo", 1), ("scoundrel", 1), ("vequta scoundrel", 1)]
     got = spark.createDataFrame(tests, "text string, toxic int").select("toxic", toxicity.score(model).alias("s")).collect()
     assert all((r.s >= toxicity.REJECT) == bool(r.toxic) for r in got), got
-    flat = np.full(len(model.ratios), 2.0, np.float32)  # every letter has 2: so has every text, however short
-    assert [toxicity.evidence(t, flat, model.contexts)[:2] for t in ("a", "vequmo", "x " * 500)] == [(2.0, 2.0)] * 3
+    flat = np.full(len(load_array(model.ratios)), 2.0, np.float32)  # every letter has 2: so has every text, however short
+    assert [toxicity.evidence(t, flat, load_array(model.contexts))[:2] for t in ("a", "vequmo", "x " * 500)] == [(2.0, 2.0)] * 3
 
 
 def test_evidence_is_the_same_in_slices(monkeypatch):

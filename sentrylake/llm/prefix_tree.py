@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentrylake.llm.common import mix, partitions, pick, shingle_hashes, words_of
+from sentrylake.llm.common import frugal, mix, partitions, pick, shingle_hashes, words_of
 from sentrylake.llm.components import components
 from sentrylake.session import materialize
 
@@ -36,6 +36,8 @@ COUNTERS, FILTER_BITS = 1 << 18, 1 << 24
 BLOCK = 256
 #: Rounds in which a set is compared with one other for each n-gram, before all pairs across components are.
 ROUNDS = 1
+#: Rows of a batch that are turned into Python values at once; a memory bound.
+ROWS = 256
 #: From this many sets on an n-gram is dealt in blocks of ``DEALT`` sets, below it pairs come from a join.
 MANY, DEALT = 32, 1024
 
@@ -162,7 +164,7 @@ def _sets(docs: DataFrame, words: int, counters: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], fields)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n int, sid long, sig binary, chunk int, counts binary")
+    return docs.mapInArrow(frugal(run), f"doc_id {kind}, n int, sid long, sig binary, chunk int, counts binary")
 
 
 def _sketch(sets: DataFrame, counters: int) -> np.ndarray:
@@ -200,7 +202,7 @@ def _firsts(docs: DataFrame, words: int, alike: int, sketch: np.ndarray) -> Data
             for at in range(0, len(columns[0]), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns], ["token", "sid", "meta"])
 
-    return docs.mapInArrow(run, "token long, sid long, meta long")
+    return docs.mapInArrow(frugal(run), "token long, sid long, meta long")
 
 
 def _ordered_sets(docs: DataFrame, sids: DataFrame, keys: DataFrame, words: int, sketch: np.ndarray, filter_bits: int) -> DataFrame:
@@ -229,7 +231,7 @@ def _ordered_sets(docs: DataFrame, sids: DataFrame, keys: DataFrame, words: int,
                         items.append(in_order(h, sketch)[::-1].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(items, pa.binary())], ["sid", "items"])
 
-    return docs.select("key", "text").mapInArrow(run, "sid long, items binary")
+    return docs.select("key", "text").mapInArrow(frugal(run), "sid long, items binary")
 
 
 def _can_link(meta_a: Column, meta_b: Column, alike: int) -> Column:
@@ -245,14 +247,27 @@ def _may_link(pairs: DataFrame, signed: DataFrame, alike: int) -> DataFrame:
         pairs = pairs.join(signed.select(F.col("sid").alias(end), F.struct("n", "sig").alias(f"of_{end}")), end)
 
     def run(batches):
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                both = a["n"] + b["n"]
-                keep.append(bits_apart(a["sig"], b["sig"]) <= both - 2 * needed(a["n"], b["n"], alike))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["p", "x"]).filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                n, sig = ([batch.column(i).field(name) for i in (2, 3)] for name in ("n", "sig"))
+                sizes = zip(*(x.to_pylist() for x in n), strict=True)
+                keep = [
+                    bits_apart(x.as_py(), y.as_py()) <= a + b - 2 * needed(a, b, alike) for (a, b), x, y in zip(sizes, *sig, strict=True)
+                ]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["p", "x"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("p", "x", "of_p", "of_x").mapInArrow(frugal(run), "p long, x long")
+
 
-    return pairs.select("p", "x", "of_p", "of_x").mapInArrow(run, "p long, x long")
+def _first_common(own: np.ndarray, theirs: np.ndarray) -> int:
+    """The first of ``own`` that is in ``theirs``, which ascends; there is one."""
+    for at in range(0, len(own), 64):
+        part = own[at : at + 64]
+        hit = np.flatnonzero(theirs[np.minimum(np.searchsorted(theirs, part), len(theirs) - 1)] == part)
+        if len(hit):
+            return int(part[hit[0]])
+    raise ValueError("nothing in common")
 
 
 def _pairs_of_block(token: int, sids, ns, places, roots, parts, sigs, peers, crossing: bool, alike: int) -> list[tuple[int, int]]:
@@ -286,8 +301,8 @@ def _pairs_of_block(token: int, sids, ns, places, roots, parts, sigs, peers, cro
             i, j = int(order[r]), int(order[x])
             theirs = sets.get(j)
             if theirs is None:
-                theirs = sets[j] = set(peers[j])
-            if next(t for t in peers[i] if t in theirs) == token:
+                theirs = sets[j] = np.sort(peers[j])
+            if _first_common(peers[i], theirs) == token:
                 found.append((min(sids[i], sids[j]), max(sids[i], sids[j])))
     return found
 
@@ -320,16 +335,20 @@ def _pairs_of_many(rows: DataFrame, signed: DataFrame, alike: int, dealt: int) -
         def packed(pairs):
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["p", "x"])
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:3] != key:
-                    if pairs := made():
-                        yield packed(pairs)
-                    key, group = row[:3], []
-                group.append(row[3:])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                lists = batch.column(8)
+                flat, ends = lists.flatten().to_numpy(), (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+                for r, row in enumerate(zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True)):
+                    if row[:3] != key:
+                        if pairs := made():
+                            yield packed(pairs)
+                        key, group = row[:3], []
+                    group.append((*row[3:], batch.column(7)[r].as_py(), flat[ends[r] : ends[r + 1]].copy()))
         yield packed(made())
 
-    return rows.mapInArrow(run, "p long, x long").distinct()
+    return rows.mapInArrow(frugal(run), "p long, x long").distinct()
 
 
 def _links(pairs: DataFrame, sets: DataFrame, alike: int, block: int) -> DataFrame:
@@ -347,7 +366,7 @@ def _links(pairs: DataFrame, sets: DataFrame, alike: int, block: int) -> DataFra
             found = tree.search(np.sort(probe), alike) if tree is not None and tree.below else []
             return [(key[0], x) for x in found]
 
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             out = []
             for p, part, x, items in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
                 if (p, part) != key:
@@ -362,7 +381,7 @@ def _links(pairs: DataFrame, sets: DataFrame, alike: int, block: int) -> DataFra
         out = made()
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(frugal(run), "a long, b long")
 
 
 def _with_links(roots: DataFrame, links: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentrylake.llm.common import open_fs, partitions
+from sentrylake.llm.common import frugal, open_fs, partitions
 from sentrylake.llm.tokens import unpack_ids
 
 MAGIC = b"TIDH0001"
@@ -146,7 +146,7 @@ def count_ids(tokens: DataFrame) -> DataFrame:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
 
-    return tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.select("ids").mapInArrow(frugal(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def code_of(counts: DataFrame, limit: int = LIMIT) -> Code:
@@ -229,7 +229,7 @@ def write_files(tokens: DataFrame, code: Code, folder: str, file_bytes: int = 25
         yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(columns, kinds, strict=True)], ["part", "seq", "path", "n_docs", "n_tokens"])
 
     ordered = tokens.repartitionByRange(partitions(tokens), "doc_id").sortWithinPartitions("doc_id", "ids")
-    return ordered.select("doc_id", "ids").mapInArrow(run, "part int, seq int, path string, n_docs long, n_tokens long")
+    return ordered.select("doc_id", "ids").mapInArrow(frugal(run), "part int, seq int, path string, n_docs long, n_tokens long")
 
 
 def read_file(path: str) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
@@ -280,4 +280,4 @@ def read_files(manifest: DataFrame, digest: bool = False) -> DataFrame:
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     files = manifest.select("path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start"))
     files = files.repartition(partitions(manifest), "path")
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids array<long>"))
+    return files.mapInArrow(frugal(run), "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids array<long>"))

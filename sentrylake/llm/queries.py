@@ -30,8 +30,8 @@ def vocabulary(name: str) -> str:
 def op5_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, written as Huffman-coded files and read back from them."""
     ids = materialize(tokens.token_table(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0), "ids")
-    code = huffman.code_of(huffman.count_ids(ids))
-    manifest = materialize(huffman.write_files(ids, code, scratch_path(spark, "tidh")), "tidh-manifest")
+    code = huffman.code_of(tokens.counted(ids))
+    manifest = materialize(huffman.write_files(tokens.documents(ids), code, scratch_path(spark, "tidh")), "tidh-manifest")
     return huffman.read_files(manifest, digest=True)
 
 

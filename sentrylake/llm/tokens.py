@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from sentrylake.llm.common import pick
+from sentrylake.llm.common import frugal, pick
 
 #: Entries that a worker remembers; a memory bound, without effect on results.
 REMEMBERED = 1_000_000
@@ -95,30 +96,58 @@ def encoder(path: str, special_as_text: bool = True) -> PieceEncoder:
 
 
 def token_table(docs: DataFrame, tokenizer_path: str, end_id: int | None = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids``: the ids of each whole text, ``end_id`` behind them, as compressed 32-bit integers.
+    """``doc_id, n_tokens, ids, counts``: the ids of each whole text, ``end_id`` behind them, as compressed 32-bit integers.
 
     Null and empty texts have the end id alone. Every row is a document, also repeated ones and those
-    with a null id.
+    with a null id. The last row of a task is no document: it has nulls, and in ``counts`` how often each id
+    occurs in the task's rows (``documents`` and ``counted`` tell the two apart).
     """
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=3)
         encode = encoder(tokenizer_path)
         tail = b"" if end_id is None else np.array([end_id], encode.dtype).tobytes()
+        total, kind = np.zeros(0, np.int64), None
         for batch in batches:
+            kind = batch.schema.field(0).type
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 ids = [x + tail for x in encode.encode(part.column(1).to_pylist())]
+                own = np.bincount(np.frombuffer(b"".join(ids), encode.dtype), minlength=len(total))
+                own[: len(total)] += total
+                total = own
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), pa.array([len(x) // encode.dtype.itemsize for x in ids], pa.int64()),
-                        pa.array([bytes([encode.dtype.itemsize]) + pack.compress(x) for x in ids], pa.binary()),
+                        pa.array([bytes([encode.dtype.itemsize]) + pack.compress(x) for x in ids], pa.binary()), pa.nulls(len(ids), pa.binary()),
                     ],
-                    ["doc_id", "n_tokens", "ids"],
+                    names,
                 )
+        if len(total):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([pack.compress(total.tobytes())], pa.binary())], names)
 
+    names = ["doc_id", "n_tokens", "ids", "counts"]
     rows = pick(docs, doc_id=doc_id, text=text)
-    return rows.mapInArrow(run, "doc_id " + rows.schema["doc_id"].dataType.simpleString() + ", n_tokens long, ids binary")
+    return rows.mapInArrow(frugal(run), "doc_id " + rows.schema["doc_id"].dataType.simpleString() + ", n_tokens long, ids binary, counts binary")
+
+
+def documents(tokens: DataFrame) -> DataFrame:
+    """``doc_id, n_tokens, ids`` of a written token table."""
+    return tokens.where("counts is null").drop("counts")
+
+
+def counted(tokens: DataFrame) -> DataFrame:
+    """``id, n`` over all rows of a written token table, from the counts of its tasks."""
+
+    def run(batches):
+        for batch in batches:
+            for packed in batch.column(0):
+                total = np.frombuffer(zstandard.decompress(packed.as_py()), np.int64)
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
+
+    found = tokens.where("counts is not null").select("counts").mapInArrow(frugal(run), "id long, n long")
+    return found.groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def unpack_ids(packed: bytes) -> np.ndarray:

@@ -36,6 +36,8 @@ COUNTERS, FILTER_BITS = 1 << 18, 1 << 24
 BLOCK = 256
 #: Rounds in which a set is compared with one other for each n-gram, before all pairs across components are.
 ROUNDS = 1
+#: Partners of a set in a round, those of most of its n-grams; all others that may be linked and are still apart follow.
+PARTNERS = 2
 #: Rows of a batch that are turned into Python values at once; a memory bound.
 ROWS = 256
 #: From this many sets on an n-gram is dealt in blocks of ``DEALT`` sets, below it pairs come from a join.
@@ -443,7 +445,10 @@ def alike_documents(
         w = Window.partitionBy("token")
         one = rest.withColumn("o", F.min(F.struct(F.xxhash64("sid", F.lit(i)).alias("by"), "sid", "meta", "root")).over(w))
         near = one.where((F.col("o.root") != F.col("root")) & _can_link(F.col("meta"), F.col("o.meta"), alike))
-        near = materialize(near.select(F.col("o.sid").alias("p"), F.col("sid").alias("x")).distinct(), "maybe-pairs")
+        near = near.groupBy(F.col("o.sid").alias("p"), F.col("sid").alias("x")).agg(F.count("*").alias("n"))
+        # the partners of most of a set's n-grams; others meet it at the end, if they are still apart then
+        w_x = Window.partitionBy("x").orderBy(F.desc("n"), "p")
+        near = materialize(near.withColumn("r", F.row_number().over(w_x)).where(F.col("r") <= PARTNERS).select("p", "x"), "maybe-pairs")
         near = materialize(_may_link(near, signed, alike), "near-pairs")
         done = near.select(F.least("p", "x").alias("p"), F.greatest("p", "x").alias("x"))
         tried = done if tried is None else tried.unionByName(done)

@@ -219,3 +219,20 @@ def test_a_tampered_leaf_does_not_fold_to_the_root(spark):
     rows = spark.createDataFrame([(i, "s", hashlib.sha256(bytes([i])).digest()) for i in range(11)], "id long, g string, leaf binary")
     found = merkle.manifest(rows).select(merkle.folded(F.col("path"), F.lit(b"y" * 32)).alias("bad"), merkle.folded(F.col("path"), F.col("leaf")).alias("good"), merkle.text_of("root").alias("root")).collect()
     assert all(r.good == r.root != r.bad for r in found)
+
+
+# ---- 7
+
+
+def test_labels_are_bounded_and_awkward_ones_left_out(spark):
+    from sentrylake.llm import toxicity
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(3000)] + [(None, "x"), (5, "again")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, "z") for i in range(3000)] + [(None, 1, "z"), (4, None, "z"), (4, 7, "z"), (4, 1, "z"), (6, 1, "z")], "doc_id long, toxic int, TOXIC string")
+    rows = toxicity.training_rows(docs, labels)
+    kept = {r.text: r.toxic for r in rows.collect()}
+    assert "x" not in kept and 1800 < len(kept) < 2200 and all(kept.get(f"text {i}", 1) == 1 for i in (4, 6))
+    assert "Exchange hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
+    few = toxicity.training_rows(docs, labels, most=300).count()
+    assert 200 < few < 400
+    assert toxicity.training_rows(docs, labels.limit(0)).count() == 0

@@ -321,17 +321,10 @@ def flow_history_for(
     ioc_flow: DataFrame, ips: DataFrame, as_of: datetime | str, days: int = 180
 ) -> DataFrame:
     """Retained traffic touching ``ips``, summed per calendar day."""
-    wanted = ips.select("value").distinct()
-    src = wanted.select(F.col("value").alias("_src"))
-    dst = wanted.select(F.col("value").alias("_dst"))
-    rows = ioc_flow.where(F.col("day") >= _since(as_of, days))
-    rows = rows.join(src, rows["src_ip"] == src["_src"], "left")
-    rows = rows.join(dst, rows["dst_ip"] == dst["_dst"], "left")
-    return (
-        rows.where(F.col("_src").isNotNull() | F.col("_dst").isNotNull())
-        .groupBy("day", "src_ip", "dst_ip", "dst_port", "proto")
-        .agg(F.sum("hits").alias("hits"))
-    )
+    keys = ["day", "src_ip", "dst_ip", "dst_port", "proto"]
+    rows = ioc_flow.where(F.col("day") >= _since(as_of, days)).select(*keys, "hits")
+    summed = q.touching(rows, ips).groupBy(*keys, "value").agg(F.sum("hits").alias("hits"))
+    return summed.groupBy(*keys).agg(F.max("hits").alias("hits"))
 
 
 def dns_history_for(

@@ -311,17 +311,21 @@ def all_traffic_ips(events: DataFrame) -> DataFrame:
 
 def traffic_involving(events: DataFrame, ips: DataFrame) -> DataFrame:
     """Traffic from or to ``ips`` (column ``value``) by pair, port, protocol and action."""
-    wanted = ips.select("value").distinct()
-    src = wanted.select(F.col("value").alias("_src"))
-    dst = wanted.select(F.col("value").alias("_dst"))
     rows = where(events, kind=list(TRAFFIC_KINDS))
-    rows = rows.join(src, rows["src_ip"] == src["_src"], "left")
-    rows = rows.join(dst, rows["dst_ip"] == dst["_dst"], "left")
-    return (
-        rows.where(F.col("_src").isNotNull() | F.col("_dst").isNotNull())
-        .groupBy("src_ip", "dst_ip", "dst_port", "proto", "action")
-        .agg(F.count("*").alias("hits"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    )
+    keys = ["src_ip", "dst_ip", "dst_port", "proto", "action"]
+    near = touching(rows.select(*keys, "ts"), ips).groupBy(*keys, "value")
+    near = near.agg(F.count("*").alias("hits"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return near.groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("hits", "first_ts", "last_ts")])
+
+
+def touching(rows: DataFrame, ips: DataFrame) -> DataFrame:
+    """``rows`` with a ``src_ip`` or ``dst_ip`` among ``ips`` (column ``value``), once for each such ``value``.
+
+    A row is a row for each of its ends, so one join finds both, and ends that are null go nowhere. A row
+    whose ends are both wanted is there twice: add up by value, then take either.
+    """
+    ends = rows.withColumn("value", F.explode(F.array_distinct(F.array_compact(F.array("src_ip", "dst_ip")))))
+    return ends.join(ips.select("value").distinct(), "value", "left_semi")
 
 
 def hours_between(first: Column | str, last: Column | str) -> Column:

@@ -192,3 +192,14 @@ def test_streams_equal_batch(spark, planted):
     got = {(r.hour, r.kind): r.n for r in jobs.read_totals(spark, f"{out}/rows", ["hour", "kind"]).collect()}
     want = {(r.hour, r.kind): 2 * r.n for r in planted.groupBy(F.date_trunc("hour", "ts").alias("hour"), "kind").agg(F.count("*").alias("n")).collect()}
     assert got == want
+
+
+def test_traffic_touching_addresses(spark, profile):
+    from sentrylake.operators import query as q
+
+    row = {"ts": START, "source": "syslog", "kind": "firewall", "action": "drop"}
+    pairs = [("a", "b"), ("a", "b"), ("b", "a"), ("a", "a"), ("c", "a"), ("c", "d"), (None, "a"), ("a", None), (None, None), (None, "d")]
+    events = make_events(spark, [{**row, "src_ip": s, "dst_ip": d} for s, d in pairs], profile)
+    wanted = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "value string")
+    got = {(r.src_ip, r.dst_ip, r.hits) for r in q.traffic_involving(events, wanted).collect()}
+    assert got == {("a", "b", 2), ("b", "a", 1), ("a", "a", 1), ("c", "a", 1), (None, "a", 1), ("a", None, 1)}

@@ -39,7 +39,7 @@ def as_signals(
         return value if isinstance(value, Column) else F.lit(value)
 
     return rows.select(
-        F.substring(lit(signal_id), 1, 255).alias("signal_id"),
+        lit(signal_id).alias("signal_id"),
         F.lit(analyzer).alias("analyzer"),
         lit(title).alias("title"),
         F.lit(taxonomy).alias("taxonomy"),

@@ -145,7 +145,7 @@ def normalize_cloudtrail(records: DataFrame, profile: Profile) -> DataFrame:
             "_error": F.coalesce("errorCode", F.lit("")),
             "_principal": principal,
             "_name": name,
-            "program": F.substring(F.concat(service, F.lit(":"), name), 1, 128),
+            "program": F.concat(service, F.lit(":"), name),
         }
     ).where(F.col("ts").isNotNull())
     login = F.col("_name") == "ConsoleLogin"
@@ -174,9 +174,9 @@ def normalize_cloudtrail(records: DataFrame, profile: Profile) -> DataFrame:
         "principal_type": F.col("_type"),
         "principal_arn": F.col("userIdentity.arn"),
         "access_key_id": F.col("userIdentity.accessKeyId"),
-        "user_agent": F.substring(F.coalesce("userAgent", F.lit("")), 1, 300),
+        "user_agent": F.coalesce("userAgent", F.lit("")),
         "error_code": _given("_error"),
-        "error_message": _given(F.substring("errorMessage", 1, 300)),
+        "error_message": _given("errorMessage"),
         "read_only": F.col("readOnly"),
         "mfa": F.coalesce(
             _given("additionalEventData.MFAUsed"),
@@ -202,11 +202,11 @@ def normalize_cloudtrail(records: DataFrame, profile: Profile) -> DataFrame:
         ).alias("dedup_key"),
         action.alias("action"),
         "program",
-        F.substring("_principal", 1, 255).alias("user"),
-        F.substring(F.concat("_account", F.lit("/"), "_region"), 1, 255).alias("device"),
+        F.col("_principal").alias("user"),
+        F.concat("_account", F.lit("/"), "_region").alias("device"),
         F.when(F.col("readOnly"), "read").when(~F.col("readOnly"), "write").alias("severity"),
-        _given(F.substring("_error", 1, 64)).alias("block_reason"),
-        F.substring(message, 1, 1000).alias("message"),
+        _given("_error").alias("block_reason"),
+        message.alias("message"),
         F.when(ip_hex("_address").isNotNull(), F.col("_address")).alias("src_ip"),
         F.lit(None).cast("string").alias("client_ip"),
         F.lit(None).cast("string").alias("dst_ip"),

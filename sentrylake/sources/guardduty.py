@@ -63,7 +63,7 @@ def normalize_guardduty(findings: DataFrame, profile: Profile) -> DataFrame:
         "resource_type": F.col("Resource.ResourceType"),
         "instance_id": F.col("Resource.InstanceDetails.InstanceId"),
         "access_key_id": F.col("Resource.AccessKeyDetails.AccessKeyId"),
-        "description": F.substring(F.coalesce("Description", F.lit("")), 1, 600),
+        "description": F.coalesce("Description", F.lit("")),
         "first_seen": F.col("Service.EventFirstSeen"),
         "last_seen": F.col("Service.EventLastSeen"),
         "account": account,
@@ -75,14 +75,14 @@ def normalize_guardduty(findings: DataFrame, profile: Profile) -> DataFrame:
         F.lit("ids").alias("kind"),
         dedup_key(SOURCE, F.col("Id"), F.col("UpdatedAt")).alias("dedup_key"),
         F.lit("gd_finding").alias("action"),
-        F.substring(kind, 1, 128).alias("program"),
+        kind.alias("program"),
         finding_severity_label(score).alias("severity"),
-        F.substring(F.coalesce(none_if_empty("Title"), kind), 1, 1000).alias("message"),
+        F.coalesce(none_if_empty("Title"), kind).alias("message"),
         F.coalesce(
             none_if_empty("Resource.AccessKeyDetails.UserName"),
             none_if_empty("Resource.AccessKeyDetails.PrincipalId"),
         ).alias("user"),
-        F.substring(F.concat(account, F.lit("/"), region), 1, 255).alias("device"),
+        F.concat(account, F.lit("/"), region).alias("device"),
         domain.alias("domain"),
         port.alias("dst_port"),
         remote.alias("src_ip"),

@@ -281,7 +281,7 @@ def openssh_rules(program: Column, msg: Column) -> list[Rule]:
             "action": F.lit(name),
             "proto": bind(
                 part(pattern, 1),
-                lambda m: F.coalesce(lookup(m, SSH_METHODS), F.substring(m, 1, 16)),
+                lambda m: F.coalesce(lookup(m, SSH_METHODS), m),
             ),
             "user": part(pattern, 2),
             "src_ip": part(pattern, 3),
@@ -395,7 +395,7 @@ def normalize_syslog(lines: DataFrame, profile: Profile, source: str = SOURCE) -
         {
             "source": F.lit(source),
             "program": F.nullif("program", F.lit("")),
-            "message": F.nullif(F.substring("msg", 1, 2000), F.lit("")),
+            "message": F.nullif(F.col("msg"), F.lit("")),
         }
     )
     flat = assign_zones(rows, profile)

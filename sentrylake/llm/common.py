@@ -70,9 +70,8 @@ def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator
     return own
 
 
-def save_array(spark: SparkSession, array: np.ndarray, name: str) -> str:
+def write_array(uri: str, array: np.ndarray) -> str:
     """Write an array to the shared folder; tasks get its URI in place of a copy each."""
-    uri = scratch_path(spark, name) + ".npy"
     held = io.BytesIO()
     np.save(held, array)
     fs, path = open_fs(uri)
@@ -81,6 +80,8 @@ def save_array(spark: SparkSession, array: np.ndarray, name: str) -> str:
     return uri
 
 
+#: Arrays that a worker has at hand; mapped ones cost it only what it reads.
+_HELD = 64
 _arrays: dict[str, np.ndarray] = {}
 
 
@@ -90,10 +91,10 @@ def load_array(uri: str) -> np.ndarray:
         from pyarrow import fs
 
         store, path = open_fs(uri)
-        while len(_arrays) >= 4:
+        while len(_arrays) >= _HELD:
             _arrays.pop(next(iter(_arrays)))
         if isinstance(store, fs.LocalFileSystem):
-            _arrays[uri] = np.load(path, mmap_mode="r")
+            _arrays[uri] = np.asarray(np.load(path, mmap_mode="r"))
         else:
             with store.open_input_stream(path) as f:
                 _arrays[uri] = np.load(io.BytesIO(f.read()))

@@ -6,13 +6,17 @@ distribution, from the n-gram types of both together. So a rare expression doesn
 that happens to have more text; only what one class says more often than the other expects does.
 
 The score of a text compares both log-likelihoods, divided by the letters they are of, over the whole text and
-over windows of ``WINDOW`` letters. Of the windows the most toxic counts, less what the most toxic window of an
-ordinary text with as many is expected to have: a long text is as toxic as its worst passage, not as its
-average, but isn't more toxic for having more passages.
+word by word. Of the words the ``MOST`` most toxic count by their mean, less what those of an ordinary text with
+as many words are expected to have: a long text is as toxic as its worst words, not as its average, but isn't
+more toxic for having more words. Both classes are as likely beforehand, whatever their shares of the labels.
+
+N-grams and contexts are kept in tables that grow with their number: shards written by tasks to the shared
+folder, which scoring tasks map. Each entry carries 32 bits of its key besides those that say where it stands.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from typing import NamedTuple
 
@@ -22,20 +26,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentrylake.llm.common import frugal, give_back, load_array, mix, pick, save_array
+from sentrylake.llm.common import frugal, give_back, load_array, mix, pick, write_array
 from sentrylake.llm.letters import BITS, grams, streams
-from sentrylake.session import materialize
+from sentrylake.session import materialize, scratch_path
 
-ORDER, SHARED, DISCOUNT, WINDOW = 5, 2, 0.75, 16
+ORDER, SHARED, DISCOUNT = 5, 2, 0.9
+#: So many words of a text speak for it; a word of more letters than ``LONGEST`` (no blanks) counts as several.
+MOST, LONGEST = 5, 16
 #: Score from which a text is toxic.
 REJECT = 0.7
-#: Slots of the table of log ratios and of that of contexts: the size of what each task gets, whatever the corpus.
-#: N-grams that share a slot share the mean of their log ratios, weighted by their counts.
-SLOTS, CONTEXT_SLOTS = 1 << 22, 1 << 20
+#: Entries of a shard of a table, about; a larger table has more shards.
+SHARD = 1 << 22
 #: At most one in so many distinct training texts fits the scale of the score, and about so many of them at most.
 SCALE_EVERY, SCALE_ROWS = 8, 20_000
 #: Slope and middle that the fit starts from and stays near when there are few rows.
-SLOPE, MIDDLE = 5.0, 1.0
+SLOPE, MIDDLE = 2.0, 5.0
 #: About so many labelled rows at most are learned from, drawn by a hash of the id; what is sent to every executor.
 LABELLED = 1 << 22
 #: Symbols that a task gathers before it adds them up; a memory bound.
@@ -44,18 +49,24 @@ _AT_ONCE = 1 << 20
 CLASSES, LESS = ("toxic", "ordinary"), ("toxic_less", "ordinary_less")
 
 
+class Table(NamedTuple):
+    bits: int  # of an entry's hash that name its shard
+    shards: tuple[str, ...]  # arrays in the shared folder; empty: a shard without entries
+
+
 class Model(NamedTuple):
-    ratios: str  # an array in the shared folder; NaN: neither class has an n-gram of this slot
-    contexts: str  # likewise; 0: neither class has this context
-    growth: float  # of an ordinary text's best window with the logarithm of the number of windows
+    ratios: Table  # n-grams that a class has
+    contexts: Table  # contexts that a class has
+    growth: float  # of an ordinary text's most toxic words with the logarithm of the number of words
     usual: float  # the logarithm from which that growth counts
     slope: float
     whole: float  # slope of the ratio of the whole text
     middle: float
 
 
-def _slot(keys: np.ndarray, level: int | np.ndarray, slots: int) -> np.ndarray:
-    return (mix((keys.astype(np.uint64) << np.uint64(3)) | np.asarray(level, np.uint64)) & np.uint64(slots - 1)).astype(np.int64)
+def _hash(keys: np.ndarray, level: int | np.ndarray) -> np.ndarray:
+    """64 bits, different for different keys or levels."""
+    return mix((keys.astype(np.uint64) << np.uint64(3)) | np.asarray(level, np.uint64))
 
 
 def _text_grams(text: str | None) -> np.ndarray:
@@ -149,73 +160,122 @@ def log_ratios(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reduce(DataFrame.unionByName, ratios), reduce(DataFrame.unionByName, rests)
 
 
-def _slots(rows: DataFrame, slots: int, empty: float) -> tuple[np.ndarray, np.ndarray]:
-    """One value for each slot, of all rows and of those not set aside; the rows fetched are bounded by ``slots``."""
+def _packed(h: np.ndarray, values: list[np.ndarray]) -> np.ndarray:
+    """A shard: bits of a bucket, where each bucket begins, 32 further bits of each entry's hash, its values."""
+    bits = max(4, int(max(1, len(h)) - 1).bit_length())
+    order = np.argsort(h)
+    h = h[order]
+    starts = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.uint32)
+    check = ((h << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+    return np.concatenate([np.array([bits], np.uint32), starts, check, *[v[order].astype(np.float32).view(np.uint32) for v in values]])
 
-    def run(batches):
+
+def look_up(table: Table, which: int, keys: np.ndarray, level: int) -> np.ndarray:
+    """Of each key its value in the table, NaN if it has none; ``which``: 0 of all rows, 1 of those not set aside."""
+    out, h = np.full(len(keys), np.nan, np.float32), _hash(keys, level)
+    shard = (h >> np.uint64(64 - table.bits)).astype(np.int64) if table.bits else None
+    for at, uri in enumerate(table.shards):
+        own = np.arange(len(h)) if shard is None else np.flatnonzero(shard == at)
+        if not uri or not len(own):
+            continue
+        packed = load_array(uri)
+        bits = int(packed[0])
+        size = (len(packed) - (1 << bits) - 2) // 3
+        starts, check, values = packed[1 : (1 << bits) + 2], packed[(1 << bits) + 2 :][:size], packed[(1 << bits) + 2 + size * (1 + which) :][:size].view(np.float32)
+        rest = h[own] << np.uint64(table.bits)
+        bucket, wanted = (rest >> np.uint64(64 - bits)).astype(np.int64), ((rest << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+        place, end = starts[bucket].astype(np.int64), starts[bucket + 1].astype(np.int64)
+        left = np.flatnonzero(place < end)
+        while len(left):
+            here = place[left]
+            hit = check[here] == wanted[left]
+            out[own[left[hit]]] = values[here[hit]]
+            left = left[~hit]
+            place[left] += 1
+            left = left[place[left] < end[left]]
+    return out
+
+
+def _table(rows: DataFrame) -> Table:
+    """The table of ``level, key, n, ratio, n_less, ratio_less``; tasks write its shards, the driver gets their names."""
+    spark = rows.sparkSession
+    rows = materialize(rows.select("level", "key", "ratio", F.when(F.col("n_less") > 0, F.col("ratio_less")).alias("less")), "letter-model-rows")
+    bits = max(0, int(rows.count() - 1) // SHARD).bit_length()
+    folder = scratch_path(spark, "letter-model")
+
+    def hashed(batches):
         for batch in batches:
-            slot = _slot(batch.column(1).to_numpy(), batch.column(0).to_numpy().astype(np.uint64), slots)
-            yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), *batch.columns[2:]], ["slot", "n", "ratio", "n_less", "ratio_less"])
+            h = _hash(batch.column(1).to_numpy(), batch.column(0).to_numpy())
+            shard = (h >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(h), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(h.view(np.int64), pa.int64()), *batch.columns[2:]], ["shard", "h", "ratio", "less"])
+
+    def written(group: pa.Table) -> pa.Table:
+        h = group["h"].to_numpy().view(np.uint64)
+        values = [group[c].to_pandas().to_numpy(np.float32) for c in ("ratio", "less")]
+        h = h << np.uint64(bits)
+        uri = write_array(f"{folder}-{uuid.uuid4().hex}.npy", _packed(h, values))
+        return pa.table({"shard": group["shard"][:1], "uri": pa.array([uri], pa.string())})
 
-    found = rows.select("level", "key", "n", "ratio", "n_less", "ratio_less").mapInArrow(frugal(run), "slot int, n long, ratio double, n_less long, ratio_less double").groupBy("slot")
-    mean = lambda end: F.try_divide(F.sum(F.col(f"ratio{end}") * F.col(f"n{end}")), F.sum(f"n{end}")).cast("float").alias(f"ratio{end}")
-    found = found.agg(mean(""), mean("_less")).toArrow()
-    made = []
-    for name in ("ratio", "ratio_less"):
-        out = np.full(slots, empty, np.float32)
-        out[found["slot"].to_numpy()] = found[name].fill_null(empty).to_numpy()
-        made.append(out)
-    return made[0], made[1]
+    shards = rows.mapInArrow(frugal(hashed), "shard int, h long, ratio double, less double")
+    made = dict(shards.groupBy("shard").applyInArrow(written, "shard int, uri string").collect())  # one short row a shard
+    return Table(bits, tuple(made.get(at, "") for at in range(1 << bits)))
 
 
-def evidence(text: str | None, ratios: np.ndarray, contexts: np.ndarray) -> tuple[float, float, int]:
-    """Highest log-likelihood ratio of ``WINDOW`` letters in a row, that of all letters, and the number of windows.
+def evidence(text: str | None, ratios: Table, contexts: Table, which: int = 0) -> tuple[float, float, int]:
+    """Mean log-likelihood ratio of the ``MOST`` most toxic words (of all, if fewer), that of a letter, and the number of words.
 
-    Each is divided by the letters scored. A text shorter than a window is one window; one without letters has 0s.
+    A word's ratio is the sum of those of its letters and of the blank behind it. A text without letters has 0s.
     """
-    best, short, total, letters, repeated = -np.inf, 0.0, 0.0, 0, 0
-    overlap = ORDER + WINDOW - 2
-    for s in streams(text or "", ORDER - 1, overlap):
+    top, total, letters, words, begun, length = np.zeros(0), 0.0, 0, 0, 0.0, 0
+    for s in streams(text or "", ORDER - 1, ORDER - 1):
         g = grams(s, ORDER)
-        again, repeated = repeated, max(0, min(len(s), overlap) - ORDER + 1)  # n-grams that the next slice has too
         if not len(g):
             continue
-        value, left = np.zeros(len(g), np.float32), np.arange(len(g))
+        value, left = np.zeros(len(g)), np.arange(len(g))
         for k in range(ORDER, SHARED, -1):
             key = g[left] & ((1 << BITS * k) - 1)
-            ratio = ratios[_slot(key, k, len(ratios))]
+            ratio = look_up(ratios, which, key, k)
             unseen = np.isnan(ratio)
             value[left[~unseen]] += ratio[~unseen]
             left = left[unseen]
             if not len(left):
                 break
-            value[left] += contexts[_slot(key[unseen] >> BITS, k, len(contexts))]
-        sums = np.concatenate([[0.0], np.cumsum(value, dtype=np.float64)])
-        total, letters = total + sums[-1] - sums[again], letters + len(g) - again
-        if len(g) < WINDOW:
-            short = sums[-1] / len(g)  # a later slice begins with these letters
-        else:
-            best = max(best, (sums[WINDOW:] - sums[:-WINDOW]).max() / WINDOW)
-    return float(best if np.isfinite(best) else short), float(total / max(1, letters)), max(1, letters - WINDOW + 1)
-
-
-def _fit_growth(best: np.ndarray, windows: np.ndarray) -> tuple[float, float]:
-    """How the best window of ordinary texts grows with the logarithm of their windows, at least 0, and from where."""
+            value[left] += np.nan_to_num(look_up(contexts, which, key[unseen] >> BITS, k))
+        total, letters = total + value.sum(), letters + len(g)
+        blank = (g & ((1 << BITS) - 1)) == 0
+        since = np.arange(len(g)) + length  # letters of the word so far
+        since -= np.maximum.accumulate(np.where(np.concatenate([[False], blank[:-1]]), since, 0))
+        ends = np.flatnonzero(blank | (since % LONGEST == LONGEST - 1))
+        sums = np.diff(np.concatenate([[0.0], np.cumsum(value)[ends]]))
+        if len(ends):
+            sums[0] += begun
+            words += len(ends)
+            top = -np.sort(-np.concatenate([top, sums]))[:MOST]
+        begun = (0.0 if len(ends) else begun) + value[ends[-1] + 1 if len(ends) else 0 :].sum()
+        length = 0 if blank[-1] else int(since[-1]) + 1
+    return float(top.mean()) if len(top) else 0.0, float(total / max(1, letters)), max(1, words)
+
+
+def _fit_growth(best: np.ndarray, words: np.ndarray) -> tuple[float, float]:
+    """How the most toxic words of ordinary texts grow with the logarithm of their number of words, at least 0, and from where."""
     if not len(best):
         return 0.0, 0.0
-    x = np.log(windows)
+    x = np.log(words)
     usual = float(x.mean())
     return max(0.0, float((x - usual) @ (best - best.mean()) / ((x - usual) @ (x - usual) + 1.0))), usual
 
 
 def _fit_scale(values: np.ndarray, labels: np.ndarray, whole: np.ndarray) -> tuple[float, float, float]:
-    """Slopes of the best window and of the whole text, and middle, of a logistic curve (Newton's method).
+    """Slopes of the most toxic words and of the whole text, and middle, of a logistic curve (Newton's method).
 
-    They are pulled toward ``SLOPE``, 0 and ``MIDDLE``; a whole text is never less toxic for a higher ratio.
+    Both classes weigh as much together. The values are pulled toward ``SLOPE``, 0 and ``MIDDLE``; a whole text is
+    never less toxic for a higher ratio.
     """
     start = np.array([SLOPE, 0.0, -SLOPE * MIDDLE])
     every = np.stack([values, whole, np.ones_like(values)], 1)
-    weight = np.full(len(values), min(1.0, 1000 / max(1, len(values))))  # a large sample doesn't drown the pull
+    toxic = int(labels.sum())
+    share = np.where(labels == 1, max(1, toxic), max(1, len(labels) - toxic))
+    weight = len(values) / 2 / share * min(1.0, 1000 / max(1, len(values)))  # a large sample doesn't drown the pull
     for used in ([0, 1, 2], [0, 2]):
         x, w = every[:, used], start[used]
         pull = np.diag([0.05] * len(used))
@@ -244,34 +304,29 @@ def fit(labelled: DataFrame) -> Model:
     kinds = rows.agg(F.approx_count_distinct("h", 0.02)).first()[0]
     aside = F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * min(1 / SCALE_EVERY, SCALE_ROWS / max(1, kinds)))
     found = materialize(counts(rows.withColumn("aside", aside)), "ngram-counts")
-    (ratios, ratios_less), (rests, rests_less) = (_slots(x, n, empty) for x, n, empty in zip(log_ratios(found), (SLOTS, CONTEXT_SLOTS), (np.nan, 0.0), strict=True))
-    spark = labelled.sparkSession
-    ratios, rests, ratios_less, rests_less = (save_array(spark, x, "letter-model") for x in (ratios, rests, ratios_less, rests_less))
+    ratios, rests = (_table(x) for x in log_ratios(found))
     drawn = rows.where(aside).dropDuplicates(["h", "toxic"])
-    drawn = drawn.select(_evidence((ratios_less, rests_less))("text").alias("e"), "toxic").select("e.*", "toxic").toPandas()
-    best, whole, windows, labels = (drawn[c].to_numpy(float) for c in ("best", "whole", "windows", "toxic"))
-    growth, usual = _fit_growth(best[labels == 0], windows[labels == 0])
-    return Model(ratios, rests, growth, usual, *_fit_scale(best - growth * (np.log(windows) - usual), labels, whole))
+    drawn = drawn.select(_evidence(ratios, rests, 1)("text").alias("e"), "toxic").select("e.*", "toxic").toPandas()
+    best, whole, words, labels = (drawn[c].to_numpy(float) for c in ("best", "whole", "words", "toxic"))
+    growth, usual = _fit_growth(best[labels == 0], words[labels == 0])
+    return Model(ratios, rests, growth, usual, *_fit_scale(best - growth * (np.log(words) - usual), labels, whole))
 
 
-def _evidence(uris: tuple[str, str]):
-    @F.pandas_udf("best double, whole double, windows long")
+def _evidence(ratios: Table, contexts: Table, which: int):
+    @F.pandas_udf("best double, whole double, words long")
     def value(text: pd.Series) -> pd.DataFrame:
-        tables = tuple(map(load_array, uris))
-        return pd.DataFrame([evidence(x, *tables) for x in text], columns=["best", "whole", "windows"])
+        return pd.DataFrame([evidence(x, ratios, contexts, which) for x in text], columns=["best", "whole", "words"])
 
     return value
 
 
 def score(model: Model, text: str | Column = "text") -> Column:
     """Toxicity from 0 to 1 of a column of whole texts; null texts and those without letters have that of no evidence."""
-    uris = (model.ratios, model.contexts)
-    growth, usual, slope, more, middle = model[2:]
+    ratios, contexts, growth, usual, slope, more, middle = model
 
     @F.pandas_udf("double")
     def run(text: pd.Series) -> pd.Series:
-        tables = tuple(map(load_array, uris))
-        found = np.array([evidence(x, *tables) for x in text], float).reshape(-1, 3)
+        found = np.array([evidence(x, ratios, contexts) for x in text], float).reshape(-1, 3)
         give_back()
         excess = found[:, 0] - growth * np.where(found[:, :2].any(1), np.log(found[:, 2]) - usual, 0.0)
         return pd.Series(1.0 / (1.0 + np.exp(-np.clip(slope * (excess - middle) + more * found[:, 1], -500, 500))))

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sentrylake.llm import bpe, huffman, langid, line_rules, prefix_tree, sharding, tiling, tokens, toxicity, warc, wrappers
-from sentrylake.llm.common import load_array, pick
+from sentrylake.llm.common import pick
 from sentrylake.session import materialize, scratch_path
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -303,7 +303,7 @@ def test_copies_of_one_toxic_text_are_learned_and_drawn_once(spark, monkeypatch)
     model = toxicity.fit(df)
     for w in words:  # its 5-grams are known, whichever texts fit the scale
         g = toxicity._text_grams(w)[4:]
-        assert not np.isnan(load_array(model.ratios)[toxicity._slot(g, toxicity.ORDER, len(load_array(model.ratios)))]).any()
+        assert not np.isnan(toxicity.look_up(model.ratios, 0, g, toxicity.ORDER)).any()
     assert 0 < fitted[0] <= 396 / 4
     hot = spark.createDataFrame([(t, y) for t, y in ordinary for _ in range(30)], "text string, toxic int")
     toxicity.fit(hot)
@@ -315,7 +315,7 @@ def test_copies_of_one_toxic_text_are_learned_and_drawn_once(spark, monkeypatch)
     assert seen[0].count() == 4
 
 
-def test_windows_are_held_against_texts_as_long(spark):
+def test_words_are_held_against_texts_as_long(spark, monkeypatch):
     rng = random.Random(31)
     sizes = [1, 3, 20, 60, 200, 900]
     rows = [(some_text(rng, rng.choice(sizes)), 0) for _ in range(500)]
@@ -325,14 +325,59 @@ def test_windows_are_held_against_texts_as_long(spark):
     tests += [(f"{some_text(rng, 400)} vequta scoundrel {some_text(rng, 400)}", 1), ("vequmo", 1), ("scoundrel", 1), ("vequta scoundrel", 1)]
     got = spark.createDataFrame(tests, "text string, toxic int").select("toxic", toxicity.score(model).alias("s")).collect()
     assert all((r.s >= toxicity.REJECT) == bool(r.toxic) for r in got), got
-    flat = np.full(len(load_array(model.ratios)), 2.0, np.float32)  # every letter has 2: so has every text, however short
-    assert [toxicity.evidence(t, flat, load_array(model.contexts))[:2] for t in ("a", "vequmo", "x " * 500)] == [(2.0, 2.0)] * 3
+    monkeypatch.setattr(toxicity, "look_up", lambda table, which, keys, level: np.full(len(keys), 2.0))  # every letter has 2: so has every text, however short
+    assert [toxicity.evidence(t, None, None) for t in ("a", "vequmo", "x " * 500, "y" * 16, "")] == [(4.0, 2.0, 1), (14.0, 2.0, 1), (4.0, 2.0, 500), (17.0, 2.0, 2), (0.0, 0.0, 1)]
+
+
+def test_tables_grow_in_shards_and_check_their_keys(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    keys = np.unique(rng.integers(0, 1 << 40, 5000))
+    rows = [(int(4 + k % 2), int(k), float(i), float(-i) if i % 3 else None, 1, int(i % 3 > 0)) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "level int, key long, ratio double, ratio_less double, n long, n_less long")
+    monkeypatch.setattr(toxicity, "SHARD", 700)
+    table = toxicity._table(df)
+    assert len(table.shards) == 8 and all(table.shards)
+    for level in (4, 5):
+        own = keys % 2 == level - 4
+        at = np.flatnonzero(own)
+        assert (toxicity.look_up(table, 0, keys[own], level) == at).all() and np.isnan(toxicity.look_up(table, 0, keys[~own], level)).all()
+        less = toxicity.look_up(table, 1, keys[own], level)
+        assert (np.isnan(less) == (at % 3 == 0)).all() and (less[at % 3 > 0] == -at[at % 3 > 0]).all()
+    assert np.isnan(toxicity.look_up(toxicity._table(df.limit(0)), 0, keys, 4)).all()
+
+
+def test_ratios_are_those_of_kneser_ney_by_definition(spark):
+    rng = random.Random(12)
+    rows = [(some_text(rng, 4), i % 2) for i in range(30)] + [("ab ab", 1)]
+    df = spark.createDataFrame([(t, y, False) for t, y in rows], "text string, toxic int, aside boolean")
+    found = {(r.level, r.key): r.ratio for r in toxicity.log_ratios(toxicity.counts(df))[0].collect()}
+    top = {y: Counter(int(g) for t, label in rows if label == y for g in toxicity._text_grams(t)) for y in (0, 1)}
+    order, bits, d = toxicity.ORDER, toxicity.BITS, toxicity.DISCOUNT
+    seen = {(order, y): dict(top[y]) for y in (0, 1)} | {(order, 2): dict.fromkeys(top[0] | top[1], 1)}
+    for k in range(order - 1, 0, -1):  # different letters ahead of an n-gram, of a class and of both
+        for y in (0, 1, 2):
+            seen[k, y] = Counter(g & ((1 << bits * k) - 1) for g in seen[k + 1, y])
+
+    def chance(g: int, k: int, y: int) -> float:
+        of = seen[k, y if k > toxicity.SHARED else 2]
+        if k == 1:
+            return of[g] / sum(of.values())
+        below = chance(g & ((1 << bits * (k - 1)) - 1), k - 1, y)
+        siblings = [n for x, n in of.items() if x >> bits == g >> bits]
+        if not siblings:
+            return below
+        return (max(0.0, of.get(g, 0) - d) + d * len(siblings) * below) / sum(siblings)
+
+    assert {k for k in found} == {(k, g) for k in range(toxicity.SHARED + 1, order + 1) for g in seen[k, 2]}
+    for (k, g), ratio in list(found.items())[::7]:
+        assert abs(ratio - np.log(chance(g, k, 1) / chance(g, k, 0))) < 1e-6
 
 
 def test_evidence_is_the_same_in_slices(monkeypatch):
     from sentrylake.llm import letters
 
-    tables = np.random.default_rng(1).normal(size=1 << 12).astype(np.float32), np.zeros(64, np.float32)
+    monkeypatch.setattr(toxicity, "look_up", lambda table, which, keys, level: np.where(keys % 3 == 0, np.nan, np.sin(keys % 1009)))
+    tables = None, None
     texts = [some_text(random.Random(5), 300), "ab" + "1" * 300 + "cde" + "!" * 200 + "fghijk", "abc" + " " * 500, ""]
     whole = [toxicity.evidence(t, *tables) for t in texts]
     monkeypatch.setattr(letters, "SLICE", 97)

@@ -279,13 +279,19 @@ def _fit_scale(values: np.ndarray, labels: np.ndarray, whole: np.ndarray) -> tup
     for used in ([0, 1, 2], [0, 2]):
         x, w = every[:, used], start[used]
         pull = np.diag([0.05] * len(used))
-        for _ in range(50):
+
+        def loss(w: np.ndarray) -> float:
+            return float(weight @ (np.logaddexp(0.0, x @ w) - labels * (x @ w)) + (w - start[used]) @ pull @ (w - start[used]) / 2)
+
+        for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
             gradient = x.T @ (weight * (p - labels)) + pull @ (w - start[used])
             step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + pull, gradient)
-            w = w - step
+            while loss(w - step) > loss(w) and np.abs(step).max() >= 1e-9:  # a whole step may go too far
+                step = step / 2
             if np.abs(step).max() < 1e-9:
                 break
+            w = w - step
         if len(used) == 2 or w[1] >= 0:
             break
     slope, more = float(w[0]), float(w[1]) if len(used) == 3 else 0.0

@@ -346,6 +346,15 @@ def test_tables_grow_in_shards_and_check_their_keys(spark, monkeypatch):
     assert np.isnan(toxicity.look_up(toxicity._table(df.limit(0)), 0, keys, 4)).all()
 
 
+@pytest.mark.parametrize("far", [8.0, 20.0, 200.0])
+def test_scale_is_the_minimum_however_far_the_toxic_are(far):
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.normal(2, 1, 800), rng.normal(4.5, 0.5, 40), rng.normal(far, 1, 50)])
+    labels = np.repeat([0, 1], [800, 90])
+    slope, more, middle = toxicity._fit_scale(values, labels, rng.normal(-1, 0.1, 890))
+    assert 0.5 < slope < 10 and more >= 0 and 2.5 < middle < 4.5
+
+
 def test_ratios_are_those_of_kneser_ney_by_definition(spark):
     rng = random.Random(12)
     rows = [(some_text(rng, 4), i % 2) for i in range(30)] + [("ab ab", 1)]

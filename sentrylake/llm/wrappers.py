@@ -1,9 +1,13 @@
 """Main text of web pages by wrappers learned from the pages of a host.
 
 The trees of a host's pages are aligned by simple tree matching and folded into one wrapper. A node of it
-that stands in nearly all pages with the same text is template, one with varying text is a slot. What a
-page has in slots is content, except in elements that say by their tag or class that they are something
-else. Elements that say that they are the article keep all their text, but template lines among slots.
+that stands in nearly all pages with the same text is template, one with varying text is a slot. Slots are held
+against each other by the text that all pages have in them: from the root, as long as one slot holds most of
+what isn't links, it is followed, down to the one whose paragraphs are the article (``region``). Headings that
+vary on the way belong to it; other slots beside it (menus, adverts, footers) don't, whatever they are named.
+Below it, slots that are mostly links and template lines go. Elements that say that they are the article
+stand for the region. Names in a class, id or role only tell asides below the region, and only names without
+another word: ``comments`` or ``ad-box``, not ``notice-period``.
 """
 
 from __future__ import annotations
@@ -12,6 +16,8 @@ import html
 import json
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter, defaultdict, deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +40,18 @@ ASIDE_WORDS = frozenset(
     "newsletter subscribe signup login menu nav navbar navigation breadcrumb breadcrumbs sidebar widget related recommended share sharing social comment comments "
     "reply replies respond disqus footer pagination pager toolbar search masthead complementary contentinfo".split()
 )
+#: Words that change nothing in such a name.
+NEUTRAL = frozenset("site page list box area wrapper wrap container section block bar top bottom left right inner outer item group panel header title text link links button buttons".split())
+#: Elements of which a class says nothing, and those that are lines of a text, not regions of a page.
+UNNAMED = frozenset("html body main h1 h2 h3 h4 h5 h6 p figure figcaption blockquote pre td th tr tbody thead table".split())
+LINES = frozenset("p h1 h2 h3 h4 h5 h6 hgroup pre li dt dd ul ol dl tr td th table caption thead tbody tfoot blockquote figure figcaption address".split())
+HEADINGS = frozenset("h1 h2 h3 hgroup".split())
+#: A slot is followed if it has this share of the text, and lines beside it at most that; above this share of links it is a menu.
+MOST, BESIDE, MENU = 0.6, 0.05, 0.5
+#: Blocks nested deeper are lines of the block that holds them; a longer table of two lists of children is cut by anchors.
+DEEPEST, TABLE = 120, 1 << 14
+#: A wrapper of more nodes than this forgets those that one page has.
+LARGEST = 20_000
 ENDS_P = BLOCKS - {"html", "body"}
 #: Neighbours of one label are one node of a wrapper if they are of these elements, or at least so many.
 REPEATED, MANY = frozenset("p li dt dd tr td th blockquote pre h1 h2 h3 h4 h5 h6".split()), 4
@@ -45,23 +63,27 @@ _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
+def says_aside(name: str) -> bool:
+    """Whether one class, id or role names something beside the article, and nothing else."""
+    words = [w.lower() for w in _WORD.findall(name)]
+    return any(w in ASIDE_WORDS for w in words) and all(w in ASIDE_WORDS or w in NEUTRAL for w in words if not w.isdigit())
+
+
 class Block:
-    """A block element: its label (tag and class), children, and own text in pieces around the children."""
+    """A block element: its label (tag and class), children, own text in pieces around the children, characters of it in links."""
 
-    __slots__ = ("tag", "label", "aside", "main", "items")
+    __slots__ = ("tag", "label", "aside", "main", "items", "linked")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.label, self.aside, self.main, self.items = tag, tag, tag in ASIDE, tag in ("article", "main"), []
+        self.tag, self.label, self.aside, self.main, self.items, self.linked = tag, tag, tag in ASIDE, tag in ("article", "main"), [], 0
         if attributes:
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
-            named = " ".join(found.get(k, "") for k in ("class", "id", "role"))
-            if named.strip():
+            named = [x for k in ("class", "id", "role") for x in found.get(k, "").split()]
+            if named:
                 self.label = f"{tag}.{found.get('class', '').strip()}"
-                self.aside |= any(w.lower() in ASIDE_WORDS for w in _WORD.findall(named))
+                self.aside |= tag not in UNNAMED and any(map(says_aside, named))
             self.aside |= "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
             self.main |= found.get("role") == "main" or found.get("itemprop") == "articleBody"
-            if self.main and tag in ("article", "main", "body"):
-                self.aside = self.aside and bool({"comment", "comments", "reply", "related", "ad", "sponsored"} & {w.lower() for w in _WORD.findall(named)})
 
     def blocks(self):
         return [x for x in self.items if isinstance(x, Block)]
@@ -70,21 +92,30 @@ class Block:
 def parse(page: str) -> Block:
     """The tree of block elements of a page; inline elements leave only their text, open ends are closed."""
     root, at = Block("#page"), 0
-    stack, raw = [root], None
+    stack, deep, link = [root], [], False  # deep: open blocks that are lines of the deepest one
+
+    def add(text: str) -> None:
+        stack[-1].items.append(text)
+        if link:
+            stack[-1].linked += len("".join(text.split()))
+
     for m in _TOKEN.finditer(page):
         if m.start() < at:
             continue
-        if raw is None and m.start() > at:
-            stack[-1].items.append(page[at : m.start()])
+        if m.start() > at:
+            add(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
-        if raw is not None:
-            raw = None if m[1] and tag == raw else raw
-            continue
+        if tag == "a":
+            link = not m[1] and "href" in m[3].lower()
         if m[1]:
-            if tag in BLOCKS and any(b.tag == tag for b in stack):
+            if tag in deep:
+                while deep.pop() != tag:
+                    pass
+                stack[-1].items.append("\n")
+            elif tag in BLOCKS and any(b.tag == tag for b in stack):
                 while stack.pop().tag != tag:
                     pass
             continue
@@ -96,6 +127,10 @@ def parse(page: str) -> Block:
             stack[-1].items.append("\n")
         elif tag == "head":
             continue
+        elif tag in BLOCKS and len(stack) >= DEEPEST:
+            stack[-1].items.append("\n")
+            if not m[4]:
+                deep.append(tag)
         elif tag in BLOCKS:
             if tag in ENDS_P and stack[-1].tag == "p":
                 stack.pop()
@@ -106,7 +141,7 @@ def parse(page: str) -> Block:
             if not m[4]:
                 stack.append(block)
     if at < len(page):
-        stack[-1].items.append(page[at:])
+        add(page[at:])
     return root
 
 
@@ -114,7 +149,7 @@ def own_text(block: Block) -> str:
     return " ".join(html.unescape("".join(x if isinstance(x, str) else "\0" for x in block.items)).replace("\0", " ").split())
 
 
-# ---- wrappers: [label, pages, text mark (0: varies), children]
+# ---- wrappers: [label, pages, text mark (0: varies), children, characters of own text, of them in links]
 
 
 def runs(block: Block) -> list[list[Block]]:
@@ -135,8 +170,10 @@ def fold(block: Block) -> list:
         node = fold(run[0])
         for more in run[1:]:
             node = merged(node, fold(more))
-        children.append([node[0], 1, node[2] if len(run) == 1 else 0, node[3]])
-    return [block.label, 1, zlib.crc32(own_text(block).encode("utf-8", "surrogatepass")) or 1, children]
+        children.append([node[0], 1, node[2] if len(run) == 1 else 0, *node[3:]])
+    text = own_text(block)
+    size = len(text) - text.count(" ")
+    return [block.label, 1, zlib.crc32(text.encode("utf-8", "surrogatepass")) or 1, children, size, min(size, block.linked)]
 
 
 def _weights(a: list, b: list) -> list[list[int]]:
@@ -149,15 +186,63 @@ def _weights(a: list, b: list) -> list[list[int]]:
     return table
 
 
+def _pieces(a: list, b: list) -> list[tuple[list, list]]:
+    """Both lists cut alike into pieces of which tables are small, at labels that both have once, in the same order."""
+    if len(a) * len(b) <= TABLE:
+        return [(a, b)]
+    once = [{x: n for x, n in Counter(y[0] for y in c).items() if n == 1} for c in (a, b)]
+    place = {y[0]: j for j, y in enumerate(b) if y[0] in once[1]}
+    ends, chains = [], []  # longest rising run of places: for each length its lowest end, and a chain that ends there
+    for i, x in enumerate(a):
+        if x[0] in once[0] and x[0] in place:
+            j = place[x[0]]
+            k = bisect_left(ends, j)
+            chains[k : k + 1] = [(i, j, chains[k - 1] if k else None)]
+            ends[k : k + 1] = [j]
+    anchors, chain = [], chains[-1] if chains else None
+    while chain:
+        anchors.append(chain[:2])
+        chain = chain[2]
+    out, p, q = [], 0, 0
+    for i, j in [*anchors[::-1], (len(a), len(b))]:
+        if (i - p) * (j - q) <= TABLE:
+            out.append((a[p:i], b[q:j]))
+        else:  # without anchors: the first of a label with the first of that label, as far as order allows
+            later = defaultdict(deque)
+            for y in range(q, j):
+                later[b[y][0]].append(y)
+            for x in range(p, i):
+                own = later[a[x][0]]
+                while own and own[0] < q:
+                    own.popleft()
+                if own:
+                    out.append(([], b[q : own[0]]))
+                    out.append((a[x : x + 1], b[own[0] : own[0] + 1]))
+                    q = own[0] + 1
+                else:
+                    out.append((a[x : x + 1], []))
+            out.append(([], b[q:j]))
+        if i < len(a):
+            out.append((a[i : i + 1], b[j : j + 1]))
+        p, q = i + 1, j + 1
+    return out
+
+
 def matching(a: list, b: list) -> int:
     """Size of the largest match of two trees that keeps order and descent; 0 if their roots differ."""
-    return 1 + _weights(a[3], b[3])[-1][-1] if a[0] == b[0] else 0
+    return 1 + sum(_weights(x, y)[-1][-1] for x, y in _pieces(a[3], b[3])) if a[0] == b[0] else 0
 
 
 def aligned(a: list, b: list) -> list[tuple[list | None, list | None]]:
     """Children of two trees side by side, each matched, or alone."""
     if [x[0] for x in a] == [x[0] for x in b]:
         return list(zip(a, b, strict=True))
+    return [pair for x, y in _pieces(a, b) for pair in _traced(x, y)]
+
+
+def _traced(a: list, b: list) -> list[tuple[list | None, list | None]]:
+    if not a or not b:
+        return [(x, None) for x in a] + [(None, y) for y in b]
     table, i, j, out = _weights(a, b), len(a), len(b), []
     while i or j:
         if i and j and a[i - 1][0] == b[j - 1][0] and table[i][j] == table[i - 1][j - 1] + matching(a[i - 1], b[j - 1]):
@@ -175,44 +260,94 @@ def aligned(a: list, b: list) -> list[tuple[list | None, list | None]]:
 def merged(a: list, b: list) -> list:
     """One wrapper for the pages of both."""
     children = [merged(x, y) if x and y else x or y for x, y in aligned(a[3], b[3])]
-    return [a[0], a[1] + b[1], a[2] if a[2] == b[2] else 0, children]
+    return [a[0], a[1] + b[1], a[2] if a[2] == b[2] else 0, children, a[4] + b[4], a[5] + b[5]]
+
+
+def size(wrapper: list) -> int:
+    return 1 + sum(map(size, wrapper[3]))
+
+
+def trimmed(wrapper: list, least: float) -> list:
+    """Without nodes that too few pages have to be template or region: this bounds a wrapper's size."""
+    wrapper[3] = [trimmed(x, least) for x in wrapper[3] if x[1] >= least]
+    return wrapper
 
 
-def trimmed(wrapper: list, pages: int) -> list:
-    """Without nodes that too few pages have to be template: this bounds a wrapper's size."""
-    wrapper[3] = [trimmed(x, pages) for x in wrapper[3] if x[1] >= RARE * pages]
+def bounded(wrapper: list) -> list:
+    if wrapper[1] % 256 == 0:
+        trimmed(wrapper, RARE * wrapper[1])
+    if wrapper[1] > 1 and size(wrapper) > LARGEST:
+        trimmed(wrapper, 2)
     return wrapper
 
 
 # ---- extraction
 
 
+def _plain(node: list) -> int:
+    """Characters below a node that aren't links, without those of elements that are never the article."""
+    return 0 if node[0].split(".")[0] in ASIDE else node[4] - node[5] + sum(map(_plain, node[3]))
+
+
+def _all(node: list, at: int) -> int:
+    return node[at] + sum(_all(x, at) for x in node[3])
+
+
+def region(wrapper: list) -> tuple[list, list[int]]:
+    """The node whose lines are the article, and the ids of headings on the way to it that vary, or that one page has."""
+    node, headings = wrapper, []
+    while True:
+        total = _plain(node)
+        places = [x for x in node[3] if x[0].split(".")[0] not in LINES]
+        best = max(places, key=_plain, default=None)
+        heads = [x for x in node[3] if x[0].split(".")[0] in HEADINGS]
+        lines = sum(_plain(x) for x in node[3] if x not in places and x not in heads) + node[4] - node[5]
+        if best is None or not total or _plain(best) < MOST * total or lines > BESIDE * total:
+            return node, headings
+        headings += [id(x) for x in heads if wrapper[1] == 1 or not _constant(x, wrapper[1])]
+        node = best
+
+
+def _constant(node: list, pages: int) -> bool:
+    return pages >= FEWEST and node[1] >= NEARLY_ALL * pages and node[2] != 0
+
+
 def main_text(page: str | None, wrapper: list | None) -> str:
-    """The text of a page's slots, white space as single blanks; empty for a null page or one without text."""
+    """The article of a page, white space as single blanks; empty for a null page or one without text.
+
+    Of a host with few pages, or where a page lacks the region of its host, the region is the page's own.
+    """
     root = parse(page or "")
-    pages = wrapper[1] if wrapper else 0
 
     def articles(block: Block) -> bool:
-        return any(not x.aside and ((x.main and x.tag != "body") or articles(x)) for x in block.blocks())
+        return any((x.main and x.tag not in ("body", "html") and not x.aside) or (x.tag not in ASIDE and articles(x)) for x in block.blocks())
 
-    has_article, out = articles(root), []
+    named = articles(root)
+    if wrapper and wrapper[1] >= FEWEST:
+        found = _extracted(root, wrapper, named)
+        if found or named:
+            return found
+    return _extracted(root, fold(root), named)
+
+
+def _extracted(root: Block, wrapper: list, named: bool) -> str:
+    pages, out = wrapper[1], []
+    center, headings = (None, []) if named else region(wrapper)
 
     def walk(block: Block, node: list | None, inside: bool, slots: bool) -> None:
-        if block.aside:
+        if block.tag in ASIDE or (block.aside and inside):
             return
-        inside = inside or (block.main and block.tag != "body")
-        slots = slots or (inside and bool(node) and _varies(node))
-        if not has_article or inside:
-            constant = pages >= FEWEST and node is not None and node[1] >= NEARLY_ALL * pages and node[2] not in (0, None)
-            if not (constant and (slots or not inside)):
-                direct = [x for x in block.items if isinstance(x, str)]
-            else:
-                direct = []
-        else:
-            direct = []
+        heading = node is not None and id(node) in headings
+        if inside and not named and node is not None and block.tag not in LINES:
+            whole = _all(node, 4)
+            if whole and _all(node, 5) > MENU * whole:
+                return
+        inside = inside or heading or (block.main and named and not block.aside and block.tag not in ("body", "html")) or (center is not None and node is center)
+        slots = slots or (inside and node is not None and (pages == 1 or _varies(node)))
+        constant = node is not None and _constant(node, pages)
+        keep = inside and not (constant and (slots or not named))
         below = dict(_matched(block, node))
         pieces: list[str] = []
-        keep = bool(direct)
         for x in block.items:
             if isinstance(x, str):
                 if keep:
@@ -230,7 +365,7 @@ def main_text(page: str | None, wrapper: list | None) -> str:
 
 
 def _varies(node: list) -> bool:
-    return node[2] == 0 or any(_varies(x) for x in node[3])
+    return node[2] == 0 or any(map(_varies, node[3]))
 
 
 def _matched(block: Block, node: list | None) -> list[tuple[int, list | None]]:
@@ -260,16 +395,14 @@ def wrappers(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 tree = fold(parse(page.as_py() or ""))
-                own[host] = merged(own[host], tree) if host in own else tree
-                if own[host][1] % 256 == 0:
-                    own[host] = trimmed(own[host], own[host][1])
+                own[host] = bounded(merged(own[host], tree) if host in own else tree)
         yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([json.dumps(x) for x in own.values()], pa.string())], ["host", "wrapper"])
 
     def whole(pdf):
         total = None
         for x in sorted(pdf["wrapper"]):
-            total = merged(total, json.loads(x)) if total else json.loads(x)
-        return pdf.iloc[:1][["host"]].assign(wrapper=[json.dumps(trimmed(total, total[1]))])
+            total = bounded(merged(total, json.loads(x)) if total else json.loads(x))
+        return pdf.iloc[:1][["host"]].assign(wrapper=[json.dumps(trimmed(total, RARE * total[1]))])
 
     parts = pages.select("host", "html").mapInArrow(frugal(run), "host string, wrapper string")
     return parts.groupBy("host").applyInPandas(whole, "host string, wrapper string")

@@ -265,6 +265,59 @@ def test_main_text(spark):
     assert wrappers.extract(df.limit(0)).count() == 0
 
 
+def test_region_of_a_host_without_tags_or_names():
+    rng, pages = random.Random(14), []
+    for i in range(12):
+        body = "".join(f"<p>{some_text(rng, rng.randrange(3, 40))}.</p>" for _ in range(rng.randrange(1, 5)))
+        menu = "".join(f"<li><a href=/{k}>{some_text(rng, 1)}</a></li>" for k in range(6))
+        head = f"<h1>{some_text(rng, 3)}</h1>"
+        kin = "".join(f"<li><a href=/r{k}>{some_text(rng, 2)}</a></li>" for k in range(rng.randrange(2, 5)))
+        pages.append((f"<div><ul>{menu}</ul></div><div class=x7>{some_text(rng, 4)}</div><div class=q>{head}<div>{body}<div>Send to a friend</div><div class=k><ul>{kin}</ul></div></div></div><div>&copy; {some_text(rng, 5)}</div>", head + body))
+    wrapper = None
+    for page, _ in pages:
+        tree = wrappers.fold(wrappers.parse(page))
+        wrapper = wrappers.bounded(wrappers.merged(wrapper, tree) if wrapper else tree)
+    for page, article in pages:
+        assert wrappers.main_text(page, wrapper) == " ".join(article.replace("<p>", " ").replace("</p>", " ").replace("<h1>", "").replace("</h1>", " ").split())
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<body class='single no-sidebar'><article><p>One</article>", "One"),
+    ("<div id='search-results'><article><p>One</article></div>", "One"),
+    ("<div class='content has-sidebar'><p>One</div>", "One"),
+    ("<article><p>One<h2 id='related-work'>Related work</h2><p>Two</article>", "One Related work Two"),
+    ("<article><p>One</p><section id='notice-period'><p>Two</section></article>", "One Two"),
+    ("<article><p>One</p><figure class='image-share'>Two</figure></article>", "One Two"),
+    ("<article><p>One</p><div class='ad-box'>no</div><div class=comments><p>no</div></article>", "One"),
+    ("<div>" * 5000 + "One" + "</div>" * 5000 + "<p>Two", "One Two"),
+])
+def test_names_and_depth_lose_no_text(page, text):
+    assert wrappers.main_text(page, None) == text
+
+
+def test_long_lists_of_children_are_cut():
+    one, two = (wrappers.fold(wrappers.parse("".join(f"<div class=c{i + k}>x</div>" for i in range(20_000)))) for k in (0, 7))
+    assert len(wrappers.merged(one, two)[3]) == 20_007 and wrappers.matching(one, two) == 1 + 20_000 - 7
+    one, two = (wrappers.fold(wrappers.parse("".join(f"<div class=c{i * k % 501}>x</div>" for i in range(5000)))) for k in (1, 7))
+    pairs = wrappers.aligned(one[3], two[3])
+    assert [x for x, _ in pairs if x] == one[3] and [y for _, y in pairs if y] == two[3] and all(x[0] == y[0] for x, y in pairs if x and y)
+
+
+@given(st.recursive(st.just([]), lambda kids: st.lists(st.tuples(st.sampled_from("ab"), kids), max_size=3), max_leaves=6), st.recursive(st.just([]), lambda kids: st.lists(st.tuples(st.sampled_from("ab"), kids), max_size=3), max_leaves=6))
+@settings(max_examples=60, deadline=None)
+def test_matching_is_the_largest(one, two):
+    node = lambda label, kids: [label, 1, 0, [node(*x) for x in kids], 0, 0]
+
+    def largest(a: list, b: list) -> int:
+        """Over all ways to match children in order."""
+        if not a or not b:
+            return 0
+        both = 1 + largest(a[0][1], b[0][1]) + largest(a[1:], b[1:]) if a[0][0] == b[0][0] else 0
+        return max(both, largest(a[1:], b), largest(a, b[1:]))
+
+    assert wrappers.matching(node("r", one), node("r", two)) == 1 + largest(one, two)
+
+
 def test_matching_keeps_order():
     a = wrappers.fold(wrappers.parse("<div><p>a<ul><li>x</ul><p>b</div>"))
     b = wrappers.fold(wrappers.parse("<div><ul><li>x<li>y</ul><p>c</div>"))

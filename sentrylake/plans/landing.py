@@ -23,6 +23,7 @@ from sentrylake.sources import cloudtrail, common, devices, dnslog, guardduty, l
 from sentrylake.sources.runstore import RunStore
 from sentrylake.sources.window import Window
 from sentrylake.streaming import jobs
+from sentrylake.streaming.batches import BatchTable
 
 
 def _s(c: Column | str) -> Column:
@@ -614,13 +615,13 @@ def _finish(job) -> None:
 
 def _appended(t, df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(t.spark, name)
-    _finish(jobs.append_to(df, f"{path}/rows", f"{path}/state"))
-    return t.spark.read.schema(df.schema).parquet(f"{path}/rows")
+    _finish(jobs.batches_to(df, f"{path}/rows", f"{path}/state"))
+    return BatchTable(t.spark, f"{path}/rows").read()
 
 
 def _totals(t, df: DataFrame, name: str, keys: list[str]) -> DataFrame:
     path = scratch_path(t.spark, name)
-    _finish(jobs.totals_to(df, f"{path}/rows", f"{path}/state"))
+    _finish(jobs.totals_to(df, f"{path}/rows", f"{path}/state", keys))
     return jobs.read_totals(t.spark, f"{path}/rows", keys)
 
 
@@ -668,4 +669,4 @@ def _(t):
 @query("z05_stream_entities", "ssh", """SELECT etype, value, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS occurrences FROM (SELECT 'ip' AS etype, src_ip AS value, ts FROM ssh UNION ALL SELECT 'user', "user", ts FROM ssh) GROUP BY 1, 2""")
 def _(t):
     ssh = _StreamTables(t, "orders").view.ssh
-    return _totals(t, jobs.stream_entities(ssh), "stream-entities", ["etype", "value"])
+    return jobs.merge_days(_totals(t, jobs.stream_entities(ssh), "stream-entities", ["day", "etype", "value"]))

@@ -14,6 +14,7 @@ from sentrylake.plans.daily import Context, run_canary_signals, run_metrics, run
 from sentrylake.session import scratch_path
 from sentrylake.sources import sinks
 from sentrylake.streaming import jobs
+from sentrylake.streaming.batches import BatchTable
 
 UTC = timezone.utc
 
@@ -194,6 +195,46 @@ def test_streams_equal_batch(spark, planted):
     assert got == want
 
 
+def test_batches_count_once_and_are_packed(spark):
+    path = scratch_path(spark, "batches")
+    totals, rows = BatchTable(spark, f"{path}/t", ["k"], packed=3), BatchTable(spark, f"{path}/r", packed=3)
+    with pytest.raises(ValueError):
+        rows.read()
+    for number in range(11):
+        batch = spark.createDataFrame([(number % 4, number), (None, number)], "k long, n long")
+        assert totals.write(batch, number) and rows.write(batch.limit(0) if number == 5 else batch, number)
+        assert len(totals.folders()) <= 6 and not totals.write(batch, number)
+    assert len(rows.folders()) == 3 == len(totals.folders())  # 11 is 1 * 9 + 0 * 3 + 2: the digits in threes
+    assert sorted(r.n for r in rows.read().collect()) == sorted([n for n in range(11) if n != 5] * 2)
+    assert {(r.k, r.n) for r in totals.read().collect()} == {(None, 10), (0, 8), (1, 9), (2, 10), (3, 7)}
+    before = totals.read().count()
+    assert totals.vacuum(keep=1) > 0 and totals.read().count() == before and totals.vacuum(keep=1) == 0
+    assert totals.write(batch, 11) and not totals.write(batch, 4)
+
+
+def test_new_entities_once_until_they_expire(spark):
+    path, out = scratch_path(spark, "entities-in"), scratch_path(spark, "entities-out")
+    schema = "ts timestamp, src_ip string, dst_ip string, client_ip string, user string, domain string, device string, kind string, action string"
+
+    def land(*rows) -> None:
+        spark.createDataFrame([(datetime.fromisoformat(ts), ip, *[None] * 7) for ts, ip in rows], schema).coalesce(1).write.mode("append").parquet(path)
+
+    def run() -> list:
+        known = spark.createDataFrame([("ip", "9.9.9.9")], "etype string, value string")
+        new = jobs.stream_new_entities(jobs.read_files(spark, path, schema, maxFilesPerTrigger=1), "30 days", known)
+        jobs.batches_to(new, f"{out}/rows", f"{out}/state").awaitTermination()
+        return sorted((r.value, str(r.first_seen.date())) for r in BatchTable(spark, f"{out}/rows").read().collect())
+
+    land(("2026-01-01", "1.1.1.1"), ("2026-01-01", "1.1.1.1"), ("2026-01-01", "9.9.9.9"), ("2026-01-01", None))
+    assert run() == [("1.1.1.1", "2026-01-01")]
+    land(("2026-01-02", "1.1.1.1"), ("2026-01-02", "2.2.2.2"))
+    assert run() == [("1.1.1.1", "2026-01-01"), ("2.2.2.2", "2026-01-02")]  # known across the restart
+    land(("2026-04-01", "3.3.3.3"))
+    run()
+    land(("2026-04-02", "1.1.1.1"))
+    assert run() == [("1.1.1.1", "2026-01-01"), ("1.1.1.1", "2026-04-02"), ("2.2.2.2", "2026-01-02"), ("3.3.3.3", "2026-04-01")]
+
+
 def test_traffic_touching_addresses(spark, profile):
     from sentrylake.operators import query as q
 

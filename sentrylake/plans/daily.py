@@ -26,7 +26,8 @@ from sentrylake.operators.history import Baseline
 from sentrylake.operators.metrics import all_of
 from sentrylake.operators.signals import signal_rows
 from sentrylake.profile import Profile
-from sentrylake.schema import CANARY_SOURCE
+from sentrylake.schema import CANARY_SOURCE, SIGNAL_SCHEMA
+from sentrylake.session import materialize
 
 
 @dataclass(frozen=True)
@@ -170,14 +171,32 @@ def run_canary_signals(context: Context, names: Iterable[str] | None = None) ->
     return _signals(context, events, names)
 
 
+def run_guarded(context: Context, names: Iterable[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Signals of the detectors that went through, and ``detector, error`` of those that didn't.
+
+    Each detector is a job of its own, whose signals are written to the shared folder; one that fails, when
+    it is planned or while it runs, leaves the others as they are. Its signals are missing whole, never in part.
+    """
+    events = q.scope(context.events, exclude_sources=[CANARY_SOURCE])
+    spark = events.sparkSession
+    kinds = [r[0] for r in q.kinds_present(events).collect()]
+    sources = [r[0] for r in q.sources_present(events).collect()]
+    scoped = Context(events, context.profile, context.baseline, context.indicators)
+    frames, failed = [spark.createDataFrame([], SIGNAL_SCHEMA)], []
+    for d in selected(scoped, kinds, sources, names):
+        try:
+            frames.append(materialize(signal_rows(d.run(scoped)), f"signals-{d.name}"))
+        except Exception as e:  # whatever a detector may raise: it is reported with the run
+            failed.append((d.name, f"{type(e).__name__}: {e}".strip()))
+    return all_of(*frames), spark.createDataFrame(failed, "detector string, error string")
+
+
 def _signals(context: Context, events: DataFrame, names: Iterable[str] | None) -> DataFrame:
     kinds = [r[0] for r in q.kinds_present(events).collect()]
     sources = [r[0] for r in q.sources_present(events).collect()]
     scoped = Context(events, context.profile, context.baseline, context.indicators)
     frames = [signal_rows(d.run(scoped)) for d in selected(scoped, kinds, sources, names)]
     if not frames:
-        from sentrylake.schema import SIGNAL_SCHEMA
-
         return events.sparkSession.createDataFrame([], SIGNAL_SCHEMA)
     return all_of(*frames)
 

@@ -185,8 +185,8 @@ _CAVEAT = """CASE client_ip WHEN '10.10.0.10' THEN {iot} WHEN '10.10.0.4' THEN {
 
 def _caveat(ip: str, zone: str) -> str:
     return (
-        f"'Traffic is NATed by the gateway at {ip}, so per-device attribution within {zone} is not possible from the "
-        f"current data sources. Reported as originating from behind the gateway, not from a specific device.'"
+        f"'{ip} stands for every device of {zone}: their traffic is NATed there, and no collected "
+        f"source says which of them sent it.'"
     )
 
 

@@ -204,3 +204,25 @@ def test_console_logins(spark):
     events = conform_events(_wrap_raw(frame.withColumnRenamed("raw", "_raw").withColumns(
         {"ts": F.col("ts").cast("timestamp"), "kind": F.lit("auth"), "source": F.lit("aws_cloudtrail")})))
     assert [r.user for r in cloud.console_login_no_mfa(events).collect()] == ["u1"]
+
+
+def test_a_failing_detector_leaves_the_others(spark, planted, profile, monkeypatch):
+    from sentrylake.plans import daily
+
+    context = daily.Context(planted, profile)
+    names = [d.name for d in daily.DETECTORS if not d.needs_baseline and not d.needs_indicators][:4]
+    want = sorted(r.signal_id for r in daily.run_signals(context, names).collect())
+
+    def raises(context):
+        raise KeyError("no such column")
+
+    first = next(d for d in daily.DETECTORS if d.name in names and d.run(context).count())
+    late = lambda c: first.run(c).withColumn("title", F.raise_error(F.lit("broken late")).cast("string"))
+    broken = [daily.Detector("early", raises, frozenset()), daily.Detector("late", late, frozenset())]
+    monkeypatch.setattr(daily, "DETECTORS", [*daily.DETECTORS, *broken])
+    signals, failed = daily.run_guarded(context, [*names, "early", "late"])
+    assert sorted(r.signal_id for r in signals.collect()) == want
+    errors = {r.detector: r.error for r in failed.collect()}
+    assert "no such column" in errors["early"] and "broken late" in errors["late"] and len(errors) == 2
+    signals, failed = daily.run_guarded(context, [])
+    assert signals.count() == failed.count() == 0

@@ -212,15 +212,20 @@ def distinct_values(events: DataFrame, column: str, **filters: Any) -> DataFrame
     )
 
 
-def sample(events: DataFrame, n: int = 20, **filters: Any) -> DataFrame:
-    """The latest ``n`` events."""
-    return where(events, **filters).orderBy(F.desc("ts"), "id", "dedup_key").limit(n)
+def _first(rows: DataFrame, n: int | None) -> DataFrame:
+    """The first ``n`` rows, or all of them."""
+    return rows if n is None else rows.limit(n)
 
 
-def sample_by_dedup(events: DataFrame, keys: DataFrame, n: int = 20) -> DataFrame:
-    """At most ``n`` events carrying one of ``keys`` (column ``dedup_key``)."""
+def sample(events: DataFrame, n: int | None = 20, **filters: Any) -> DataFrame:
+    """The latest ``n`` events; all of them, latest first, without a limit."""
+    return _first(where(events, **filters).orderBy(F.desc("ts"), "id", "dedup_key"), n)
+
+
+def sample_by_dedup(events: DataFrame, keys: DataFrame, n: int | None = 20) -> DataFrame:
+    """Events carrying one of ``keys`` (column ``dedup_key``): at most ``n``, or all of them."""
     hits = events.join(keys.select("dedup_key").distinct(), "dedup_key", "left_semi")
-    return hits.orderBy("dedup_key", "id").limit(n)
+    return _first(hits.orderBy("dedup_key", "id"), n)
 
 
 # ----- DNS
@@ -409,12 +414,15 @@ DRILL_FILTERS = ("kind", "src_ip", "dst_ip", "client_ip", "domain", "action", "d
 HIDDEN_COLUMNS = ("raw", "raw_json", "run_id", "dedup_key")
 
 
-def get_events(events: DataFrame, limit: int = 20, **filters: Any) -> DataFrame:
-    """The latest events for a reader: empty filters mean none, planted events are left out."""
+def get_events(events: DataFrame, limit: int | None = 20, **filters: Any) -> DataFrame:
+    """The latest events for a reader: empty filters mean none, planted events are left out.
+
+    A limit is held between 1 and 200; ``None`` gives all of them.
+    """
     unknown = set(filters) - set(DRILL_FILTERS)
     if unknown:
         raise KeyError(f"unknown filters: {', '.join(sorted(unknown))}")
     active = {k: v for k, v in filters.items() if v not in (None, "", 0, "any")}
     rows = scope(events, exclude_sources=[CANARY_SOURCE])
-    rows = sample(rows, max(1, min(limit, 200)), **active)
+    rows = sample(rows, None if limit is None else max(1, min(limit, 200)), **active)
     return rows.drop(*HIDDEN_COLUMNS)

@@ -15,18 +15,21 @@ from sentrylake.schema import CANARY_SOURCE, LOW
 from sentrylake.session import materialize
 
 
-def rank_signals(signals: DataFrame, n: int = 60) -> DataFrame:
-    """The strongest signals, planted ones left out."""
+def rank_signals(signals: DataFrame, n: int | None = 60) -> DataFrame:
+    """The strongest signals, or all of them in that order; planted ones left out."""
     real = signals.where(~F.coalesce("is_canary", F.lit(False))) if "is_canary" in signals.columns else signals
-    return real.orderBy(F.desc("severity_hint"), F.desc("confidence"), "signal_id").limit(n)
+    ranked = real.orderBy(F.desc("severity_hint"), F.desc("confidence"), "signal_id")
+    return ranked if n is None else ranked.limit(n)
 
 
 def top_metrics_per_section(
-    metrics: DataFrame, prior: DataFrame | None = None, n: int = 25
+    metrics: DataFrame, prior: DataFrame | None = None, n: int | None = 25
 ) -> DataFrame:
-    """The first metrics of every section in emit order, with prior value and change."""
+    """The first metrics of every section, or all of them, in emit order, with prior value and change."""
     order = Window.partitionBy("section").orderBy("ord", F.desc("value_num"), "key")
-    first = metrics.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    first = metrics.withColumn("rank", F.row_number().over(order))
+    if n is not None:
+        first = first.where(F.col("rank") <= n)
     if prior is not None:
         first = first.join(prior, "key", "left")
         first = first.withColumn("delta_pct", delta_pct("value_num", "prior"))
@@ -188,7 +191,9 @@ def signal_samples(
     ).select("id", "ts", F.col("dedup_key").alias("event_key"), "k.*").where(F.col("value").isNotNull())
     hits = keyed.join(probes, ["field", "value"])
     order = Window.partitionBy("signal_id", "choice").orderBy(F.desc("ts"), "id", "event_key")
-    ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    ranked = hits.withColumn("rank", F.row_number().over(order))
+    if n is not None:
+        first = first.where(F.col("rank") <= n)
     best = ranked.groupBy("signal_id").agg(F.min("choice").alias("choice"))
     return ranked.join(best, ["signal_id", "choice"]).select(
         "signal_id", "rank", "id", "ts", F.col("event_key").alias("dedup_key"), "field"

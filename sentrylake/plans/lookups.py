@@ -451,11 +451,10 @@ def _(t):
 
 
 @query("a13_sample_by_dedup", "fw", """
-SELECT dedup_key, id, src_ip, dst_ip FROM fw WHERE dedup_key IN (SELECT 'fw:' || p_partkey || ':1' FROM part)
-ORDER BY dedup_key, id LIMIT 200""")
+SELECT dedup_key, id, src_ip, dst_ip FROM fw WHERE dedup_key IN (SELECT 'fw:' || p_partkey || ':1' FROM part)""")
 def _(t):
     keys = t.raw("part").select(F.concat(F.lit("fw:"), F.col("p_partkey").cast("string"), F.lit(":1")).alias("dedup_key"))
-    return q.sample_by_dedup(t.fw, keys, 200).select("dedup_key", "id", "src_ip", "dst_ip")
+    return q.sample_by_dedup(t.fw, keys, None).select("dedup_key", "id", "src_ip", "dst_ip")
 
 
 @query("a14_dns_domain_stats", "dns", """

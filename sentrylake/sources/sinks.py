@@ -251,6 +251,7 @@ def register_views(spark: SparkSession, tables: Mapping[str, DataFrame], run_id:
         scoped.createOrReplaceTempView(name)
 
 
-def run_sql(spark: SparkSession, statement: str, limit: int = 200) -> DataFrame:
-    """At most ``limit`` (1 to 1000) rows of a query over the registered views."""
-    return spark.sql(statement).limit(max(1, min(limit, 1000)))
+def run_sql(spark: SparkSession, statement: str, limit: int | None = 200) -> DataFrame:
+    """At most ``limit`` (1 to 1000) rows of a query over the registered views; all of them with ``None``."""
+    rows = spark.sql(statement)
+    return rows if limit is None else rows.limit(max(1, min(limit, 1000)))

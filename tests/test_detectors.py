@@ -226,3 +226,17 @@ def test_a_failing_detector_leaves_the_others(spark, planted, profile, monkeypat
     assert "no such column" in errors["early"] and "broken late" in errors["late"] and len(errors) == 2
     signals, failed = daily.run_guarded(context, [])
     assert signals.count() == failed.count() == 0
+
+
+def test_limits_can_be_taken_off(spark, profile):
+    from sentrylake.operators import reporting
+    from sentrylake.sources import sinks
+
+    events = make_events(spark, [{"ts": START, "source": "syslog", "kind": "firewall", "action": "drop", "src_ip": "10.0.0.1", "dedup_key": f"k{i}"} for i in range(1203)], profile)
+    keys = events.select("dedup_key")
+    assert [q.get_events(events, n).count() for n in (None, 0, 500)] == [1203, 1, 200]
+    assert (q.sample_by_dedup(events, keys, None).count(), q.sample_by_dedup(events, keys).count()) == (1203, 20)
+    sinks.register_views(spark, {"all_keys": keys}, "r")
+    assert [sinks.run_sql(spark, "select * from all_keys", n).count() for n in (None, 5000, 7)] == [1203, 1000, 7]
+    signals = spark.range(90).selectExpr("cast(id as string) as signal_id", "1 as severity_hint", "0.5D as confidence")
+    assert (reporting.rank_signals(signals, None).count(), reporting.rank_signals(signals).count()) == (90, 60)

@@ -193,7 +193,7 @@ def signal_samples(
     order = Window.partitionBy("signal_id", "choice").orderBy(F.desc("ts"), "id", "event_key")
     ranked = hits.withColumn("rank", F.row_number().over(order))
     if n is not None:
-        first = first.where(F.col("rank") <= n)
+        ranked = ranked.where(F.col("rank") <= n)
     best = ranked.groupBy("signal_id").agg(F.min("choice").alias("choice"))
     return ranked.join(best, ["signal_id", "choice"]).select(
         "signal_id", "rank", "id", "ts", F.col("event_key").alias("dedup_key"), "field"

@@ -16,6 +16,7 @@ from sentrylake.operators import (
     perimeter,
     periodic,
     population,
+    reporting,
     resolver,
     segments,
     series,
@@ -240,3 +241,14 @@ def test_limits_can_be_taken_off(spark, profile):
     assert [sinks.run_sql(spark, "select * from all_keys", n).count() for n in (None, 5000, 7)] == [1203, 1000, 7]
     signals = spark.range(90).selectExpr("cast(id as string) as signal_id", "1 as severity_hint", "0.5D as confidence")
     assert (reporting.rank_signals(signals, None).count(), reporting.rank_signals(signals).count()) == (90, 60)
+
+
+@pytest.mark.parametrize("n, ranks", [(2, [1, 2]), (None, [1, 2, 3, 4])])
+def test_samples_of_signals(spark, profile, n, ranks):
+    rows = [{"ts": f"2026-06-01 00:00:0{i}", "kind": "firewall", "source": "syslog", "src_ip": "10.10.0.9", "dedup_key": f"k{i}"} for i in range(4)]
+    events = make_events(spark, rows, profile)
+    signals = spark.sql("select 'a' signal_id, array(named_struct('type', 'ip', 'value', '10.10.0.9', 'role', 'source')) entities union all select 'b', array()")
+    support = spark.createDataFrame([("b", "k1")], "signal_id string, dedup_key string")
+    got = reporting.signal_samples(signals, events, support, n).collect()
+    assert sorted((r["rank"], r.dedup_key) for r in got if r.signal_id == "a") == [(r, f"k{4 - r}") for r in ranks]
+    assert [(r["rank"], r.dedup_key, r.field) for r in got if r.signal_id == "b"] == [(1, "k1", "dedup_key")]

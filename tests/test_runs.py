@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime, timezone
 
 import pytest
@@ -244,3 +245,43 @@ def test_traffic_touching_addresses(spark, profile):
     wanted = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "value string")
     got = {(r.src_ip, r.dst_ip, r.hits) for r in q.traffic_involving(events, wanted).collect()}
     assert got == {("a", "b", 2), ("b", "a", 1), ("a", "a", 1), ("c", "a", 1), (None, "a", 1), ("a", None, 1)}
+
+
+SUPPRESSION = "id long, taxonomy string, entity string, title_contains string, max_severity string, reason string"
+FINDING = "finding_id string, taxonomy string, title string, severity int, entities array<struct<value: string>>"
+
+
+def test_suppressions_agree_with_a_loop(spark):
+    rng = random.Random(5)
+    some = lambda *values: rng.choice([None, "", *values])
+    rules = [(i if i % 9 else None, some("a", "b"), some("e1", "e2", "e3"), some("Up", "down"), some("LOW", "HIGH"), some("why")) for i in range(60, 0, -1)]
+    facts = [
+        (f"F{i}" if i % 20 else None, rng.choice(["a", "b", "c", None]), rng.choice(["Going up", "DOWN and up", "still", None]), rng.choice([0, 1, 2, 4]),
+         rng.choice([None, [], [("e1",)], [("e3",), (None,), ("e2",), ("e3",)]]))
+        for i in range(80)
+    ]
+    ceilings = {"LOW": 1, "HIGH": 3}
+
+    def fits(rule, fact):
+        _, tax, ent, part, most, _ = rule
+        _, f_tax, title, rank, ents = fact
+        return bool(
+            (tax or ent or part) and (not tax or tax == f_tax) and (not ent or ent in [e[0] for e in ents or []])
+            and (not part or (title is not None and part.lower() in title.lower())) and (not most or rank <= ceilings[most])
+        )
+
+    want = []
+    for fact in facts:
+        hit = min((r for r in rules if r[0] is not None and fact[0] is not None and fits(r, fact)), key=lambda r: r[0], default=None)
+        want.append((fact[0], hit is not None, hit and hit[0], hit and (hit[5] or "suppressed")))
+    done = review.apply_suppressions(spark.createDataFrame(facts, FINDING), spark.createDataFrame(rules, SUPPRESSION))
+    got = [tuple(r) for r in done.select("finding_id", "suppressed", "suppression_id", "suppressed_reason").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert len({w[2] for w in want}) > 5
+
+
+def test_rules_of_one_taxonomy_dont_multiply_findings(spark):
+    rules = spark.range(500).selectExpr("id", "'a' taxonomy", "cast(null as string) entity", "'' title_contains", "if(id % 2 = 0, 'LOW', null) max_severity", "'why' reason")
+    apart = spark.range(500).selectExpr("id + 500", "'a' taxonomy", "concat('e', id) entity", "'' title_contains", "'' max_severity", "'why' reason")
+    facts = spark.range(300).selectExpr("concat('F', id) finding_id", "'a' taxonomy", "'t' title", "1 severity", "array(named_struct('value', concat('e', id))) entities")
+    assert review.suppression_hits(facts, rules.union(apart)).count() == 300 * 3

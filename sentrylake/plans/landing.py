@@ -223,8 +223,8 @@ def _(t):
         .withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     )
     path = scratch_path(t.spark, "syslog-landing")
-    # One page per file: the page number is part of the folder, the copy of the file.
-    pages.repartition("device", "page", "copy").drop("copy").write.partitionBy("device", "page").option("maxRecordsPerFile", 1).json(path)
+    # One page per file, below its device: folders don't grow with the pages.
+    pages.repartition("device", "page", "copy").drop("page", "copy").write.partitionBy("device").option("maxRecordsPerFile", 1).json(path)
     return syslog.load_syslog(t.spark, path, t.profile).groupBy("device", "kind", "action").agg(F.count("*").alias("n"))
 
 

@@ -4,12 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from sentrylake.profile import Profile
 
 
+# Fixed value: what no JSON text can have in it, as NUL stands escaped there.
+END_OF_FILE = "\0end of file\0"
+
+
+def whole_files(spark: SparkSession) -> DataFrameReader:
+    """A reader of files that are each one JSON text over any number of lines.
+
+    The option ``multiLine`` parses a file as a stream and reads every number that becomes text again from
+    the file, which it opens once more for it. Here a file is one record in memory, and such a number is a
+    slice of it.
+    """
+    return spark.read.option("lineSep", END_OF_FILE)
+
+
 def assign_zones(events: DataFrame, profile: Profile) -> DataFrame:
     """Zones of both ends; an event without a source takes the zone of its client."""
     return events.withColumns(

@@ -12,7 +12,7 @@ from sentrylake.functions.domains import clean_domain
 from sentrylake.functions.scalars import dedup_key
 from sentrylake.profile import Profile
 from sentrylake.schema import conform_events
-from sentrylake.sources.common import assign_zones, dedup_events
+from sentrylake.sources.common import assign_zones, dedup_events, whole_files
 
 SOURCE = "resolver"
 
@@ -33,7 +33,7 @@ PAGE_SCHEMA = (
 
 def read_dns_landing(spark: SparkSession, path: str) -> DataFrame:
     """One row per landed query, with its ingest order."""
-    pages = spark.read.option("multiLine", True).schema(PAGE_SCHEMA).json(path)
+    pages = whole_files(spark).schema(PAGE_SCHEMA).json(path)
     return pages.select(
         F.col("_metadata.file_path").alias("file"), F.posexplode("queries").alias("pos", "q")
     ).select("file", "pos", "q.*")

@@ -23,7 +23,7 @@ from sentrylake.functions.scalars import (
 )
 from sentrylake.profile import Profile
 from sentrylake.schema import EVENT_SCHEMA, conform, conform_events
-from sentrylake.sources.common import assign_zones, dedup_events, first_match
+from sentrylake.sources.common import assign_zones, dedup_events, first_match, whole_files
 
 SOURCE = "syslog"
 
@@ -88,7 +88,7 @@ _FIELDS = {
 def read_syslog_landing(spark: SparkSession, path: str) -> DataFrame:
     """One row per landed line: ``device, timestamp, program, msg, seq, level`` and ingest order."""
     pages = (
-        spark.read.option("multiLine", True)
+        whole_files(spark)
         .option("basePath", path)
         .schema(f"{PAGE_SCHEMA}, device string")
         .json(f"{path}/device=*")
@@ -375,6 +375,11 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def _key(source: str) -> Column:
+    """Record key of a landed line."""
+    return dedup_key(source, F.col("device"), F.col("seq"), F.col("timestamp"), F.coalesce("msg", F.lit("")))
+
+
 def normalize_syslog(lines: DataFrame, profile: Profile, source: str = SOURCE) -> DataFrame:
     """Events of landed lines (``device, timestamp, program, msg, seq, level``), undated lines
     dropped. Ingest order columns (``file, pos``) are kept when present."""
@@ -382,9 +387,7 @@ def normalize_syslog(lines: DataFrame, profile: Profile, source: str = SOURCE) -
     msg = F.coalesce("msg", F.lit(""))
     clean = lines.select(
         parse_timestamp(F.col("timestamp")).alias("ts"),
-        dedup_key(
-            source, F.col("device"), F.col("seq"), F.col("timestamp"), msg
-        ).alias("dedup_key"),
+        _key(source).alias("dedup_key"),
         F.col("device").cast("string").alias("device"),
         F.upper(F.coalesce("program", F.lit(""))).alias("program"),
         syslog_severity("level").alias("severity"),
@@ -403,7 +406,16 @@ def normalize_syslog(lines: DataFrame, profile: Profile, source: str = SOURCE) -
     return conform(flat, keep)
 
 
+def last_copies(lines: DataFrame, source: str = SOURCE) -> DataFrame:
+    """Dated landed lines with one row per record key, the last in ingest order, without that order.
+
+    The key is made of landed fields only, so lines are made distinct before they are parsed: a copy
+    is never parsed, and a field that nobody asks for is not extracted for the sake of the choice.
+    """
+    keyed = lines.where(parse_timestamp(F.col("timestamp")).isNotNull()).withColumn("dedup_key", _key(source))
+    return dedup_events(keyed, ["file", "pos"], keep="last").drop("dedup_key", "file", "pos")
+
+
 def load_syslog(spark: SparkSession, path: str, profile: Profile) -> DataFrame:
     """Landed pages to distinct events; a line collected twice counts once, the last copy wins."""
-    rows = normalize_syslog(read_syslog_landing(spark, path), profile)
-    return conform_events(dedup_events(rows, ["file", "pos"], keep="last"))
+    return conform_events(normalize_syslog(last_copies(read_syslog_landing(spark, path).drop("total")), profile))

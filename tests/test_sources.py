@@ -111,6 +111,25 @@ def test_syslog_pages_land_once(spark, profile, tmp_path):
     assert len(events) == 5 and {e.device for e in events} == {"8"} and {e.severity for e in events} == {"info"}
 
 
+def test_syslog_copies_go_before_lines_are_parsed(spark, profile, tmp_path):
+    """Pages over several lines, with numbers as text; of copies the last one in ingest order stays."""
+    folder = tmp_path / "device=8"
+    folder.mkdir()
+    line = {"timestamp": 1780283655.50, "program": "CRON", "msg": "m", "seq": 1, "level": 6}
+    other = {"timestamp": "2026-06-01", "program": "CRON", "msg": "n", "id": 12345678901234567890, "level": 3}
+    undated = {"timestamp": "soon", "program": "CRON", "msg": "x", "seq": 9, "level": 3}
+    (folder / "p1.json").write_text(json.dumps({"total": 3, "logs": [line, other, undated]}, indent=1))
+    (folder / "p2.json").write_text(json.dumps([{"total": 3, "logs": [line]}, {"total": 3, "logs": [undated]}], indent=1))
+    (folder / "p3.json").write_text(json.dumps({"total": 3, "logs": [{**line, "level": 4}]}))
+    (folder / "p4.json").write_text("")
+    lines = syslog.read_syslog_landing(spark, str(tmp_path))
+    assert {(r.timestamp, r.seq, r.level) for r in lines.collect()} == {
+        ("1780283655.5", "1", "6"), ("1780283655.5", "1", "4"), ("2026-06-01", "12345678901234567890", "3"), ("soon", "9", "3")
+    }
+    assert syslog.last_copies(lines).count() == 2
+    assert {(e.message, e.severity) for e in syslog.load_syslog(spark, str(tmp_path), profile).collect()} == {("m", "warning"), ("n", "err")}
+
+
 def test_dns_pages(spark, profile, tmp_path):
     queries = [
         {"id": 1, "time": 1780283655.5, "domain": "Ads.Example.COM.", "type": "A", "status": "GRAVITY", "client": {"ip": "10.10.0.20", "name": "pc"}, "upstream": {"ip": "9.9.9.9", "name": None}},

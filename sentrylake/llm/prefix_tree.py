@@ -6,9 +6,10 @@ compared with a block of others at once: the block's sets stand in a tree, commo
 walked with one overlap for each shared path and cut where what remains is too short.
 
 For the components not all pairs of a group are needed. Some rounds compare each set with one other for
-every shared n-gram, while several components have that n-gram. Of what then remains apart all pairs that
-share an n-gram are compared, so no link between two components is lost. An n-gram that many of these sets
-have is dealt in blocks of sets, so its pairs never become rows.
+every shared n-gram, while several components have that n-gram. Then sets of n-grams that many have are
+compared along random trees of the pairs that may be linked, as long as that joins components. Of what
+remains apart all pairs that share an n-gram are compared, so no link between two components is lost. An
+n-gram that many of these sets have is dealt in blocks of sets, so its pairs never become rows.
 
 Before sets are sent, a pair must pass an exact test of its sets' signatures, bitmaps of the parity of the
 n-grams at each bit: they differ in no more bits than the sets differ in n-grams.
@@ -36,6 +37,11 @@ COUNTERS, FILTER_BITS = 1 << 18, 1 << 24
 BLOCK = 256
 #: Rounds in which a set is compared with one other for each n-gram, before all pairs across components are.
 ROUNDS = 1
+#: Most rounds in which the sets of an n-gram that many have are compared along a tree of pairs, before all pairs are. They go
+#: on while a quarter of the pairs are linked; neither number changes the result.
+TREE_ROUNDS = 8
+#: Pairs of such a tree that begin at one set of a block.
+BRANCHES = 2
 #: Rows of a batch that are turned into Python values at once; a memory bound.
 ROWS = 256
 #: From this many sets on an n-gram is dealt in blocks of ``DEALT`` sets, below it pairs come from a join.
@@ -270,13 +276,27 @@ def _first_common(own: np.ndarray, theirs: np.ndarray) -> int:
     raise ValueError("nothing in common")
 
 
-def _pairs_of_block(token: int, sids, ns, places, roots, parts, sigs, peers, crossing: bool, alike: int) -> list[tuple[int, int]]:
-    """Pairs of a block that may be linked, each one only for the first n-gram of many sets that both have."""
+def _find(up: dict[int, int], at: int) -> int:
+    """Where ``at`` ends in ``up``; paths are halved on the way."""
+    while up.setdefault(at, at) != at:
+        up[at] = at = up[up[at]]
+    return at
+
+
+def _pairs_of_block(
+    token: int, sids, ns, places, roots, parts, sigs, peers, crossing: bool, alike: int, seed: int | None = None
+) -> list[tuple[int, int]]:
+    """Pairs of a block that may be linked, each one only for the first n-gram of many sets that both have.
+
+    With ``seed``, which draws their order, only pairs of two components whose sets no pairs before have joined:
+    fewer than the block has sets.
+    """
     order = np.argsort(ns, kind="stable")
     ns, places, roots, parts = (x[order] for x in (ns, places, roots, parts))
     words = np.array([len(sigs[i]) // 8 for i in order])
     ends = np.searchsorted(ns, ns * 100 // alike, "right")
-    sets, found, at, folded = {}, [], -1, None
+    sets, found, at, folded, up = {}, [], -1, None, {}
+    rng = None if seed is None else np.random.default_rng(seed)
     for r in range(len(order)):
         if at < 0 or words[r] != words[at]:
             # the signatures of this size, and those of larger sets folded to it
@@ -297,19 +317,30 @@ def _pairs_of_block(token: int, sids, ns, places, roots, parts, sigs, peers, cro
         if not len(own):
             continue
         apart = np.bitwise_count(folded[own - at] ^ folded[r - at]).sum(1, dtype=np.int64)
-        for x in own[apart <= room].tolist():
+        own = own[apart <= room]
+        left = len(own) if rng is None else BRANCHES
+        for x in (own if rng is None else rng.permutation(own)).tolist():
             i, j = int(order[r]), int(order[x])
+            if not left:
+                break
+            if rng is not None and (a := _find(up, r)) == (b := _find(up, x)):
+                continue
             theirs = sets.get(j)
             if theirs is None:
                 theirs = sets[j] = np.sort(peers[j])
             if _first_common(peers[i], theirs) == token:
                 found.append((min(sids[i], sids[j]), max(sids[i], sids[j])))
+                left -= 1
+                if rng is not None:
+                    up[a] = b
     return found
 
 
-def _pairs_of_many(rows: DataFrame, signed: DataFrame, alike: int, dealt: int) -> DataFrame:
+def _pairs_of_many(rows: DataFrame, signed: DataFrame, alike: int, dealt: int, seed: int | None = None) -> DataFrame:
     """The pairs ``p, x`` across components that may be linked, of ``token, sid, meta, root, many`` with n-grams of many sets.
 
+    With ``seed`` only pairs that make a tree of each group of sets that may be linked, another one for each seed.
+
     The sets of an n-gram are split in blocks by their hash, and each two blocks meet in one group: a set is
     sent once for each block, and a group has about two blocks.
     """
@@ -329,7 +360,7 @@ def _pairs_of_many(rows: DataFrame, signed: DataFrame, alike: int, dealt: int) -
             sids, metas, roots, parts, sigs, peers = zip(*group, strict=True)
             metas = np.array(metas, np.int64)
             return _pairs_of_block(
-                key[0], sids, metas >> 32, metas & 0xFFFFFFFF, np.array(roots, np.int64), np.array(parts), sigs, peers, key[1] != key[2], alike
+                key[0], sids, metas >> 32, metas & 0xFFFFFFFF, np.array(roots, np.int64), np.array(parts), sigs, peers, key[1] != key[2], alike, seed
             )
 
         def packed(pairs):
@@ -450,6 +481,20 @@ def alike_documents(
         roots = _with_links(roots, linked(near, "near-links"))
         rest = apart(rest, roots)
 
+    # sets of n-grams that many have along trees of pairs, as long as these join components
+    for i in range(TREE_ROUNDS):
+        along = _pairs_of_many(rest.where(F.col("many") >= many), signed, alike, dealt, i)
+        along = materialize(along if tried is None else along.join(tried, ["p", "x"], "left_anti"), "tree-pairs")
+        pairs = along.count()
+        if not pairs:
+            break
+        tried = along if tried is None else tried.unionByName(along)
+        links = linked(along, "tree-links")
+        roots = _with_links(roots, links)
+        rest = apart(rest, roots)
+        if 4 * links.count() < pairs:
+            break
+
     # all pairs that may be linked across the components that are left
     few = rest.where(F.col("many") < many)
     a, b = (few.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("sid", "meta", "root")]) for s in "ab")

@@ -573,3 +573,24 @@ def test_pipeline(spark, tmp_path):
     rows = docs.collect()
     assert 0 < len(rows) <= len(texts) and len({r.doc_id for r in rows}) == len(rows)
     assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in rows)
+
+
+def test_trees_of_pairs_join_a_group_of_near_copies():
+    """Of a block of sets alike a seed takes fewer pairs than sets; they reach all of them, other seeds take other pairs."""
+    common = prefix_tree.mix(np.arange(60, dtype=np.uint64))
+    sets = [np.sort(np.append(common, prefix_tree.mix(np.array([1000 + i], np.uint64)))) for i in range(40)]
+    n = len(sets)
+    block = (
+        int(common.min()), list(range(n)), np.full(n, 61), np.zeros(n, np.int64), np.arange(n), np.zeros(n, int),
+        [prefix_tree.signature(x).tobytes() for x in sets], sets, False, 75,
+    )
+    every = prefix_tree._pairs_of_block(*block)
+    assert len(every) == n * (n - 1) // 2
+    trees = [prefix_tree._pairs_of_block(*block, seed) for seed in (0, 1)]
+    for tree in trees:
+        assert len(tree) == n - 1 and set(tree) <= set(every)
+        reached = {0}
+        for _ in range(n):
+            reached |= {x for pair in tree if reached & set(pair) for x in pair}
+        assert len(reached) == n
+    assert set(trees[0]) != set(trees[1])

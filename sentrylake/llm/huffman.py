@@ -18,6 +18,7 @@ import io
 import struct
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -86,10 +87,19 @@ class Code:
     def from_counts(cls, symbols: np.ndarray, counts: np.ndarray, limit: int = LIMIT) -> Code:
         return cls(symbols, code_lengths(counts, limit))
 
+    @cached_property
+    def places(self) -> np.ndarray:
+        """Place of each id among the symbols, -1 for ids without a code."""
+        out = np.full(int(self.symbols.max(initial=0)) + 1, -1, np.int32)
+        out[self.symbols] = np.arange(len(self.symbols))
+        return out
+
     def pack(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
         """Bits of documents of ``sizes`` ids each, the bytes of each, and the first bit of each id in its document."""
-        at = np.searchsorted(self.symbols, ids)
-        if len(ids) and (at.max() >= len(self.symbols) or (self.symbols[at] != ids).any()):
+        if len(ids) and int(ids.max()) >= len(self.places):
+            raise ValueError("an id has no code: the counts are not those of these documents")
+        at = self.places[ids]
+        if len(ids) and at.min() < 0:
             raise ValueError("an id has no code: the counts are not those of these documents")
         bits = self.lengths[at].astype(np.int64)
         before = np.cumsum(bits) - bits

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +15,22 @@ from pyspark.sql import functions as F
 
 from sentrylake.llm.common import frugal, pick
 
-#: Entries that a worker remembers; a memory bound, without effect on results.
+#: Pieces that a worker remembers, half of them since it forgot others; a memory bound, without effect on results.
 REMEMBERED = 1_000_000
 _encoders: dict[tuple[str, bool], "PieceEncoder"] = {}
+#: Pre-tokens of the byte-level pattern in texts of these characters alone, the first one with the space before it: letters,
+#: digits, other signs of ASCII but those of contractions and of names of special tokens, and breaks but for the last of a run.
+_PRE_TOKENS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ſЀ-ҁҊ-ԯ]+|[0-9]+|[!-&(-/:;=?@\[-`{}~]+|\n+(?=\n)|\n")
+
+
+def byte_letters() -> str:
+    """The letter of each byte in the byte-level alphabet."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in plain else next(others)) for b in range(256))
+
+
+_LETTERS = dict(enumerate(byte_letters()))
 
 
 class PieceEncoder:
@@ -23,7 +39,8 @@ class PieceEncoder:
     A byte-level tokenizer splits text before each space that stands between two characters which are
     no white space, whatever is around; so the ids of a text are the ids of the pieces between such
     spaces, one after another. A text in which a space touches other white space goes to the tokenizer
-    as a whole.
+    as a whole. Pre-tokens of a piece of plain characters go to the tokenizer's model one by one, each
+    one once; other pieces go through the whole tokenizer.
     """
 
     def __init__(self, path: str, special_as_text: bool = True):
@@ -36,7 +53,58 @@ class PieceEncoder:
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         # ids of tokens that begin with a space, in the letters of the byte-level alphabet
         self._begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        # pieces by what they are after a space, and those of them that were seen before; pre-tokens without a space
         self._after_space: dict[str, bytes] = {}
+        self._before: dict[str, bytes] = {}
+        self._inside: dict[str, bytes] = {}
+        self._plain = self._is_plain(json.loads(self.tokenizer.to_str()), special_as_text)
+        self._model = self.tokenizer.model
+
+    @staticmethod
+    def _is_plain(made: dict, special_as_text: bool) -> bool:
+        """Whether the tokenizer gives its model the byte-level pre-tokens of the text as it is, and nothing is added to the ids."""
+        before = made["pre_tokenizer"] or {}
+        return (
+            made["normalizer"] is None and made["truncation"] is None and made["padding"] is None
+            and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+            and made["model"].get("type") == "BPE" and not made["model"].get("dropout")
+            and all(x["special"] and special_as_text for x in made["added_tokens"])
+        )
+
+    def _of_model(self, pre_token: str) -> bytes:
+        """Ids of one pre-token of plain characters."""
+        if not pre_token.isascii() or pre_token[0] in " \n":
+            pre_token = pre_token.encode("utf-8").decode("latin-1").translate(_LETTERS)
+        return np.array([x.id for x in self._model.tokenize(pre_token)], self.dtype).tobytes()
+
+    def _ids_of_plain(self, piece: str) -> bytes | None:
+        """Ids of a piece after a space by its pre-tokens; none if it has other than plain characters."""
+        if piece.isascii() and piece.isalpha():
+            return self._of_model(" " + piece)
+        parts = _PRE_TOKENS.findall(piece)
+        if sum(map(len, parts)) != len(piece):
+            return None
+        first = self._after_space.get(parts[0])
+        out = [self._of_model(" " + parts[0]) if first is None else first]
+        for part in parts[1:]:
+            ids = self._inside.get(part)
+            if ids is None:
+                ids = self._inside[part] = self._of_model(part)
+            out.append(ids)
+        return b"".join(out)
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Keep the ids of pieces that aren't known, but for those that only whole texts have."""
+        known, before, others = self._after_space, self._before, []
+        for x in pieces:
+            if (ids := before.get(x)) is not None:
+                known[x] = ids
+            elif self._apart(x):
+                if self._plain and (ids := self._ids_of_plain(x)) is not None:
+                    known[x] = ids
+                else:
+                    others.append(x)
+        known.update(zip(others, self._ids_after_space(others), strict=True))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -67,14 +135,12 @@ class PieceEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as packed integers of ``dtype``; a null text has those of the empty text."""
         split = [(x or "").split(" ") for x in texts]
-        if len(self._after_space) > REMEMBERED:
-            self._after_space.clear()
+        if len(self._after_space) > REMEMBERED // 2:
+            self._before, self._after_space = self._after_space, {}
+        if len(self._inside) > REMEMBERED // 4:
+            self._inside.clear()
         known = self._after_space
-        new = set()
-        for pieces in split:
-            new.update(pieces[1:])
-        new = [x for x in new if x not in known and self._apart(x)]
-        known.update(zip(new, self._ids_after_space(new), strict=True))
+        self._learn(set(chain.from_iterable(x[1:] for x in split)).difference(known))
         out: list[bytes] = []
         first = iter(self._ids([x[0] for x in split]))
         for text, pieces in zip(texts, split, strict=True):

@@ -243,6 +243,37 @@ def test_pieces_encode_as_the_whole(texts):
     assert encode.encode(texts) == want
 
 
+@given(st.lists(st.lists(st.sampled_from(["word", "Ab", "é", "ſ", "ҁ", "7", "½", "ª", ".", ",", "'s", "<|endoftext|>", "|", "\n", "\n\n", "\t", " ", " ", "×", "漢", "\x7f"]), max_size=25).map("".join), max_size=6))
+@settings(max_examples=80, deadline=None)
+def test_pre_tokens_encode_as_the_whole(texts):
+    for special_as_text in (True, False):
+        encode = tokens.encoder(JSON, special_as_text)
+        want = [np.array(encode.tokenizer.encode(t, add_special_tokens=False).ids, encode.dtype).tobytes() for t in texts]
+        assert encode._plain == special_as_text and encode.encode(texts) == want
+
+
+def test_pieces_go_to_the_model_once_and_common_ones_are_kept(monkeypatch):
+    """New words don't go through the whole tokenizer, and a worker that forgets keeps the words it still meets."""
+    monkeypatch.setattr(tokens, "REMEMBERED", 40)
+    encode = tokens.PieceEncoder(JSON)
+    asked, of_model = [], encode._of_model
+    monkeypatch.setattr(encode, "_of_model", lambda x: asked.append(x) or of_model(x))
+    monkeypatch.setattr(encode, "_ids_after_space", lambda x: [] if not x else pytest.fail(f"through the whole tokenizer: {x}"))
+    for k in range(10):
+        text = "the " + " ".join(f"common w{chr(97 + k)}{chr(97 + i)}rd." for i in range(15))
+        assert encode.encode([text]) == [np.array(encode.tokenizer.encode(text, add_special_tokens=False).ids, encode.dtype).tobytes()]
+    assert asked.count(" common") == 1 and asked.count(" wbbrd") == 1 and asked.count(".") <= 2
+    assert len(encode._after_space) + len(encode._before) <= 80
+
+
+def test_an_id_without_a_code_is_refused():
+    code = huffman.Code.from_counts(np.array([3, 9]), np.array([5, 1]))
+    for ids in ([3, 4], [3, 10]):
+        with pytest.raises(ValueError, match="no code"):
+            code.pack(np.array(ids, np.uint32), np.array([2]))
+    assert code.pack(np.zeros(0, np.uint32), np.array([0]))[0] == b""
+
+
 # ---- 6
 
 

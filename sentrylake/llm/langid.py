@@ -8,10 +8,10 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentrylake.llm.common import frugal, mix
+from sentrylake.llm.common import frugal, give_back, mix, partitions
 from sentrylake.llm.letters import grams, streams
 from sentrylake.session import materialize
 
@@ -69,17 +69,34 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(frugal(run), "component int, n long").groupBy("component").agg(F.sum("n").alias("n"))
 
 
-def cluster(vectors: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Unit centroids of at most ``k`` clusters by cosine, begun from vectors far from each other."""
-    chosen = [vectors.sum(0)]
-    chosen[0] = vectors[int(np.argmax(vectors @ chosen[0]))]
-    while len(chosen) < min(k, len(vectors)):
-        nearest = np.max(vectors @ np.stack(chosen).T, 1)
-        chosen.append(vectors[int(np.argmin(nearest))])
+def cluster(rows: list[tuple[np.ndarray, np.ndarray]], k: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Unit centroids of at most ``k`` clusters by cosine, begun from vectors far from each other.
+
+    Each row has the components of a unit vector that aren't 0, and their values: a text has few of ``SIZE``.
+    """
+
+    def cosines(centroids: np.ndarray) -> np.ndarray:
+        return np.stack([centroids[:, at] @ value for at, value in rows])
+
+    def whole(i: int) -> np.ndarray:
+        out = np.zeros(SIZE)
+        out[rows[i][0]] = rows[i][1]
+        return out
+
+    total = np.zeros(SIZE)
+    for at, value in rows:
+        total[at] += value
+    chosen = [whole(int(np.argmax(cosines(total[None]))))]
+    nearest = cosines(chosen[0][None])[:, 0]
+    while len(chosen) < min(k, len(rows)):
+        chosen.append(whole(int(np.argmin(nearest))))
+        nearest = np.maximum(nearest, cosines(chosen[-1][None])[:, 0])
     centroids = np.stack(chosen)
     for _ in range(rounds):
-        own = np.argmax(vectors @ centroids.T, 1)
-        sums = [vectors[own == j].sum(0) if (own == j).any() else centroids[j] for j in range(len(centroids))]
+        own = np.argmax(cosines(centroids), 1)
+        sums = np.where(np.isin(np.arange(len(centroids)), own)[:, None], 0.0, centroids)
+        for j, (at, value) in zip(own, rows, strict=True):
+            sums[j, at] += value
         centroids = np.stack([s / max(np.sqrt(float(s @ s)), 1e-12) for s in sums])
     return centroids.astype(np.float32)
 
@@ -130,6 +147,29 @@ def radii(known: DataFrame, idf: np.ndarray, languages: list[str], centroids: np
     return out
 
 
+def sparse_vectors(drawn: DataFrame, idf: np.ndarray) -> DataFrame:
+    """``lang, nth, at, value``: components that aren't 0 of each text's vector, the texts of a language numbered in their order.
+
+    Texts without letters are left out. No text gets to the task that clusters, whatever its length.
+    """
+
+    def run(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch, found = whole.slice(start, 256), []
+                for i, text in enumerate(batch.column(2)):
+                    v = vector(text.as_py(), idf)
+                    at = np.flatnonzero(v)
+                    if len(at):
+                        found.append((i, at.astype(np.uint16).tobytes(), v[at].astype(np.float64).tobytes()))
+                rows = batch.select([0, 1]).take(pa.array([x[0] for x in found], pa.int64()))
+                packed = [pa.array([x[k] for x in found], pa.binary()) for k in (1, 2)]
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *packed], ["lang", "nth", "at", "value"])
+
+    numbered = drawn.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("text"))).select("lang", "nth", "text")
+    return numbered.repartition(partitions(drawn), "lang", "nth").mapInArrow(frugal(run), "lang string, nth int, at binary, value binary")
+
+
 def fit(known: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -> Model:
     """The model of rows of ``text, lang``; rows without a language or without letters teach nothing.
 
@@ -152,12 +192,12 @@ def fit(known: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -> M
     drawn = materialize(drawn.dropDuplicates(["lang", "h"]).drop("h"), "language-sample")
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        vectors = np.stack([vector(x, idf) for x in sorted(pdf["text"])])
-        vectors = vectors[np.abs(vectors).sum(1) > 0]
-        found = cluster(vectors, centroids) if len(vectors) else np.zeros((0, SIZE), np.float32)
+        pdf = pdf.sort_values("nth")
+        found = cluster([(np.frombuffer(at, np.uint16), np.frombuffer(value)) for at, value in zip(pdf["at"], pdf["value"], strict=True)], centroids)
+        give_back()
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]] * len(found), "centroid": [c.tobytes() for c in found]})
 
-    learned = drawn.groupBy("lang").applyInPandas(learn, "lang string, centroid binary").collect()
+    learned = sparse_vectors(drawn, idf).groupBy("lang").applyInPandas(learn, "lang string, centroid binary").collect()
     learned.sort(key=lambda r: (r["lang"], bytes(r["centroid"])))
     rows = [np.frombuffer(bytes(r["centroid"]), np.float32) for r in learned]
     languages, found = [r["lang"] for r in learned], np.stack(rows) if rows else np.zeros((0, SIZE), np.float32)
@@ -184,6 +224,7 @@ def predict(model: Model, text: str | Column = "text", nearest: float = NEAREST)
             best = int(np.argmax(cosines))
             score = float(min(1.0, max(0.0, cosines[best])))
             out.append((model.languages[best], score, score < max(nearest, model.radii[best, band(v)])))
+        give_back()
         return pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
 
     return run(text)

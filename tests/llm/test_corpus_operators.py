@@ -501,6 +501,44 @@ def test_language(spark, empty):
     assert spark.createDataFrame([("abc",)], "text string").select(langid.predict(nothing)["lang_pred"]).first()[0] == "und"
 
 
+def test_clusters_take_little_more_than_the_vectors():
+    """No task has all components of its vectors at hand; the centroids are those of whole vectors."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    vectors = np.zeros((600, langid.SIZE))
+    for i, v in enumerate(vectors):
+        v[rng.choice(2000, 300, replace=False) + 1500 * (i % 3)] = rng.random(300)
+    vectors /= np.sqrt((vectors * vectors).sum(1))[:, None]
+    rows = [(np.flatnonzero(v).astype(np.uint16), v[np.flatnonzero(v)]) for v in vectors]
+    tracemalloc.start()
+    got = langid.cluster(rows, 3, 4)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < vectors.nbytes / 20
+    chosen = [vectors[int(np.argmax(vectors @ vectors.sum(0)))]]
+    while len(chosen) < 3:
+        chosen.append(vectors[int(np.argmin(np.max(vectors @ np.stack(chosen).T, 1)))])
+    want = np.stack(chosen)
+    for _ in range(4):
+        own = np.argmax(vectors @ want.T, 1)
+        sums = [vectors[own == j].sum(0) if (own == j).any() else want[j] for j in range(3)]
+        want = np.stack([x / np.sqrt(float(x @ x)) for x in sums])
+    assert np.allclose(got, want, atol=1e-7)
+
+
+def test_only_sparse_vectors_get_to_a_cluster(spark):
+    rows = [("b a", "x"), ("Zebra zoo", "x"), ("77", "x"), ("ça va", "y"), ("a" * 5000, "y")]
+    idf = np.linspace(1, 2, langid.SIZE).astype(np.float32)
+    found = langid.sparse_vectors(spark.createDataFrame(rows, "text string, lang string"), idf).collect()
+    assert sorted((r.lang, r.nth) for r in found) == [("x", 2), ("x", 3), ("y", 1), ("y", 2)]
+    texts = {("x", 2): "Zebra zoo", ("x", 3): "b a", ("y", 1): "a" * 5000, ("y", 2): "ça va"}
+    for r in found:
+        v = np.zeros(langid.SIZE)
+        v[np.frombuffer(r.at, np.uint16)] = np.frombuffer(r.value)
+        assert (v == langid.vector(texts[r.lang, r.nth], idf)).all()
+
+
 def test_unlearned_languages_of_the_same_script_are_rejected(spark):
     sounds = {"aa": ["ka", "lo", "mi", "ne", "tu"], "bb": ["str", "ung", "ich", "tu", "ge"], "zz": ["prz", "ka", "ych", "owa", "zky", "dwi"]}
     rng = random.Random(16)

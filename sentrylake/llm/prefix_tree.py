@@ -9,7 +9,9 @@ For the components not all pairs of a group are needed. Some rounds compare each
 every shared n-gram, while several components have that n-gram. Then sets of n-grams that many have are
 compared along random trees of the pairs that may be linked, as long as that joins components. Of what
 remains apart all pairs that share an n-gram are compared, so no link between two components is lost. An
-n-gram that many of these sets have is dealt in blocks of sets, so its pairs never become rows.
+n-gram that many of these sets have is dealt in blocks of sets, so its pairs never become rows. Trees stay
+within a block, other ones in each round. Of all pairs, sets of the n-gram's largest component meet only
+those of others, so they are sent once while the others fit a block.
 
 Before sets are sent, a pair must pass an exact test of its sets' signatures, bitmaps of the parity of the
 n-grams at each bit: they differ in no more bits than the sets differ in n-grams.
@@ -336,19 +338,39 @@ def _pairs_of_block(
     return found
 
 
+def _alone(rows: DataFrame, dealt: int, seed: int) -> DataFrame:
+    """``token, i, j, sid, meta, root, part``: the sets of an n-gram in blocks that don't meet, each set in one, other ones for each seed."""
+    part = F.pmod(F.xxhash64("sid", F.lit(seed)), F.ceil(F.col("many") / dealt)).cast("int")
+    return rows.select("token", part.alias("i"), part.alias("j"), "sid", "meta", "root", part.alias("part"))
+
+
+def _dealt(rows: DataFrame, dealt: int) -> DataFrame:
+    """``token, i, j, sid, meta, root, part``: each two sets of an n-gram meet in a group ``i, j`` unless both are in its largest component."""
+    of_root = rows.where(F.col("many") > dealt).groupBy("token", "root").agg(F.count("*").alias("n"))
+    largest = of_root.groupBy("token").agg(F.max(F.struct("n", "root")).alias("main"))
+    rows = rows.join(largest, "token", "left")
+    within = F.coalesce(F.col("main.n"), F.lit(0))
+    rows = rows.withColumn("mains", F.ceil(within / dealt).cast("int")).withColumn("others", F.ceil((F.col("many") - within) / dealt).cast("int"))
+    rows = rows.withColumn("is_main", F.coalesce(F.col("main.root") == F.col("root"), F.lit(False)))
+    part = F.when(F.col("is_main"), F.pmod(F.xxhash64("sid"), F.greatest("mains", F.lit(1)))).otherwise(F.col("mains") + F.pmod(F.xxhash64("sid"), F.greatest("others", F.lit(1))))
+    first = F.when(F.col("is_main"), F.col("mains")).otherwise(0)
+    rows = rows.withColumn("part", part.cast("int")).withColumn("other", F.explode(F.sequence(first, F.col("mains") + F.col("others") - 1)))
+    return rows.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "sid", "meta", "root", "part")
+
+
 def _pairs_of_many(rows: DataFrame, signed: DataFrame, alike: int, dealt: int, seed: int | None = None) -> DataFrame:
     """The pairs ``p, x`` across components that may be linked, of ``token, sid, meta, root, many`` with n-grams of many sets.
 
-    With ``seed`` only pairs that make a tree of each group of sets that may be linked, another one for each seed.
+    With ``seed`` only pairs that make a tree of the sets of each block that may be linked, other blocks and trees for each seed.
 
-    The sets of an n-gram are split in blocks by their hash, and each two blocks meet in one group: a set is
-    sent once for each block, and a group has about two blocks.
+    The sets of an n-gram are split in blocks by their hash, and each two blocks meet in one group, but for those
+    of its largest component: a set of that is sent once for each block of the others, and they once for each
+    block. A group has about two blocks.
     """
     peers = rows.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("meta", "token")))["token"].alias("peers"))
-    rows = rows.join(peers, "sid").join(signed.select("sid", "sig"), "sid")
-    blocks = F.ceil(F.col("many") / dealt).cast("int")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("sid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "sid", "meta", "root", "part", "sig", "peers")
+    rows = _dealt(rows, dealt) if seed is None else _alone(rows, dealt, seed)
+    rows = rows.join(peers.join(signed.select("sid", "sig"), "sid"), "sid")
+    rows = rows.select("token", "i", "j", "sid", "meta", "root", "part", "sig", "peers")
     rows = rows.repartition(partitions(rows), "token", "i", "j").sortWithinPartitions("token", "i", "j")
 
     def run(batches):

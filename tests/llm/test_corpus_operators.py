@@ -663,3 +663,27 @@ def test_trees_of_pairs_join_a_group_of_near_copies():
             reached |= {x for pair in tree if reached & set(pair) for x in pair}
         assert len(reached) == n
     assert set(trees[0]) != set(trees[1])
+
+
+@pytest.mark.parametrize("dealt", [3, 8, 1000])
+def test_frequent_ngrams_are_sent_once_for_each_block_of_others(spark, dealt):
+    """Every two sets of two components meet once; a large component's sets aren't sent for each of its own blocks, for trees once."""
+    rows = [(7, i, (9 << 32) + i, 0 if i < 60 else i, 65) for i in range(65)] + [(8, i, 9 << 32, i, 4) for i in range(4)]
+    df = spark.createDataFrame(rows, "token long, sid long, meta long, root long, many long")
+    groups = {}
+    sent = prefix_tree._dealt(df, dealt).collect()
+    for r in sent:
+        groups.setdefault((r.token, r.i, r.j), []).append(r)
+    met = Counter()
+    for (token, i, j), own in groups.items():
+        for a in own:
+            for b in own:
+                if a.sid < b.sid and a.root != b.root and (i == j or a.part != b.part):
+                    met[token, a.sid, b.sid] += 1
+    want = {(t, a, b) for t, n in ((7, 65), (8, 4)) for a in range(n) for b in range(a + 1, n) if t == 8 or b >= 60}
+    assert set(met) == want and set(met.values()) == {1}
+    main, others = (0, 1) if dealt >= 65 else (-(-60 // dealt), -(-5 // dealt))
+    assert sum(r.token == 7 for r in sent) == (65 if dealt >= 65 else 60 * others + 5 * (main + others))
+    alone = [prefix_tree._alone(df, dealt, seed).collect() for seed in (1, 2)]
+    assert all(sorted((r.token, r.sid) for r in x) == sorted((r[0], r[1]) for r in rows) and all(r.i == r.j for r in x) for x in alone)
+    assert ({(r.token, r.sid, r.i) for r in alone[0]} == {(r.token, r.sid, r.i) for r in alone[1]}) == (dealt >= 65)

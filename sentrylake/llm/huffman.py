@@ -88,58 +88,69 @@ class Code:
         return cls(symbols, code_lengths(counts, limit))
 
     @cached_property
-    def places(self) -> np.ndarray:
-        """Place of each id among the symbols, -1 for ids without a code."""
-        out = np.full(int(self.symbols.max(initial=0)) + 1, -1, np.int32)
-        out[self.symbols] = np.arange(len(self.symbols))
-        return out
+    def by_id(self) -> tuple[np.ndarray, np.ndarray]:
+        """Length, 0 for ids without a code, and code by id."""
+        size = int(self.symbols.max(initial=0)) + 1
+        lengths, codes = np.zeros(size, np.int64), np.zeros(size, np.uint64)
+        lengths[self.symbols], codes[self.symbols] = self.lengths, self.codes
+        return lengths, codes
 
     def pack(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
         """Bits of documents of ``sizes`` ids each, the bytes of each, and the first bit of each id in its document."""
-        if len(ids) and int(ids.max()) >= len(self.places):
+        lengths, codes = self.by_id
+        if len(ids) and int(ids.max()) >= len(lengths):
             raise ValueError("an id has no code: the counts are not those of these documents")
-        at = self.places[ids]
-        if len(ids) and at.min() < 0:
+        bits, code = lengths[ids], codes[ids]
+        if len(ids) and not bits.min():
             raise ValueError("an id has no code: the counts are not those of these documents")
-        bits = self.lengths[at].astype(np.int64)
-        before = np.cumsum(bits) - bits
         ends = np.cumsum(sizes)
         total = np.concatenate([[0], np.cumsum(bits)])
         used = (total[ends] - total[ends - sizes] + 7) // 8
         base = np.cumsum(used) - used
-        own = before - np.repeat(total[ends - sizes], sizes)
+        own = total[:-1] - np.repeat(total[ends - sizes], sizes)
         place = own + np.repeat(base * 8, sizes)
-        # every code, moved to its place in 32 bits from the byte in which it begins; bits never overlap, so sums are unions
-        window = self.codes[at] << (32 - bits - (place & 7)).astype(np.uint64)
-        size, out = int(used.sum()), np.zeros(int(used.sum()) + 4)
-        for k in range(4):
-            part = (window >> np.uint64(24 - 8 * k)) & np.uint64(255)
-            out += np.bincount((place >> 3) + k, part, len(out))
-        return out[:size].astype(np.uint8).tobytes(), used, own
+        # every code, moved to its place in the 64 bits in which it begins, and the rest of it, if any, in the next ones; bits
+        # never overlap, so sums are unions
+        word, room = place >> 6, 64 - (place & 63) - bits
+        over = np.flatnonzero(room < 0)
+        window = code << np.maximum(room, 0).astype(np.uint64)
+        window[over] = code[over] >> (-room[over]).astype(np.uint64)
+        size = int(used.sum())
+        out = np.zeros(size // 8 + 2, np.uint64)
+        if len(ids):
+            firsts = np.flatnonzero(np.diff(word, prepend=-1))
+            out[word[firsts]] = np.add.reduceat(window, firsts)
+            out[word[over] + 1] += code[over] << (64 + room[over]).astype(np.uint64)
+        return out.astype(">u8").tobytes()[:size], used, own
 
+    @cached_property
     def table(self) -> tuple[np.ndarray, np.ndarray]:
         """Symbol and length for each value of the next ``width`` bits."""
         lengths = self.lengths[self.order]
         times = np.left_shift(1, self.width - lengths.astype(np.int64))
         symbols, steps = np.repeat(self.symbols[self.order], times), np.repeat(lengths, times)
         rest = (1 << self.width) - len(symbols)  # a code of one symbol leaves half the table free
-        return np.pad(symbols, (0, rest)), np.pad(steps, (0, rest), constant_values=1).astype(np.int64)
+        return np.pad(symbols, (0, rest)), np.pad(steps, (0, rest), constant_values=1)
 
     def unpack(self, data: np.ndarray, first_bits: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Ids of independent blocks, decoded side by side; ``data`` has four spare bytes behind the last code."""
-        symbols, steps = self.table()
-        longest = int(sizes.max(initial=0))
-        out = np.zeros((len(sizes), longest), np.uint32)
-        at, shift = first_bits.astype(np.int64), np.uint32(32 - self.width)
-        for i in range(longest):
-            byte = at >> 3
-            peek = (
-                (data[byte].astype(np.uint32) << np.uint32(24)) | (data[byte + 1].astype(np.uint32) << np.uint32(16))
-                | (data[byte + 2].astype(np.uint32) << np.uint32(8)) | data[byte + 3]
-            ) << (at & 7).astype(np.uint32) >> shift
-            out[:, i] = symbols[peek]
-            at += np.where(i + 1 < sizes, steps[peek], 0)
-        return out[np.arange(longest)[None, :] < sizes[:, None]]
+        symbols, steps = self.table
+        out = np.zeros(int(sizes.sum()), np.uint32)
+        if not len(out):
+            return out
+        windows = np.zeros(len(data) - 3, np.uint32)  # the 32 bits from each byte on
+        for k in range(4):
+            windows |= data[k : len(windows) + k].astype(np.uint32) << np.uint32(24 - 8 * k)
+        order = np.argsort(-sizes, kind="stable")  # long blocks first, so that those not at their end stand in front
+        at, place = first_bits[order].astype(np.int64), (np.cumsum(sizes) - sizes)[order]
+        longest, shift = int(sizes.max()), np.uint32(32 - self.width)
+        for n in np.searchsorted(-sizes[order], -np.arange(longest), "left").tolist():
+            at, place = at[:n], place[:n]
+            peek = windows[at >> 3] << (at & 7).astype(np.uint32) >> shift
+            out[place] = symbols[peek]
+            at += steps[peek]
+            place += 1
+        return out
 
 
 def count_ids(tokens: DataFrame) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
-from itertools import chain
+from array import array
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,10 +20,14 @@ from sentrylake.llm.common import frugal, pick
 
 #: Pieces that a worker remembers, half of them since it forgot others; a memory bound, without effect on results.
 REMEMBERED = 1_000_000
+#: Bytes of text that are split at once, but for a longer text; a memory bound.
+AT_ONCE = 4 << 20
 _encoders: dict[tuple[str, bool], "PieceEncoder"] = {}
 #: Pre-tokens of the byte-level pattern in texts of these characters alone, the first one with the space before it: letters,
 #: digits, other signs of ASCII but those of contractions and of names of special tokens, and breaks but for the last of a run.
-_PRE_TOKENS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ſЀ-ҁҊ-ԯ]+|[0-9]+|[!-&(-/:;=?@\[-`{}~]+|\n+(?=\n)|\n")
+_KINDS = ["A-Za-zÀ-ÖØ-öø-ſЀ-ҁҊ-ԯ", "0-9", r"!-&(-/:;=?@\[-`{}~"]
+_PRE_TOKENS = re.compile("|".join([*(f" ?[{x}]+" for x in _KINDS), r"\n+(?=\n)|\n", rf" ?[^{''.join(_KINDS)}\n ]+"]))
+_PLAIN = frozenset(re.findall(rf"[{''.join(_KINDS)}\n]", "".join(map(chr, range(0x530)))))
 
 
 def byte_letters() -> str:
@@ -30,7 +37,13 @@ def byte_letters() -> str:
     return "".join(chr(b if b in plain else next(others)) for b in range(256))
 
 
-_LETTERS = dict(enumerate(byte_letters()))
+_LETTERS = byte_letters()
+
+
+def _spans_of(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The ids of all spans, one after another."""
+    ends = np.cumsum(sizes)
+    return ids[np.repeat(starts - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
 
 
 class PieceEncoder:
@@ -53,10 +66,11 @@ class PieceEncoder:
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         # ids of tokens that begin with a space, in the letters of the byte-level alphabet
         self._begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
-        # pieces by what they are after a space, and those of them that were seen before; pre-tokens without a space
+        # ids of pre-tokens, and behind two spaces of pieces of other than plain characters, and those that were met before the
+        # last of them were forgotten; no bytes for a run of other characters, which has no ids of its own
         self._after_space: dict[str, bytes] = {}
         self._before: dict[str, bytes] = {}
-        self._inside: dict[str, bytes] = {}
+        self._code = "H" if self.dtype.itemsize == 2 else "I"
         self._plain = self._is_plain(json.loads(self.tokenizer.to_str()), special_as_text)
         self._model = self.tokenizer.model
 
@@ -73,38 +87,55 @@ class PieceEncoder:
 
     def _of_model(self, pre_token: str) -> bytes:
         """Ids of one pre-token of plain characters."""
-        if not pre_token.isascii() or pre_token[0] in " \n":
-            pre_token = pre_token.encode("utf-8").decode("latin-1").translate(_LETTERS)
-        return np.array([x.id for x in self._model.tokenize(pre_token)], self.dtype).tobytes()
-
-    def _ids_of_plain(self, piece: str) -> bytes | None:
-        """Ids of a piece after a space by its pre-tokens; none if it has other than plain characters."""
-        if piece.isascii() and piece.isalpha():
-            return self._of_model(" " + piece)
-        parts = _PRE_TOKENS.findall(piece)
-        if sum(map(len, parts)) != len(piece):
-            return None
-        first = self._after_space.get(parts[0])
-        out = [self._of_model(" " + parts[0]) if first is None else first]
-        for part in parts[1:]:
-            ids = self._inside.get(part)
+        if pre_token.isascii() and pre_token[0] == " ":
+            pre_token = "\u0120" + pre_token[1:]
+        elif not pre_token.isascii() or pre_token[0] == "\n":
+            pre_token = codecs.charmap_decode(pre_token.encode("utf-8"), "strict", _LETTERS)[0]
+        return array(self._code, [x.id for x in self._model.tokenize(pre_token)]).tobytes()
+
+    def _ids_of_plain(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which pieces after a space are of plain characters, the ids of those by their pre-tokens, and how many each one has."""
+        plain = np.array([bool(x) and x[0] > " " and x[-1] > " " for x in pieces], bool)
+        parts = _PRE_TOKENS.findall("".join([" " + x for x in compress(pieces, plain.tolist())]))
+        known, before = self._after_space, self._before
+        for x in set(parts).difference(known):
+            ids = before.get(x)
             if ids is None:
-                ids = self._inside[part] = self._of_model(part)
-            out.append(ids)
-        return b"".join(out)
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Keep the ids of pieces that aren't known, but for those that only whole texts have."""
-        known, before, others = self._after_space, self._before, []
-        for x in pieces:
-            if (ids := before.get(x)) is not None:
-                known[x] = ids
-            elif self._apart(x):
-                if self._plain and (ids := self._ids_of_plain(x)) is not None:
-                    known[x] = ids
-                else:
-                    others.append(x)
-        known.update(zip(others, self._ids_after_space(others), strict=True))
+                ids = self._of_model(x) if x[-1] in _PLAIN else b""
+            known[x] = ids
+        if not parts:
+            return plain, np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        found = list(map(known.__getitem__, parts))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        firsts = np.flatnonzero(np.array([x[0] == " " for x in parts], bool))
+        fits, own = np.minimum.reduceat(sizes, firsts) > 0, np.add.reduceat(sizes, firsts)
+        ids = np.frombuffer(b"".join(found), self.dtype)
+        if not fits.all():
+            plain[np.flatnonzero(plain)[~fits]] = False
+            ids, own = ids[np.repeat(fits, own)], own[fits]
+        return plain, ids, own
+
+    def _ids_of_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of different pieces after a space, where those of each piece start, and their number, -1 for pieces that only whole texts have."""
+        if len(self._after_space) > REMEMBERED // 2:
+            self._before, self._after_space = self._after_space, {}
+        starts, sizes = np.zeros(len(pieces), np.int64), np.full(len(pieces), -1)
+        plain, ids = np.zeros(len(pieces), bool), np.zeros(0, self.dtype)
+        if self._plain:
+            plain, ids, own = self._ids_of_plain(pieces)
+            sizes[plain], starts[plain] = own, np.cumsum(own) - own
+        others = [i for i in np.flatnonzero(~plain).tolist() if self._apart(pieces[i])]
+        if others:
+            known, before = self._after_space, self._before
+            names = ["  " + pieces[i] for i in others]
+            known.update((x, before[x]) for x in names if not known.get(x) and before.get(x))
+            new = [x for x in names if not known.get(x)]
+            known.update(zip(new, self._ids_after_space([x[2:] for x in new]), strict=True))
+            found = [known[x] for x in names]
+            own = np.array([len(x) // self.dtype.itemsize for x in found], np.int64)
+            sizes[others], starts[others] = own, len(ids) + np.cumsum(own) - own
+            ids = np.concatenate([ids, np.frombuffer(b"".join(found), self.dtype)])
+        return ids, starts, sizes
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -132,26 +163,44 @@ class PieceEncoder:
     def _apart(piece: str) -> bool:
         return bool(piece) and not (piece[0].isspace() or piece[-1].isspace() or piece[0] == "᠎" or piece[-1] == "᠎")
 
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where those of each text end; a null text has those of the empty text."""
+        if not len(texts):
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        split = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        bounds = split.offsets.to_numpy().astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        names, nth = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        bounds -= bounds[0]
+        heads = bounds[:-1]
+        after_space = np.ones(len(nth), bool)
+        after_space[heads] = False
+        used = np.zeros(len(names), bool)
+        used[nth[after_space]] = True
+        starts, sizes = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        ids, starts[used], sizes[used] = self._ids_of_pieces(list(compress(names, used.tolist())))
+        starts, sizes = starts[nth], sizes[nth]
+        # first pieces, each one once, and as a whole the texts with pieces that aren't apart
+        of_head = nth[heads].tolist()
+        fits = np.array([self._apart(names[i]) for i in of_head]) | (np.diff(bounds) == 1)
+        fits[np.searchsorted(bounds, np.flatnonzero((sizes < 0) & after_space), "right") - 1] = False
+        whole = np.flatnonzero(~fits).tolist()
+        alone = {i: k for k, i in enumerate(dict.fromkeys(compress(of_head, fits.tolist())))}
+        found = self._ids([names[i] for i in alone]) + self._ids([texts[i].as_py() or "" for i in whole])
+        which = np.zeros(len(heads), np.int64)
+        which[fits] = [alone[i] for i in compress(of_head, fits.tolist())]
+        which[~fits] = len(alone) + np.arange(len(whole))
+        for i in whole:
+            sizes[bounds[i] : bounds[i + 1]] = 0
+        own = np.array([len(x) // self.dtype.itemsize for x in found], np.int64)
+        sizes[heads], starts[heads] = own[which], (len(ids) + np.cumsum(own) - own)[which]
+        ids = np.concatenate([ids, np.frombuffer(b"".join(found), self.dtype)])
+        return _spans_of(ids, starts, sizes), np.cumsum(sizes)[bounds[1:] - 1]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as packed integers of ``dtype``; a null text has those of the empty text."""
-        split = [(x or "").split(" ") for x in texts]
-        if len(self._after_space) > REMEMBERED // 2:
-            self._before, self._after_space = self._after_space, {}
-        if len(self._inside) > REMEMBERED // 4:
-            self._inside.clear()
-        known = self._after_space
-        self._learn(set(chain.from_iterable(x[1:] for x in split)).difference(known))
-        out: list[bytes] = []
-        first = iter(self._ids([x[0] for x in split]))
-        for text, pieces in zip(texts, split, strict=True):
-            head = next(first)
-            try:
-                if len(pieces) > 1 and not self._apart(pieces[0]):
-                    raise KeyError
-                out.append(head + b"".join(map(known.__getitem__, pieces[1:])))
-            except KeyError:
-                out += self._ids([text or ""])
-        return out
+        """Ids of each text as packed integers of ``dtype``."""
+        ids, ends = self.encode_array(pa.array(texts, pa.large_string()))
+        return [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False)]
 
 
 def encoder(path: str, special_as_text: bool = True) -> PieceEncoder:
@@ -161,6 +210,17 @@ def encoder(path: str, special_as_text: bool = True) -> PieceEncoder:
     return _encoders[path, special_as_text]
 
 
+def _parts_of(batch: pa.RecordBatch):
+    """The rows of a batch, at most ``AT_ONCE`` bytes of its second column or one longer text, and 4,096 rows, at a time."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + AT_ONCE, "right")))
+        end = min(end, at + 4096)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def token_table(docs: DataFrame, tokenizer_path: str, end_id: int | None = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids, counts``: the ids of each whole text, ``end_id`` behind them, as compressed 32-bit integers.
 
@@ -173,22 +233,20 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int | None = 0, do
         pack = zstandard.ZstdCompressor(level=3)
         encode = encoder(tokenizer_path)
         tail = b"" if end_id is None else np.array([end_id], encode.dtype).tobytes()
+        width, first = encode.dtype.itemsize, bytes([encode.dtype.itemsize])
         total, kind = np.zeros(0, np.int64), None
         for batch in batches:
             kind = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = [x + tail for x in encode.encode(part.column(1).to_pylist())]
-                own = np.bincount(np.frombuffer(b"".join(ids), encode.dtype), minlength=len(total))
+            for part in _parts_of(batch):
+                ids, ends = encode.encode_array(part.column(1))
+                own = np.bincount(ids, minlength=max(len(total), 0 if end_id is None else end_id + 1))
                 own[: len(total)] += total
-                total = own
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0), pa.array([len(x) // encode.dtype.itemsize for x in ids], pa.int64()),
-                        pa.array([bytes([encode.dtype.itemsize]) + pack.compress(x) for x in ids], pa.binary()), pa.nulls(len(ids), pa.binary()),
-                    ],
-                    names,
-                )
+                if end_id is not None:
+                    own[end_id] += len(ends)
+                total, data, ends = own, ids.tobytes(), ends * width
+                packed = [first + pack.compress(data[a:b] + tail) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False)]
+                n = (np.diff(ends, prepend=0) + len(tail)) // width
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(packed, pa.binary()), pa.nulls(len(n), pa.binary())], names)
         if len(total):
             yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([pack.compress(total.tobytes())], pa.binary())], names)
 

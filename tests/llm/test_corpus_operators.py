@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -266,6 +267,48 @@ def test_pieces_go_to_the_model_once_and_common_ones_are_kept(monkeypatch):
     assert len(encode._after_space) + len(encode._before) <= 80
 
 
+def test_words_of_several_pieces_go_to_the_model_once(monkeypatch):
+    """A word before different signs is one pre-token, and each piece is one look-up, however often texts have it."""
+    encode = tokens.PieceEncoder(JSON)
+    asked, of_model = [], encode._of_model
+    monkeypatch.setattr(encode, "_of_model", lambda x: asked.append(x) or of_model(x))
+    texts = ["a zorbel. zorbel, zorbel! zorbel? zorbel\nzorbel zorbel zorbel.", None, "", " zorbel", "zorbel", "zorbel  x", "x don't <zorbel zorbel"]
+    want = [np.array(encode.tokenizer.encode(t or "", add_special_tokens=False).ids, encode.dtype) for t in texts]
+    ids, ends = encode.encode_array(pa.array(texts))
+    assert ends.tolist() == np.cumsum([len(x) for x in want]).tolist() and (ids == np.concatenate(want)).all()
+    assert asked.count(" zorbel") == 1 and asked.count("zorbel") == 1
+    assert encode.encode(texts[::-1]) == [x.tobytes() for x in want[::-1]] and asked.count(" zorbel") == 1
+
+
+def test_runs_of_other_characters_have_no_ids_of_their_own():
+    """A sign that stood alone before is no pre-token where letters follow."""
+    encode = tokens.PieceEncoder(JSON)
+    for texts in (["a 漢 ' ½ | ĳ"], ["a 漢word 'tis ½7 |x 漢.\n漢 word漢"], ["b word漢 漢 漢word"]):
+        assert encode.encode(texts) == [np.array(encode.tokenizer.encode(t, add_special_tokens=False).ids, encode.dtype).tobytes() for t in texts]
+
+
+def test_texts_are_split_some_at_a_time(monkeypatch):
+    monkeypatch.setattr(tokens, "AT_ONCE", 10)
+    texts = ["four", None, "five5", "", "é" * 20, "x", "y" * 10, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], ["doc_id", "text"])
+    parts = [x.column(1).to_pylist() for x in tokens._parts_of(batch)]
+    assert parts == [["four", None, "five5", ""], ["é" * 20], ["x"], ["y" * 10, None]]
+    assert list(tokens._parts_of(batch.slice(0, 0))) == []
+
+
+def test_blocks_of_all_sizes_decode_side_by_side():
+    rng = np.random.default_rng(5)
+    sizes = np.array([1, 0, 512, 3, 77, 512, 0, 1, 300])
+    ids = (rng.zipf(1.2, int(sizes.sum())) % 5000).astype(np.uint32)
+    code = huffman.Code.from_counts(*np.unique(ids, return_counts=True))
+    data, used, own = code.pack(ids, sizes)
+    some = sizes > 0
+    first = (np.cumsum(used) - used)[some] * 8
+    assert (own[(np.cumsum(sizes) - sizes)[some]] == 0).all() and len(data) == used.sum()
+    assert (code.unpack(np.frombuffer(data + bytes(4), np.uint8), first, sizes[some]) == ids).all()
+    assert len(code.unpack(np.zeros(4, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64))) == 0
+
+
 def test_an_id_without_a_code_is_refused():
     code = huffman.Code.from_counts(np.array([3, 9]), np.array([5, 1]))
     for ids in ([3, 4], [3, 10]):
